@@ -1,6 +1,9 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from episodeframe.llm import license_scan
+
 ORACLES = {
+    "op7_license_scan": license_scan.oracle(),
     "op1_exact_dedup": r"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
