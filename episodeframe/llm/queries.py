@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodeframe.llm import bpe, decontaminate, exact_dedup, langid, license_scan, substring_dedup, suffix_dedup, token_files, toxicity
+from episodeframe.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, license_scan, substring_dedup, suffix_dedup, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -60,4 +64,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_token_files, op4_substring_dedup, op5_language_id, op7_license_scan, op8_toxicity, op9_byte_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_token_files, op4_substring_dedup, op5_language_id, op6_jaccard_join, op7_license_scan, op8_toxicity, op9_byte_bpe, op10_suffix_dedup)}
