@@ -1,15 +1,15 @@
 """Operator 9: byte-level BPE by a hierarchical-bitmap rank queue.
 
 One pre-token is a doubly linked list of its bytes.  Every adjacent pair that
-the vocabulary can merge waits in the bucket of its rank; a three-level bitmap
-over the ranks tells the smallest rank that has a waiting pair by find-first-
-set on machine-word-sized integers, so taking the next merge costs a constant
-number of steps however long the pre-token is.  Merging makes the neighbours'
+the vocabulary can merge waits in the bucket of its rank; a two-level bitmap
+over the ranks (256 ranks a leaf) tells the smallest rank that has a waiting
+pair by find-first-set, so taking the next merge costs a constant number of
+steps however long the pre-token is.  Merging makes the neighbours'
 pairs stale; they are left in their buckets and skipped when they come up.
 Within a rank the leftmost pair goes first.
 
-Pre-tokens repeat, so their ids are kept in a table of bounded size that is
-emptied when full.
+Pre-tokens repeat, so their ids are kept in two tables of bounded size: when
+the young one is full it becomes the old one, and what is used again moves up.
 
 Defined results: null text counts as empty and has no ids; rows come back one
 for one, repeated ones too, in no particular order; other columns are ignored.
@@ -18,6 +18,7 @@ for one, repeated ones too, in no particular order; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -31,8 +32,8 @@ from episodeframe.llm.blocks import text_blocks
 from episodeframe.llm.shared import narrow
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
-_FANOUT, _LOW = 6, 63
+CACHE_PIECES, CACHE_BYTES = 500_000, 64
+_FANOUT, _LOW = 8, 255
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,79 +42,84 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the smallest rank, leftmost position."""
+    """Waiting pairs by rank: a bit for each rank in ``leaf``, one for each leaf in ``top``.
 
-    def __init__(self) -> None:
-        self.top = 0
-        self.middle: dict[int, int] = {}
-        self.leaf: dict[int, int] = {}
+    ``leaf`` and ``buckets`` are empty again after every pre-token, so one
+    queue serves them all.
+    """
+
+    __slots__ = ("buckets", "leaf")
+
+    def __init__(self, ranks: int) -> None:
+        self.leaf = [0] * ((ranks >> _FANOUT) + 1)
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        low, mid = rank >> _FANOUT, rank >> 2 * _FANOUT
-        self.leaf[low] = self.leaf.get(low, 0) | 1 << (rank & _LOW)
-        self.middle[mid] = self.middle.get(mid, 0) | 1 << (low & _LOW)
-        self.top |= 1 << mid
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        mid = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[mid]
-        low = (mid << _FANOUT) | (bits & -bits).bit_length() - 1
-        leaves = self.leaf[low]
-        rank = (low << _FANOUT) | (leaves & -leaves).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            leaves &= leaves - 1
-            self.leaf[low] = leaves
-            if not leaves:
-                bits &= bits - 1
-                self.middle[mid] = bits
-                if not bits:
-                    self.top &= self.top - 1
-        return rank, at
-
-
-def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+
+def merge_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> tuple[int, ...]:
     """Ids of one pre-token."""
-    whole = ranks.get(piece)
+    rank_of = ranks.get
+    whole = rank_of(piece)
     if whole is not None:
         return (whole,)
     n = len(piece)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    alive = bytearray(b"\x01") * n
-    queue = RankQueue()
-    waiting: list[int | None] = [None] * n
-
-    def offer(at: int) -> None:
-        mid = after[at]
-        rank = ranks.get(piece[at : after[mid]]) if mid < n else None
-        waiting[at] = rank
+    leaf, buckets = queue.leaf, queue.buckets
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    waiting: list[int | None] = [rank_of(piece[i : i + 2]) for i in range(n - 1)]
+    waiting.append(None)
+    top = 0
+    for at, rank in enumerate(waiting):
         if rank is not None:
-            queue.push(rank, at)
-
-    for i in range(n - 1):
-        offer(i)
-    while (best := queue.pop()) is not None:
-        rank, at = best
-        if not alive[at] or waiting[at] != rank:
+            if rank in buckets:
+                buckets[rank].append(at)
+            else:
+                buckets[rank] = [at]
+                leaf[rank >> _FANOUT] |= 1 << (rank & _LOW)
+                top |= 1 << (rank >> _FANOUT)
+    while top:
+        # Find-first-set in both levels gives the smallest waiting rank.
+        first = top & -top
+        group = first.bit_length() - 1
+        bits = leaf[group]
+        bit = bits & -bits
+        rank = (group << _FANOUT) | (bit.bit_length() - 1)
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            at = heappop(bucket)
+        else:
+            at = bucket[0]
+            del buckets[rank]
+            leaf[group] = bits ^ bit
+            if bits == bit:
+                top ^= first
+        if waiting[at] != rank:
             continue
         gone = after[at]
-        alive[gone] = 0
-        after[at] = after[gone]
-        if after[at] < n:
-            before[after[at]] = at
-        offer(at)
-        if before[at] >= 0:
-            offer(before[at])
+        end = after[gone]
+        waiting[gone] = None
+        after[at] = end
+        left = before[at]
+        if end < n:
+            before[end] = at
+            fresh = rank_of(piece[at : after[end]])
+        else:
+            fresh = None
+        waiting[at] = fresh
+        if fresh is not None:
+            if fresh in buckets:
+                heappush(buckets[fresh], at)
+            else:
+                buckets[fresh] = [at]
+                leaf[fresh >> _FANOUT] |= 1 << (fresh & _LOW)
+                top |= 1 << (fresh >> _FANOUT)
+        if left >= 0:
+            fresh = waiting[left] = rank_of(piece[left:end])
+            if fresh is not None:
+                if fresh in buckets:
+                    heappush(buckets[fresh], left)
+                else:
+                    buckets[fresh] = [left]
+                    leaf[fresh >> _FANOUT] |= 1 << (fresh & _LOW)
+                    top |= 1 << (fresh >> _FANOUT)
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -129,19 +135,24 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in self.tokens}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.queue = RankQueue(max(self.tokens, default=0))
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8")
-        ids = merge_piece(raw, self.ranks)
-        if len(raw) <= CACHE_BYTES:
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
-            self.cache[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8")
+            ids = merge_piece(raw, self.ranks, self.queue)
+            if len(raw) > CACHE_BYTES:
+                return ids
+        if len(self.young) >= CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        self.young[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        get, learn = self.cache.get, self._learn
+        get, learn = self.young.get, self._learn
         return list(chain.from_iterable([get(p) or learn(p) for p in self.find(text)]))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -172,6 +183,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         coder = codec(path, pattern)
+        gc.disable()  # the tables hold no cycles; walking them again and again costs more than the encoding
         for block in text_blocks(batches):
             counts, spelled, decoded, lists = [], [], [], []
             for raw in block.docs():
