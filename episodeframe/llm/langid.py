@@ -81,28 +81,37 @@ class Classifier:
         return self.langs[best], min(1.0, margin / (margin + 0.05) * 1.05) if margin > 0 else 0.0, margin
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, margin, rejected, and the ``keep`` columns as they are."""
-    source = narrow(docs, doc_id=id_col, text=text_col) if not keep else docs.select(*keep)
-    if keep:
-        schema = [*source.schema.fields]
-    else:
-        schema = [source.schema["doc_id"]]
-    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """doc_id, lang_pred, score, margin, rejected."""
+    source = narrow(docs, doc_id=id_col, text=text_col)
+    kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         judge = Classifier(dictionaries)
-        for block in text_blocks(batches, text_col if keep else "text"):
+        for block in text_blocks(batches):
             found = [judge(raw) for raw in block.docs()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(block.column(f.name) for f in schema),
+                    block.column("doc_id"),
                     pa.array([x[0] for x in found], pa.string()),
                     pa.array([x[1] for x in found], pa.float64()),
                     pa.array([x[2] for x in found], pa.float64()),
                     pa.array([x[0] == "und" or x[2] < margin for x in found], pa.bool_()),
                 ],
-                names=[*(f.name for f in schema), "lang_pred", "score", "margin", "rejected"],
+                names=["doc_id", "lang_pred", "score", "margin", "rejected"],
             )
 
-    return source.mapInArrow(run, f"{declared}, lang_pred string, score double, margin double, rejected boolean")
+    return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, margin double, rejected boolean")
+
+
+def identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is not rejected."""
+
+    def run(batches):
+        judge = Classifier(dictionaries)
+        for block in text_blocks(batches, text_col):
+            found = [judge(raw) for raw in block.docs()]
+            keep = pa.array([x[0] != "und" and x[2] >= margin for x in found], pa.bool_())
+            yield block.batch.slice(block.first, block.last - block.first).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
