@@ -1,13 +1,59 @@
-"""A corpus cleaning run: each stage applies one training-data operator."""
+"""A corpus cleaning run: each stage applies one training-data operator.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's ``docs``.  All but the last give
+back the columns of ``docs``.  Rows with null or empty text have no language
+and go in the first stage; a repeated row goes in the second.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from episodeframe.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid
+from episodeframe.llm.shared import materialize
+
+#: No SQL: language ID, near duplicates and byte-level BPE can't be expressed.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the compressor can tell stay."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    return langid.identified(docs, langid.learn_dictionaries(docs.where(fold != 2)))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays, once."""
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__sha"]), "left_semi")
+    return stay.dropDuplicates(["doc_id", "__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document that names it stays."""
+    found = jaccard_join.similar_components(docs)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out of the texts."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every text, with the check of their decoding."""
+    return bpe.encode_decode(docs, with_ids=True)
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("jaccard_join", near), ("decontaminate", without_benchmark), ("byte_bpe", encode)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
