@@ -22,9 +22,11 @@ rows give files without blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ from episodeframe.llm.shared import materialize, narrow, shared_dir
 
 TOKENIZER_FILE, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 18
-CACHE_WORDS = 300_000
+CACHE_WORDS, JOINED = 500_000, 500
+#: ASCII punctuation but the apostrophe, which begins pre-tokens of its own
+PUNCTUATION = r'!"#$%&()*+,-./:;<=>?@[\]^_`{|}~'
 SMALLEST_RANGE_BYTES = 32 << 20
 
 # ------------------------------------------------------------------- codec
@@ -71,12 +75,15 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 # --------------------------------------------------------------- tokenizer
 class WordEncoder:
-    """The library's ids of a text, looked up by white-space-separated word.
-
-    The tokenizer drops white space before its merges, so a text's ids are its
-    words' ids one after another; a word new to the table goes to the library.
-    ``exact`` tells whether this holds for the loaded tokenizer; if it doesn't,
-    whole texts go to the library.
+    """The library's ids of texts, by a table of words.
+
+    The tokenizer drops white space before its merges and ends every pre-token
+    with a word-end token, so a text's ids are its words' ids one after another,
+    and many words can be encoded in one call and told apart by their ends.
+    A word of letters with ASCII punctuation before or behind is looked up in
+    these parts; a word of any other form is encoded by itself.  ``exact`` says
+    whether this holds for the loaded tokenizer; if not, whole texts go to the
+    library.
     """
 
     def __init__(self, path: str) -> None:
@@ -84,26 +91,84 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.table: dict[str, bytes] = {}
-        probe = "Ab  c,d\te's 12\néß 'll x' 're　y á ́b  z"
-        self.exact = self._whole(probe) == b"".join(map(self._whole, probe.split()))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        size = self.library.get_vocab_size()
+        self.wide = size > 1 << 16
+        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        probe = "Ab  c,d\te's 12\néß 'll x' 're (Quoted!) É. Überall; y á ́b  z"
+        self.exact = True
+        self.exact = self._whole(probe) == self.texts([probe])[0]
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        # str.split() cuts at these, the tokenizer doesn't.
-        if not self.exact or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._whole(text)
-        words, table = text.split(), self.table
-        missing = list({w for w in words if w not in table})
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Each part is one pre-token; one call for ``JOINED`` of them."""
+        table, width = self.young, self.kind.itemsize
+        groups = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        for group, found in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype=self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group):  # not one word end a part after all
+                table.update((p, self._whole(p)) for p in group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for part, cut in zip(group, (cuts * width).tolist(), strict=True):
+                table[part] = raw[at:cut]
+                at = cut
+
+    def _learn(self, words: set[str]) -> None:
+        """Enter new words into the table: letters as they are, others by their parts."""
+        table = self.young
+        letters, split, other = [], [], []
+        fresh: set[str] = set()
+        for w in words:
+            if w.isalpha():
+                letters.append(w)
+                continue
+            core = w.strip(PUNCTUATION)
+            if core.isalpha() and "İ" not in core:
+                at = w.index(core)
+                split.append((w, w[:at], core, w[at + len(core) :]))
+                if core not in table:
+                    fresh.add(core)
+            else:
+                other.append(w)
+        odd = [w for w in letters if "İ" in w]
+        fresh.update(letters)
+        fresh.difference_update(odd)
+        for _, left, _, right in split:
+            if left and left not in table:
+                fresh.add(left)
+            if right and right not in table:
+                fresh.add(right)
+        self._encode_parts(list(fresh))
+        other += odd
+        for w, found in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            table[w] = np.array(found.ids, dtype=self.kind).tobytes()
+        for w, left, core, right in split:
+            ids = table[core]
+            if left:
+                ids = table[left] + ids
+            table[w] = ids + table[right] if right else ids
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        # str.split() cuts at \x1c-\x1f, the tokenizer doesn't.
+        plain = [self.exact and not any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
+        cut = [t.split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        if len(self.young) >= CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        table = self.young
+        missing = set(chain.from_iterable(cut)).difference(table)
         if missing:
-            if len(table) > CACHE_WORDS:
-                table.clear()
-                missing = list(set(words))
-            for word, found in zip(missing, self.library.encode_batch(missing, add_special_tokens=False), strict=True):
-                table[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(table.__getitem__, words))
+            old = self.old
+            again = {w: old[w] for w in missing if w in old}
+            table.update(again)
+            self._learn(missing.difference(again))
+        get = table.__getitem__
+        return [b"".join(map(get, words)) if ok else self._whole(t) for words, ok, t in zip(cut, plain, texts, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -121,21 +186,18 @@ def default_tokenizer() -> str:
 
 
 def staged(docs: DataFrame, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): little-endian 16-bit ids where all fit, else 32-bit; ``wide`` says which."""
+    """(doc_id, ids, wide): little-endian ids of 16 bits, or of 32 where the vocabulary needs them (``wide``)."""
     path = path or default_tokenizer()
     source = narrow(docs, doc_id=id_col, text=text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         encode = encoder(path)
+        gc.disable()  # the tables hold no cycles
+        end = np.array([end_id], dtype=encode.kind).tobytes()
         for block in text_blocks(batches):
-            ids = [np.frombuffer(encode(raw.decode("utf-8")) + end, dtype="<u4") for raw in block.docs()]
-            wide = [bool(x.max() > 0xFFFF) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array([x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(ids, wide, strict=True)], pa.binary()), pa.array(wide, pa.bool_())],
-                names=["doc_id", "ids", "wide"],
-            )
+            ids = [found + end for found in encode.texts([raw.decode("utf-8") for raw in block.docs()])]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(ids, pa.binary()), pa.array([encode.wide] * len(ids), pa.bool_())], names=["doc_id", "ids", "wide"])
 
     return source.mapInArrow(run, f"doc_id {kind}, ids binary, wide boolean")
 
