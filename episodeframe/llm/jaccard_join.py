@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from episodeframe.llm.blocks import SPACED, mix64, text_blocks, words_of
 from episodeframe.llm.components import connected
-from episodeframe.llm.shared import materialize, narrow
+from episodeframe.llm.shared import drop_table, materialize, narrow, release
 
 WORDS, NUMERATOR, DENOMINATOR, OVERLAP = 5, 80, 100, 3
 #: shingles put last in the order: this often in a buffer of so many
@@ -127,13 +127,20 @@ def _sets(often: np.ndarray, words: int, num: int, den: int, overlap: int):
 
 
 def _whole_sets(words: int):
-    """node, tokens: the sorted distinct shingles."""
+    """node, tokens: the sorted distinct shingles; other texts of the same doc_id, and repeats, are left out."""
 
     def run(batches):
+        seen: set[int] = set()
         for block in text_blocks(batches):
             h, first = shingles(block, words)
-            sets = [np.unique(h[a:b]).astype("<u8").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column("node"), pa.array(sets, pa.binary())], names=["node", "tokens"])
+            nodes, sets = [], []
+            for node, key, a, b in zip(block.column("node").to_pylist(), block.column("set_key").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                own = np.unique(h[a:b])
+                if node not in seen and hashlib.blake2b(own.tobytes(), digest_size=16).digest() == key:
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(own.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
     return run
 
@@ -205,8 +212,10 @@ class _Verifier:
         self.num, self.den = num, den
         self.spark = source.sparkSession
         self.name = f"shingle_sets_{uuid.uuid4().hex}"
-        texts = source.join(nodes.select("rep_key", "node"), "rep_key").groupBy("node").agg(F.first("text").alias("text"))
-        texts.mapInArrow(_whole_sets(words), "node bigint, tokens binary").repartition(buckets, "node").write.format("parquet").bucketBy(buckets, "node").saveAsTable(self.name)
+        both = source.join(nodes.withColumnRenamed("doc_id", "rep_id"), F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "set_key", "text")
+        dealt = both.repartition(buckets, "node").mapInArrow(_whole_sets(words), "node bigint, tokens binary")
+        dealt.write.format("parquet").bucketBy(buckets, "node").saveAsTable(self.name)
+        release(self.spark)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         sets = self.spark.table(self.name)
@@ -265,21 +274,24 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     counted = source.select("text").mapInArrow(_often(words), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     often = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "token").limit(OFTEN_MOST).select("token").collect()], dtype=np.int64).view(np.uint64))
-    sets = materialize(source.mapInArrow(_sets(often, words, num, den, overlap), f"doc_id {kind}, n_shingles bigint, set_key binary, prefix array<bigint>"), "sets")
-    nodes = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("least_id"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    every = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    scanned = source.mapInArrow(_sets(often, words, num, den, overlap), f"doc_id {kind}, n_shingles bigint, set_key binary, prefix array<bigint>")
+    sets = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "sets")
+    # One row of each set stands for it; its number is the node.
+    filled = sets.where("set_key IS NOT NULL")
+    nodes = materialize(filled.groupBy("set_key").agg(F.min("row").alias("node"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least_id"), F.min_by(F.struct("doc_id"), "row").alias("rep")), "nodes")
+    every = filled.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "prefix").join(nodes.select("node"), "node", "left_semi").select("node", "n", F.explode("prefix").alias("token"))
     several = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     postings = materialize(every.join(several, "token").select("token", "node", "n"), "postings")
-    partners = postings.select("node").distinct().join(nodes.select("node", "set_key"), "node")
-    ids = sets.where("set_key IS NOT NULL").join(partners, "set_key").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).select("node", F.col("d.doc_id").alias("rep_key"))
+    ids = postings.select("node").distinct().join(nodes.select("node", "rep", "set_key"), "node").select("node", F.col("rep.doc_id").alias("doc_id"), "set_key")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    verifier = _Verifier(source.withColumnRenamed("doc_id", "rep_key"), ids, words, num, den, buckets)
+    verifier = _Verifier(source, ids, words, num, den, buckets)
     stars = verifier.links(_stars(postings, nodes, num, den))
     first = materialize(connected(stars), "components")
     more = verifier.links(_candidates(postings, first, num, den, overlap))
     comps = materialize(connected(stars.unionByName(more)), "components")
     verifier.close()
+    for done in (postings, first, stars, more):
+        drop_table(done)
     member = sets.select("doc_id", "n_shingles", "set_key").join(nodes.select("set_key", "node", "least_id"), "set_key", "left").join(comps, "node", "left")
     member = member.select("doc_id", "n_shingles", "least_id", F.coalesce("component", "node").alias("component"))
     named = nodes.join(comps, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
