@@ -26,11 +26,11 @@ import gc
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodeframe.llm.blocks import text_blocks
@@ -38,11 +38,14 @@ from episodeframe.llm.shared import materialize, narrow, shared_dir
 
 TOKENIZER_FILE, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 18
-CACHE_WORDS, JOINED = 500_000, 500
+TEXT_BYTES = 6 << 20
+CACHE_WORDS, JOINED = 400_000, 500
 #: ASCII punctuation but the apostrophe, which begins pre-tokens of its own
 PUNCTUATION = r'!"#$%&()*+,-./:;<=>?@[\]^_`{|}~'
 SMALLEST_RANGE_BYTES = 32 << 20
 
+ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
 # ------------------------------------------------------------------- codec
 _SHIFTS = np.array([0, 2, 4, 6])
 #: control byte -> lengths of its four ids, and where each begins
@@ -53,12 +56,16 @@ OFFSETS = np.cumsum(LENGTHS, axis=1) - LENGTHS
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes); the last group is filled up with zeros."""
-    values = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint32)
+    values = np.zeros(-(-len(ranks) // 4) * 4, dtype="<u4")
     values[: len(ranks)] = ranks
-    size = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    control = ((size.reshape(-1, 4) - 1) << _SHIFTS).sum(axis=1).astype(np.uint8)
-    used = np.arange(4) < size[:, None]
-    return control.tobytes(), values.astype("<u4").view(np.uint8).reshape(-1, 4)[used].tobytes()
+    used = np.ones((len(values), 4), dtype=bool)
+    extra = np.zeros(len(values), dtype=np.uint8)
+    for k in range(1, 4):
+        used[:, k] = values >= 1 << 8 * k
+        extra += used[:, k]
+    quads = extra.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -68,8 +75,10 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     begins = ((np.cumsum(total) - total)[:, None] + OFFSETS[keys]).reshape(-1)[:count]
     lengths = LENGTHS[keys].reshape(-1)[:count]
     out = np.zeros(count, dtype=np.uint32)
-    for k in range(4):
-        out |= np.where(lengths > k, raw[begins + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    out[:] = raw[begins]
+    for k in range(1, int(lengths.max(initial=1))):
+        longer = np.flatnonzero(lengths > k)
+        out[longer] |= raw[begins[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -99,7 +108,7 @@ class WordEncoder:
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         probe = "Ab  c,d\te's 12\néß 'll x' 're (Quoted!) É. Überall; y á ́b  z"
         self.exact = True
-        self.exact = self._whole(probe) == self.texts([probe])[0]
+        self.exact = self._whole(probe) == self.texts(pa.array([probe]), 0)[0][:-1].tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
@@ -154,21 +163,46 @@ class WordEncoder:
                 ids = table[left] + ids
             table[w] = ids + table[right] if right else ids
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        # str.split() cuts at \x1c-\x1f, the tokenizer doesn't.
-        plain = [self.exact and not any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        cut = [t.split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of different words; new ones are learned."""
         if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
-        table = self.young
-        missing = set(chain.from_iterable(cut)).difference(table)
-        if missing:
-            old = self.old
+        table, old = self.young, self.old
+        found = list(map(table.get, words))
+        if None in found:
+            missing = {w for w, f in zip(words, found, strict=True) if f is None}
             again = {w: old[w] for w in missing if w in old}
             table.update(again)
             self._learn(missing.difference(again))
-        get = table.__getitem__
-        return [b"".join(map(get, words)) if ok else self._whole(t) for words, ok, t in zip(cut, plain, texts, strict=True)]
+            found = [table[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        return found
+
+    def texts(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, edges); every text ends with ``end``.
+
+        The words of the column are told apart by Arrow; what is left to do for
+        each place of a word is to gather the word's ids.
+        """
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        # Arrow cuts at \x1c-\x1f, the tokenizer doesn't.
+        if not self.exact or pc.any(pc.match_substring_regex(column, "[\x1c-\x1f]")).as_py():
+            each = [np.frombuffer(self._whole(t), self.kind) for t in column.to_pylist()]
+            return np.concatenate([np.append(x, np.array([end], self.kind)) for x in each]), np.concatenate([[0], np.cumsum([len(x) + 1 for x in each])])
+        lists = pc.utf8_split_whitespace(column)
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        words = lists.flatten().dictionary_encode()
+        known = self._lookup(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.kind.itemsize
+        ids = np.frombuffer(b"".join(known), dtype=self.kind)
+        which = words.indices.to_numpy()
+        length = size[which]
+        stop = np.concatenate([[0], np.cumsum(length)])
+        begin = (np.cumsum(size) - size)[which] - stop[:-1]
+        place = np.arange(stop[-1]) + np.repeat(begin, length)
+        edges = stop[offsets]
+        out = np.full(len(place) + len(column), end, dtype=self.kind)
+        out[np.arange(len(place)) + np.repeat(np.arange(len(column)), np.diff(edges))] = ids[place]
+        return out, edges + np.arange(len(column) + 1)
 
 
 @lru_cache(maxsize=1)
@@ -194,29 +228,43 @@ def staged(docs: DataFrame, path: str | None = None, end_id: int = END_ID, id_co
     def run(batches):
         encode = encoder(path)
         gc.disable()  # the tables hold no cycles
-        end = np.array([end_id], dtype=encode.kind).tobytes()
-        for block in text_blocks(batches):
-            ids = [found + end for found in encode.texts([raw.decode("utf-8") for raw in block.docs()])]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(ids, pa.binary()), pa.array([encode.wide] * len(ids), pa.bool_())], names=["doc_id", "ids", "wide"])
+        for block in text_blocks(batches, limit=TEXT_BYTES):
+            ids, edges = encode.texts(block.column("text"), end_id)
+            offsets = pa.py_buffer((edges * encode.kind.itemsize).astype(np.int32).tobytes())
+            column = pa.Array.from_buffers(pa.binary(), len(block), [None, offsets, pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), column, pa.array([encode.wide] * len(block), pa.bool_())], names=["doc_id", "ids", "wide"])
 
     return source.mapInArrow(run, f"doc_id {kind}, ids binary, wide boolean")
 
 
-def _ids(raw: bytes, wide: bool) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<u4" if wide else "<u2")
+def _flat(column: pa.Array, wide: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids of a binary column one after another, edges of the rows)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    kind = np.dtype("<u4" if wide[0].as_py() else "<u2")
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), dtype=kind), (offsets - offsets[0]) // kind.itemsize
 
 
 def ranks_by_frequency(ids: DataFrame) -> np.ndarray:
     """Token ids, most frequent first; ties by id.  At most as long as the vocabulary."""
 
     def count(batches):
-        total: dict[int, int] = {}
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for raw, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                token, n = np.unique(_ids(raw, wide), return_counts=True)
-                for t, k in zip(token.tolist(), n.tolist(), strict=True):
-                    total[t] = total.get(t, 0) + k
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["token", "n"])
+            if not batch.num_rows:
+                continue
+            n = np.bincount(_flat(batch.column(0), batch.column(1))[0])
+            if len(n) > len(total):
+                n[: len(total)] += total
+                total = n
+            else:
+                total[: len(n)] += n
+        token = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(total[token], pa.int64())], names=["token", "n"])
 
     counts = ids.select("ids", "wide").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     return counts.sort_values(["n", "token"], ascending=[False, True])["token"].to_numpy(dtype=np.int64)
@@ -227,33 +275,42 @@ def write_files(ids: DataFrame, by_rank: np.ndarray, folder: str, partitions: in
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype=np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     kind = ids.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = ID_TYPES[kind]
 
     def run(batches):
-        def block(part, names, parts, nth):
-            ranks = rank_of[np.concatenate(parts)]
+        def block(part, names, parts, sizes, before):
+            ranks = np.concatenate(parts)
             control, data = pack(ranks)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([names], pa.list_(id_type)), pa.array([[len(p) for p in parts]], pa.list_(pa.int32())), pa.array([len(ranks)], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                names=["shard", "block", "doc_ids", "counts", "n_ids", "control", "data"],
+                [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([names], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([len(ranks)], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                names=["shard", "before", "doc_ids", "counts", "n_ids", "control", "data"],
             )
 
-        names, parts, size, nth, part = [], [], 0, 0, 0
+        names, parts, sizes, size, before, part = [], [], [], 0, 0, 0
         for batch in batches:
-            for name, raw, wide, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = shard
-                names.append(name)
-                parts.append(_ids(raw, wide))
-                size += len(parts[-1])
+            if not batch.num_rows:
+                continue
+            part = batch.column(3)[0].as_py()
+            flat, edges = _flat(batch.column(1), batch.column(2))
+            ranks, ids_of = rank_of[flat], batch.column(0).to_pylist()
+            at, n = 0, len(ids_of)
+            while at < n:
+                # As many whole documents as fill the block.
+                upto = min(n, max(at + 1, int(np.searchsorted(edges, edges[at] + block_ids - size, side="left"))))
+                names += ids_of[at:upto]
+                parts.append(ranks[edges[at] : edges[upto]])
+                sizes += np.diff(edges[at : upto + 1]).tolist()
+                size += int(edges[upto] - edges[at])
+                at = upto
                 if size >= block_ids:
-                    yield block(part, names, parts, nth)
-                    names, parts, size, nth = [], [], 0, nth + 1
+                    yield block(part, names, parts, sizes, before)
+                    names, parts, sizes, size, before = [], [], [], 0, before + size
         if names:
-            yield block(part, names, parts, nth)
+            yield block(part, names, parts, sizes, before)
 
     ordered = ids.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")
     shards = ordered.select("doc_id", "ids", "wide", F.spark_partition_id().alias("shard"))
-    shards.mapInArrow(run, f"shard int, block int, doc_ids array<{kind}>, counts array<int>, n_ids bigint, control binary, data binary").write.parquet(f"{folder}/blocks")
+    shards.mapInArrow(run, f"shard int, before bigint, doc_ids array<{kind}>, counts array<int>, n_ids bigint, control binary, data binary").write.parquet(f"{folder}/blocks")
     spark = ids.sparkSession
     spark.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "tokens binary").coalesce(1).write.parquet(f"{folder}/ranks")
 
@@ -263,26 +320,28 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     by_rank = np.frombuffer(bytes(spark.read.parquet(f"{folder}/ranks").head()[0]), dtype="<u4")
     blocks = spark.read.parquet(f"{folder}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    id_type = ID_TYPES[kind]
+
+    # One row for each output partition: what all shards before it hold.
+    totals = sorted(blocks.groupBy("shard").agg(F.sum("n_ids")).collect())
+    start_of, at = {}, 0
+    for shard, n in totals:
+        start_of[shard] = at
+        at += n
 
     def run(batches):
         for batch in batches:
-            names = [batch.column(i).to_pylist() for i in range(7)]
-            for begin, doc_ids, counts, n, control, data in zip(*names[:6], strict=True):
+            columns = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("shard", "before", "doc_ids", "counts", "n_ids", "control", "data"))
+            for shard, before, doc_ids, counts, n, control, data in zip(*columns, strict=True):
                 ids = by_rank[unpack(control, data, n)]
                 edges = np.concatenate([[0], np.cumsum(counts)])
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids), pa.array(begin + edges[:-1], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(crc, pa.int64())] if doc_ids else [],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [pa.array(doc_ids, id_type), pa.array(start_of[shard] + before + edges[:-1], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    # One row per block: what stands before it is a running sum of shards, then of a shard's blocks.
-    sizes = blocks.select("shard", "block", "n_ids")
-    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    within = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")
-    begins = sizes.withColumn("within", within).join(shards, "shard").select("shard", "block", (F.col("before") + F.col("within")).alias("begin"))
-    placed = blocks.join(begins, ["shard", "block"]).select("begin", "doc_ids", "counts", "n_ids", "control", "data", "block")
-    return placed.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return blocks.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
