@@ -18,15 +18,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now.
+    """Let Spark's cleaner remove the shuffle files of finished jobs now, before more are written.
 
     They go when the driver's JVM collects its garbage, which a driver with
     little to do may not do for a long time.
