@@ -106,7 +106,14 @@ def on_episodes(name: str, oracle: str | None = None):
     return add
 
 
-A, B = F.col("model") == "AF", F.col("model") == "RF"
+
+def A():
+    return F.col("model") == "AF"
+
+
+def B():
+    return F.col("model") == "RF"
+
 
 # ---------------------------------------------------------- aggregates A1-A37
 def _pass_at(k: int) -> str:
@@ -176,13 +183,13 @@ on_episodes(
     "is_gap_real",
     f"{_RUNS}, o AS (SELECT model, stat, row_number() OVER (PARTITION BY model ORDER BY run_id) AS i FROM runs WHERE model IN ('AF', 'RF')), p AS (SELECT i, max(stat) FILTER (model = 'AF') AS a, max(stat) FILTER (model = 'RF') AS b FROM o GROUP BY i) "
     "SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL)::BIGINT AS n_pairs, round(avg((a > b)::INT) FILTER (a IS NOT NULL AND b IS NOT NULL), 6) AS p_a_better, min(a) <= max(b) AND min(b) <= max(a) AS ranges_overlap FROM p",
-)(lambda ep: metrics.gap_is_real(ep, A, B, F.avg("score")))
+)(lambda ep: metrics.gap_is_real(ep, A(), B(), F.avg("score")))
 
 _PROFILE = """g AS (SELECT model, task, max(score) AS q_star, avg(score) AS q_bar, list(score ORDER BY ord) AS scores FROM ep GROUP BY model, task),
 prof AS (SELECT *, q_star - q_bar AS gap, CASE WHEN q_star = 0 THEN 'stuck' WHEN q_star - q_bar < 1e-9 THEN 'solid' ELSE 'recoverable' END AS kind FROM g),
 profile AS (SELECT *, CASE kind WHEN 'stuck' THEN 0.0::DOUBLE WHEN 'solid' THEN 1.0::DOUBLE ELSE q_bar / q_star END AS consistency FROM prof)"""
 _BINS = " + ".join(f"coalesce(-(n{i} / n) * ln(nullif(n{i}, 0) / n), 0)" for i in range(5))
-_ENTROPY = f"""bins AS (SELECT model, task, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER (score >= lo + (hi - lo) * {i / 5} AND {'score <= hi' if i == 4 else f'score < lo + (hi - lo) * {(i + 1) / 5}'}) AS n{i}" for i in range(5))}, any_value(lo) AS lo, any_value(hi) AS hi
+_ENTROPY = f"""bins AS (SELECT model, task, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER (score >= lo + {i} * ((hi - lo) / 5) AND {'score <= hi' if i == 4 else f'score < lo + {i + 1} * ((hi - lo) / 5)'}) AS n{i}" for i in range(5))}, any_value(lo) AS lo, any_value(hi) AS hi
 FROM ep JOIN (SELECT model, task, min(score) AS lo, max(score) AS hi FROM ep GROUP BY model, task) USING (model, task) GROUP BY model, task),
 ent AS (SELECT model, task, CASE WHEN n < 2 OR lo = hi THEN 0.0 ELSE {_BINS} END AS outcome_entropy FROM bins)"""
 on_episodes(
@@ -239,7 +246,7 @@ _P = "p AS (SELECT task, round(avg(score) / 20 + count(*) * 0.0001, 8) AS p FROM
 
 
 def _pvalues(ep):
-    return ep.where(A).groupBy("task").agg(F.round(F.avg("score") / 20 + F.count(F.lit(1)) * 0.0001, 8).alias("p"))
+    return ep.where(A()).groupBy("task").agg(F.round(F.avg("score") / 20 + F.count(F.lit(1)) * 0.0001, 8).alias("p"))
 
 
 on_episodes("adjust_pvalues_bh", f"{_P} SELECT task, round(p, 6) AS p, round(least(1.0, min(n / i * p) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS p_adjusted FROM o")(lambda ep: windows.adjust_pvalues(_pvalues(ep), tiebreak=["task"]))
@@ -284,9 +291,9 @@ f AS (SELECT d, score, na, nb, sum(na) OVER w AS ca, sum(nb) OVER w AS cb, sum(n
 on_episodes(
     "distances",
     f"{_CDF} SELECT d AS s_difficulty, any_value(ta)::BIGINT AS n_a, any_value(tb)::BIGINT AS n_b, round(sum(abs(ca / ta - cb / tb) * (nx - score)), 6) AS wasserstein, round(max(abs(ca / ta - cb / tb)), 6) AS ks_d, round(sum(na * (cb - nb + nb / 2)) / any_value(ta * tb), 6) AS prob_improvement, round(sum(na * (cb - nb + nb / 2)), 6) AS mwu_u FROM f GROUP BY d",
-)(lambda ep: compare.distances(ep, A, B, ["s_difficulty"]).drop("tie_term"))
+)(lambda ep: compare.distances(ep, A(), B(), ["s_difficulty"]).drop("tie_term"))
 on_episodes("effect_size", "SELECT s_difficulty, round((avg(score) FILTER (model = 'AF') - avg(score) FILTER (model = 'RF')) / sqrt((var_samp(score) FILTER (model = 'AF') + var_samp(score) FILTER (model = 'RF')) / 2), 6) AS effect_size FROM ep GROUP BY s_difficulty")(
-    lambda ep: compare.effect_size(ep, A, B, ["s_difficulty"])
+    lambda ep: compare.effect_size(ep, A(), B(), ["s_difficulty"])
 )
 on_episodes(
     "stochastic_dominance",
@@ -296,7 +303,7 @@ s AS (SELECT s_difficulty AS d, score, count(*) FILTER (model = 'AF') AS na, cou
 t AS (SELECT x.d, i, any_value(dx) AS dx, coalesce(sum(na) FILTER (score <= x), 0) / sum(na) AS fa, coalesce(sum(nb) FILTER (score <= x), 0) / sum(nb) AS fb FROM x JOIN s ON x.d = s.d GROUP BY x.d, i),
 a AS (SELECT d, fa, fb, sum(fa) OVER w * dx AS ia, sum(fb) OVER w * dx AS ib FROM t WINDOW w AS (PARTITION BY d ORDER BY i))
 SELECT d AS s_difficulty, bool_and(fa <= fb + 1e-9) AS fsd_a_over_b, bool_and(fb <= fa + 1e-9) AS fsd_b_over_a, bool_and(ia <= ib + 1e-9) AS ssd_a_over_b, bool_and(ib <= ia + 1e-9) AS ssd_b_over_a FROM a GROUP BY d""",
-)(lambda ep: compare.dominance(ep, A, B, ["s_difficulty"]))
+)(lambda ep: compare.dominance(ep, A(), B(), ["s_difficulty"]))
 on_episodes(
     "length_bias",
     "r AS (SELECT model, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2 AS rs, rank() OVER (PARTITION BY model ORDER BY length) + (count(*) OVER (PARTITION BY model, length) - 1) / 2 AS rl FROM ep) SELECT model, count(*)::BIGINT AS n, round(corr(rs, rl), 6) AS rho FROM r GROUP BY model",
@@ -329,8 +336,8 @@ def bradley_terry(ep):
     return ep.sparkSession.createDataFrame([(n, float(s), float(p)) for n, s, p in zip(r["items"], r["strengths"], r["probs"], strict=True)], "model string, strength double, prob double")
 
 
-on_episodes("bootstrap_ci")(lambda ep: inference.bootstrap_ci(ep.where(A), "mean", ["task"], reps=500))
-on_episodes("bootstrap_vs_repeat")(lambda ep: inference.bootstrap_vs_repeat(ep.where(A), reps=200))
+on_episodes("bootstrap_ci")(lambda ep: inference.bootstrap_ci(ep.where(A()), "mean", ["task"], reps=500))
+on_episodes("bootstrap_vs_repeat")(lambda ep: inference.bootstrap_vs_repeat(ep.where(A()), reps=200))
 
 
 @on_episodes("fit_2pl")

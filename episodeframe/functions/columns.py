@@ -38,7 +38,7 @@ def pass_hat(n: Column, c: Column, k: Column) -> Column:
 def entropy(scores: Column, n_bins: int = 5) -> Column:
     """Shannon entropy (nats) of an array's histogram between its own extremes."""
     lo, hi, n = F.array_min(scores), F.array_max(scores), F.size(scores)
-    edge = lambda i: lo + (hi - lo) * F.lit(i / n_bins)
+    edge = lambda i: lo + i * ((hi - lo) / n_bins)
     inside = lambda i: lambda s: (s >= edge(i)) & ((s <= hi) if i == n_bins - 1 else (s < edge(i + 1)))
     total = F.lit(0.0)
     for i in range(n_bins):
