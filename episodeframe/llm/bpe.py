@@ -22,7 +22,7 @@ import gc
 import hashlib
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -32,7 +32,7 @@ from episodeframe.llm.blocks import text_blocks
 from episodeframe.llm.shared import narrow
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-CACHE_PIECES, CACHE_BYTES = 500_000, 64
+CACHE_PIECES, KEPT_PIECES, CACHE_BYTES = 500_000, 150_000, 64
 _FANOUT, _LOW = 8, 255
 
 
@@ -155,6 +155,11 @@ class Codec:
         get, learn = self.young.get, self._learn
         return list(chain.from_iterable([get(p) or learn(p) for p in self.find(text)]))
 
+    def trim(self) -> None:
+        """After a task: the worker may go on to other work, so only the first entries, mostly frequent ones, stay."""
+        self.old = {}
+        self.young = dict(islice(self.young.items(), KEPT_PIECES))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -184,6 +189,13 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         coder = codec(path, pattern)
         gc.disable()  # the tables hold no cycles; walking them again and again costs more than the encoding
+        try:
+            yield from encoded(coder, batches)
+        finally:
+            gc.enable()
+            coder.trim()
+
+    def encoded(coder, batches):
         for block in text_blocks(batches):
             counts, spelled, decoded, lists = [], [], [], []
             for raw in block.docs():

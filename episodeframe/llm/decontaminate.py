@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from episodeframe.llm.blocks import ALNUM, text_blocks, words_of
 from episodeframe.llm.fm_index import FMIndex
-from episodeframe.llm.shared import narrow
+from episodeframe.llm.shared import bounded_batches, narrow
 
 WINDOW = 10
 SHARD_BYTES, BLOCK_BYTES = 12 << 20, 8 << 20
@@ -160,7 +160,7 @@ def _scan(phrases: Phrases, columns: list[str], text_col: str, shard_bytes: int,
 def _hits(docs: DataFrame, items: list[tuple[str, str | None]], text_col: str, columns: list[str], shard_bytes: int, prefix: str = "") -> DataFrame:
     span = "array<struct<begin:bigint,finish:bigint>>"
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.mapInArrow(_scan(Phrases(items), columns, text_col, shard_bytes, prefix), f"{kinds}, `{prefix}n_words` bigint, `{prefix}hit_words` {span}, `{prefix}hit_bytes` {span}, `{prefix}items` array<string>")
+    return bounded_batches(docs).mapInArrow(_scan(Phrases(items), columns, text_col, shard_bytes, prefix), f"{kinds}, `{prefix}n_words` bigint, `{prefix}hit_words` {span}, `{prefix}hit_bytes` {span}, `{prefix}items` array<string>")
 
 
 def _merge(spans):

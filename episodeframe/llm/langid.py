@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodeframe.llm.blocks import text_blocks
-from episodeframe.llm.shared import narrow
+from episodeframe.llm.shared import bounded_batches, narrow
 
 TRAIN_ROWS, DICT_BYTES, PIECE_BYTES, ROW_BYTES = 150, 96 << 10, 2048, 2048
 #: rejected where (second - best) / second is below this
@@ -114,4 +114,4 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str =
             keep = pa.array([x[0] != "und" and x[2] >= margin for x in found], pa.bool_())
             yield block.batch.slice(block.first, block.last - block.first).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -42,6 +42,16 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(docs: DataFrame, rows: int = 2000, size: str = "16m") -> DataFrame:
+    """Keep Arrow batches of texts small: their buffers live outside the heap, on both sides."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return docs
+
+
 def narrow(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the columns an operator needs, under the operator's own names."""
+    bounded_batches(docs)
     return docs.select(*(docs[c].alias(n) for n, c in columns.items()))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from episodeframe.llm.blocks import list_column, prefix_hash, span_hash, text_blocks
 from episodeframe.llm.chunking import chunk_bounds
+from episodeframe.llm.shared import bounded_batches
 
 CHUNK_BITS, CHUNK_LEAST, RUN_LEAST = 5, 8, 80
 
@@ -82,6 +83,7 @@ def _spans(least: int):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = CHUNK_BITS, chunk_least: int = CHUNK_LEAST, run_least: int = RUN_LEAST) -> DataFrame:
     """doc_id, n_bytes, n_repeated, n_removed, has_repeat, repeated and removed byte spans."""
+    bounded_batches(docs)
     text = F.coalesce(docs[text_col], F.lit(""))
     source = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

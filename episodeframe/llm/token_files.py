@@ -26,6 +26,7 @@ import gc
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from episodeframe.llm.shared import materialize, narrow, shared_dir
 TOKENIZER_FILE, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 18
 TEXT_BYTES = 6 << 20
-CACHE_WORDS, JOINED = 400_000, 500
+CACHE_WORDS, KEPT_WORDS, JOINED = 400_000, 150_000, 500
 #: ASCII punctuation but the apostrophe, which begins pre-tokens of its own
 PUNCTUATION = r'!"#$%&()*+,-./:;<=>?@[\]^_`{|}~'
 SMALLEST_RANGE_BYTES = 32 << 20
@@ -177,6 +178,11 @@ class WordEncoder:
             found = [table[w] if f is None else f for w, f in zip(words, found, strict=True)]
         return found
 
+    def trim(self) -> None:
+        """After a task: the worker may go on to other work, so only the first entries, mostly frequent ones, stay."""
+        self.old = {}
+        self.young = dict(islice(self.young.items(), KEPT_WORDS))
+
     def texts(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, edges); every text ends with ``end``.
 
@@ -228,6 +234,13 @@ def staged(docs: DataFrame, path: str | None = None, end_id: int = END_ID, id_co
     def run(batches):
         encode = encoder(path)
         gc.disable()  # the tables hold no cycles
+        try:
+            yield from encoded(encode, batches)
+        finally:
+            gc.enable()
+            encode.trim()
+
+    def encoded(encode, batches):
         for block in text_blocks(batches, limit=TEXT_BYTES):
             ids, edges = encode.texts(block.column("text"), end_id)
             offsets = pa.py_buffer((edges * encode.kind.itemsize).astype(np.int32).tobytes())
