@@ -39,8 +39,8 @@ from episodeframe.llm.shared import materialize, narrow, shared_dir
 
 TOKENIZER_FILE, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 18
-TEXT_BYTES = 6 << 20
-CACHE_WORDS, KEPT_WORDS, JOINED = 400_000, 150_000, 500
+TEXT_BYTES = 4 << 20
+CACHE_WORDS, KEPT_WORDS, JOINED = 400_000, 300_000, 500
 #: ASCII punctuation but the apostrophe, which begins pre-tokens of its own
 PUNCTUATION = r'!"#$%&()*+,-./:;<=>?@[\]^_`{|}~'
 SMALLEST_RANGE_BYTES = 32 << 20
@@ -129,53 +129,51 @@ class WordEncoder:
                 table[part] = raw[at:cut]
                 at = cut
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Enter new words into the table: letters as they are, others by their parts."""
         table = self.young
-        letters, split, other = [], [], []
-        fresh: set[str] = set()
-        for w in words:
-            if w.isalpha():
-                letters.append(w)
-                continue
-            core = w.strip(PUNCTUATION)
-            if core.isalpha() and "İ" not in core:
-                at = w.index(core)
-                split.append((w, w[:at], core, w[at + len(core) :]))
-                if core not in table:
-                    fresh.add(core)
-            else:
-                other.append(w)
-        odd = [w for w in letters if "İ" in w]
-        fresh.update(letters)
-        fresh.difference_update(odd)
-        for _, left, _, right in split:
-            if left and left not in table:
-                fresh.add(left)
-            if right and right not in table:
-                fresh.add(right)
-        self._encode_parts(list(fresh))
-        other += odd
+        parts = [w for w in words if w.isalpha() and "İ" not in w]
+        split, other, extra = [], [], set()
+        if len(parts) < len(words):
+            for w in words:
+                if w.isalpha() and "İ" not in w:
+                    continue
+                core = w.strip(PUNCTUATION)
+                if core.isalpha() and "İ" not in core:
+                    at = w.index(core)
+                    left, right = w[:at], w[at + len(core) :]
+                    split.append((w, left, core, right))
+                    extra.add(core)
+                    extra.add(left)
+                    extra.add(right)
+                else:
+                    other.append(w)
+            extra.discard("")
+            extra.difference_update(parts)
+            parts += [w for w in extra if w not in table]
+        self._encode_parts(parts)
         for w, found in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
             table[w] = np.array(found.ids, dtype=self.kind).tobytes()
         for w, left, core, right in split:
-            ids = table[core]
-            if left:
-                ids = table[left] + ids
-            table[w] = ids + table[right] if right else ids
+            ids = table[core] + table[right] if right else table[core]
+            table[w] = table[left] + ids if left else ids
 
     def _lookup(self, words: list[str]) -> list[bytes]:
         """Ids of different words; new ones are learned."""
         if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
-        table, old = self.young, self.old
+        table = self.young
         found = list(map(table.get, words))
-        if None in found:
-            missing = {w for w, f in zip(words, found, strict=True) if f is None}
-            again = {w: old[w] for w in missing if w in old}
-            table.update(again)
-            self._learn(missing.difference(again))
-            found = [table[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        missing = [w for w, f in zip(words, found, strict=True) if f is None]
+        if missing:
+            if self.old:
+                aged = list(zip(missing, map(self.old.get, missing), strict=True))
+                table.update((w, f) for w, f in aged if f is not None)
+                self._learn([w for w, f in aged if f is None])
+            else:
+                self._learn(missing)
+            fill = map(table.__getitem__, missing)
+            found = [f if f is not None else next(fill) for f in found]
         return found
 
     def trim(self) -> None:
