@@ -34,8 +34,9 @@ from __future__ import annotations
 import hashlib
 import uuid
 from bisect import bisect_left
+from collections import Counter
 from heapq import merge
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ WORDS, NUMERATOR, DENOMINATOR, OVERLAP = 5, 80, 100, 3
 #: shingles put last in the order: this often in a buffer of so many
 OFTEN, OFTEN_BUFFER, OFTEN_MOST = 8, 1 << 20, 200_000
 LONG_LIST, CHUNK = 256, 2048
+#: star pairs share this part of the smaller prefix; pairs verified at a time
+STAR_SHARE, BEST_ROUNDS, PAIRS_AT_ONCE = 0.2, 2, 50_000
 
 
 def shingles(block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -190,15 +193,17 @@ def divide_skip(lists: list[list[int]], least: int) -> list[int]:
 def _search(batches):
     """A query's lists (in chunks) and the overlap it needs -> candidate pairs."""
     for batch in batches:
-        u, v = [], []
+        u, v, common = [], [], []
         for query, least, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             lists: dict[int, list[int]] = {}
             for c in chunks:
                 lists.setdefault(c["token"], []).extend(c["nodes"])
             found = [m for m in divide_skip([sorted(x) for x in lists.values()], least) if m != query]
+            count = Counter(chain.from_iterable(lists.values())) if found else {}
             u += [query] * len(found)
             v += found
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            common += [count[m] for m in found]
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(common, pa.int32())], names=["u", "v", "common"])
 
 
 def _compatible(a, b, num: int, den: int):
@@ -208,11 +213,13 @@ def _compatible(a, b, num: int, den: int):
 class _Verifier:
     """Whole sets of the possible partners, bucketed by node."""
 
-    def __init__(self, source: DataFrame, nodes: DataFrame, words: int, num: int, den: int, buckets: int) -> None:
+    def __init__(self, source: DataFrame, about: DataFrame, pairs: DataFrame, words: int, num: int, den: int, buckets: int) -> None:
         self.num, self.den = num, den
         self.spark = source.sparkSession
         self.name = f"shingle_sets_{uuid.uuid4().hex}"
-        both = source.join(nodes.withColumnRenamed("doc_id", "rep_id"), F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "set_key", "text")
+        used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        nodes = about.select("node", "rep", "set_key").join(used, "node").select("node", "set_key", F.col("rep.doc_id").alias("rep_id"))
+        both = source.join(nodes, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "set_key", "text")
         dealt = both.repartition(buckets, "node").mapInArrow(_whole_sets(words), "node bigint, tokens binary")
         release(self.spark)
         dealt.write.format("parquet").bucketBy(buckets, "node").saveAsTable(self.name)
@@ -228,16 +235,19 @@ class _Verifier:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def _stars(postings: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+def _stars(postings: DataFrame, num: int, den: int) -> DataFrame:
     """For each node its best pivot: pairs (u, v)."""
     pivots = postings.groupBy("token").agg(F.min(F.struct("node", "n")).alias("pivot"))
     pairs = (
         postings.join(pivots, "token")
         .where((F.col("node") != F.col("pivot.node")) & _compatible(F.col("n"), F.col("pivot.n"), num, den))
         .groupBy(F.col("node").alias("u"), F.col("pivot.node").alias("v"))
-        .agg(F.count(F.lit(1)).alias("common"))
+        .agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n_u"))
     )
-    return pairs.groupBy("u").agg(F.max(F.struct("common", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    # Only a start: pairs with little in common are left to the search.
+    enough = F.col("common") >= STAR_SHARE * (F.col("n_u") - F.ceil(F.col("n_u") * num / den))
+    best = pairs.groupBy("u").agg(F.max(F.struct("common", "v", "n_u")).alias("best")).select("u", F.col("best.v").alias("v"), F.col("best.common").alias("common"), F.col("best.n_u").alias("n_u"))
+    return best.where(enough).select("u", "v")
 
 
 def _candidates(postings: DataFrame, comps: DataFrame, num: int, den: int, overlap: int) -> DataFrame:
@@ -259,12 +269,73 @@ def _candidates(postings: DataFrame, comps: DataFrame, num: int, den: int, overl
     least = (F.col("need") - F.sum(F.col("skipped").cast("int")).over(Window.partitionBy("node"))).cast("int")
     asking = asking.withColumn("least", least).where("NOT skipped").select("token", F.col("node").alias("query"), "least")
     fetched = asking.join(chunks, "token").groupBy("query").agg(F.first("least").alias("least"), F.collect_list(F.struct("token", "nodes")).alias("lists"))
-    found = fetched.select("query", "least", "lists").mapInArrow(_search, "u bigint, v bigint")
+    found = fetched.select("query", "least", "lists").mapInArrow(_search, "u bigint, v bigint, common int")
     # Same component or impossible sizes: not worth verifying.
     about = rest.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"))
     left = about.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"))
     right = about.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
-    return found.join(left, "u").join(right, "v").where((F.col("c_u") != F.col("c_v")) & _compatible(F.col("n_u"), F.col("n_v"), num, den)).select("u", "v")
+    possible = (F.col("c_u") != F.col("c_v")) & _compatible(F.col("n_u"), F.col("n_v"), num, den) & _reachable("n_u", "n_v", "common", num, den, overlap)
+    return found.join(left, "u").join(right, "v").where(possible).select("u", "v", "common")
+
+
+def _reachable(a: str, b: str, common: str, num: int, den: int, overlap: int):
+    """Whether two sets with so many common prefix shingles can reach the threshold.
+
+    Up to where the shorter-reaching prefix ends, all common shingles are
+    counted; behind it, the set whose prefix ends has ``n - prefix`` shingles
+    left and the other one at most what isn't common so far.  Lists that
+    weren't fetched (fewer than ``overlap``) may each hold one more.
+    """
+    x, y = F.col(a), F.col(b)
+    most = F.least(F.col(common) + overlap - 1, x, y)
+    tail = lambda n: F.ceil(n * num / den) - F.least(F.lit(overlap), F.ceil(n * num / den))
+    left = F.greatest(F.least(tail(x), y - most), F.least(tail(y), x - most))
+    return (most + left) * (num + den) >= num * (x + y)
+
+
+def _resolve(verifier_of, pairs: DataFrame, stars: DataFrame, comps: DataFrame, n_docs: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Verify candidate pairs until no two components may still link.
+
+    A query needs one link to a component: its best partner in each component
+    goes first, and what links need not be looked at again.  The pairs left
+    between different components are then verified, all of them, in parts.
+    """
+    tables = []
+    verifier = verifier_of(pairs)
+    links = stars
+    for _ in range(BEST_ROUNDS):
+        live = _between(pairs, comps)
+        best = materialize(live.groupBy("u", "c_v").agg(F.max(F.struct("common", "v")).alias("b")).select("u", F.col("b.v").alias("v")), "best")
+        tables.append(best)
+        if best.isEmpty():
+            break
+        found = verifier.links(best)
+        tables.append(found)
+        pairs = pairs.join(best, ["u", "v"], "left_anti")
+        if found.isEmpty():
+            continue
+        links = links.unionByName(found)
+        comps = materialize(connected(links), "components")
+        tables.append(comps)
+    rest = materialize(_between(pairs, comps).select("u", "v"), "rest")
+    tables.append(rest)
+    total = rest.count()
+    parts = -(-total // max(PAIRS_AT_ONCE, n_docs // 8))
+    for k in range(parts):
+        found = verifier.links(rest.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == k))
+        tables.append(found)
+        links = links.unionByName(found)
+    if total:
+        comps = materialize(connected(links), "components")
+    verifier.close()
+    return comps, tables
+
+
+def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of nodes that are in different components now."""
+    side = lambda n: comps.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
+    both = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
+    return both.withColumns({"c_u": F.coalesce("c_u", "u"), "c_v": F.coalesce("c_v", "v")}).where("c_u <> c_v")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, overlap: int = OVERLAP) -> DataFrame:
@@ -282,15 +353,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = filled.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "prefix").join(nodes.select("node"), "node", "left_semi").select("node", "n", F.explode("prefix").alias("token"))
     several = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     postings = materialize(every.join(several, "token").select("token", "node", "n"), "postings")
-    ids = postings.select("node").distinct().join(nodes.select("node", "rep", "set_key"), "node").select("node", F.col("rep.doc_id").alias("doc_id"), "set_key")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    verifier = _Verifier(source, ids, words, num, den, buckets)
-    stars = verifier.links(_stars(postings, nodes, num, den))
-    first = materialize(connected(stars), "components")
-    more = verifier.links(_candidates(postings, first, num, den, overlap))
-    comps = materialize(connected(stars.unionByName(more)), "components")
+    verifier_of = lambda pairs: _Verifier(source, nodes, pairs, words, num, den, buckets)
+    pivots = materialize(_stars(postings, num, den), "stars")
+    verifier = verifier_of(pivots)
+    stars = verifier.links(pivots)
     verifier.close()
-    for done in (postings, first, stars, more):
+    first = materialize(connected(stars), "components")
+    pairs = materialize(_candidates(postings, first, num, den, overlap), "candidates")
+    comps, tables = _resolve(verifier_of, pairs, stars, first, nodes.count())
+    for done in (postings, pivots, stars, pairs, *(t for t in (first, *tables) if t is not comps)):
         drop_table(done)
     member = sets.select("doc_id", "n_shingles", "set_key").join(nodes.select("set_key", "node", "least_id"), "set_key", "left").join(comps, "node", "left")
     member = member.select("doc_id", "n_shingles", "least_id", F.coalesce("component", "node").alias("component"))
