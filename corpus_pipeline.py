@@ -26,10 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, once."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__sha"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # One string key for both the join and the repeated rows: the texts are dealt once.
+    pair = lambda i, sha: F.concat_ws(":", sha, F.coalesce(i.cast("string"), F.lit("-")))
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(pair(F.col("doc_id"), F.col("text_sha256")).alias("__pair")).distinct()
+    keyed = docs.withColumn("__pair", pair(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    stay = keyed.join(kept, "__pair", "left_semi").dropDuplicates(["__pair"])
+    return stay.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
