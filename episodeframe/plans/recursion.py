@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodeframe.functions.columns import basename
+from episodeframe.lineage import cut
 
 
 @dataclass
@@ -85,11 +86,12 @@ def sub_task_profiles(phases: DataFrame, depth: int) -> DataFrame:
 def decompose(profiles: DataFrame, found: DataFrame, checkpoints: DataFrame | None = None, config: RecursionConfig | None = None) -> DataFrame:
     """All sub-tasks of unsolved tasks, to ``max_depth``, with ``recursively_stuck`` where all siblings are stuck and go no deeper."""
     config = config or RecursionConfig()
+    found = cut(found)
     kinds = [k for k, on in (("stuck", config.decompose_stuck), ("recoverable", config.decompose_recoverable)) if on]
     level = profiles.where(F.col("kind").isin(*kinds)).select("task", "scores", "difficulty", "kind")
     bounds, out = found, None
     for depth in range(1, config.max_depth + 1):
-        subs = sub_task_profiles(align(level, bounds, checkpoints if depth == 1 else None, config), depth)
+        subs = cut(sub_task_profiles(align(level, bounds, checkpoints if depth == 1 else None, config), depth))
         out = subs if out is None else out.unionByName(subs)
         # A stuck sub-task is cut where boundaries of its parent's run lie inside it.
         inner = subs.where("kind = 'stuck'").select(F.col("sub_task_id").alias("task"), "parent_task", "entry_step", "exit_step")
