@@ -134,3 +134,24 @@ def test_checkpoints(spark, tmp_path):
     assert [(r["checkpoint_id"], r["score_increment"]) for r in rows] == [(f"medium-9::phase-{i}", n) for i, n in enumerate((10, 30, 60))]
     assert sum(r["reward_weight"] for r in rows) == pytest.approx(1) and len(rows[1]["description"]) == 80
     assert checkpoints.parse('echo "$SCORE / 5"', "t") == [("t", 0, "t::phase-0", "All-or-nothing task completion", 1.0, 5, 5, "")]
+
+
+def test_stores(spark, tmp_path):
+    from episodeframe.schema import MEMORY, POOL
+    from episodeframe.sources import stores
+
+    m = spark.createDataFrame([("t1", "task/a", "x", 1.0, ["read_file"], "p", 1, 1, 0, 0)], MEMORY)
+    stores.write_memories(m, str(tmp_path / "m"))
+    assert stores.read_memories(spark, str(tmp_path / "m")).collect() == m.collect()
+    p = spark.createDataFrame([("A", "A", "t", 1.0, {"ck": 1.0}, None, True, None, 0, 0), ("B", "B", "t", 0.0, {}, None, False, "x", 0, 1)], POOL)
+    stores.write_pool(p, str(tmp_path / "p"))
+    assert stores.read_pool(spark, str(tmp_path / "p")).orderBy("ord").collect() == p.collect()
+    (tmp_path / "bad.json").write_text('{"records": [{"agent_name": "A", "model_name": "A", "task": "t"}]}')
+    with pytest.raises(Exception, match="missing required key 'score'"):
+        stores.read_pool(spark, str(tmp_path / "bad.json")).collect()
+    plan = spark.createDataFrame([("a", 0.5, 2), ("b", 0.7, 1)], "task string, gap double, position int")
+    stores.write_plan(plan, str(tmp_path / "plan"))
+    assert [r["task"] for r in stores.read_plan(spark, str(tmp_path / "plan"), plan.schema).collect()] == ["b", "a"]
+    (tmp_path / "sim.json").write_text(json.dumps({"agents": {"A": {"right_tail": {"mean_gain": 0.1, "ci_low": 0.0, "ci_high": 0.2}}}}))
+    assert stores.read_simulation(spark, str(tmp_path / "sim.json"), "A").head()["mean"] == 0.1
+    assert stores.read_simulation(spark, str(tmp_path / "none.json"), "A") is None
