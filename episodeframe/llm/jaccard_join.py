@@ -52,7 +52,7 @@ WORDS, NUMERATOR, DENOMINATOR, OVERLAP = 5, 80, 100, 3
 OFTEN, OFTEN_BUFFER, OFTEN_MOST = 8, 1 << 20, 200_000
 LONG_LIST, CHUNK = 256, 2048
 #: star pairs share this part of the smaller prefix; pairs verified at a time
-STAR_SHARE, BEST_ROUNDS, PAIRS_AT_ONCE = 0.2, 2, 50_000
+STAR_SHARE, BEST_ROUNDS, PAIRS_AT_ONCE = 0.2, 1, 50_000
 
 
 def shingles(block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -190,20 +190,54 @@ def divide_skip(lists: list[list[int]], least: int) -> list[int]:
     return out
 
 
-def _search(batches):
-    """A query's lists (in chunks) and the overlap it needs -> candidate pairs."""
-    for batch in batches:
-        u, v, common = [], [], []
-        for query, least, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lists: dict[int, list[int]] = {}
-            for c in chunks:
-                lists.setdefault(c["token"], []).extend(c["nodes"])
-            found = [m for m in divide_skip([sorted(x) for x in lists.values()], least) if m != query]
-            count = Counter(chain.from_iterable(lists.values())) if found else {}
-            u += [query] * len(found)
-            v += found
-            common += [count[m] for m in found]
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(common, pa.int32())], names=["u", "v", "common"])
+def reachable(x: int, y: int, common: int, num: int, den: int, overlap: int) -> bool:
+    """Whether two sets with so many common prefix shingles can reach the threshold.
+
+    Up to where the shorter-reaching prefix ends, all common shingles are
+    counted; behind it, the set whose prefix ends has ``n - prefix`` shingles
+    left and the other one at most what isn't common so far.  Lists that
+    weren't fetched (fewer than ``overlap``) may each hold one more.
+    """
+    if den * min(x, y) < num * max(x, y):
+        return False
+    most = min(common + overlap - 1, x, y)
+    tail_x, tail_y = (n - min(overlap, n) for n in (least_overlap(x, num, den), least_overlap(y, num, den)))
+    left = max(min(tail_x, y - most), min(tail_y, x - most))
+    return (most + left) * (num + den) >= num * (x + y)
+
+
+def _search(num: int, den: int, overlap: int, every: bool):
+    """A query's lists (in chunks) and the overlap it needs -> candidate pairs.
+
+    Of each other component the candidate with most in common, or ``every`` one.
+    """
+
+    def run(batches):
+        for batch in batches:
+            u, v = [], []
+            for query, size, own, least, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lists: dict[int, list[int]] = {}
+                about: dict[int, tuple[int, int]] = {}
+                for c in chunks:
+                    lists.setdefault(c["token"], []).extend(c["nodes"])
+                    about.update(zip(c["nodes"], zip(c["comps"], c["sizes"], strict=True), strict=True))
+                found = [m for m in divide_skip([sorted(x) for x in lists.values()], least) if m != query and about[m][0] != own]
+                if not found:
+                    continue
+                count = Counter(chain.from_iterable(lists.values()))
+                found = [m for m in found if reachable(size, about[m][1], count[m], num, den, overlap)]
+                if not every:
+                    best: dict[int, int] = {}
+                    for m in found:
+                        comp = about[m][0]
+                        if comp not in best or (count[m], -m) > (count[best[comp]], -best[comp]):
+                            best[comp] = m
+                    found = list(best.values())
+                u += [query] * len(found)
+                v += found
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
 
 
 def _compatible(a, b, num: int, den: int):
@@ -250,8 +284,8 @@ def _stars(postings: DataFrame, num: int, den: int) -> DataFrame:
     return best.where(enough).select("u", "v")
 
 
-def _candidates(postings: DataFrame, comps: DataFrame, num: int, den: int, overlap: int) -> DataFrame:
-    """Pairs of different components that share enough prefix shingles."""
+def _candidates(postings: DataFrame, comps: DataFrame, num: int, den: int, overlap: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of different components that share enough prefix shingles."""
     sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     ranked = comps.join(sizes, "component")
     info = (
@@ -261,83 +295,45 @@ def _candidates(postings: DataFrame, comps: DataFrame, num: int, den: int, overl
     )
     mixed = info.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("weight").alias("top")).where("a <> b").select("token", "df", "top")
     rest = materialize(info.join(mixed, "token"), "rest")
-    chunks = rest.groupBy("token", F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / CHUNK)).alias("part")).agg(F.collect_list("node").alias("nodes")).select("token", "nodes")
+    chunks = rest.groupBy("token", F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / CHUNK)).alias("part")).agg(F.collect_list(F.struct("node", "component", "n")).alias("m")).select("token", F.col("m.node").alias("nodes"), F.col("m.component").alias("comps"), F.col("m.n").alias("sizes"))
     need = F.least(F.lit(overlap), F.ceil(F.col("n") * num / den))
     asking = rest.where(F.col("weight") < F.col("top")).withColumn("need", need.cast("int"))
     by_length = Window.partitionBy("node").orderBy(F.col("df").desc(), "token")
     asking = asking.withColumn("nth", F.row_number().over(by_length)).withColumn("skipped", (F.col("df") > LONG_LIST) & (F.col("nth") < F.col("need")))
     least = (F.col("need") - F.sum(F.col("skipped").cast("int")).over(Window.partitionBy("node"))).cast("int")
-    asking = asking.withColumn("least", least).where("NOT skipped").select("token", F.col("node").alias("query"), "least")
-    fetched = asking.join(chunks, "token").groupBy("query").agg(F.first("least").alias("least"), F.collect_list(F.struct("token", "nodes")).alias("lists"))
-    found = fetched.select("query", "least", "lists").mapInArrow(_search, "u bigint, v bigint, common int")
-    # Same component or impossible sizes: not worth verifying.
-    about = rest.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"))
-    left = about.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"))
-    right = about.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
-    possible = (F.col("c_u") != F.col("c_v")) & _compatible(F.col("n_u"), F.col("n_v"), num, den) & _reachable("n_u", "n_v", "common", num, den, overlap)
-    return found.join(left, "u").join(right, "v").where(possible).select("u", "v", "common")
-
-
-def _reachable(a: str, b: str, common: str, num: int, den: int, overlap: int):
-    """Whether two sets with so many common prefix shingles can reach the threshold.
+    asking = asking.withColumn("least", least).where("NOT skipped").select("token", F.col("node").alias("query"), F.col("n").alias("size"), F.col("component").alias("own"), "least")
+    fetched = asking.join(chunks, "token").groupBy("query", "size", "own", "least").agg(F.collect_list(F.struct("token", "nodes", "comps", "sizes")).alias("lists"))
+    return fetched.mapInArrow(_search(num, den, overlap, every), "u bigint, v bigint"), rest
 
-    Up to where the shorter-reaching prefix ends, all common shingles are
-    counted; behind it, the set whose prefix ends has ``n - prefix`` shingles
-    left and the other one at most what isn't common so far.  Lists that
-    weren't fetched (fewer than ``overlap``) may each hold one more.
-    """
-    x, y = F.col(a), F.col(b)
-    most = F.least(F.col(common) + overlap - 1, x, y)
-    tail = lambda n: F.ceil(n * num / den) - F.least(F.lit(overlap), F.ceil(n * num / den))
-    left = F.greatest(F.least(tail(x), y - most), F.least(tail(y), x - most))
-    return (most + left) * (num + den) >= num * (x + y)
 
-
-def _resolve(verifier_of, pairs: DataFrame, stars: DataFrame, comps: DataFrame, n_docs: int) -> tuple[DataFrame, list[DataFrame]]:
+def _resolve(verifier_of, candidates_of, stars: DataFrame, comps: DataFrame, n_docs: int) -> tuple[DataFrame, list[DataFrame]]:
     """Verify candidate pairs until no two components may still link.
 
     A query needs one link to a component: its best partner in each component
-    goes first, and what links need not be looked at again.  The pairs left
-    between different components are then verified, all of them, in parts.
+    goes first, and what links need not be looked at again.  All pairs that are
+    left between different components are then verified, in parts.
     """
-    tables = []
-    verifier = verifier_of(pairs)
-    links = stars
-    for _ in range(BEST_ROUNDS):
-        live = _between(pairs, comps)
-        best = materialize(live.groupBy("u", "c_v").agg(F.max(F.struct("common", "v")).alias("b")).select("u", F.col("b.v").alias("v")), "best")
-        tables.append(best)
-        if best.isEmpty():
+    tables, links = [], stars
+    for step in range(BEST_ROUNDS + 1):
+        every = step == BEST_ROUNDS
+        plan, rest = candidates_of(comps, every)
+        pairs = materialize(plan, "candidates")
+        tables += [rest, pairs]
+        total = pairs.count()
+        if not total:
             break
-        found = verifier.links(best)
-        tables.append(found)
-        pairs = pairs.join(best, ["u", "v"], "left_anti")
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
+        verifier = verifier_of(pairs)
+        parts = -(-total // max(PAIRS_AT_ONCE, n_docs // 8))
+        found = [verifier.links(pairs if parts == 1 else pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == k)) for k in range(parts)]
+        verifier.close()
+        tables += found
+        for f in found:
+            links = links.unionByName(f)
         comps = materialize(connected(links), "components")
         tables.append(comps)
-    rest = materialize(_between(pairs, comps).select("u", "v"), "rest")
-    tables.append(rest)
-    total = rest.count()
-    parts = -(-total // max(PAIRS_AT_ONCE, n_docs // 8))
-    for k in range(parts):
-        found = verifier.links(rest.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == k))
-        tables.append(found)
-        links = links.unionByName(found)
-    if total:
-        comps = materialize(connected(links), "components")
-    verifier.close()
     return comps, tables
 
 
-def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of nodes that are in different components now."""
-    side = lambda n: comps.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
-    both = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
-    return both.withColumns({"c_u": F.coalesce("c_u", "u"), "c_v": F.coalesce("c_v", "v")}).where("c_u <> c_v")
-
-
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     source = narrow(docs, doc_id=id_col, text=text_col)
@@ -360,9 +356,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = verifier.links(pivots)
     verifier.close()
     first = materialize(connected(stars), "components")
-    pairs = materialize(_candidates(postings, first, num, den, overlap), "candidates")
-    comps, tables = _resolve(verifier_of, pairs, stars, first, nodes.count())
-    for done in (postings, pivots, stars, pairs, *(t for t in (first, *tables) if t is not comps)):
+    candidates_of = lambda comps, every: _candidates(postings, comps, num, den, overlap, every)
+    comps, tables = _resolve(verifier_of, candidates_of, stars, first, nodes.count())
+    for done in (postings, pivots, stars, *(t for t in (first, *tables) if t is not comps)):
         drop_table(done)
     member = sets.select("doc_id", "n_shingles", "set_key").join(nodes.select("set_key", "node", "least_id"), "set_key", "left").join(comps, "node", "left")
     member = member.select("doc_id", "n_shingles", "least_id", F.coalesce("component", "node").alias("component"))
