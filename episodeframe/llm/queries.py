@@ -18,7 +18,7 @@ def id_fold(doc_id, modulus: int):
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
