@@ -96,11 +96,11 @@ def register(name: str, oracle: str | None = None, ep: bool = True):
     return add
 
 
-def on_episodes(name: str, oracle: str | None = None):
-    """Registers f(episodes) -> DataFrame."""
+def on_episodes(name: str, oracle: str | None = None, places: int = 6):
+    """Registers f(episodes) -> DataFrame; more places where values may lie halfway between two of six."""
 
     def add(f):
-        register(name, oracle)(lambda spark, sf_dir: rounded(f(episodes(spark, sf_dir))))
+        register(name, oracle)(lambda spark, sf_dir: rounded(f(episodes(spark, sf_dir)), places))
         return f
 
     return add
@@ -194,8 +194,7 @@ FROM ep JOIN (SELECT model, task, min(score) AS lo, max(score) AS hi FROM ep GRO
 ent AS (SELECT model, task, CASE WHEN n < 2 OR lo = hi THEN 0.0 ELSE {_BINS} END AS outcome_entropy FROM bins)"""
 on_episodes(
     "task_taxonomy",
-    f"{_PROFILE} SELECT model, task, kind, round(q_star, 6) AS q_star, round(q_bar, 6) AS q_bar, round(gap, 6) AS gap, round(consistency, 6) AS consistency, len(list_filter(scores, lambda s: s >= 0.9 * q_star AND q_star > 0))::INT AS n_reinforce, len(list_filter(scores, lambda s: s < 0.9 * q_star AND q_star > 0))::INT AS n_contrast FROM profile",
-)(lambda ep: taxonomy.task_profiles(ep).select("model", "task", "kind", "q_star", "q_bar", "gap", "consistency", F.size("reinforce_idx").alias("n_reinforce"), F.size("contrast_idx").alias("n_contrast")))
+    f"{_PROFILE} SELECT model, task, kind, round(q_star, 9) AS q_star, round(q_bar, 9) AS q_bar, round(gap, 9) AS gap, round(consistency, 9) AS consistency, len(list_filter(scores, lambda s: s >= 0.9 * q_star AND q_star > 0))::INT AS n_reinforce, len(list_filter(scores, lambda s: s < 0.9 * q_star AND q_star > 0))::INT AS n_contrast FROM profile", places=9)(lambda ep: taxonomy.task_profiles(ep).select("model", "task", "kind", "q_star", "q_bar", "gap", "consistency", F.size("reinforce_idx").alias("n_reinforce"), F.size("contrast_idx").alias("n_contrast")))
 on_episodes("outcome_entropy", f"{_ENTROPY} SELECT model, task, round(outcome_entropy, 6) AS outcome_entropy FROM ent")(lambda ep: taxonomy.task_profiles(ep).select("model", "task", "outcome_entropy"))
 on_episodes(
     "reinforce_indices",
@@ -240,8 +239,7 @@ _RADIUS = f"sqrt(ln(2.0 / ({(1 - 0.95) * 6 / math.pi**2!r} / (t * t))) / (2.0 *
 on_episodes(
     "confidence_sequence",
     f"r AS (SELECT model, task, ord, row_number() OVER w AS t, avg(score) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM ep WINDOW w AS (PARTITION BY model, task ORDER BY ord)) "
-    f"SELECT model, task, ord, t::INT AS t, round(m, 6) AS running_mean, round(greatest(0, least(1, m - {_RADIUS})), 6) AS running_lo, round(greatest(0, least(1, m + {_RADIUS})), 6) AS running_hi FROM r",
-)(lambda ep: windows.confidence_sequence(ep, ["ord"], ["model", "task"]).select("model", "task", "ord", "t", "running_mean", "running_lo", "running_hi"))
+    f"SELECT model, task, ord, t::INT AS t, round(m, 9) AS running_mean, round(greatest(0, least(1, m - {_RADIUS})), 9) AS running_lo, round(greatest(0, least(1, m + {_RADIUS})), 9) AS running_hi FROM r", places=9)(lambda ep: windows.confidence_sequence(ep, ["ord"], ["model", "task"]).select("model", "task", "ord", "t", "running_mean", "running_lo", "running_hi"))
 _P = "p AS (SELECT task, round(avg(score) / 20 + count(*) * 0.0001, 8) AS p FROM ep WHERE model = 'AF' GROUP BY task), o AS (SELECT task, p, row_number() OVER (ORDER BY p, task) AS i, count(*) OVER () AS n FROM p)"
 
 
