@@ -63,10 +63,10 @@ on_episodes(
     f"{_AF}, sel AS (SELECT task, avg(score) AS sm, max(score) AS sx, min(score) AS sn FROM e WHERE length > 20 GROUP BY task), "
     "gn AS (SELECT p.task, CASE kind WHEN 'recoverable' THEN CASE WHEN sx >= 0.9 * q_star AND sn < 0.9 * q_star THEN 0.6 * q_star * (1 - q_bar) ELSE 0.4 * sm * (1 - q_bar) END WHEN 'stuck' THEN 0.04 * sm ELSE 0 END AS gain FROM p LEFT JOIN sel USING (task)) "
     "SELECT task, round(avg(least(1.0, score + coalesce(gain, 0))), 9) AS new_mean FROM e JOIN gn USING (task) GROUP BY task", places=9)(lambda ep: simulation.apply_training_effect(one(ep), one(ep).where("length > 20"), taxonomy.task_profiles(one(ep)), "right_tail").groupBy("task").agg(F.avg("new_score").alias("new_mean")))
-on_episodes("overoptimized_gain", f"{_AF} SELECT task, t, round(round(gap + 1e-9, 6) * greatest(0, least(1, 0.6 * t - 0.15 * t * t)), 12) AS gain FROM p, (SELECT unnest([0.5::DOUBLE, 2.0, 5.0]) AS t)")(
-    lambda ep: taxonomy.task_profiles(one(ep)).select("task", F.round(F.col("gap") + 1e-9, 6).alias("gap"), F.explode(F.array(F.lit(0.5), F.lit(2.0), F.lit(5.0))).alias("t")).select("task", "t", simulation.overoptimized_gain(F.col("gap"), F.col("t")).alias("gain"))
+on_episodes("overoptimized_gain", f"{_AF} SELECT task, t, round(round(gap + 1e-9, 4) * greatest(0, least(1, 0.6 * t - 0.15 * t * t)), 6) AS gain FROM p, (SELECT unnest([1.0::DOUBLE, 2.0, 5.0]) AS t)")(
+    lambda ep: taxonomy.task_profiles(one(ep)).select("task", F.round(F.col("gap") + 1e-9, 4).alias("gap"), F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(5.0))).alias("t")).select("task", "t", simulation.overoptimized_gain(F.col("gap"), F.col("t")).alias("gain"))
 )
-on_episodes("simulated_gains", places=12)(lambda ep: simulation.strategy_results(simulation.simulate_gains(one(ep), 200)))
+on_episodes("simulated_gains")(lambda ep: simulation.strategy_results(simulation.simulate_gains(one(ep), 200)))
 on_episodes("simulated_rounds")(lambda ep: simulation.strategy_results(simulation.simulate_rounds(one(ep), 20), "rounds"))
 
 
