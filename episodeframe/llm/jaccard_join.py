@@ -217,13 +217,15 @@ def _search(num: int, den: int, overlap: int, every: bool):
             u, v = [], []
             for query, size, own, least, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lists: dict[int, list[int]] = {}
-                about: dict[int, tuple[int, int]] = {}
                 for c in chunks:
                     lists.setdefault(c["token"], []).extend(c["nodes"])
-                    about.update(zip(c["nodes"], zip(c["comps"], c["sizes"], strict=True), strict=True))
-                found = [m for m in divide_skip([sorted(x) for x in lists.values()], least) if m != query and about[m][0] != own]
+                found = [m for m in divide_skip([sorted(x) for x in lists.values()], least) if m != query]
                 if not found:
                     continue
+                about: dict[int, tuple[int, int]] = {}
+                for c in chunks:
+                    about.update(zip(c["nodes"], zip(c["comps"], c["sizes"], strict=True), strict=True))
+                found = [m for m in found if about[m][0] != own]
                 count = Counter(chain.from_iterable(lists.values()))
                 found = [m for m in found if reachable(size, about[m][1], count[m], num, den, overlap)]
                 if not every:
