@@ -32,7 +32,7 @@ from episodeframe.llm.blocks import text_blocks
 from episodeframe.llm.shared import narrow
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-CACHE_PIECES, KEPT_PIECES, CACHE_BYTES = 300_000, 150_000, 64
+CACHE_PIECES, KEPT_PIECES, CACHE_BYTES = 300_000, 300_000, 64
 _FANOUT, _LOW = 8, 255
 
 
