@@ -7,6 +7,8 @@ vectorised passes small however many rows an Arrow batch holds.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,6 +60,14 @@ def text_blocks(batches, text_col: str = "text", limit: int = BLOCK_BYTES) -> It
             base = offsets[i]
             yield Block(batch, i, j, raw[base : offsets[j]], offsets[i:j] - base, offsets[i + 1 : j + 1] - base)
             i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: reused workers would hold it while others work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # ------------------------------------------------------------------ words

@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from episodeframe.llm.blocks import text_blocks
+from episodeframe.llm.blocks import give_back, text_blocks
 from episodeframe.llm.shared import narrow
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -194,6 +194,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         finally:
             gc.enable()
             coder.trim()
+            give_back()
 
     def encoded(coder, batches):
         for block in text_blocks(batches):

@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +127,9 @@ class Shard:
         return spans, items
 
 
-def _scan(phrases: Phrases, columns: list[str], text_col: str, shard_bytes: int, prefix: str):
+def _scan(phrases: Phrases, columns: list[str], text_col: str, shard_bytes: int, cut: bool = False):
+    """Rows with their hits; or, with ``cut``, the rows as they were with the hit spans taken out of the text."""
+
     def emit(shard: Shard):
         spans, items = shard.hits()
         at = 0
@@ -139,10 +142,16 @@ def _scan(phrases: Phrases, columns: list[str], text_col: str, shard_bytes: int,
                 [{"begin": int(words.starts[f + a] - s), "finish": int(words.ends[f + b - 1] - s)} for a, b in x] if x else []
                 for x, f, s in zip(mine, first, block.starts.tolist(), strict=False)
             ]
+            if cut:
+                texts = pa.array([_without(raw, x) for raw, x in zip(block.docs(), places, strict=True)], pa.string())
+                kept = block.column(text_col)
+                texts = pc.if_else(pc.is_null(kept), pa.scalar(None, pa.string()), texts)
+                yield pa.RecordBatch.from_arrays([texts.cast(kept.type) if c == text_col else block.column(c) for c in columns], names=columns)
+                continue
             word_spans = [[{"begin": a, "finish": b} for a, b in x] for x in mine]
             yield pa.RecordBatch.from_arrays(
                 [*(block.column(c) for c in columns), pa.array(n_words, pa.int64()), pa.array(word_spans, _SPANS), pa.array(places, _SPANS), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
-                names=[*columns, *(prefix + n for n in ("n_words", "hit_words", "hit_bytes", "items"))],
+                names=[*columns, "n_words", "hit_words", "hit_bytes", "items"],
             )
 
     def run(batches):
@@ -157,10 +166,10 @@ def _scan(phrases: Phrases, columns: list[str], text_col: str, shard_bytes: int,
     return run
 
 
-def _hits(docs: DataFrame, items: list[tuple[str, str | None]], text_col: str, columns: list[str], shard_bytes: int, prefix: str = "") -> DataFrame:
+def _hits(docs: DataFrame, items: list[tuple[str, str | None]], text_col: str, columns: list[str], shard_bytes: int) -> DataFrame:
     span = "array<struct<begin:bigint,finish:bigint>>"
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return bounded_batches(docs).mapInArrow(_scan(Phrases(items), columns, text_col, shard_bytes, prefix), f"{kinds}, `{prefix}n_words` bigint, `{prefix}hit_words` {span}, `{prefix}hit_bytes` {span}, `{prefix}items` array<string>")
+    return bounded_batches(docs).mapInArrow(_scan(Phrases(items), columns, text_col, shard_bytes), f"{kinds}, n_words bigint, hit_words {span}, hit_bytes {span}, items array<string>")
 
 
 def _merge(spans):
@@ -228,21 +237,8 @@ def _without(raw: bytes, spans) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with every hit span cut out of the text (and the length column set anew); all rows and columns stay."""
     kind = docs.schema
-    own = "__"
-    while any(n.startswith(own) for n in kind.names):
-        own += "_"
-
-    def cut(batches):
-        for batch in batches:
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            spans = columns.pop(f"{own}hit_bytes").to_pylist()
-            texts = [t if not s else _without(t.encode("utf-8"), s) for t, s in zip(columns[text_col].to_pylist(), spans, strict=True)]
-            columns[text_col] = pa.array(texts, batch.schema.field(text_col).type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in kind.names], names=kind.names)
-
     for items in item_blocks(benchmark, "item_id", "text", block_bytes):
-        hit = _hits(docs, items, text_col, kind.names, shard_bytes, own).select(*(F.col(f"`{n}`") for n in kind.names), f"`{own}hit_bytes`")
-        docs = hit.mapInArrow(cut, kind)
+        docs = bounded_batches(docs).mapInArrow(_scan(Phrases(items), kind.names, text_col, shard_bytes, cut=True), kind)
     if length_col in kind.names:
         docs = docs.withColumn(length_col, F.length(text_col).cast(kind[length_col].dataType))
     return docs

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodeframe.llm.blocks import text_blocks
+from episodeframe.llm.blocks import give_back, text_blocks
 from episodeframe.llm.shared import materialize, narrow, shared_dir
 
 TOKENIZER_FILE, END_ID = "word_bpe_49k.json", 2
@@ -237,6 +237,7 @@ def staged(docs: DataFrame, path: str | None = None, end_id: int = END_ID, id_co
         finally:
             gc.enable()
             encode.trim()
+            give_back()
 
     def encoded(encode, batches):
         for block in text_blocks(batches, limit=TEXT_BYTES):
