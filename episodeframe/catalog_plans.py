@@ -124,11 +124,11 @@ def generated_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return environments.Registry(envs).active().select("task_id", "parent_task", "phase_tag", F.to_json("reward").alias("reward"))
 
 
-_VOTES = "select concat('task-', cast(user_id % 5 as varchar(5))) as parent_task, tool as phase_tag, cast(event_id % 30 as int) as entry_step, cast(event_id % 30 + 3 as int) as exit_step, trial_id as agent_name, cast(0.5 as double) as confidence, '' as source from {calls} where user_id % 10 < 3"
+_VOTES = "select concat('task-', cast(user_id % 5 as varchar(5))) as parent_task, tool as phase_tag, cast(event_id % 30 as int) as entry_step, cast(event_id % 30 + 3 as int) as exit_step, trial_id as agent_name, cast(0.5 as double) as confidence, '' as source from {calls}"
 register("consensus")(lambda spark, sf_dir: rounded(pool.consensus(spark.sql(_VOTES, calls=calls(spark, sf_dir)), tolerance=4).drop("agents")))
 register(
     "boundary_variants",
-    f"{CALLS}, v AS (SELECT trial_id AS agent_name, tool AS phase_tag, (event_id % 30)::INT AS entry_step, CASE WHEN event_id % 3 = 0 THEN 0 ELSE (event_id % 30 + 3)::INT END AS exit_step FROM calls WHERE user_id % 10 < 3) SELECT agent_name, phase_tag, entry_step, CASE WHEN exit_step = 0 THEN entry_step ELSE exit_step END AS exit_step, 0.5::DOUBLE AS confidence FROM v",
+    f"{CALLS}, v AS (SELECT trial_id AS agent_name, tool AS phase_tag, (event_id % 30)::INT AS entry_step, CASE WHEN event_id % 3 = 0 THEN 0 ELSE (event_id % 30 + 3)::INT END AS exit_step FROM calls) SELECT agent_name, phase_tag, entry_step, CASE WHEN exit_step = 0 THEN entry_step ELSE exit_step END AS exit_step, 0.5::DOUBLE AS confidence FROM v",
     ep=False,
 )(lambda spark, sf_dir: _variants(calls(spark, sf_dir)))
 
@@ -137,7 +137,7 @@ def _variants(c: DataFrame) -> DataFrame:
     sub = F.struct(
         F.lit("p").alias("parent_task"), F.col("tool").alias("phase_tag"), (F.col("event_id") % 30).cast("int").alias("entry_step"), F.when(F.col("event_id") % 3 == 0, 0).otherwise((F.col("event_id") % 30 + 3).cast("int")).alias("exit_step"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("source")
     )
-    graphs = c.where("user_id % 10 < 3").groupBy(F.col("trial_id").alias("agent_name")).agg(F.collect_list(sub).alias("sub_tasks"))
+    graphs = c.groupBy(F.col("trial_id").alias("agent_name")).agg(F.collect_list(sub).alias("sub_tasks"))
     return pool.variants(graphs).select("agent_name", "phase_tag", "entry_step", "exit_step", "confidence")
 
 
