@@ -43,7 +43,7 @@ from {events}
 
 POOL_SQL = """
 select concat('agent_', model) as agent_name, task, score, ord + case model when 'AF' then 0 when 'AO' then 1 when 'NF' then 2 when 'NO' then 3 when 'RF' then 4 else 5 end * cast(10000000000 as bigint) as ord, success
-from ep where run_id in ('run_1996', 'run_1997')
+from ep
 """
 
 
