@@ -8,7 +8,9 @@ are then searched backwards at once, their occurrences located, and the hit
 words of a document merged into removal spans.
 
 The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES`` of
-text; larger ones take several passes whose spans are merged.
+text; larger ones take several passes over the same text whose spans are
+merged.  ``clean`` hands the spans on from pass to pass as word positions and
+cuts once, in the last: what it cuts doesn't depend on the number of blocks.
 
 Defined results: null text has no words; an item with fewer than ``WINDOW``
 words is one window; items without words never occur; windows of several items
@@ -25,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from episodeframe.llm.blocks import ALNUM, text_blocks, words_of
 from episodeframe.llm.fm_index import FMIndex
@@ -127,16 +130,39 @@ class Shard:
         return spans, items
 
 
-def _scan(phrases: Phrases, columns: list[str], text_col: str, shard_bytes: int, cut: bool = False):
-    """Rows with their hits; or, with ``cut``, the rows as they were with the hit spans taken out of the text."""
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _scan(phrases: Phrases, columns: list[str], text_col: str, shard_bytes: int, cut: bool = False, earlier: str | None = None, later: str | None = None):
+    """Rows with their hits; or, with ``cut``, the rows as they were with the hit spans taken out of the text.
+
+    Column ``earlier`` has word spans of passes before, which are joined to those
+    found; with ``later`` the rows stay as they were, with all word spans so far
+    in a column of that name.
+    """
 
     def emit(shard: Shard):
         spans, items = shard.hits()
+        if earlier:
+            before = [x for block, _ in shard.blocks for x in block.column(earlier).to_pylist()]
+            spans = [_joined([*x, *((s["begin"], s["finish"]) for s in e)]) if e else x for x, e in zip(spans, before, strict=True)]
         at = 0
         for block, words in shard.blocks:
             first = words.first.tolist()
             mine, names = spans[at : at + len(block)], items[at : at + len(block)]
             at += len(block)
+            if later:
+                word_spans = [[{"begin": a, "finish": b} for a, b in x] for x in mine]
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in columns), pa.array(word_spans, _SPANS)], names=[*columns, later])
+                continue
             n_words = np.diff(words.first)
             places = [
                 [{"begin": int(words.starts[f + a] - s), "finish": int(words.ends[f + b - 1] - s)} for a, b in x] if x else []
@@ -237,8 +263,17 @@ def _without(raw: bytes, spans) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with every hit span cut out of the text (and the length column set anew); all rows and columns stay."""
     kind = docs.schema
-    for items in item_blocks(benchmark, "item_id", "text", block_bytes):
-        docs = bounded_batches(docs).mapInArrow(_scan(Phrases(items), kind.names, text_col, shard_bytes, cut=True), kind)
+    held, earlier = "__hit_words", None
+    while held in kind.names:
+        held += "_"
+    span = StructType([StructField("begin", LongType()), StructField("finish", LongType())])
+    with_hits = StructType([*kind.fields, StructField(held, ArrayType(span))])
+    blocks = item_blocks(benchmark, "item_id", "text", block_bytes)
+    items = next(blocks)
+    for following in blocks:
+        docs = bounded_batches(docs).mapInArrow(_scan(Phrases(items), kind.names, text_col, shard_bytes, earlier=earlier, later=held), with_hits)
+        items, earlier = following, held
+    docs = bounded_batches(docs).mapInArrow(_scan(Phrases(items), kind.names, text_col, shard_bytes, cut=True, earlier=earlier), kind)
     if length_col in kind.names:
         docs = docs.withColumn(length_col, F.length(text_col).cast(kind[length_col].dataType))
     return docs

@@ -121,6 +121,39 @@ def test_decontaminate(spark, docs, empty, block):
     assert all(brute_hits(r["text"], ITEMS[:1])[1] == 0 for r in cleaned.where("doc_id between 40 and 45").collect())
 
 
+def brute_cut(text, items):
+    """The text without the hit words and what stands between two hit words in a row."""
+    words = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    w, hit = [m[0] for m in words], set()
+    for _, t in items:
+        iw = words_of(t)
+        n = min(10, len(iw))
+        windows = {tuple(iw[i : i + n]) for i in range(len(iw) - n + 1)} if iw else set()
+        hit |= {k for i in range(len(w) - n + 1) if n and tuple(w[i : i + n]) in windows for k in range(i, i + n)}
+    gone = {p for k in hit for p in range(words[k].start(), words[k + 1].start() if k + 1 in hit else words[k].end())}
+    return "".join(c for p, c in enumerate(text) if p not in gone)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 150])
+def test_cleaning_does_not_depend_on_blocks(spark, docs, block):
+    w = [f"w{i}" for i in range(40)]
+    # Each item twice, under ids of several blocks: two windows that overlap, two that touch, and one whose words stand together only after a cut.
+    parts = [w[0:10], w[5:19], w[20:30], w[30:40], ["left"] * 5 + ["right"] * 5]
+    items = [(100 * k + i, " ".join(p)) for i, p in enumerate(parts) for k in (1, 2)] + ITEMS
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    blocks = [{int(i) for i, _ in b} for b in decontaminate.item_blocks(bench, "item_id", "text", block)]
+    assert (len(blocks) > 3) == (block == 150)
+    rows = [(500, "é " + ", ".join(w[0:19]) + " end"), (501, "a1 " + "; ".join(w[20:40]) + "."), (502, "left " * 5 + " ".join(w[0:10]) + " right" * 5), (503, None), (503, None)]
+    rows += [x for x in fixture() if x[0] not in (8, 9)]
+    source = spark.createDataFrame([(i, t, -1, [1, 2]) for i, t in rows], "doc_id bigint, text string, n_chars int, __hit_words array<int>")
+    got = decontaminate.clean(source, bench, block_bytes=block, shard_bytes=5000)
+    assert got.schema == source.schema
+    want = [(i, t and brute_cut(t, items)) for i, t in rows]
+    key = lambda r: (r[0], r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.collect())
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     for _ in range(60):
