@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
+#: spans are hashed a stretch of so many bytes at a time, which bounds the tables of powers
+STRETCH = 1 << 19
 
 
 @dataclass
@@ -97,7 +99,7 @@ def _pow_table(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 4 * BLOCK_BYTES:
+        if n <= 2 * STRETCH:
             _powers[int(base)] = have
     return have[:n]
 
@@ -124,6 +126,19 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hash`` of spans whose starts and ends ascend, whatever the length of ``data``."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + STRETCH, side="right")))
+        prefix = prefix_hash(data[base : int(ends[j - 1])])
+        out[i:j] = span_hash(prefix, starts[i:j] - base, ends[i:j] - base)
+        i = j
+    return out
+
+
 @dataclass
 class Words:
     """Word byte ranges of a block; ``first[d]..first[d+1]`` are document d's."""
@@ -134,7 +149,7 @@ class Words:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        return span_hash(prefix_hash(self.data), self.starts, self.ends)
+        return span_hashes(self.data, self.starts, self.ends)
 
 
 def words_of(block: Block, table: np.ndarray) -> Words:

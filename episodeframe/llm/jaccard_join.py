@@ -6,33 +6,41 @@ A document is its set of distinct five-word shingles, as 64-bit hashes.
 2. Shingles have one global order: those seen often while reading go last, the
    rest by hash.  If two sets reach the threshold, their prefixes of
    ``n - ceil(t n) + T`` shingles in that order have at least ``T`` in common
-   (``T`` is ``OVERLAP``, less for tiny sets).  Only prefixes are indexed.
-3. Stars: every node is verified against the node it shares most prefix
-   shingles with among the first nodes of its shingles' inverted lists.  The
-   large groups of near copies end up as one component each after that, with
-   one verification for each node.
-4. Search: shingles whose lists still hold more than one component are looked
-   at by T-occurrence search.  The node of the smaller component is the query;
-   its longest lists (fewer than ``T``) aren't fetched at all, the others are
-   heap-merged if short and binary-probed if long, and what reaches the
-   required overlap is verified on the whole sets.  Links inside a component
-   can't change it and aren't looked for; any other link is found.
-5. Components of all verified links, by alternating stars.
-
-Lists are cut into chunks of bounded length, so a shingle in a third of all
-documents is many rows.  Sets of possible partners are written once, bucketed
-by node, so that verification moves pairs rather than the corpus.
+   (``T`` is ``OVERLAP``, less for tiny sets).  Inverted lists hold prefixes only.
+3. T-occurrence search runs in rounds, all by ``divide_skip``: a query's longest
+   lists (fewer than ``T``) are long, the others are heap-merged, and what can
+   still reach ``T`` is probed in the long ones; what the counts allow is then
+   verified on the whole sets.
+   - In the first round a list is only its head, the least node, and each query
+     verifies the node it shares most with.  That makes large groups of near
+     copies one component each, with one verification for each node.
+   - In the second round lists hold the nodes of all other components, the node
+     of the smaller component asks, and of each component the best is verified.
+   - In the last round everything that is left between different components is.
+   Links inside a component can't change it and aren't looked for; any other
+   link is found.
+4. Components of all verified links, by alternating stars.
+
+Lists longer than ``CHUNK`` are cut by a hash of the node.  A query with such a
+list asks in as many parts, each over one chunk of every list, so no task holds
+a whole long list; lists longer than ``LONG_LIST`` that are left out are probed
+by a join on (shingle, node).  Texts are stored once, where they were read, and
+verification moves the texts of candidates only, a group of ``GROUP`` queries
+around one node at a time.
+
+Parameters that only steer the work, never the result: ``OFTEN`` (a shingle goes
+last in the order if it comes up so often among ``OFTEN_BUFFER``, at most
+``OFTEN_MOST`` of them), ``LONG_LIST``, ``CHUNK``, ``GROUP``, ``PAIRS_AT_ONCE``.
 
 Defined results: null text and text without words have ``n_shingles`` 0 and
 are components of their own; repeated rows link with each other; a null
-doc_id is ignored as a component's name unless there is no other; no rows give
-no rows; other columns are ignored.
+doc_id is ignored as a component's name unless there is no other; texts of any
+length are hashed in stretches; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from bisect import bisect_left
 from collections import Counter
 from heapq import merge
@@ -45,14 +53,13 @@ from pyspark.sql import functions as F
 
 from episodeframe.llm.blocks import SPACED, mix64, text_blocks, words_of
 from episodeframe.llm.components import connected
-from episodeframe.llm.shared import drop_table, materialize, narrow, release
+from episodeframe.llm.shared import RowStore, drop_table, materialize, narrow
 
 WORDS, NUMERATOR, DENOMINATOR, OVERLAP = 5, 80, 100, 3
 #: shingles put last in the order: this often in a buffer of so many
 OFTEN, OFTEN_BUFFER, OFTEN_MOST = 8, 1 << 20, 200_000
-LONG_LIST, CHUNK = 256, 2048
-#: star pairs share this part of the smaller prefix; pairs verified at a time
-STAR_SHARE, BEST_ROUNDS, PAIRS_AT_ONCE = 0.2, 1, 50_000
+#: lists longer than this are probed; nodes of a chunk; queries verified around one node in one task; pairs verified at a time
+LONG_LIST, CHUNK, GROUP, PAIRS_AT_ONCE = 256, 2048, 256, 50_000
 
 
 def shingles(block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +109,7 @@ def _often(words: int):
 
 
 def _sets(often: np.ndarray, words: int, num: int, den: int, overlap: int):
-    """doc_id, n_shingles, set_key, prefix."""
+    """doc_id, n_shingles, set_key, prefix, text."""
 
     def run(batches):
         for block in text_blocks(batches):
@@ -122,44 +129,79 @@ def _sets(often: np.ndarray, words: int, num: int, den: int, overlap: int):
             lengths = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "prefix"],
+                [block.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64())), block.column("text")],
+                names=["doc_id", "n_shingles", "set_key", "prefix", "text"],
             )
 
     return run
 
 
-def _whole_sets(words: int):
-    """node, tokens: the sorted distinct shingles; other texts of the same doc_id, and repeats, are left out."""
+def _postings(often: np.ndarray, counts: np.ndarray, chunk: int):
+    """node, n, prefix -> (token, node, n, salt); tokens known to be frequent are dealt by their nodes too."""
 
     def run(batches):
-        seen: set[int] = set()
-        for block in text_blocks(batches):
-            h, first = shingles(block, words)
-            nodes, sets = [], []
-            for node, key, a, b in zip(block.column("node").to_pylist(), block.column("set_key").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                own = np.unique(h[a:b])
-                if node not in seen and hashlib.blake2b(own.tobytes(), digest_size=16).digest() == key:
-                    seen.add(node)
-                    nodes.append(node)
-                    sets.append(own.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
+        for batch in batches:
+            column = batch.column(2)
+            token = column.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(column.offsets.to_numpy())
+            node, n = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 1))
+            salt = np.full(len(token), -1, dtype=np.int32)
+            if len(often):
+                own = token.view(np.uint64)
+                at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                known = often[at] == own
+                parts = (counts[at[known]] // chunk + 1).astype(np.uint64)
+                salt[known] = (mix64(node[known].view(np.uint64)) % parts).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(salt, pa.int32())], names=["token", "node", "n", "salt"])
 
     return run
 
 
-def _linked(num: int, den: int):
-    """Pairs with both sets -> those that reach the threshold."""
+def _several(batches):
+    """Sorted (token, node, n, salt) -> those of tokens that occur again; the frequent ones (salted) all stay."""
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if left is not None:
+            batch = pa.concat_batches([left, batch])
+        token, salt = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+        again = np.zeros(len(token), dtype=bool)
+        same = token[1:] == token[:-1]
+        again[1:] = same
+        again[:-1] |= same
+        again |= salt >= 0
+        # The last row may belong to the next batch's token; it waits, and so does one row of its run.
+        keep = int(again[-1] and salt[-1] < 0) + 1
+        done = len(token) - min(keep, len(token))
+        yield batch.slice(0, done).filter(pa.array(again[:done])).select(["token", "node", "n"])
+        left = batch.slice(done)
+    if left is not None:
+        token, salt = left.column(0).to_numpy(), left.column(3).to_numpy()
+        again = salt >= 0
+        if len(token) > 1 and token[0] == token[1]:
+            again[:] = True
+        yield left.filter(pa.array(again)).select(["token", "node", "n"])
+
+
+def _linked(words: int, num: int, den: int):
+    """Sorted (key, salt, member, row, text): a node's text, then those to verify against it -> links (u, v)."""
 
     def run(batches):
-        for batch in batches:
+        around, whole = None, np.zeros(0, np.uint64)
+        for block in text_blocks(batches):
+            h, first = shingles(block, words)
             u, v = [], []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                if den * both >= num * (len(x) + len(y) - both):
-                    u.append(a)
-                    v.append(b)
+            for key, member, row, a, b in zip(*(block.column(c).to_pylist() for c in ("key", "member", "row")), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                own = np.unique(h[a:b])
+                if not member:
+                    around, whole = key, own
+                elif key == around and len(whole) and len(own):
+                    at = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
+                    both = int(np.count_nonzero(whole[at] == own))
+                    if den * both >= num * (len(whole) + len(own) - both):
+                        u.append(row)
+                        v.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
@@ -206,15 +248,16 @@ def reachable(x: int, y: int, common: int, num: int, den: int, overlap: int) ->
     return (most + left) * (num + den) >= num * (x + y)
 
 
-def _search(num: int, den: int, overlap: int, every: bool):
-    """A query's lists (in chunks) and the overlap it needs -> candidate pairs.
+def _search(num: int, den: int, overlap: int, keep: str):
+    """A query's lists (in chunks) and the overlap it needs -> candidates (u, v, common).
 
-    Of each other component the candidate with most in common, or ``every`` one.
+    ``keep``: of all candidates the one with most in common (``best``), that of
+    ``each`` other component, or ``every`` one.
     """
 
     def run(batches):
         for batch in batches:
-            u, v = [], []
+            out: list[list[int]] = [[], [], []]
             for query, size, own, least, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lists: dict[int, list[int]] = {}
                 for c in chunks:
@@ -228,142 +271,153 @@ def _search(num: int, den: int, overlap: int, every: bool):
                 found = [m for m in found if about[m][0] != own]
                 count = Counter(chain.from_iterable(lists.values()))
                 found = [m for m in found if reachable(size, about[m][1], count[m], num, den, overlap)]
-                if not every:
+                if keep != "every":
                     best: dict[int, int] = {}
                     for m in found:
-                        comp = about[m][0]
-                        if comp not in best or (count[m], -m) > (count[best[comp]], -best[comp]):
-                            best[comp] = m
+                        group = about[m][0] if keep == "each" else 0
+                        if group not in best or (count[m], -m) > (count[best[group]], -best[group]):
+                            best[group] = m
                     found = list(best.values())
-                u += [query] * len(found)
-                v += found
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                out[0] += [query] * len(found)
+                out[1] += found
+                out[2] += [count[m] for m in found]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v", "common"])
 
     return run
 
 
-def _compatible(a, b, num: int, den: int):
-    return (den * F.least(a, b) >= num * F.greatest(a, b)) & (F.least(a, b) > 0)
+CANDIDATES = "u bigint, v bigint, common bigint"
+
+
+class _Join:
+    """The state of one join: the stored texts, the inverted lists and the tables to remove."""
 
+    def __init__(self, store: RowStore, postings: DataFrame, words: int, num: int, den: int, overlap: int) -> None:
+        self.store, self.postings = store, postings
+        self.words, self.num, self.den, self.overlap = words, num, den, overlap
+        self.tables: list[DataFrame] = []
 
-class _Verifier:
-    """Whole sets of the possible partners, bucketed by node."""
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        table = materialize(df, label)
+        self.tables.append(table)
+        return table
 
-    def __init__(self, source: DataFrame, about: DataFrame, pairs: DataFrame, words: int, num: int, den: int, buckets: int) -> None:
-        self.num, self.den = num, den
-        self.spark = source.sparkSession
-        self.name = f"shingle_sets_{uuid.uuid4().hex}"
-        used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        nodes = about.select("node", "rep", "set_key").join(used, "node").select("node", "set_key", F.col("rep.doc_id").alias("rep_id"))
-        both = source.join(nodes, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "set_key", "text")
-        dealt = both.repartition(buckets, "node").mapInArrow(_whole_sets(words), "node bigint, tokens binary")
-        release(self.spark)
-        dealt.write.format("parquet").bucketBy(buckets, "node").saveAsTable(self.name)
+    def need(self):
+        """The overlap that a query's prefix must have: ``T``."""
+        return F.least(F.lit(self.overlap), F.ceil(F.col("n") * self.num / self.den)).cast("int")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        sets = self.spark.table(self.name)
-        x = sets.withColumnsRenamed({"node": "u", "tokens": "x"})
-        y = sets.withColumnsRenamed({"node": "v", "tokens": "y"})
-        both = pairs.select("u", "v").join(x, "u").join(y, "v").select("u", "v", "x", "y")
-        return materialize(both.mapInArrow(_linked(self.num, self.den), "u bigint, v bigint"), "links")
-
-    def close(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
-
-def _stars(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """For each node its best pivot: pairs (u, v)."""
-    pivots = postings.groupBy("token").agg(F.min(F.struct("node", "n")).alias("pivot"))
-    pairs = (
-        postings.join(pivots, "token")
-        .where((F.col("node") != F.col("pivot.node")) & _compatible(F.col("n"), F.col("pivot.n"), num, den))
-        .groupBy(F.col("node").alias("u"), F.col("pivot.node").alias("v"))
-        .agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n_u"))
-    )
-    # Only a start: pairs with little in common are left to the search.
-    enough = F.col("common") >= STAR_SHARE * (F.col("n_u") - F.ceil(F.col("n_u") * num / den))
-    best = pairs.groupBy("u").agg(F.max(F.struct("common", "v", "n_u")).alias("best")).select("u", F.col("best.v").alias("v"), F.col("best.common").alias("common"), F.col("best.n_u").alias("n_u"))
-    return best.where(enough).select("u", "v")
-
-
-def _candidates(postings: DataFrame, comps: DataFrame, num: int, den: int, overlap: int, every: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v) of different components that share enough prefix shingles."""
-    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    ranked = comps.join(sizes, "component")
-    info = (
-        postings.select("token", "node", "n")
-        .join(ranked, "node", "left")
-        .select("token", "node", "n", F.coalesce("component", "node").alias("component"), F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "node").alias("id")).alias("weight"))
-    )
-    mixed = info.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("weight").alias("top")).where("a <> b").select("token", "df", "top")
-    rest = materialize(info.join(mixed, "token"), "rest")
-    chunks = rest.groupBy("token", F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / CHUNK)).alias("part")).agg(F.collect_list(F.struct("node", "component", "n")).alias("m")).select("token", F.col("m.node").alias("nodes"), F.col("m.component").alias("comps"), F.col("m.n").alias("sizes"))
-    need = F.least(F.lit(overlap), F.ceil(F.col("n") * num / den))
-    asking = rest.where(F.col("weight") < F.col("top")).withColumn("need", need.cast("int"))
-    by_length = Window.partitionBy("node").orderBy(F.col("df").desc(), "token")
-    asking = asking.withColumn("nth", F.row_number().over(by_length)).withColumn("skipped", (F.col("df") > LONG_LIST) & (F.col("nth") < F.col("need")))
-    least = (F.col("need") - F.sum(F.col("skipped").cast("int")).over(Window.partitionBy("node"))).cast("int")
-    asking = asking.withColumn("least", least).where("NOT skipped").select("token", F.col("node").alias("query"), F.col("n").alias("size"), F.col("component").alias("own"), "least")
-    fetched = asking.join(chunks, "token").groupBy("query", "size", "own", "least").agg(F.collect_list(F.struct("token", "nodes", "comps", "sizes")).alias("lists"))
-    return fetched.mapInArrow(_search(num, den, overlap, every), "u bigint, v bigint"), rest
-
-
-def _resolve(verifier_of, candidates_of, stars: DataFrame, comps: DataFrame, n_docs: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Verify candidate pairs until no two components may still link.
-
-    A query needs one link to a component: its best partner in each component
-    goes first, and what links need not be looked at again.  All pairs that are
-    left between different components are then verified, in parts.
+        """The pairs (u, v) that reach the threshold on their whole sets."""
+        pairs = pairs.select("u", "v").distinct()
+        groups = self.kept(pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")), "groups")
+        members = pairs.join(groups, "v").select(F.col("u").alias("row"), F.col("v").alias("key"), F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("salt"), F.lit(True).alias("member"))
+        centres = groups.select(F.col("v").alias("row"), F.col("v").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"))
+        texts = self.store.join(members.unionByName(centres), "text").select("key", "salt", "member", "row", "text")
+        dealt = texts.repartition("key", "salt").sortWithinPartitions("key", "salt", "member")
+        return self.kept(dealt.mapInArrow(_linked(self.words, self.num, self.den), "u bigint, v bigint"), "links")
+
+    def first_round(self) -> DataFrame:
+        """Links of every node with the best of its lists' heads."""
+        heads = self.kept(self.postings.groupBy("token").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", "head"), "heads")
+        # A head's size stands in the posting that is the head.
+        known = self.kept(heads.join(self.postings, "token").where("node = head").select("token", "head", F.col("n").alias("head_n")), "heads")
+        one = F.struct("token", F.array("head").alias("nodes"), F.array("head").alias("comps"), F.array("head_n").alias("sizes"))
+        asking = self.postings.join(known, "token").where("node <> head").groupBy("node", "n").agg(F.collect_list(one).alias("lists"))
+        asking = asking.select("node", "n", F.col("node").alias("own"), self.need().alias("least"), "lists")
+        found = asking.mapInArrow(_search(self.num, self.den, self.overlap, "best"), CANDIDATES)
+        return self.links(self.kept(found, "best"))
+
+    def candidates(self, comps: DataFrame, keep: str) -> DataFrame:
+        """Pairs (u, v) of different components whose prefixes share enough."""
+        sizes = self.kept(comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        ranked = comps.join(sizes, "component")
+        info = (
+            self.postings.join(ranked, "node", "left")
+            .select("token", "node", "n", F.coalesce("component", "node").alias("component"), F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "node").alias("id")).alias("weight"))
+        )
+        mixed = info.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("weight").alias("top")).where("a <> b")
+        # A list of df nodes has 2**k chunks of about CHUNK.
+        chunks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / CHUNK)))).cast("int")
+        mixed = self.kept(mixed.select("token", "df", "top", chunks.alias("chunks")), "mixed")
+        rest = self.kept(info.join(mixed, "token"), "rest")
+        lists = (
+            rest.groupBy("token", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+            .agg(F.collect_list(F.struct("node", "component", "n")).alias("m"))
+            .select("token", "chunk", F.col("m.node").alias("nodes"), F.col("m.component").alias("comps"), F.col("m.n").alias("sizes"))
+        )
+        lists = self.kept(lists, "lists")
+        # The smaller component asks; its lists are few enough (a prefix) for a window.
+        by_length = Window.partitionBy("node").orderBy(F.col("df").desc(), "token")
+        asking = rest.where(F.col("weight") < F.col("top")).withColumn("need", self.need()).withColumn("nth", F.row_number().over(by_length))
+        asking = asking.withColumn("long", (F.col("df") > LONG_LIST) & (F.col("nth") < F.col("need")))
+        query = Window.partitionBy("node")
+        asking = asking.withColumn("least", (F.col("need") - F.sum(F.col("long").cast("int")).over(query)).cast("int")).withColumn("parts", F.max(F.when(~F.col("long"), F.col("chunks"))).over(query))
+        asking = self.kept(asking.select("token", F.col("node").alias("query"), "n", F.col("component").alias("own"), "need", "least", "long", "chunks", "parts"), "asking")
+        short = asking.where("NOT long").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("chunk", F.col("part") % F.col("chunks"))
+        fetched = short.join(lists, ["token", "chunk"]).groupBy("query", "n", "own", "least", "part").agg(F.collect_list(F.struct("token", "nodes", "comps", "sizes")).alias("lists"))
+        found = fetched.select("query", "n", "own", "least", "lists").mapInArrow(_search(self.num, self.den, self.overlap, keep), CANDIDATES)
+        found = self.kept(found.groupBy("u", "v").agg(F.max("common").alias("common")), "found")
+        long_ = asking.where("long").select(F.col("query").alias("u"), "token", "need")
+        if long_.isEmpty():
+            return found
+        # Long lists are probed for the candidates of the short ones.
+        asked = found.join(long_, "u")
+        hits = asked.join(rest.select("token", F.col("node").alias("v")), ["token", "v"], "left_semi").groupBy("u", "v").agg(F.count(F.lit(1)).alias("hits"))
+        need = long_.groupBy("u").agg(F.first("need").alias("need"))
+        probed = found.join(need, "u", "left").join(self.kept(hits, "hits"), ["u", "v"], "left")
+        return self.kept(probed.where("need IS NULL OR common + coalesce(hits, 0) >= need").select("u", "v", "common"), "probed")
+
+    def close(self, but: DataFrame) -> None:
+        for t in self.tables:
+            if t is not but:
+                drop_table(t)
+
+
+def _resolve(join: _Join, n_docs: int) -> DataFrame:
+    """(node, component), until no two components may still link.
+
+    A query needs one link to a component, so its best partner in each goes
+    before all the others.
     """
-    tables, links = [], stars
-    for step in range(BEST_ROUNDS + 1):
-        every = step == BEST_ROUNDS
-        plan, rest = candidates_of(comps, every)
-        pairs = materialize(plan, "candidates")
-        tables += [rest, pairs]
+    links = join.first_round()
+    comps = join.kept(connected(links), "components")
+    for keep in ("each", "every"):
+        pairs = join.candidates(comps, keep)
         total = pairs.count()
         if not total:
             break
-        verifier = verifier_of(pairs)
         parts = -(-total // max(PAIRS_AT_ONCE, n_docs // 8))
-        found = [verifier.links(pairs if parts == 1 else pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == k)) for k in range(parts)]
-        verifier.close()
-        tables += found
-        for f in found:
-            links = links.unionByName(f)
-        comps = materialize(connected(links), "components")
-        tables.append(comps)
-    return comps, tables
+        for k in range(parts):
+            links = links.unionByName(join.links(pairs if parts == 1 else pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == k)))
+        comps = join.kept(connected(links), "components")
+    return comps
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     source = narrow(docs, doc_id=id_col, text=text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
     counted = source.select("text").mapInArrow(_often(words), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    often = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "token").limit(OFTEN_MOST).select("token").collect()], dtype=np.int64).view(np.uint64))
-    scanned = source.mapInArrow(_sets(often, words, num, den, overlap), f"doc_id {kind}, n_shingles bigint, set_key binary, prefix array<bigint>")
-    sets = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "sets")
+    # At most OFTEN_MOST tokens, whatever the corpus.
+    top = counted.orderBy(F.desc("n"), "token").limit(OFTEN_MOST).collect()
+    often, counts = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64), np.array([r[1] for r in top], dtype=np.int64)
+    order = np.argsort(often)
+    often, counts = often[order], counts[order]
+    scanned = source.mapInArrow(_sets(often, words, num, den, overlap), f"doc_id {kind}, n_shingles bigint, set_key binary, prefix array<bigint>, text string")
+    store = RowStore(scanned, "sets")
     # One row of each set stands for it; its number is the node.
-    filled = sets.where("set_key IS NOT NULL")
-    nodes = materialize(filled.groupBy("set_key").agg(F.min("row").alias("node"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least_id"), F.min_by(F.struct("doc_id"), "row").alias("rep")), "nodes")
-    every = filled.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "prefix").join(nodes.select("node"), "node", "left_semi").select("node", "n", F.explode("prefix").alias("token"))
-    several = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    postings = materialize(every.join(several, "token").select("token", "node", "n"), "postings")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    verifier_of = lambda pairs: _Verifier(source, nodes, pairs, words, num, den, buckets)
-    pivots = materialize(_stars(postings, num, den), "stars")
-    verifier = verifier_of(pivots)
-    stars = verifier.links(pivots)
-    verifier.close()
-    first = materialize(connected(stars), "components")
-    candidates_of = lambda comps, every: _candidates(postings, comps, num, den, overlap, every)
-    comps, tables = _resolve(verifier_of, candidates_of, stars, first, nodes.count())
-    for done in (postings, pivots, stars, *(t for t in (first, *tables) if t is not comps)):
+    filled = store.select("doc_id", "n_shingles", "set_key").where("set_key IS NOT NULL")
+    nodes = materialize(filled.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "nodes")
+    prefixes = store.join(nodes.select(F.col("node").alias("row")), "n_shingles", "prefix").select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "prefix")
+    dealt = prefixes.mapInArrow(_postings(often, counts, CHUNK), "token bigint, node bigint, n bigint, salt int").repartition("token", "salt").sortWithinPartitions("token", "salt")
+    postings = materialize(dealt.mapInArrow(_several, "token bigint, node bigint, n bigint"), "postings")
+    join = _Join(store, postings, words, num, den, overlap)
+    comps = _resolve(join, nodes.count())
+    named = materialize(nodes.join(comps, "node").groupBy("component").agg(F.min("least_id").alias("component_id")), "named")
+    placed = materialize(nodes.join(comps, "node", "left").select("set_key", "least_id", F.coalesce("component", "node").alias("component")), "placed")
+    base = materialize(store.select("doc_id", "n_shingles", "set_key").drop("part", "row"), "base")
+    join.close(None)
+    for done in (postings, nodes, store.table):
         drop_table(done)
-    member = sets.select("doc_id", "n_shingles", "set_key").join(nodes.select("set_key", "node", "least_id"), "set_key", "left").join(comps, "node", "left")
-    member = member.select("doc_id", "n_shingles", "least_id", F.coalesce("component", "node").alias("component"))
-    named = nodes.join(comps, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    out = member.join(named, "component", "left")
+    out = base.join(placed, "set_key", "left").join(named, "component", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "least_id", "doc_id").alias("component_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodeframe.llm.blocks import ALNUM, mix64, prefix_hash, span_hash, text_blocks, words_of
+from episodeframe.llm.blocks import ALNUM, mix64, span_hashes, text_blocks, words_of
 from episodeframe.llm.shared import narrow
 
 TRAIN_POSITIVE, TRAIN_UNLABELLED = 2000, 6000
@@ -43,13 +43,12 @@ P_BELOW = 0.02
 def features(block) -> tuple[np.ndarray, np.ndarray]:
     """(feature ids, first): each document's distinct hashed words and word beginnings of ``PREFIXES`` bytes."""
     words = words_of(block, ALNUM)
-    prefix = prefix_hash(words.data)
     doc = np.repeat(np.arange(len(block), dtype=np.int64), np.diff(words.first)) << FEATURE_BITS
-    kinds = [doc | (span_hash(prefix, words.starts, words.ends) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)]
+    kinds = [doc | (words.hashes() >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)]
     for size in PREFIXES:
         longer = words.ends - words.starts > size
         at = words.starts[longer]
-        kinds.append(doc[longer] | (mix64(span_hash(prefix, at, at + size) + np.uint64(size)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
+        kinds.append(doc[longer] | (mix64(span_hashes(words.data, at, at + size) + np.uint64(size)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
     once = np.unique(np.concatenate(kinds))
     return once & ((1 << FEATURE_BITS) - 1), np.searchsorted(once, np.arange(len(block) + 1, dtype=np.int64) << FEATURE_BITS)
 
