@@ -31,8 +31,9 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from episodeframe.llm.blocks import give_back, text_blocks
 from episodeframe.llm.shared import materialize, narrow, shared_dir
@@ -45,7 +46,6 @@ CACHE_WORDS, KEPT_WORDS, JOINED = 400_000, 300_000, 500
 PUNCTUATION = r'!"#$%&()*+,-./:;<=>?@[\]^_`{|}~'
 SMALLEST_RANGE_BYTES = 32 << 20
 
-ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 # ------------------------------------------------------------------- codec
 _SHIFTS = np.array([0, 2, 4, 6])
@@ -90,6 +90,7 @@ class WordEncoder:
     The tokenizer drops white space before its merges and ends every pre-token
     with a word-end token, so a text's ids are its words' ids one after another,
     and many words can be encoded in one call and told apart by their ends.
+    Texts that hold one of the library's special tokens go to it whole.
     A word of letters with ASCII punctuation before or behind is looked up in
     these parts; a word of any other form is encoded by itself.  ``exact`` says
     whether this holds for the loaded tokenizer; if not, whole texts go to the
@@ -100,7 +101,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: tokens that the library finds in a text before it cuts words
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         size = self.library.get_vocab_size()
@@ -109,7 +111,7 @@ class WordEncoder:
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         probe = "Ab  c,d\te's 12\néß 'll x' 're (Quoted!) É. Überall; y á ́b  z"
         self.exact = True
-        self.exact = self._whole(probe) == self.texts(pa.array([probe]), 0)[0][:-1].tobytes()
+        self.exact = not any(c.isspace() for t in self.special for c in t) and self._whole(probe) == self.texts(pa.array([probe]), 0)[0][:-1].tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
@@ -188,10 +190,23 @@ class WordEncoder:
         each place of a word is to gather the word's ids.
         """
         column = pc.fill_null(column.cast(pa.large_string()), "")
-        # Arrow cuts at \x1c-\x1f, the tokenizer doesn't.
-        if not self.exact or pc.any(pc.match_substring_regex(column, "[\x1c-\x1f]")).as_py():
-            each = [np.frombuffer(self._whole(t), self.kind) for t in column.to_pylist()]
-            return np.concatenate([np.append(x, np.array([end], self.kind)) for x in each]), np.concatenate([[0], np.cumsum([len(x) + 1 for x in each])])
+        # Arrow cuts at \x1c-\x1f, the tokenizer doesn't; special tokens stand across words.
+        whole = pc.match_substring_regex(column, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
+        for token in self.special:
+            whole = whole | pc.match_substring(column, token, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not self.exact:
+            whole[:] = True
+        if not whole.any():
+            return self._by_words(column, end)
+        ids, edges = self._by_words(column.filter(pa.array(~whole)), end)
+        plain = iter(np.split(ids, edges[1:-1]))
+        last = np.array([end], self.kind)
+        each = [np.append(np.frombuffer(self._whole(t), self.kind), last) if w else next(plain) for t, w in zip(column.to_pylist(), whole.tolist(), strict=True)]
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+
+    def _by_words(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(column):
+            return np.zeros(0, self.kind), np.zeros(1, np.int64)
         lists = pc.utf8_split_whitespace(column)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         words = lists.flatten().dictionary_encode()
@@ -287,7 +302,7 @@ def write_files(ids: DataFrame, by_rank: np.ndarray, folder: str, partitions: in
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype=np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     kind = ids.schema["doc_id"].dataType.simpleString()
-    id_type = ID_TYPES[kind]
+    id_type = to_arrow_type(ids.schema["doc_id"].dataType)
 
     def run(batches):
         def block(part, names, parts, sizes, before):
@@ -332,14 +347,11 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     by_rank = np.frombuffer(bytes(spark.read.parquet(f"{folder}/ranks").head()[0]), dtype="<u4")
     blocks = spark.read.parquet(f"{folder}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    id_type = ID_TYPES[kind]
+    id_type = to_arrow_type(blocks.schema["doc_ids"].dataType.elementType)
 
     # One row for each output partition: what all shards before it hold.
-    totals = sorted(blocks.groupBy("shard").agg(F.sum("n_ids")).collect())
-    start_of, at = {}, 0
-    for shard, n in totals:
-        start_of[shard] = at
-        at += n
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shard_start"))
 
     def run(batches):
         for batch in batches:
@@ -350,10 +362,12 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, id_type), pa.array(start_of[shard] + before + edges[:-1], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                    [pa.array(doc_ids, id_type), pa.array([shard] * len(doc_ids), pa.int32()), pa.array(before + edges[:-1], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(crc, pa.int64())],
+                    names=["doc_id", "shard", "place", "n_tokens", "ids_crc32"],
                 )
 
-    return blocks.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    decoded = blocks.mapInArrow(run, f"doc_id {kind}, shard int, place bigint, n_tokens bigint, ids_crc32 bigint")
+    return decoded.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
