@@ -6,26 +6,30 @@ into the same chunks apart from its edges.  Chunks are deduplicated by digest
 with a partial aggregate; the digests that occur again are joined back, and
 neighbouring repeated chunks make up runs.  A run counts from ``least`` bytes
 on: single small chunks repeat by chance.  In a run every chunk but the
-digest's first occurrence (smallest doc_id, then first in the text) goes.
+digest's first occurrence (smallest doc_id, then smallest hash of the text,
+then first in the text) goes.  Digests are 128 bits of BLAKE2b.
 
 Defined results: null text counts as empty and has no chunks; of rows with the
 same id and text each gets the result of one, and their chunks count as
-repeated; rows with equal ids and other texts are told apart by the text; no
+repeated; rows with equal ids and other texts are different documents; a chunk
+may be as long as its text, whatever the length; no
 rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodeframe.llm.blocks import list_column, prefix_hash, span_hash, text_blocks
+from episodeframe.llm.blocks import list_column, text_blocks
 from episodeframe.llm.chunking import chunk_bounds
-from episodeframe.llm.shared import bounded_batches
+from episodeframe.llm.shared import bounded_batches, materialize
 
-CHUNK_BITS, CHUNK_LEAST, RUN_LEAST = 5, 8, 80
+CHUNK_BITS, CHUNK_LEAST, RUN_LEAST, DIGEST_BYTES = 5, 8, 80, 16
 
 SPANS = "array<struct<begin:bigint,finish:bigint>>"
 
@@ -34,16 +38,18 @@ def _chunks(bits: int, least: int):
     def run(batches):
         for block in text_blocks(batches):
             starts, ends, first = chunk_bounds(block, bits, least)
-            digests = span_hash(prefix_hash(block.data), starts, ends).view(np.int64)
+            raw = memoryview(block.data)
+            digests = pa.array([hashlib.blake2b(raw[s:e], digest_size=DIGEST_BYTES).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
             local = starts - np.repeat(block.starts, np.diff(first))
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column("doc_id"),
                     block.column("text_key"),
-                    list_column(digests, first, pa.int64()),
-                    list_column(local << 24 | np.minimum(ends - starts, (1 << 24) - 1), first, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), digests),
+                    list_column(local, first, pa.int64()),
+                    list_column(ends - starts, first, pa.int64()),
                 ],
-                names=["doc_id", "text_key", "digests", "places"],
+                names=["doc_id", "text_key", "digests", "places", "sizes"],
             )
 
     return run
@@ -58,8 +64,8 @@ def _spans(least: int):
             for chunks in batch.column(2).to_pylist():
                 runs: list[list] = []
                 for c in sorted(chunks, key=lambda c: c["place"]):
-                    begin = c["place"] >> 24
-                    item = (begin, begin + (c["place"] & 0xFFFFFF), c["digest"], c["is_first"])
+                    begin = c["place"]
+                    item = (begin, begin + c["size"], c["digest"], c["is_first"])
                     if runs and runs[-1][-1][1] == begin:
                         runs[-1].append(item)
                     elif not (runs and runs[-1][-1][0] == begin):
@@ -87,13 +93,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(docs[text_col], F.lit(""))
     source = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    cut = source.mapInArrow(_chunks(bits, chunk_least), f"doc_id {kind}, text_key bigint, digests array<bigint>, places array<bigint>")
-    again = cut.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("first_id")).where("times > 1")
-    uses = cut.select("doc_id", "text_key", F.explode(F.arrays_zip("digests", "places")).alias("c")).select("doc_id", "text_key", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
+    cut = source.mapInArrow(_chunks(bits, chunk_least), f"doc_id {kind}, text_key bigint, digests array<binary>, places array<bigint>, sizes array<bigint>")
+    document = F.struct("doc_id", "text_key")
+    again = cut.select(document.alias("document"), F.explode("digests").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min("document").alias("first")).where("times > 1")
+    # A table of its own, so that Spark can split the tasks of a chunk that is everywhere.
+    again = materialize(again.select("digest", "first"), "again")
+    uses = cut.select("doc_id", "text_key", F.explode(F.arrays_zip("digests", "places", "sizes")).alias("c")).select("doc_id", "text_key", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"), F.col("c.sizes").alias("size"))
     found = (
-        uses.join(again.select("digest", "first_id"), "digest")
+        uses.join(again, "digest")
         .groupBy("doc_id", "text_key")
-        .agg(F.collect_list(F.struct("place", "digest", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("is_first"))).alias("chunks"))
+        .agg(F.collect_list(F.struct("place", "size", "digest", document.eqNullSafe(F.col("first")).alias("is_first"))).alias("chunks"))
         .mapInArrow(_spans(run_least), f"doc_id {kind}, text_key bigint, repeated {SPANS}, removed {SPANS}")
         .withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"})
     )
