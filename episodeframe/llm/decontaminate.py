@@ -13,7 +13,9 @@ merged.  ``clean`` hands the spans on from pass to pass as word positions and
 cuts once, in the last: what it cuts doesn't depend on the number of blocks.
 
 Defined results: null text has no words; an item with fewer than ``WINDOW``
-words is one window; items without words never occur; windows of several items
+words is one window; items without words never occur; the words of an item
+whose id is null are hit like others, but it has no name, so ``n_items`` and
+the list of items leave it out; windows of several items
 count for each; repeated rows each get a row; an empty benchmark hits nothing.
 Other columns are ignored (or kept as they are, in ``clean``).
 """
@@ -34,7 +36,7 @@ from episodeframe.llm.fm_index import FMIndex
 from episodeframe.llm.shared import bounded_batches, narrow
 
 WINDOW = 10
-SHARD_BYTES, BLOCK_BYTES = 12 << 20, 8 << 20
+SHARD_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("finish", pa.int64())]))
 
 
@@ -58,7 +60,7 @@ class Phrases:
             ids = (np.searchsorted(self.vocabulary, h) + 1).tolist()
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1 if ids else 0):
-                owners.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(name)
+                owners.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).update([] if name is None else [name])
         self.by_length = {size: (np.array(list(w), dtype=np.int64), [sorted(x) for x in w.values()]) for size, w in owners.items()}
 
     @property
@@ -212,8 +214,8 @@ def _merge(spans):
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
-    """Lists of (item id as string, text), each of about ``limit`` bytes at most."""
-    items = benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    """Lists of (item id as string or None, text), each of about ``limit`` bytes at most."""
+    items = benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = int(total // limit) + 1
     for k in range(blocks):
@@ -247,7 +249,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         )
     n_hit = F.aggregate("hit_words", F.lit(0).cast("bigint"), lambda a, s: a + s["finish"] - s["begin"])
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), "hit_words", "hit_bytes", "items"
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "hit_words", "hit_bytes", "items"
     )
 
 
