@@ -6,8 +6,9 @@ smallest; where the two smallest sizes are nearly equal the text is rejected.
 Texts are compressed in pieces of ``PIECE_BYTES`` so that a long text cannot
 become its own dictionary; every piece of the whole text counts.
 
-Training data are bounded: at most ``TRAIN_ROWS`` rows of each language (those
-with the smallest hash of doc_id) fill at most ``DICT_BYTES`` of dictionary.
+Training data are bounded: of each language the rows with the smallest hash of
+doc_id, whole texts, until they have ``DICT_BYTES`` or are ``TRAIN_ROWS``.  A
+language with fewer texts has a smaller dictionary and changes no other one.
 
 Defined results: text that is null, empty or without a letter is ``und`` with
 score 0 and rejected; ties go to the language first in the alphabet, with
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from episodeframe.llm.blocks import text_blocks
 from episodeframe.llm.shared import bounded_batches, narrow
 
-TRAIN_ROWS, DICT_BYTES, PIECE_BYTES, ROW_BYTES = 150, 96 << 10, 2048, 2048
+TRAIN_ROWS, DICT_BYTES, PIECE_BYTES = 150, 128 << 10, 2048
 #: rejected where (second - best) / second is below this
 MARGIN = 0.004
 #: at lower levels the matcher misses short matches, which carry the signal
@@ -41,13 +42,14 @@ def learn_dictionaries(rows: DataFrame, train_rows: int = TRAIN_ROWS, dict_bytes
         return {}
     # A bounded list: train_rows for each language.
     ids = sorted({r["doc_id"] for r in picked if r["doc_id"] is not None})
-    texts = usable.where(F.col("doc_id").isin(ids)).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, ROW_BYTES).alias("text")).collect()
+    texts = usable.where(F.col("doc_id").isin(ids)).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text").collect()
     out: dict[str, bytearray] = {}
     for r in sorted(texts, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
-        out.setdefault(r["lang"], bytearray()).extend(r["text"].lower().encode("utf-8") + b"\n")
-    # The same amount for all: a larger dictionary would win for its size alone.
-    share = min([dict_bytes, *(max(len(b), 4096) for b in out.values())])
-    return {lang: bytes(b[:share]) for lang, b in sorted(out.items())}
+        held = out.setdefault(r["lang"], bytearray())
+        # About the same amount for all: a larger dictionary would win for its size alone.
+        if len(held) < dict_bytes:
+            held.extend(r["text"].lower().encode("utf-8") + b"\n")
+    return {lang: bytes(b) for lang, b in sorted(out.items())}
 
 
 def _has_letter(text: str) -> bool:
