@@ -3,14 +3,17 @@
 A linear model over hashed words and word beginnings is trained with numpy on confirmed toxic
 texts (P) and texts of unknown label (U).  With class prior ``pi`` the risk is
 
-    pi * E_P[l(+)]  +  max(0, E_U[l(-)] - pi * E_P[l(-)])
+    MISS * pi * E_P[l(+)]  +  max(0, E_U[l(-)] - pi * E_P[l(-)])
 
 where the second part estimates the negative class's risk from unlabelled
 text; when a batch drives it below zero the step is taken to raise it again,
-so that the model can't fit U's hidden positives as negatives.
+so that the model can't fit U's hidden positives as negatives.  ``MISS`` is the
+cost of a missed toxic text, that of a clean one taken for toxic being 1; the
+decision point is where the fitted score is one half.
 
 Training data are bounded: ``TRAIN_POSITIVE`` toxic and ``TRAIN_UNLABELLED``
-unlabelled rows, those with the smallest hash of doc_id.  Label 0 is used for
+unlabelled rows, whole texts, those with the smallest hash of doc_id (of rows
+with one id the one with the least text).  Label 0 is used for
 nothing but the prior, which is the share of label 1 among training labels.
 
 Defined results: null and empty text get the model's score for no words; rows
@@ -28,16 +31,13 @@ from pyspark.sql import functions as F
 from episodeframe.llm.blocks import ALNUM, mix64, span_hashes, text_blocks, words_of
 from episodeframe.llm.shared import narrow
 
-TRAIN_POSITIVE, TRAIN_UNLABELLED = 2000, 6000
-#: of a training text; scoring reads whole texts
-TRAIN_CHARS = 50_000
+TRAIN_POSITIVE, TRAIN_UNLABELLED = 1500, 4000
 FEATURE_BITS = 20
 PREFIXES = (4, 5)
 #: features are learned where P and U differ by so many standard errors
 LEAST_Z, LEAST_ROWS = 4.0, 3
 EPOCHS, BATCH, RATE, DECAY, SEED = 60, 256, 0.1, 1e-3, 7
-#: share of P that may lie below the decision point
-P_BELOW = 0.02
+MISS = 4.0
 
 
 def features(block) -> tuple[np.ndarray, np.ndarray]:
@@ -74,14 +74,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Which features occur clearly more often in P than in U."""
+    """Which features occur clearly more often, or less, in P than in U."""
     dim = 1 << FEATURE_BITS
     p = np.bincount(np.concatenate(positive), minlength=dim) if positive else np.zeros(dim)
     u = np.bincount(np.concatenate(unlabelled), minlength=dim) if unlabelled else np.zeros(dim)
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
     pooled = (p + u + 1) / (n_p + n_u + 2)
     z = (p / n_p - u / n_u) / np.sqrt(pooled * (1 - np.minimum(pooled, 0.999)) * (1 / n_p + 1 / n_u))
-    return (p >= LEAST_ROWS) & (z >= LEAST_Z)
+    return (p + u >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z)
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -111,7 +111,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             negative = np.mean(-np.log(1 - u + 1e-12)) - prior * np.mean(-np.log(1 - p + 1e-12))
             # d/dz of the logistic losses: l(-)' = s, l(+)' = s - 1
             if negative >= 0:
-                p_grad, u_grad = prior * (p - 1) / len(p) - prior * p / len(p), u / len(u)
+                p_grad, u_grad = MISS * prior * (p - 1) / len(p) - prior * p / len(p), u / len(u)
             else:
                 p_grad, u_grad = prior * p / len(p), -u / len(u)
             grad = np.bincount(p_ids, weights=np.repeat(p_grad, np.diff(p_first)), minlength=dim)
@@ -122,10 +122,6 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             slope = p_grad.sum() + u_grad.sum()
             bias_square += slope**2
             bias -= RATE * slope / np.sqrt(bias_square)
-    # The decision point: most of P above it, and no more of U than the prior.
-    if positive and unlabelled:
-        p_sums, u_sums = (sums(w, *part(rows)) for rows in (positive, unlabelled))
-        bias = -max(np.quantile(p_sums, P_BELOW), np.quantile(u_sums, 1 - prior), 1e-6)
     weights = np.zeros(1 << FEATURE_BITS)
     weights[kept] = w
     return Model(weights, bias)
@@ -149,9 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, n_positive: int = TRAI
     if not known:
         return Model()
     order = [F.xxhash64("doc_id", F.lit(2)), F.col("doc_id")]
-    other = [r[0] for r in docs.select("doc_id").orderBy(*order).limit(n_unlabelled).collect()]
-    # Two bounded lists of ids; one pass fetches their texts.
-    rows = docs.where(F.col("doc_id").isin(sorted({*known, *other}))).select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
+    other = list(dict.fromkeys(r[0] for r in docs.select("doc_id").orderBy(*order).limit(n_unlabelled).collect()))
+    # Two bounded lists of ids; one pass fetches their whole texts, of rows with one id the least.
+    rows = docs.where(F.col("doc_id").isin(sorted({*known, *other}))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     text = {r["doc_id"]: r["text"] or "" for r in rows}
     return fit(_rows([text[i] for i in known if i in text]), _rows([text[i] for i in other]), min(max(rate, 0.001), 0.9))
 
