@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from episodeframe.llm.blocks import list_column, text_blocks
 from episodeframe.llm.chunking import chunk_bounds
-from episodeframe.llm.shared import materialize, narrow
+from episodeframe.llm.shared import drop_table, materialize, narrow
 
 CHUNK_BITS, CHUNK_LEAST = 10, 256
 
@@ -76,6 +76,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "hash", "ordinal")))).alias("parts"))
         .select("doc_id", "text_sha256", "times", F.transform("parts", lambda p: F.struct(p["hash"].alias("hash"), p["ordinal"].alias("ordinal"))).alias("recipe"))
     )
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
+    recipes = materialize(recipes, "joined")
+    # A table of its own, so that Spark can split the tasks of a group of very many copies.
+    groups = materialize(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")), "groups")
+    drop_table(cut)
     out = recipes.join(groups, "recipe").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
