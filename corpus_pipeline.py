@@ -28,9 +28,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, once."""
     # One string key for both the join and the repeated rows: the texts are dealt once.
     pair = lambda i, sha: F.concat_ws(":", sha, F.coalesce(i.cast("string"), F.lit("-")))
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select(pair(F.col("doc_id"), F.col("text_sha256")).alias("__pair")).distinct()
-    keyed = docs.withColumn("__pair", pair(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    stay = keyed.join(kept, "__pair", "left_semi").dropDuplicates(["__pair"])
+    key = "pair_key"
+    while key in docs.columns:
+        key += "_"
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(pair(F.col("doc_id"), F.col("text_sha256")).alias(key)).distinct()
+    keyed = docs.withColumn(key, pair(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    stay = keyed.join(kept, key, "left_semi").dropDuplicates([key])
     return stay.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
