@@ -1,28 +1,32 @@
 """Operator 10: exact removal of repeated 200-byte strings by suffix arrays.
 
 A byte goes if some ``LENGTH``-byte string over it starts anywhere else too.
-All suffixes of a large corpus can't be sorted at once, so the work is divided
-without losing a match:
-
-1. Equal texts are one text with a number of copies (their bytes all repeat
-   where the text has ``LENGTH`` bytes; what follows is about distinct texts).
-2. *Anchors*: among the ``LENGTH - GRAM + 1`` grams of ``GRAM`` bytes in a
-   window the one with the least hash is its anchor.  Equal windows have equal
-   anchors, at the same offset, so windows whose anchor's hash occurs once are
-   done with.
-3. The windows of one anchor are consecutive; the text under them is a *piece*.
-   Pieces are brought together by the anchor's hash, and equal pieces become
-   one piece with a count.
-4. In each task the pieces are sorted by two-stage suffix sorting, and adjacent
-   common prefixes of ``LENGTH`` bytes mark the repeated windows.
-5. An anchor that stands in very many different pieces (edges of a passage that
-   is everywhere) would make one task large: its windows are counted by their
-   128-bit digests over all tasks instead.
+Which strings repeat is decided by two-stage suffix sorting and adjacent common
+prefixes alone.  All suffixes of a large corpus can't be sorted at once, so the
+work is dealt out in such a way that equal strings always meet:
+
+1. Every text is stored once, where it was read (``RowStore``).  Equal texts
+   have the same verdict, so one of them takes part, counted twice if it has
+   copies: that is all that repetition asks for.
+2. Among the ``LENGTH - GRAM + 1`` grams of ``GRAM`` bytes of a window the least
+   hash is its *anchor*.  Equal windows have equal anchors, so windows whose
+   anchor occurs once can't repeat.
+3. Neighbouring windows of one anchor make up a *piece* of text (a longer run is
+   cut after ``MOST_WINDOWS``).  Pieces are named by (anchor, BLAKE2b of the
+   bytes); of equal pieces one goes on, twice if there are several.
+4. Anchors whose pieces are more than ``SORT_BYTES`` (the edges of a passage that
+   is in very many texts) are split: windows with a common core of ``m`` bytes
+   lack ``need = LENGTH - m``; one that has at least half of them to the left is
+   dealt by the core lengthened to the left, the others by the core lengthened
+   to the right.  After at most nine rounds a core is a whole window and what
+   bears one name is one string, so no task gets more than a bounded group.
+5. Each task suffix-sorts its pieces; common prefixes of ``LENGTH`` bytes mark
+   the windows that repeat, and the ranges go back to the texts by (part, row).
 
 Defined results: null text counts as empty; matches don't cross documents;
 overlapping occurrences count; a repeated row is another document, so its text
-repeats; texts shorter than ``LENGTH`` lose nothing; no rows give no rows;
-other columns are ignored.
+repeats; texts shorter than ``LENGTH`` lose nothing; texts of any length are
+worked on in stretches; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,19 +35,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodeframe.llm.blocks import Block, list_column, prefix_hash, span_hash, text_blocks
-from episodeframe.llm.shared import materialize, narrow
+from episodeframe.llm.shared import RowStore, drop_table, materialize, narrow
 from episodeframe.llm.suffix_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 64
-#: bytes sorted at once, and different pieces of one anchor that go to one task
-SORT_BYTES, HOT_PIECES = 1 << 20, 2000
+#: bytes suffix-sorted at once; windows of a piece; bytes whose grams are hashed at once
+SORT_BYTES, MOST_WINDOWS, STRETCH = 1 << 20, 512, 1 << 19
 
 RANGES = "array<struct<begin:int,finish:int>>"
 _RANGES = pa.list_(pa.struct([("begin", pa.int32()), ("finish", pa.int32())]))
+SPANS = "array<struct<begin:bigint,finish:bigint>>"
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("finish", pa.int64())]))
 
 
 # ---------------------------------------------------------------- anchors
@@ -58,81 +65,144 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors_of(block: Block, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, low, high, hash) in block order: each anchor and the window starts it owns."""
+def anchors_of(block: Block, length: int, gram: int, most: int = MOST_WINDOWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, anchor) in block order: runs of window starts with one anchor, of ``most`` at most."""
     n = len(block.data)
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return none, none, none, np.zeros(0, np.uint64)
-    at = np.arange(n - gram + 1, dtype=np.int64)
-    hashes = span_hash(prefix_hash(block.data), at, at + gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    # Hash above, position below: the least is the leftmost of equal grams.
-    least = sliding_least((hashes >> bits << bits) | at.astype(np.uint64), length - gram + 1)
-    inside = np.zeros(n + 1, dtype=np.int32)
+    inside = np.zeros(n + 1, dtype=np.int8)
     whole = block.ends - block.starts >= length
-    np.add.at(inside, block.starts[whole], 1)
+    inside[block.starts[whole]] += 1
     np.add.at(inside, block.ends[whole] - length + 1, -1)
-    windows = np.flatnonzero(np.cumsum(inside)[: n - length + 1])
-    if not len(windows):
-        return none, none, none, np.zeros(0, np.uint64)
-    place = (least[windows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    change = np.flatnonzero((np.diff(place) != 0) | (np.diff(windows) != 1)) + 1
-    low, high = windows[np.append(0, change)], windows[np.append(change - 1, len(windows) - 1)]
-    place = place[np.append(0, change)]
-    return place, low, high, hashes[place]
-
-
-def _text_key(raw: bytes) -> bytes:
-    return hashlib.sha256(raw).digest()
+    lows, highs, anchors = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    held = 0
+    for at in range(0, max(0, n - length + 1), STRETCH):
+        data = block.data[at : at + STRETCH + length - 1]
+        grams = np.arange(len(data) - gram + 1, dtype=np.int64)
+        least = sliding_least(span_hash(prefix_hash(data), grams, grams + gram), length - gram + 1)
+        state = held + np.cumsum(inside[at : at + len(least)], dtype=np.int64)
+        held = int(state[-1])
+        windows = np.flatnonzero(state)
+        if not len(windows):
+            continue
+        value = least[windows]
+        change = np.flatnonzero((np.diff(windows) != 1) | (value[1:] != value[:-1])) + 1
+        low, high = windows[np.append(0, change)], windows[np.append(change - 1, len(windows) - 1)]
+        anchor = value[np.append(0, change)]
+        times = (high - low) // most + 1
+        if times.max() > 1:
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            high, anchor = np.repeat(high, times), np.repeat(anchor, times)
+            low = np.repeat(low, times) + nth * most
+            high = np.minimum(high, low + most - 1)
+        lows.append(low + at)
+        highs.append(high + at)
+        anchors.append(anchor)
+    return np.concatenate(lows), np.concatenate(highs), np.concatenate(anchors)
 
 
 def _scan(length: int, gram: int):
     def run(batches):
         for block in text_blocks(batches):
-            place, _, _, hashes = anchors_of(block, length, gram)
-            first = np.append(np.searchsorted(place, block.starts, side="left"), len(place))
-            yield pa.RecordBatch.from_arrays(
-                [block.column("text_key"), pa.array(block.ends - block.starts, pa.int64()), list_column(hashes.view(np.int64), first, pa.int64())],
-                names=["text_key", "n_bytes", "anchors"],
-            )
+            low, _, anchors = anchors_of(block, length, gram)
+            first = np.append(np.searchsorted(low, block.starts, side="left"), len(low))
+            # An empty text shares its start with the next one and has no anchor.
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text_key"), block.column("text"), list_column(anchors.view(np.int64), first, pa.int64())], names=["doc_id", "text_key", "text", "anchors"])
 
     return run
 
 
 # ----------------------------------------------------------------- pieces
 def _pieces(length: int, gram: int):
-    """Texts with their shared anchors (as ordinals) -> candidate pieces."""
+    """Texts with their shared anchors (as ordinals) -> pieces."""
 
     def run(batches):
         for block in text_blocks(batches):
-            place, low, high, hashes = anchors_of(block, length, gram)
-            first = np.append(np.searchsorted(place, block.starts, side="left"), len(place))
-            shared = np.zeros(len(place), dtype=bool)
+            low, high, anchors = anchors_of(block, length, gram)
+            first = np.append(np.searchsorted(low, block.starts, side="left"), len(low))
             column = block.column("shared")
             lists = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            shared[np.repeat(first[:-1], np.diff(column.offsets.to_numpy())) + lists] = True
+            sizes = np.diff(column.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(block)), sizes)
+            which = first[doc] + lists
             raw = block.data.tobytes()
-            rows: list[list] = [[], [], [], [], []]
-            keys = block.column("text_key").to_pylist()
-            doc_of = np.searchsorted(block.starts, place, side="right") - 1
-            for k in np.flatnonzero(shared).tolist():
-                doc = int(doc_of[k])
-                a, b = int(low[k]), int(high[k])
-                body = raw[a : b + length]
-                rows[0].append(keys[doc])
-                rows[1].append(a - int(block.starts[doc]))
-                rows[2].append(int(hashes[k].view(np.int64)))
-                rows[3].append(hashlib.blake2b(body, digest_size=16).digest())
-                rows[4].append(body)
+            bodies = [raw[a : b + length] for a, b in zip(low[which].tolist(), high[which].tolist(), strict=True)]
+            rows, times = (block.column(c).to_numpy(zero_copy_only=False) for c in ("row", "times"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.binary())],
-                names=["text_key", "begin", "anchor", "piece", "body"],
+                [
+                    pa.array(rows[doc], pa.int64()),
+                    pa.array(low[which] - block.starts[doc], pa.int64()),
+                    pa.array(times[doc], pa.int64()),
+                    pa.array(anchors[which].view(np.int64), pa.int64()),
+                    pa.array([hashlib.blake2b(b, digest_size=16).digest() for b in bodies], pa.binary()),
+                    pa.array(bodies, pa.binary()),
+                ],
+                names=["row", "begin", "times", "anchor", "piece", "body"],
             )
 
     return run
 
 
+def cores(body: bytes, length: int, core: bytes) -> list[tuple[int, int, int]]:
+    """(first window, last window, place of the core in the body) for the leftmost core of every window."""
+    out, window, last = [], 0, len(body) - length
+    while window <= last:
+        at = body.find(core, window, window + length)
+        if at < 0:
+            window += 1
+            continue
+        upto = min(at, last)
+        out.append((window, upto, at))
+        window = upto + 1
+    return out
+
+
+def halves(low: int, high: int, at: int, size: int, length: int) -> list[tuple[int, int, int, int]]:
+    """Windows ``low..high`` over a core -> (low, high, begin and size of the longer core) of both halves."""
+    need = length - size
+    left = -(-need // 2)
+    right = need - left + 1
+    out = []
+    # A window that starts at i has at - i bytes before the core.
+    if low <= min(high, at - left):
+        out.append((low, min(high, at - left), at - left, size + left))
+    if max(low, at - left + 1) <= high:
+        out.append((max(low, at - left + 1), high, at, size + right))
+    return out
+
+
+def _split(length: int):
+    """Pieces of a large group -> narrower pieces that have longer cores."""
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for anchor, piece, offset, times, core_at, core_size, body in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "piece", "offset", "times", "core_at", "core_size", "body")), strict=True):
+                if core_size < 0:
+                    # The piece's own anchor gram, wherever it stands in each window.
+                    data = np.frombuffer(body, np.uint8)
+                    grams = np.arange(len(data) + core_size + 1)
+                    hashes = span_hash(prefix_hash(data), grams, grams - core_size)
+                    at = int(np.flatnonzero(hashes.view(np.int64) == anchor)[0])
+                    parts = cores(body, length, body[at : at - core_size])
+                    size = -core_size
+                else:
+                    parts, size = [(0, len(body) - length, core_at)], core_size
+                for low, high, at in parts:
+                    for a, b, begin, wide in halves(low, high, at, size, length):
+                        part = body[a : b + length]
+                        key = xxhash.xxh3_64_intdigest(body[begin : begin + wide], seed=begin != at) - (1 << 63)
+                        rows.append((anchor, piece, offset + a, times, begin - a, wide, key, hashlib.blake2b(part, digest_size=16).digest(), part))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            names = ["anchor", "piece", "offset", "times", "core_at", "core_size", "key", "name", "body"]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
+
+
+_SPLIT = "anchor bigint, piece binary, offset bigint, times bigint, core_at int, core_size int, key bigint, name binary, body binary"
+
+
+# ---------------------------------------------------------------- sorting
 def repeated_windows(bodies: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     """For each body the ranges of window starts that occur twice among all bodies."""
     # No UTF-8 text has byte 0xFF, so no common prefix crosses it.
@@ -153,50 +223,81 @@ def repeated_windows(bodies: list[bytes], length: int) -> list[list[tuple[int, i
 
 
 def _sorted_pieces(length: int, sort_bytes: int):
-    """Partitions in anchor order -> ranges of repeated window starts of every piece."""
-
-    def solve(group):
-        found = repeated_windows([b for _, _, b in group], length)
-        yield from ((anchor, piece, ranges) for (anchor, piece, _), ranges in zip(group, found, strict=True) if ranges)
+    """Partitions in the order of keys -> ranges of repeated window starts of every piece."""
+
+    def emit(group):
+        bodies = [b for _, _, b, _ in group] + [b for _, _, b, times in group if times > 1]
+        found = repeated_windows(bodies, length)
+        got = [(key, name, ranges) for (key, name, _, _), ranges in zip(group, found, strict=False) if ranges]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([[{"begin": a, "finish": b} for a, b in g[2]] for g in got], _RANGES)],
+            names=["key", "name", "ranges"],
+        )
 
     def run(batches):
         group, size, last = [], 0, None
-
-        def emit(group):
-            got = list(solve(group))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([g[1] for g in got], pa.binary()), pa.array([[{"begin": a, "finish": b} for a, b in g[2]] for g in got], _RANGES)],
-                names=["piece", "ranges"],
-            )
-
         for batch in batches:
-            for anchor, piece, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != last and size >= sort_bytes:
+            for key, name, body, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last and size >= sort_bytes:
                     yield emit(group)
                     group, size = [], 0
-                group.append((anchor, piece, body))
-                size += len(body)
-                last = anchor
+                group.append((key, name, body, times))
+                size += len(body) * min(2, times)
+                last = key
         if group:
             yield emit(group)
 
     return run
 
 
-def _digests(length: int):
-    """Pieces of hot anchors -> the 128-bit digest of every window."""
-
-    def run(batches):
-        for batch in batches:
-            piece, offset, digest = [], [], []
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i in range(len(body) - length + 1):
-                    piece.append(name)
-                    offset.append(i)
-                    digest.append(hashlib.blake2b(body[i : i + length], digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.binary()), pa.array(offset, pa.int32()), pa.array(digest, pa.binary())], names=["piece", "offset", "digest"])
-
-    return run
+def _sort(distinct: DataFrame, length: int, sort_bytes: int) -> DataFrame:
+    """(key, name, ranges) of distinct (key, name, body, times)."""
+    dealt = distinct.select("key", "name", "body", "times").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_sorted_pieces(length, sort_bytes), f"key bigint, name binary, ranges {RANGES}")
+
+
+def _large(distinct: DataFrame, sort_bytes: int) -> DataFrame:
+    size = F.sum(F.col("size") * F.least("times", F.lit(2)))
+    return distinct.groupBy("key").agg(size.alias("bytes")).where(F.col("bytes") > sort_bytes).select("key")
+
+
+def _repeated(pieces: RowStore, length: int, gram: int, sort_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(anchor, piece, ranges) from stored pieces; several rows for a piece that was split."""
+    # Names first, without the bytes: one occurrence of each name stands for all.
+    named = pieces.table.groupBy("anchor", "piece").agg(F.sum("times").alias("times"), F.first("size").alias("size"), F.min(F.struct("row", "begin")).alias("one"))
+    chosen = named.select(F.col("anchor").alias("key"), F.col("piece").alias("name"), "times", "size", "one.row", F.col("one.begin").alias("first"))
+    bodies = pieces.join(chosen, "begin", "body").where("begin = first").select("key", "name", "times", "size", "body")
+    first = materialize(bodies, "bodies")
+    tables, large = [first], materialize(_large(first, sort_bytes), "large")
+    if large.isEmpty():
+        drop_table(large)
+        found = materialize(_sort(first, length, sort_bytes), "ranges")
+        drop_table(first)
+        return found.withColumnsRenamed({"key": "anchor", "name": "piece"}), [found]
+    small = materialize(_sort(first.join(large, "key", "left_anti"), length, sort_bytes), "ranges")
+    out, tables = small.withColumnsRenamed({"key": "anchor", "name": "piece"}), [small]
+    # Cores begin as the anchor's gram, whose place each piece looks up.
+    hot = first.join(large, "key").select(F.col("key").alias("anchor"), F.col("name").alias("piece"), F.lit(0).cast("bigint").alias("offset"), "times", F.lit(0).alias("core_at"), F.lit(-gram).alias("core_size"), "body")
+    before = [first, large]
+    while True:
+        parts = materialize(hot.mapInArrow(_split(length), _SPLIT), "parts")
+        for t in before:
+            drop_table(t)
+        distinct = materialize(parts.groupBy("key", "name").agg(F.sum("times").alias("times"), F.first("body").alias("body")).withColumn("size", F.length("body")), "distinct")
+        large = materialize(_large(distinct, sort_bytes), "large")
+        found = _sort(distinct.join(large, "key", "left_anti"), length, sort_bytes)
+        back = parts.select("anchor", "piece", "offset", "key", "name").join(found, ["key", "name"])
+        shifted = F.transform("ranges", lambda r: F.struct((r["begin"] + F.col("offset")).cast("int").alias("begin"), (r["finish"] + F.col("offset")).cast("int").alias("finish")))
+        solved = materialize(back.select("anchor", "piece", shifted.alias("ranges")), "ranges")
+        tables.append(solved)
+        out = out.unionByName(solved)
+        drop_table(distinct)
+        if large.isEmpty():
+            drop_table(parts)
+            drop_table(large)
+            return out, tables
+        hot = parts.join(large, "key").drop("key", "name")
+        before = [parts, large]
 
 
 # ---------------------------------------------------------------- removal
@@ -209,8 +310,7 @@ def _cut(length: int):
             removed, spans, kept = [], [], []
             for raw, ranges in zip(block.docs(), found, strict=True):
                 runs: list[list[int]] = []
-                for r in sorted(ranges, key=lambda r: r["begin"]):
-                    a, b = r["begin"], r["finish"] - 1 + length
+                for a, b in sorted((r["begin"], r["finish"] - 1 + length) for r in ranges):
                     if runs and a <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], b)
                     else:
@@ -223,67 +323,45 @@ def _cut(length: int):
                 kept.append(rest.hexdigest())
                 removed.append(sum(b - a for a, b in runs))
                 spans.append([{"begin": a, "finish": b} for a, b in runs])
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("finish", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([block.column("text_key"), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], names=["text_key", "n_removed", "spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([block.column("text_key"), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.string())], names=["text_key", "n_removed", "spans", "kept_sha256"])
 
     return run
 
 
-def _repeated_pieces(pieces: DataFrame, length: int, hot: int, sort_bytes: int) -> DataFrame:
-    """(piece, ranges): which window starts of each different piece repeat."""
-    distinct = pieces.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("times"), F.first("body").alias("body"))
-    distinct = materialize(distinct, "pieces")
-    whole = distinct.where("times > 1").select("piece", F.array(F.struct(F.lit(0).alias("begin"), (F.length("body") - F.lit(length - 1)).cast("int").alias("finish"))).alias("ranges"))
-    kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = distinct.select("anchor", "piece", "body").join(kinds, "anchor")
-    # A piece alone with its anchor repeats as a whole or not at all, but for
-    # strings that overlap themselves: those have the anchor twice.
-    sorted_ = several.where(F.col("kinds") <= hot).select("anchor", "piece", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_pieces(length, sort_bytes), f"piece binary, ranges {RANGES}")
-    windows = several.where(F.col("kinds") > hot).select("piece", "body").mapInArrow(_digests(length), "piece binary, offset int, digest binary")
-    again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    counted = windows.join(again, "digest").groupBy("piece").agg(F.collect_list(F.struct(F.col("offset").alias("begin"), (F.col("offset") + 1).alias("finish"))).alias("ranges"))
-    # A piece that occurs more than once repeats as a whole, whatever sorting adds.
-    return whole.unionByName(sorted_).unionByName(counted)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT_PIECES, sort_bytes: int = SORT_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges)."""
     source = narrow(docs, doc_id=id_col, text=text_col)
-    source = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    source = source.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("text_key"))
-    scanned = source.select("text_key", "text").mapInArrow(_scan(length, gram), "text_key binary, n_bytes bigint, anchors array<bigint>")
-    texts = materialize(scanned.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors")), "anchors")
-    repeated = texts.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    shared = (
-        texts.select("text_key", F.posexplode("anchors").alias("nth", "anchor"))
-        .join(repeated, "anchor")
-        .groupBy("text_key")
-        .agg(F.collect_list("nth").alias("shared"))
-    )
-    bodies = source.groupBy("text_key").agg(F.first("text").alias("text"))
-    candidates = materialize(bodies.join(shared, "text_key"), "candidates")
-    pieces = candidates.mapInArrow(_pieces(length, gram), "text_key binary, begin bigint, anchor bigint, piece binary, body binary")
-    ranges = _repeated_pieces(pieces, length, hot, sort_bytes)
+    kind = source.schema["doc_id"].dataType.simpleString()
+    source = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.sha2("text", 256)))
+    scanned = source.mapInArrow(_scan(length, gram), f"doc_id {kind}, text_key binary, text string, anchors array<bigint>")
+    store = RowStore(scanned.withColumn("n_bytes", F.octet_length("text").cast("bigint")), "texts")
+    # The first row of each text takes part for all of them.
+    texts = materialize(store.select("text_key").groupBy("text_key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")).select("row", F.least("copies", F.lit(2)).alias("times")), "texts")
+    uses = store.join(texts, "anchors").select("row", "times", F.posexplode("anchors").alias("nth", "anchor"))
+    # A table of its own, so that Spark can split the tasks of an anchor that is everywhere.
+    shared = materialize(uses.groupBy("anchor").agg(F.sum("times").alias("uses")).where("uses > 1").select("anchor"), "shared")
+    asked = uses.join(shared, "anchor").groupBy("row").agg(F.first("times").alias("times"), F.collect_list("nth").alias("shared"))
+    asked = materialize(asked, "asked")
+    cut = store.join(asked, "text").select("row", "times", "shared", "text").mapInArrow(_pieces(length, gram), "row bigint, begin bigint, times bigint, anchor bigint, piece binary, body binary")
+    pieces = RowStore(cut.withColumn("size", F.length("body")), "pieces", "row", store.buckets)
+    for t in (shared, asked):
+        drop_table(t)
+    ranges, tables = _repeated(pieces, length, gram, max(sort_bytes, 2 * length))
     found = (
-        pieces.select("text_key", "begin", "piece")
-        .join(ranges, "piece")
-        .select("text_key", "begin", F.explode("ranges").alias("r"))
-        .groupBy("text_key")
+        pieces.select("begin", "anchor", "piece")
+        .join(ranges, ["anchor", "piece"])
+        .select("row", "begin", F.explode("ranges").alias("r"))
+        .groupBy("row")
         .agg(F.collect_list(F.struct((F.col("begin") + F.col("r.begin")).alias("begin"), (F.col("begin") + F.col("r.finish")).alias("finish"))).alias("found"))
     )
-    span = "array<struct<begin:bigint,finish:bigint>>"
-    edited = candidates.select("text_key", "text").join(found, "text_key").mapInArrow(_cut(length), f"text_key binary, n_removed bigint, spans {span}, kept_sha256 string")
-    base = source.select("doc_id", "text_key", F.octet_length("text").cast("bigint").alias("n_bytes"))
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    everything = F.array(F.struct(F.lit(0).cast("bigint").alias("begin"), F.col("n_bytes").alias("finish")))
-    verdicts = (
-        texts.select("text_key", "copies", "n_bytes")
-        .join(edited, "text_key", "left")
-        .select(
-            "text_key",
-            F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-            F.when(gone, everything).otherwise(F.coalesce("spans", F.array().cast(span))).alias("spans"),
-            F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("text_key")))).alias("kept_sha256"),
-        )
-    )
-    return base.join(verdicts, "text_key").select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256", "spans")
+    found = materialize(found, "found")
+    for t in (pieces.table, *tables):
+        drop_table(t)
+    edited = materialize(store.join(found, "text_key", "text").select("text_key", "text", "found").mapInArrow(_cut(length), f"text_key binary, n_removed bigint, spans {SPANS}, kept_sha256 string"), "edited")
+    base = materialize(store.select("doc_id", "text_key", "n_bytes").drop("part", "row"), "base")
+    for t in (found, texts, store.table):
+        drop_table(t)
+    out = base.join(edited, "text_key", "left")
+    spans = F.coalesce("spans", F.array().cast(SPANS))
+    kept = F.coalesce("kept_sha256", F.lower(F.hex("text_key")))
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.size(spans).cast("bigint").alias("n_spans"), kept.alias("kept_sha256"), spans.alias("spans"))

@@ -23,6 +23,13 @@ def small_suffixes(text: np.ndarray) -> np.ndarray:
     return step[at] > 0
 
 
+def words_at(text: np.ndarray, beyond: int) -> np.ndarray:
+    """The eight bytes from every place on as a little-endian number, zeros behind the end."""
+    padded = np.zeros(len(text) + beyond + 8, dtype=np.uint8)
+    padded[: len(text)] = text
+    return np.ascontiguousarray(np.ndarray(shape=(len(text) + beyond,), dtype="<u8", buffer=padded.data, strides=(1,)))
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Start positions in the order of the suffixes' first ``depth`` bytes."""
     n = len(text)
@@ -30,7 +37,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     small = small_suffixes(text)
     raw = text.tobytes()
-    direct = np.flatnonzero(small).tolist()
+    direct = np.flatnonzero(small)
+    # First by eight bytes at once; the comparison of whole suffixes then finds long runs in order.
+    direct = direct[np.argsort(words_at(text, 8)[direct].byteswap(), kind="stable")].tolist()
     direct.sort(key=lambda i: raw[i : i + depth])
     direct = np.array(direct, dtype=np.int64)
     heads = text[direct] if len(direct) else np.zeros(0, np.uint8)
@@ -78,22 +87,21 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     Compared eight bytes at a time, and only pairs that agree so far go on.
     """
     n = len(text)
-    padded = np.zeros(n + depth + 8, dtype=np.uint8)
-    padded[:n] = text
-    words = np.ndarray(shape=(n + depth,), dtype="<u8", buffer=padded.data, strides=(1,))
+    words = words_at(text, depth)
     out = np.zeros(len(order), dtype=np.int64)
-    live = np.arange(1, len(order))
+    live, one, other = np.arange(1, len(order)), order[1:], order[:-1]
     for at in range(0, depth, 8):
         if not len(live):
             break
-        a, b = words[order[live] + at], words[order[live - 1] + at]
-        same = a == b
-        differ = (a ^ b)[~same]
-        # The lowest differing byte of a little-endian word comes first in the text.
-        low = differ & (~differ + np.uint64(1))
-        out[live[~same]] = at + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
-        live = live[same]
-        out[live] = at + 8
+        bits = words[at:].take(one) ^ words[at:].take(other)
+        differ = np.flatnonzero(bits)
+        if len(differ):
+            # The lowest differing byte of a little-endian word comes first in the text.
+            low = bits[differ] & (~bits[differ] + np.uint64(1))
+            out[live[differ]] = at + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+            same = np.flatnonzero(bits == 0)
+            live, one, other = live[same], one[same], other[same]
+    out[live] = depth
     # A prefix can't reach beyond the end of the text.
     if len(order) > 1:
         out[1:] = np.minimum(out[1:], n - np.maximum(order[1:], order[:-1]))
