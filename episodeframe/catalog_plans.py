@@ -107,20 +107,20 @@ def found_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("sub_tasks")
 def sub_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = taxonomy.task_profiles(one(episodes(spark, sf_dir)))
-    subs = recursion.decompose(profiles, found_of(spark, sf_dir), config=recursion.RecursionConfig(max_nodes=100_000))
+    subs = recursion.decompose(profiles, found_of(spark, sf_dir))
     return rounded(subs.drop("scores", "condition_source"))
 
 
 @register("recursive_gaps")
 def recursive_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = taxonomy.task_profiles(one(episodes(spark, sf_dir)))
-    return rounded(recursion.recursive_gaps(recursion.decompose(profiles, found_of(spark, sf_dir), config=recursion.RecursionConfig(max_nodes=100_000))))
+    return rounded(recursion.recursive_gaps(recursion.decompose(profiles, found_of(spark, sf_dir))))
 
 
 @register("environments")
 def generated_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = taxonomy.task_profiles(one(episodes(spark, sf_dir)))
-    envs = environments.generate(recursion.decompose(profiles, found_of(spark, sf_dir), config=recursion.RecursionConfig(max_nodes=100_000)))
+    envs = environments.generate(recursion.decompose(profiles, found_of(spark, sf_dir)))
     return environments.Registry(envs).active().select("task_id", "parent_task", "phase_tag", F.to_json("reward").alias("reward"))
 
 

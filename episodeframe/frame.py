@@ -107,3 +107,7 @@ class Episodes:
     def write(self, path: str, mode: str = "errorifexists") -> None:
         """Parquet partitioned the way slices read it."""
         self.df.write.mode(mode).partitionBy("model", "run_id").parquet(path)
+
+    def write_jsonl(self, path: str, mode: str = "errorifexists") -> None:
+        """Canonical JSONL, one record a line, absent fields left out; ``read_jsonl`` reads it back."""
+        self.df.write.mode(mode).json(path)

@@ -23,7 +23,6 @@ class RecursionConfig:
     decompose_stuck: bool = True
     decompose_recoverable: bool = True
     require_checkpoints: bool = False
-    max_nodes: int = 100
 
 
 def structural_boundaries(runs: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -101,7 +100,7 @@ def decompose(profiles: DataFrame, found: DataFrame, checkpoints: DataFrame | No
     parents = out.select(F.col("parent_task").alias("sub_task_id")).distinct().withColumn("_deeper", F.lit(True))
     out = out.join(parents, "sub_task_id", "left").withColumn("_deeper", F.coalesce("_deeper", F.lit(False)))
     all_stuck = F.bool_and((F.col("kind") == "stuck") & ~F.col("_deeper")).over(Window.partitionBy("parent_task"))
-    return out.withColumn("recursively_stuck", all_stuck).drop("_deeper").orderBy("sub_task_depth", "sub_task_id").limit(config.max_nodes)
+    return out.withColumn("recursively_stuck", all_stuck).drop("_deeper")
 
 
 def recursive_gaps(sub_tasks: DataFrame, max_depth: int = 3) -> DataFrame:

@@ -19,11 +19,20 @@ _TEXT, _WHOLE, _NUMBER, _FLAG, _MAP, _NULL = "^STRING", "^BIGINT", "^(BIGINT|DOU
 
 def read_jsonl(spark: SparkSession, path: str) -> Episodes:
     """Canonical JSONL; a field outside the schema or a broken line raises."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
+    raw = in_file_order(spark.read.text(path))
     extra = F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, EPISODE.names)))
     bad = F.when(F.size(extra) > 0, F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join(extra, ", "))).cast("string"))
     rec = F.from_json(F.coalesce(bad, F.col("value")), EPISODE, {"mode": "FAILFAST"})
-    return Episodes(_ordered(raw.select(rec.alias("r"), F.monotonically_increasing_id().alias("_i")).select("r.*", "_i")))
+    return Episodes(_ordered(raw.select(rec.alias("r"), F.col("place").alias("_i")).select("r.*", "_i")))
+
+
+def in_file_order(lines: DataFrame) -> DataFrame:
+    """(value, place) of the lines that aren't blank; ``place`` ascends over files in name order and lines in theirs.
+
+    Spark reads parts of files in an order of its own, so they are sorted by file and part first.
+    """
+    read = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_line"))
+    return read.where(F.trim("value") != "").sort("_file", "_part", "_line").select("value", F.monotonically_increasing_id().alias("place"))
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -95,13 +104,13 @@ def checked(converted: DataFrame, strict: bool = True) -> tuple[DataFrame, DataF
 def read_generic(spark: SparkSession, path: str, threshold: float = THRESHOLD, strict: bool = True) -> Episodes:
     """``.jsonl`` line by line; other files as one JSON list or ``{"records": [...]}`` each."""
     if path.rstrip("/").endswith(".jsonl"):
-        raw = spark.read.text(path).where(F.trim("value") != "")
+        raw = in_file_order(spark.read.text(path))
     else:
         whole = spark.read.text(path, wholetext=True)
         items = F.coalesce(F.from_json("value", "array<variant>"), F.from_json("value", "struct<records:array<variant>>")["records"])
-        raw = whole.select(F.posexplode(items).alias("at", "item")).select(F.to_json("item").alias("value"), F.col("at").cast("bigint").alias("place"))
-        return Episodes(checked(convert(raw, order="place", threshold=threshold), strict)[0])
-    return Episodes(checked(convert(raw, threshold=threshold), strict)[0])
+        listed = whole.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(items).alias("at", "item")).sort("_file", "at")
+        raw = listed.select(F.to_json("item").alias("value"), F.monotonically_increasing_id().alias("place"))
+    return Episodes(checked(convert(raw, order="place", threshold=threshold), strict)[0])
 
 
 def from_dicts(spark: SparkSession, rows: list[dict], threshold: float = THRESHOLD, strict: bool = True) -> Episodes:

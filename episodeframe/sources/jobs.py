@@ -19,6 +19,10 @@ from episodeframe.schema import TRAJECTORY
 THRESHOLD = 0.99
 
 
+#: ``ord`` of a job lies below this power of two
+JOB_BITS = 50
+
+
 def _texts(spark: SparkSession, pattern: str, up: int, name: str) -> DataFrame:
     """(trial, name): whole files that match, by the folder ``up`` levels above; none match, none come."""
     try:
@@ -65,7 +69,7 @@ def task_metadata(spark: SparkSession, tasks_dir: str) -> DataFrame:
 
 
 def read_job(spark: SparkSession, job_dir: str, run_id: str | None = None, reward_key: str | None = None, threshold: float = THRESHOLD, strata_from_config: tuple[str, ...] = (), tasks_dir: str | None = None) -> DataFrame:
-    """One job as episodes: trials in name order, numbered within their task; no reward means score 0, ``missing_reward``."""
+    """One job as episodes, numbered within their task; ``ord`` follows the trials' names over the whole job; no reward means score 0, ``missing_reward``."""
     job_dir = job_dir.rstrip("/")
     trials = _texts(spark, f"{job_dir}/*/result.json", 1, "result")
     for name, pattern, up in (("config", "config.json", 1), ("rj", "verifier/reward.json", 2), ("rt", "verifier/reward.txt", 2)):
@@ -89,15 +93,15 @@ def read_job(spark: SparkSession, job_dir: str, run_id: str | None = None, rewar
     return df.select(
         F.lit(run_id or job_dir.rsplit("/", 1)[-1]).alias("run_id"), "model", "task", order.cast("int").alias("episode"), score.alias("score"), success.alias("success"), F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("strata"),
         F.when(F.col("reward").isNull(), "missing_reward").when(~success, "below_threshold").alias("failure_mode"), F.lit(None).cast("int").alias("length"), F.col("trial").alias("trajectory_ref"),
-        F.to_json(F.struct(F.get_json_object("result", "$.trial_name").alias("trial_name"))).alias("meta"), F.xxhash64("trial").alias("_h"),
-    ).withColumn("ord", F.col("episode").cast("bigint")).drop("_h")
+        F.to_json(F.struct(F.get_json_object("result", "$.trial_name").alias("trial_name"))).alias("meta"),
+    ).sort("trajectory_ref").withColumn("ord", F.monotonically_increasing_id())
 
 
 def read_jobs(spark: SparkSession, job_dirs: list[str], **options) -> DataFrame:
-    """Several jobs as repeats: run_id job0, job1, ..."""
+    """Several jobs as repeats: run_id job0, job1, ...; ``ord`` goes on from job to job."""
     out = None
     for i, d in enumerate(job_dirs):
-        job = read_job(spark, d, run_id=f"job{i}", **options)
+        job = read_job(spark, d, run_id=f"job{i}", **options).withColumn("ord", F.col("ord") + F.lit(i << JOB_BITS))
         out = job if out is None else out.unionByName(job)
     return out
 

@@ -155,3 +155,40 @@ def test_stores(spark, tmp_path):
     (tmp_path / "sim.json").write_text(json.dumps({"agents": {"A": {"right_tail": {"mean_gain": 0.1, "ci_low": 0.0, "ci_high": 0.2}}}}))
     assert stores.read_simulation(spark, str(tmp_path / "sim.json"), "A").head()["mean"] == 0.1
     assert stores.read_simulation(spark, str(tmp_path / "none.json"), "A") is None
+
+
+def test_checkpoint_forms():
+    """Every way to add and to state the total, in any spacing and case; what ends a guard and a description."""
+    assert [checkpoints.additions(x) for x in ("SCORE=$((SCORE+2))", "  score = $(( SCORE + 30 ))", "SCORE=$[SCORE + 4]", "SCORE=$( expr $SCORE + 5 )", "SCORE=0", "SCORE=$((SCORE+x))", "a && SCORE=$((SCORE+1)); SCORE=$((SCORE+2))")] == [[2], [30], [4], [5], [], [], [1, 2]]
+    assert [checkpoints.stated_total(x) for x in ('python3 -c "print($SCORE / 100.0)"', "python3 -c 'print($SCORE/7)'", 'echo "$SCORE / 5"', "echo $TOTAL")] == [100, 7, 5, None]
+    text = "\n".join(["# Check: first part", "", "SCORE=$((SCORE + 1))", "if [ ! -f x ]; then", "  exit 1", "fi", "cd x", "run it", "SCORE=$((SCORE + 3))", "python3 -c \"assert d['k'] == 1\" && SCORE=$((SCORE+4))", "python3 -c \"assert 'z' in d\"", "SCORE=$((SCORE+2))"])
+    rows = checkpoints.parse(text, "t")
+    assert [r[3] for r in rows] == ["first part", "Checkpoint", "Checkpoint", "Key z present"]
+    assert [r[7] for r in rows] == ["", "  exit 1\nfi\ncd x\nrun it", "", "python3 -c \"assert 'z' in d\""]
+    assert [r[5] for r in rows] == [1, 3, 4, 2] and rows[0][6] == 10
+    with pytest.raises(ValueError, match="no score"):
+        checkpoints.parse("echo hi", "t")
+
+
+def test_order_over_jobs_and_files(spark, tmp_path):
+    """Trials of several tasks in two jobs, and lines of several files, have one order without ties."""
+    for job in ("j1", "j2"):
+        for k in range(4):
+            d = tmp_path / job / f"trial-{k}"
+            (d / "verifier").mkdir(parents=True)
+            (d / "result.json").write_text(json.dumps({"task_name": f"t{k % 2}", "trial_name": f"trial-{k}"}))
+            (d / "config.json").write_text("{}")
+            (d / "verifier" / "reward.txt").write_text(str(k / 4))
+    rows = jobs.read_jobs(spark, [str(tmp_path / "j1"), str(tmp_path / "j2")]).orderBy("ord").collect()
+    assert len({r["ord"] for r in rows}) == 8
+    assert [(r["run_id"], r["trajectory_ref"].rsplit("/", 1)[-1]) for r in rows] == [(j, f"trial-{k}") for j in ("job0", "job1") for k in range(4)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    record = lambda n: {"run_id": "r", "model": "m", "task": "t", "score": n / 10}
+    (folder / "b.json").write_text(json.dumps([record(3), record(4)]))
+    (folder / "a.json").write_text(json.dumps({"records": [record(n) for n in range(3)]}))
+    got = generic.read_generic(spark, str(folder)).df.orderBy("ord").collect()
+    assert [r["score"] for r in got] == [n / 10 for n in range(5)] and len({r["ord"] for r in got}) == 5
+    generic.from_dicts(spark, [record(n) for n in range(5)]).write_jsonl(str(tmp_path / "out"))
+    back = generic.read_jsonl(spark, str(tmp_path / "out")).df.orderBy("ord").collect()
+    assert [(r["score"], r["task"]) for r in back] == [(n / 10, "t") for n in range(5)]
