@@ -334,8 +334,8 @@ def bradley_terry(ep):
     return ep.sparkSession.createDataFrame([(n, float(s), float(p)) for n, s, p in zip(r["items"], r["strengths"], r["probs"], strict=True)], "model string, strength double, prob double")
 
 
-on_episodes("bootstrap_ci")(lambda ep: inference.bootstrap_ci(ep.where(A()), "mean", ["task"], reps=500))
-on_episodes("bootstrap_vs_repeat")(lambda ep: inference.bootstrap_vs_repeat(ep.where(A()), reps=200))
+on_episodes("bootstrap_ci")(lambda ep: inference.bootstrap_ci(ep.where(A()), "mean", ["task"], reps=5000))
+on_episodes("bootstrap_vs_repeat")(lambda ep: inference.bootstrap_vs_repeat(ep.where(A()), reps=1000))
 
 
 @on_episodes("fit_2pl")

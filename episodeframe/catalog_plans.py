@@ -66,8 +66,8 @@ on_episodes(
 on_episodes("overoptimized_gain", f"{_AF} SELECT task, t, round(round(gap + 1e-9, 4) * greatest(0, least(1, 0.6 * t - 0.15 * t * t)), 6) AS gain FROM p, (SELECT unnest([1.0::DOUBLE, 2.0, 5.0]) AS t)")(
     lambda ep: taxonomy.task_profiles(one(ep)).select("task", F.round(F.col("gap") + 1e-9, 4).alias("gap"), F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(5.0))).alias("t")).select("task", "t", simulation.overoptimized_gain(F.col("gap"), F.col("t")).alias("gain"))
 )
-on_episodes("simulated_gains")(lambda ep: simulation.strategy_results(simulation.simulate_gains(one(ep), 200)))
-on_episodes("simulated_rounds")(lambda ep: simulation.strategy_results(simulation.simulate_rounds(one(ep), 20), "rounds"))
+on_episodes("simulated_gains")(lambda ep: simulation.strategy_results(simulation.simulate_gains(one(ep), 5000)))
+on_episodes("simulated_rounds")(lambda ep: simulation.strategy_results(simulation.simulate_rounds(one(ep), 1000), "rounds"))
 
 
 # ------------------------------------------------------------------ control
