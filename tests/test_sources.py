@@ -164,7 +164,7 @@ def test_checkpoint_forms():
     text = "\n".join(["# Check: first part", "", "SCORE=$((SCORE + 1))", "if [ ! -f x ]; then", "  exit 1", "fi", "cd x", "run it", "SCORE=$((SCORE + 3))", "python3 -c \"assert d['k'] == 1\" && SCORE=$((SCORE+4))", "python3 -c \"assert 'z' in d\"", "SCORE=$((SCORE+2))"])
     rows = checkpoints.parse(text, "t")
     assert [r[3] for r in rows] == ["first part", "Checkpoint", "Checkpoint", "Key z present"]
-    assert [r[7] for r in rows] == ["", "  exit 1\nfi\ncd x\nrun it", "", "python3 -c \"assert 'z' in d\""]
+    assert [r[7] for r in rows] == ["", "exit 1\nfi\ncd x\nrun it", "", "python3 -c \"assert 'z' in d\""]
     assert [r[5] for r in rows] == [1, 3, 4, 2] and rows[0][6] == 10
     with pytest.raises(ValueError, match="no score"):
         checkpoints.parse("echo hi", "t")
