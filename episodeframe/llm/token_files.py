@@ -40,7 +40,7 @@ from episodeframe.llm.shared import materialize, narrow, shared_dir
 
 TOKENIZER_FILE, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 18
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
 CACHE_WORDS, KEPT_WORDS, JOINED = 400_000, 300_000, 500
 #: ASCII punctuation but the apostrophe, which begins pre-tokens of its own
 PUNCTUATION = r'!"#$%&()*+,-./:;<=>?@[\]^_`{|}~'
@@ -164,19 +164,21 @@ class WordEncoder:
         """Ids of different words; new ones are learned."""
         if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
-        table = self.young
+        table, old = self.young, self.old
         found = list(map(table.get, words))
         missing = [w for w, f in zip(words, found, strict=True) if f is None]
-        if missing:
-            if self.old:
-                aged = list(zip(missing, map(self.old.get, missing), strict=True))
-                table.update((w, f) for w, f in aged if f is not None)
-                self._learn([w for w, f in aged if f is None])
+        if not missing:
+            return found
+        fresh = []
+        for w in missing:
+            f = old.get(w)
+            if f is None:
+                fresh.append(w)
             else:
-                self._learn(missing)
-            fill = map(table.__getitem__, missing)
-            found = [f if f is not None else next(fill) for f in found]
-        return found
+                table[w] = f
+        if fresh:
+            self._learn(fresh)
+        return list(map(table.__getitem__, words))
 
     def trim(self) -> None:
         """After a task: the worker may go on to other work, so only the first entries, mostly frequent ones, stay."""
@@ -210,18 +212,13 @@ class WordEncoder:
         lists = pc.utf8_split_whitespace(column)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         words = lists.flatten().dictionary_encode()
-        known = self._lookup(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.kind.itemsize
-        ids = np.frombuffer(b"".join(known), dtype=self.kind)
-        which = words.indices.to_numpy()
-        length = size[which]
-        stop = np.concatenate([[0], np.cumsum(length)])
-        begin = (np.cumsum(size) - size)[which] - stop[:-1]
-        place = np.arange(stop[-1]) + np.repeat(begin, length)
-        edges = stop[offsets]
-        out = np.full(len(place) + len(column), end, dtype=self.kind)
-        out[np.arange(len(place)) + np.repeat(np.arange(len(column)), np.diff(edges))] = ids[place]
-        return out, edges + np.arange(len(column) + 1)
+        known = self._lookup(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # The end id is one more word, behind the last of each text; Arrow gathers the words' bytes.
+        which = np.insert(words.indices.to_numpy(), offsets[1:], len(known))
+        known.append(np.array([end], self.kind).tobytes())
+        gathered = pa.array(known, pa.large_binary()).take(pa.array(which))
+        stop = np.frombuffer(gathered.buffers()[1], dtype=np.int64)[: len(which) + 1] // self.kind.itemsize
+        return np.frombuffer(gathered.buffers()[2], dtype=self.kind, count=int(stop[-1])), stop[offsets + np.arange(len(offsets))]
 
 
 @lru_cache(maxsize=1)
