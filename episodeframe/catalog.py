@@ -481,4 +481,11 @@ register(
     f"{_SEQ}, m AS (SELECT *, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.25 THEN 'medium' ELSE 'low' END AS outcome_class, bool_or(score < 0.5) OVER (PARTITION BY task_path) AS low FROM s) SELECT trial_id, outcome_class, outcome_class = 'high' AND low AS is_recoverable_high FROM m",
     ep=False,
 )(lambda spark, sf_dir: trajectory.recoverable_highs(sequences(spark, sf_dir)).select("trial_id", "outcome_class", "is_recoverable_high"))
-register("retrieve_memories")(lambda spark, sf_dir: rounded(trajectory.retrieve(sequences(spark, sf_dir), "solve task 5", ["read_file", "write_file"], 10).select("rank", "trial_id", "similarity", "task_match", "final_score")))
+register(
+    "retrieve_memories",
+    f"{_SEQ}, {_BAG}, c AS (SELECT trial_id, coalesce(sum(n) FILTER (tool = 'read_file'), 0)::DOUBLE AS nr, coalesce(sum(n) FILTER (tool = 'write_file'), 0)::DOUBLE AS nw, sum(n * n)::DOUBLE AS ss FROM b GROUP BY 1), q AS (SELECT 1 / sqrt(2.0::DOUBLE) AS u), "
+    "m AS (SELECT trial_id, score, (nr * u + nw * u) / sqrt(ss) AS similarity, (1 + contains(task_path, '5')::INT) / 3.0::DOUBLE AS task_match, score >= 0.75 AND bool_or(score < 0.5) OVER (PARTITION BY task_path) AS rh FROM s JOIN c USING (trial_id), q), "
+    "f AS (SELECT *, (0.7::DOUBLE * similarity + 0.3::DOUBLE * task_match) * CASE WHEN rh THEN 1.3::DOUBLE ELSE 1 END AS final_score FROM m) "
+    "SELECT row_number() OVER o::INT AS rank, trial_id, round(similarity, 6) AS similarity, round(task_match, 6) AS task_match, round(final_score, 6) AS final_score FROM f WINDOW o AS (ORDER BY final_score DESC, score DESC, rh DESC, trial_id) ORDER BY rank LIMIT 10",
+    ep=False,
+)(lambda spark, sf_dir: rounded(trajectory.retrieve(sequences(spark, sf_dir), "solve task 5", ["read_file", "write_file"], 10).select("rank", "trial_id", "similarity", "task_match", "final_score")))

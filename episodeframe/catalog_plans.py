@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodeframe.catalog import _PROFILE, CALLS, calls, episodes, on_episodes, pool_records, register, rounded, sequences
+from episodeframe.catalog import _PROFILE, CALLS, calls, episodes, on_episodes, on_pool, register, rounded, sequences
 from episodeframe.operators import pool, taxonomy, trajectory
 from episodeframe.plans import control, curriculum, environments, recursion, simulation
 from episodeframe.sources import generic
@@ -44,7 +44,11 @@ def plan_of(ep: DataFrame) -> DataFrame:
 
 on_episodes("curriculum_order", f"{_AF} SELECT task, round(gap * (1 - consistency), 6) AS priority, row_number() OVER (ORDER BY gap * (1 - consistency) DESC, task)::INT AS position FROM p WHERE kind = 'recoverable'")(lambda ep: plan_of(ep).select("task", "priority", "position"))
 on_episodes("simulated_training", f"{_AF} SELECT task, round(least(1.0, q_star + round_even(0.4 * gap * consistency, 4)), 3) AS score FROM p WHERE kind = 'recoverable'")(lambda ep: curriculum.simulated_training(plan_of(ep)).select("task", F.round("score", 3).alias("score")))
-on_episodes("recommendations")(lambda ep: plan_of(ep).select("task", "recommendation"))
+on_episodes(
+    "recommendations",
+    f"{_PAIRS}, tp AS (SELECT task, count(*) AS n, any_value(h.s) AS r, min(e.score) AS c FROM e JOIN h USING (task) JOIN p USING (task) WHERE e.score < 0.9 * q_star GROUP BY task) "
+    "SELECT task, CASE WHEN n IS NULL THEN concat(task, ' has no pair of runs yet: run it more often.') ELSE printf('Train on %d pair(s): reinforce %.2f against %.2f, a gap of %.2f.', n, r, c, r - c) END AS recommendation FROM p LEFT JOIN tp USING (task) WHERE kind = 'recoverable'",
+)(lambda ep: plan_of(ep).select("task", "recommendation"))
 on_episodes("plan_summary", f"{_AF} SELECT 'AF' AS model, count(*) FILTER (kind = 'recoverable')::BIGINT AS n_recoverable, count(*) FILTER (kind = 'recoverable')::BIGINT AS n_planned, count(*) FILTER (kind = 'recoverable') = 0 AS cycle_complete FROM p")(
     lambda ep: curriculum.plan_summary(plan_of(ep), taxonomy.right_tail(taxonomy.task_profiles(one(ep)))).select("model", "n_recoverable", "n_planned", "cycle_complete")
 )
@@ -71,7 +75,13 @@ on_episodes("simulated_rounds")(lambda ep: simulation.strategy_results(simulatio
 
 
 # ------------------------------------------------------------------ control
-@register("mpc_sequences")
+# A task chosen j times before has 0.6 ** j of its first distance to 1 left.
+@register(
+    "mpc_sequences",
+    "WITH s AS (SELECT id, t, (id // (3 ** (3 - t))::BIGINT) % 3 AS a FROM range(81) r(id), range(4) h(t)), c AS (SELECT *, count(*) OVER (PARTITION BY id, a ORDER BY t) - 1 AS j FROM s) "
+    "SELECT id, round(sum(power(0.99, t) * 0.4 * g * u * power(0.6, j)), 6) AS value FROM c JOIN (VALUES (0, 0.4::DOUBLE, 0.5::DOUBLE), (1, 0.1, 0.8), (2, 0.25, 0.2)) w(a, g, u) USING (a) GROUP BY id",
+    ep=False,
+)
 def mpc_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = [control.CurriculumTask(f"t{i}", g) for i, g in enumerate((0.4, 0.1, 0.25))]
     return rounded(control.MPCCurriculumPlanner(spark, tasks, horizon=4).sequences([0.5, 0.2, 0.8]).select("id", "value"))
@@ -125,7 +135,14 @@ def generated_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VOTES = "select concat('task-', cast(user_id % 5 as varchar(5))) as parent_task, tool as phase_tag, cast(event_id % 30 as int) as entry_step, cast(event_id % 30 + 3 as int) as exit_step, trial_id as agent_name, cast(0.5 as double) as confidence, '' as source from {calls}"
-register("consensus")(lambda spark, sf_dir: rounded(pool.consensus(spark.sql(_VOTES, calls=calls(spark, sf_dir)), tolerance=4).drop("agents")))
+register(
+    "consensus",
+    f"{CALLS.replace('WITH', 'WITH RECURSIVE', 1)}, v AS (SELECT concat('task-', (user_id % 5)::VARCHAR) AS parent_task, tool AS phase_tag, (event_id % 30)::INT AS en, (event_id % 30 + 3)::INT AS ex FROM calls), st AS (SELECT DISTINCT parent_task, phase_tag, en FROM v), "
+    "l AS (SELECT parent_task, phase_tag, min(en) AS en FROM st GROUP BY ALL UNION ALL SELECT l.parent_task, l.phase_tag, min(st.en) FROM l JOIN st ON st.parent_task = l.parent_task AND st.phase_tag = l.phase_tag AND st.en > l.en + 4 GROUP BY 1, 2), "
+    "led AS (SELECT v.*, l.en AS lead FROM v ASOF JOIN l ON v.parent_task = l.parent_task AND v.phase_tag = l.phase_tag AND v.en >= l.en) "
+    "SELECT parent_task, phase_tag, quantile_disc(en, 0.5)::INT AS entry_step, quantile_disc(ex, 0.5)::INT AS exit_step, count(*)::BIGINT AS n_votes, count(*) * 0.5::DOUBLE AS total_confidence, 0.5::DOUBLE AS mean_confidence FROM led GROUP BY parent_task, phase_tag, lead HAVING count(*) >= 2",
+    ep=False,
+)(lambda spark, sf_dir: rounded(pool.consensus(spark.sql(_VOTES, calls=calls(spark, sf_dir)), tolerance=4).drop("agents")))
 register(
     "boundary_variants",
     f"{CALLS}, v AS (SELECT trial_id AS agent_name, tool AS phase_tag, (event_id % 30)::INT AS entry_step, CASE WHEN event_id % 3 = 0 THEN 0 ELSE (event_id % 30 + 3)::INT END AS exit_step FROM calls) SELECT agent_name, phase_tag, entry_step, CASE WHEN exit_step = 0 THEN entry_step ELSE exit_step END AS exit_step, 0.5::DOUBLE AS confidence FROM v",
@@ -170,4 +187,8 @@ def stream_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).groupBy("trial_id").agg(F.max("prefix_len").alias("prefix_len"), F.sum("prefix_len").alias("total"))
 
 
-register("pool_weighted_pairs")(lambda spark, sf_dir: rounded(pool.cross_agent_pairs(pool_records(spark, sf_dir), require_checkpoints=True).select("task", "gap", "attribution")))
+on_pool(
+    "pool_weighted_pairs",
+    ", g AS (SELECT task, count(*) AS n, arg_max({'agent_name': agent_name, 'score': score}, (score, -ord)) AS p, arg_min({'agent_name': agent_name, 'score': score}, (score, ord)) AS m FROM pool GROUP BY task) "
+    "SELECT task, round(p.score - m.score, 6) AS gap, concat(p.agent_name, ' succeeds on ', CASE WHEN least(p.score, 0.5) > least(m.score, 0.5) THEN 'ck0, ck1' ELSE 'ck0' END, ' where ', m.agent_name, ' fails') AS attribution FROM g WHERE n >= 2 AND p.score - m.score >= 0.1",
+)(lambda p: pool.cross_agent_pairs(p, require_checkpoints=True).select("task", "gap", "attribution"))
