@@ -107,9 +107,10 @@ def bandit_posterior(ep):
 
 # ---------------------------------------------------------------- recursion
 def found_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phase changes of a few trials as boundaries of the tasks."""
-    pre = trajectory.prefix_features(calls(spark, sf_dir), "trial_id", ["ts", "event_id"]).withColumn("p_high", F.lit(0.5))
-    b = trajectory.phase_boundaries(pre, "trial_id").withColumn("confidence", F.lit(0.8))
+    """Boundaries that the fitted predictor and the phase changes give, of the best run of each task."""
+    predictor = trajectory.fit_predictor(trajectory.features(sequences(spark, sf_dir)))
+    pre = trajectory.check(trajectory.prefix_features(calls(spark, sf_dir), "trial_id", ["ts", "event_id"]).withColumn("n_steps", F.col("prefix_len")), predictor)
+    b = trajectory.phase_boundaries(pre, "trial_id")
     runs = sequences(spark, sf_dir).select(F.concat(F.lit("task_"), (F.col("user_id") % 200).cast("string")).alias("task"), "trial_id", "score", F.col("user_id").alias("ord"))
     return recursion.structural_boundaries(runs, b.withColumn("prefix_len", F.col("prefix_len").cast("int")))
 
