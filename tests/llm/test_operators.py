@@ -384,6 +384,22 @@ def test_licenses(which, request):
         assert rows.loc[60, "n_base"] == 3 and rows.loc[60, "labels"] == "mit,mit-notice" and rows.loc[61, "base_labels"] == "cc-by,gpl" and "apache-2.0" in rows.loc[62, "labels"]
 
 
+def test_wrapped_notices(spark):
+    """Notices that are wrapped over lines, behind comment signs and anywhere in a text, and texts without spaces."""
+    bsd = "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that"
+    mpl = " * This Source Code Form is subject to the terms\n * of the Mozilla\n * Public License, v. 2.0."
+    rows = [(1, bsd), (2, mpl), *((10 + i, f"{passage(i, i)} {bsd}\n{passage(i, 30)} {mpl}") for i in range(0, 60, 7)), (3, "語" * 300_000), (4, passage(9, 20)), (5, passage(9, 40)), (6, "redistribution " + passage(10, 60) + " and use in source and binary forms with or without modification are")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs).collect()}
+    assert got[1] == "bsd" and got[2] == "mpl-2.0" and all(got[10 + i] == "bsd,mpl-2.0" for i in range(0, 60, 7))
+    assert got[3] == got[4] == got[5] == "" and got[6] == "bsd"
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert dict(con.sql(f"SELECT doc_id, labels FROM ({license_scan.oracle()})").fetchall()) == got
+    with pytest.raises(ValueError):
+        license_scan.scan(docs, templates=(("long", passage(11, 60)),))
+
+
 # --------------------------------------------------------------- 8 toxicity
 def test_toxicity(spark, docs, empty):
     r = random.Random(4)
