@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from episodeframe.catalog import _PROFILE, CALLS, calls, episodes, on_episodes, on_pool, register, rounded, sequences
 from episodeframe.operators import pool, taxonomy, trajectory
-from episodeframe.plans import control, curriculum, environments, recursion, simulation
+from episodeframe.plans import control, curriculum, cycle, environments, recursion, simulation
 from episodeframe.sources import generic
 from episodeframe.streaming import monitor
 
@@ -56,6 +56,13 @@ on_episodes("accumulate", "a AS (SELECT task, min(score) AS s FROM ep WHERE run_
     lambda ep: curriculum.accumulate(ep.where("run_id = 'run_1995'").groupBy("task").agg(F.min("score").alias("s")), ep.where("run_id = 'run_1996'").groupBy("task").agg(F.max("score").alias("s")), ["task"])
 )
 
+on_episodes(
+    "cycle_overview",
+    "g AS (SELECT task, max(score) AS q, avg(score) AS b FROM ep GROUP BY task), k AS (SELECT *, CASE WHEN q = 0 THEN 'stuck' WHEN q - b < 1e-9 THEN 'solid' ELSE 'recoverable' END AS kind FROM g) "
+    "SELECT count(*)::BIGINT AS n_tasks, count(*) FILTER (kind = 'solid')::BIGINT AS n_solid, count(*) FILTER (kind = 'recoverable')::BIGINT AS n_recoverable, count(*) FILTER (kind = 'stuck')::BIGINT AS n_stuck, count(*) FILTER (kind = 'recoverable')::BIGINT AS n_planned, "
+    "count(*) FILTER (kind = 'recoverable') = 0 AS cycle_complete, round(sum(b) / sum(q), 6) AS consistency_index, round(sum(q) - sum(b), 6) AS recoverable_score_left FROM k",
+)(lambda ep: cycle.run_cycle(ep).overview.select("n_tasks", "n_solid", "n_recoverable", "n_stuck", "n_planned", "cycle_complete", "consistency_index", "recoverable_score_left"))
+
 # --------------------------------------------------------------- simulation
 _BEST = "b AS (SELECT task, max(score) AS best FROM e GROUP BY task)"
 on_episodes("select_right_tail", f"{_AF}, {_BEST} SELECT task, run_id, episode, round(score, 6) AS score FROM e JOIN p USING (task) JOIN b USING (task) WHERE kind = 'recoverable' ORDER BY round(gap, 9) DESC, task, (score < 0.9 * best)::INT, ord LIMIT 40")(

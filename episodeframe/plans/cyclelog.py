@@ -35,3 +35,9 @@ class CycleLog:
 
     def export_csv(self, path: str) -> None:
         self.table().orderBy("cycle", "task").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+    def export_json(self, path: str) -> None:
+        """JSON lines in the order of cycle and task; an empty log leaves no file."""
+        rows = self.table()
+        if not rows.isEmpty():
+            rows.orderBy("cycle", "task").write.mode("overwrite").json(path)
