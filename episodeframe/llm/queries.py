@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodeframe.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, license_scan, substring_dedup, suffix_dedup, token_files, toxicity
+from episodeframe.llm import bpe, decontaminate, exact_dedup, importance, jaccard_join, langid, license_scan, substring_dedup, suffix_dedup, token_files, topk_search, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +64,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_token_files, op4_substring_dedup, op5_language_id, op6_jaccard_join, op7_license_scan, op8_toxicity, op9_byte_bpe, op10_suffix_dedup)}
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_token_files, op4_substring_dedup, op5_language_id, op6_jaccard_join, op7_license_scan, op8_toxicity, op9_byte_bpe, op10_suffix_dedup, op11_topk_search, op12_importance_resampling, op13_embedding_whitening)}
