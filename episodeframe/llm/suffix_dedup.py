@@ -9,8 +9,9 @@ work is dealt out in such a way that equal strings always meet:
    have the same verdict, so one of them takes part, counted twice if it has
    copies: that is all that repetition asks for.
 2. Among the ``LENGTH - GRAM + 1`` grams of ``GRAM`` bytes of a window the least
-   hash is its *anchor*.  Equal windows have equal anchors, so windows whose
-   anchor occurs once can't repeat.
+   hash is its *anchor*.  Equal windows have equal anchors, so a window can only
+   repeat if its anchor stands at two places: in two pieces (below), or twice
+   in one.  Both kinds count as two uses, and all that has one use is left out.
 3. Neighbouring windows of one anchor make up a *piece* of text (a longer run is
    cut after ``MOST_WINDOWS``).  Pieces are named by (anchor, BLAKE2b of the
    bytes); of equal pieces one goes on, twice if there are several.
@@ -65,8 +66,26 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors_of(block: Block, length: int, gram: int, most: int = MOST_WINDOWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(low, high, anchor) in block order: runs of window starts with one anchor, of ``most`` at most."""
+def standing_twice(grams: np.ndarray, least: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
+    """For runs of windows: whether the anchor's hash stands at two or more places of the run's grams.
+
+    A gram can be the least of a window only if it equals the greatest of the
+    minima of the windows over it; these few grams are searched, not all.
+    """
+    most = sliding_least(~np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width)
+    places = np.flatnonzero(grams == ~most)
+    known, code = np.unique(grams[places], return_inverse=True)
+    reach = np.int64(len(grams) + 1)
+    keys = np.sort(code * reach + places)
+    of = np.searchsorted(known, anchor) * reach
+    return np.searchsorted(keys, of + high + width - 1, side="right") - np.searchsorted(keys, of + low, side="left") > 1
+
+
+def anchors_of(block: Block, length: int, gram: int, most: int = MOST_WINDOWS, looped: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, anchor) in block order: runs of window starts with one anchor, of ``most`` at most.
+
+    ``looped`` gets, for each array of runs, whether their anchors stand twice.
+    """
     n = len(block.data)
     inside = np.zeros(n + 1, dtype=np.int8)
     whole = block.ends - block.starts >= length
@@ -77,7 +96,8 @@ def anchors_of(block: Block, length: int, gram: int, most: int = MOST_WINDOWS) -
     for at in range(0, max(0, n - length + 1), STRETCH):
         data = block.data[at : at + STRETCH + length - 1]
         grams = np.arange(len(data) - gram + 1, dtype=np.int64)
-        least = sliding_least(span_hash(prefix_hash(data), grams, grams + gram), length - gram + 1)
+        hashes = span_hash(prefix_hash(data), grams, grams + gram)
+        least = sliding_least(hashes, length - gram + 1)
         state = held + np.cumsum(inside[at : at + len(least)], dtype=np.int64)
         held = int(state[-1])
         windows = np.flatnonzero(state)
@@ -93,6 +113,8 @@ def anchors_of(block: Block, length: int, gram: int, most: int = MOST_WINDOWS) -
             high, anchor = np.repeat(high, times), np.repeat(anchor, times)
             low = np.repeat(low, times) + nth * most
             high = np.minimum(high, low + most - 1)
+        if looped is not None:
+            looped.append(standing_twice(hashes, least, low, high, anchor, length - gram + 1))
         lows.append(low + at)
         highs.append(high + at)
         anchors.append(anchor)
@@ -102,10 +124,14 @@ def anchors_of(block: Block, length: int, gram: int, most: int = MOST_WINDOWS) -
 def _scan(length: int, gram: int):
     def run(batches):
         for block in text_blocks(batches):
-            low, _, anchors = anchors_of(block, length, gram)
+            twice: list[np.ndarray] = [np.zeros(0, bool)]
+            low, _, anchors = anchors_of(block, length, gram, looped=twice)
             first = np.append(np.searchsorted(low, block.starts, side="left"), len(low))
             # An empty text shares its start with the next one and has no anchor.
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text_key"), block.column("text"), list_column(anchors.view(np.int64), first, pa.int64())], names=["doc_id", "text_key", "text", "anchors"])
+            looped = np.concatenate(twice)
+            loops = np.append(0, np.cumsum(looped))[first]
+            lists = [list_column(anchors.view(np.int64), first, pa.int64()), list_column(anchors[looped].view(np.int64), loops, pa.int64())]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text_key"), block.column("text"), *lists], names=["doc_id", "text_key", "text", "anchors", "looped"])
 
     return run
 
@@ -333,13 +359,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = narrow(docs, doc_id=id_col, text=text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     source = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.sha2("text", 256)))
-    scanned = source.mapInArrow(_scan(length, gram), f"doc_id {kind}, text_key binary, text string, anchors array<bigint>")
+    scanned = source.mapInArrow(_scan(length, gram), f"doc_id {kind}, text_key binary, text string, anchors array<bigint>, looped array<bigint>")
     store = RowStore(scanned.withColumn("n_bytes", F.octet_length("text").cast("bigint")), "texts")
     # The first row of each text takes part for all of them.
     texts = materialize(store.select("text_key").groupBy("text_key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")).select("row", F.least("copies", F.lit(2)).alias("times")), "texts")
     uses = store.join(texts, "anchors").select("row", "times", F.posexplode("anchors").alias("nth", "anchor"))
     # A table of its own, so that Spark can split the tasks of an anchor that is everywhere.
-    shared = materialize(uses.groupBy("anchor").agg(F.sum("times").alias("uses")).where("uses > 1").select("anchor"), "shared")
+    again = store.join(texts, "looped").select("times", F.explode("looped").alias("anchor"))
+    counted = uses.select("times", "anchor").unionByName(again)
+    shared = materialize(counted.groupBy("anchor").agg(F.sum("times").alias("uses")).where("uses > 1").select("anchor"), "shared")
     asked = uses.join(shared, "anchor").groupBy("row").agg(F.first("times").alias("times"), F.collect_list("nth").alias("shared"))
     asked = materialize(asked, "asked")
     cut = store.join(asked, "text").select("row", "times", "shared", "text").mapInArrow(_pieces(length, gram), "row bigint, begin bigint, times bigint, anchor bigint, piece binary, body binary")

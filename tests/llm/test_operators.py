@@ -562,3 +562,20 @@ def test_pipeline(spark, tmp_path):
     assert docs.count() == len(got) and 5 not in got and 6 in got and set(range(100, 108)) <= set(got)
     assert all(r["n_chars"] == len(r["text"] or "") for r in got.values())
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
+def test_suffix_dedup_of_periodic_texts(spark):
+    """Repeats within one piece: texts of every period, too short for two pieces, each on its own."""
+    r = random.Random(8)
+    rows = []
+    for period in range(1, 200):
+        unit = "".join(chr(r.randrange(33, 0x17F)) for _ in range(period))
+        raw = (unit * 700).encode()[: r.randint(200, 700)].decode("utf-8", "ignore")
+        rows.append((period, raw))
+    rows += [(300, "ab" * 110), (301, "x" * 200), (302, "y" * 201), (303, rows[49][1] + "end" + "q" * 199)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = brute_repeats(rows)
+    assert sorted(map(tuple, got)) == sorted(want)
+    # Some texts of long periods are not twice as long as their window and period.
+    assert 0 < sum(w[2] == 0 for w in want) < len(want) / 2
