@@ -38,6 +38,16 @@ def _setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def restored(spark: SparkSession, *keys: str):
+    """Settings of the session that are as before when the block ends."""
+    with contextlib.ExitStack() as stack:
+        for key in keys:
+            before = spark.conf.get(key, None)
+            stack.callback(spark.conf.unset, key) if before is None else stack.callback(spark.conf.set, key, before)
+        yield
+
+
 def _save(df: DataFrame, label: str, buckets: int = 0, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE} LOCATION '{shared_dir(spark)}/{DATABASE}'")

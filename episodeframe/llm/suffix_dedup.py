@@ -40,8 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from episodeframe.lineage import cut as checkpointed
 from episodeframe.llm.blocks import Block, list_column, prefix_hash, span_hash, text_blocks
-from episodeframe.llm.shared import RowStore, drop_table, materialize, narrow
+from episodeframe.llm.shared import RowStore, drop_table, materialize, narrow, restored
 from episodeframe.llm.suffix_sort import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 64
@@ -355,7 +356,15 @@ def _cut(length: int):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, sort_bytes: int = SORT_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges).
+
+    The work is done by the call; its tables are dropped and the session's settings are as before when it returns.
+    """
+    with restored(docs.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        return _remove_repeats(docs, id_col, text_col, length, gram, sort_bytes)
+
+
+def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, sort_bytes: int) -> DataFrame:
     source = narrow(docs, doc_id=id_col, text=text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     source = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.sha2("text", 256)))
@@ -386,10 +395,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for t in (pieces.table, *tables):
         drop_table(t)
     edited = materialize(store.join(found, "text_key", "text").select("text_key", "text", "found").mapInArrow(_cut(length), f"text_key binary, n_removed bigint, spans {SPANS}, kept_sha256 string"), "edited")
-    base = materialize(store.select("doc_id", "text_key", "n_bytes").drop("part", "row"), "base")
-    for t in (found, texts, store.table):
+    base = store.select("doc_id", "text_key", "n_bytes").drop("part", "row")
+    # Digests and spans only; Spark removes the checkpoint with the last plan that reads it.
+    out = checkpointed(base.join(edited, "text_key", "left"))
+    for t in (found, texts, store.table, edited):
         drop_table(t)
-    out = base.join(edited, "text_key", "left")
     spans = F.coalesce("spans", F.array().cast(SPANS))
     kept = F.coalesce("kept_sha256", F.lower(F.hex("text_key")))
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.size(spans).cast("bigint").alias("n_spans"), kept.alias("kept_sha256"), spans.alias("spans"))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from episodeframe.llm import bpe, chunking, components, decontaminate, exact_dedup, jaccard_join, langid, license_scan, oracles, substring_dedup, suffix_dedup, token_files, toxicity
+from episodeframe.llm import bpe, chunking, components, decontaminate, exact_dedup, jaccard_join, langid, license_scan, oracles, shared, substring_dedup, suffix_dedup, token_files, toxicity
 from episodeframe.llm.blocks import text_blocks
 from episodeframe.llm.fm_index import FMIndex
 from episodeframe.llm.suffix_sort import common_prefixes, suffix_array
@@ -579,3 +579,12 @@ def test_suffix_dedup_of_periodic_texts(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     # Some texts of long periods are not twice as long as their window and period.
     assert 0 < sum(w[2] == 0 for w in want) < len(want) / 2
+
+
+def test_suffix_dedup_leaves_nothing_behind(spark, docs):
+    watched = ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    tables = lambda: {r["tableName"] for r in spark.sql(f"SHOW TABLES IN {shared.DATABASE}").collect()}
+    suffix_dedup.remove_repeats(docs).count()  # the database is there
+    before, settings = tables(), [spark.conf.get(k, None) for k in watched]
+    suffix_dedup.remove_repeats(docs).collect()
+    assert tables() == before and [spark.conf.get(k, None) for k in watched] == settings
