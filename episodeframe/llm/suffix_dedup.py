@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from episodeframe.lineage import cut as checkpointed
 from episodeframe.llm.blocks import Block, list_column, prefix_hash, span_hash, text_blocks
 from episodeframe.llm.shared import RowStore, drop_table, materialize, narrow, restored
-from episodeframe.llm.suffix_sort import common_prefixes, suffix_array
+from episodeframe.llm.suffix_sort import common_to, suffix_array
 
 LENGTH, GRAM = 200, 64
 #: bytes suffix-sorted at once; windows of a piece; bytes whose grams are hashed at once
@@ -67,19 +67,19 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def standing_twice(grams: np.ndarray, least: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
+def standing_twice(grams: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
     """For runs of windows: whether the anchor's hash stands at two or more places of the run's grams.
 
-    A gram can be the least of a window only if it equals the greatest of the
-    minima of the windows over it; these few grams are searched, not all.
+    Anchors are minima, so few grams come up to the greatest of them, and only these are looked up.
     """
-    most = sliding_least(~np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width)
-    places = np.flatnonzero(grams == ~most)
-    known, code = np.unique(grams[places], return_inverse=True)
+    places = np.flatnonzero(grams <= anchor.max())
+    known, code = np.unique(anchor, return_inverse=True)
+    values = grams[places]
+    of = np.searchsorted(known, values)
+    met = known[of] == values
     reach = np.int64(len(grams) + 1)
-    keys = np.sort(code * reach + places)
-    of = np.searchsorted(known, anchor) * reach
-    return np.searchsorted(keys, of + high + width - 1, side="right") - np.searchsorted(keys, of + low, side="left") > 1
+    keys = np.sort(of[met] * reach + places[met])
+    return np.searchsorted(keys, code * reach + high + width - 1, side="right") - np.searchsorted(keys, code * reach + low, side="left") > 1
 
 
 def anchors_of(block: Block, length: int, gram: int, most: int = MOST_WINDOWS, looped: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ def anchors_of(block: Block, length: int, gram: int, most: int = MOST_WINDOWS, l
             low = np.repeat(low, times) + nth * most
             high = np.minimum(high, low + most - 1)
         if looped is not None:
-            looped.append(standing_twice(hashes, least, low, high, anchor, length - gram + 1))
+            looped.append(standing_twice(hashes, low, high, anchor, length - gram + 1))
         lows.append(low + at)
         highs.append(high + at)
         anchors.append(anchor)
@@ -235,7 +235,7 @@ def repeated_windows(bodies: list[bytes], length: int) -> list[list[tuple[int, i
     # No UTF-8 text has byte 0xFF, so no common prefix crosses it.
     text = np.frombuffer(b"\xff".join([*bodies, b""]), dtype=np.uint8)
     order = suffix_array(text, length)
-    again = common_prefixes(text, order, length) >= length
+    again = common_to(text, order, length)
     marked = np.zeros(len(text) + 1, dtype=bool)
     marked[order[again]] = True
     marked[order[np.flatnonzero(again) - 1]] = True

@@ -106,3 +106,20 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     if len(order) > 1:
         out[1:] = np.minimum(out[1:], n - np.maximum(order[1:], order[:-1]))
     return np.minimum(out, depth)
+
+
+def common_to(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """For neighbours in ``order``: whether their common prefix has ``depth`` bytes; the first has none.
+
+    Both ends are compared first, eight bytes each, and what agrees there whole.
+    """
+    out = np.zeros(len(order), dtype=bool)
+    words = words_at(text, depth)
+    one, other = order[1:], order[:-1]
+    alike = np.maximum(one, other) + depth <= len(text)
+    for at in (0, max(0, depth - 8)) if depth >= 8 else ():
+        alike &= words[at:].take(one) == words[at:].take(other)
+    places, raw = np.flatnonzero(alike), text.tobytes()
+    pairs = zip(one[places].tolist(), other[places].tolist(), strict=True)
+    out[places + 1] = np.fromiter((raw[i : i + depth] == raw[j : j + depth] for i, j in pairs), bool, len(places))
+    return out

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from episodeframe.llm import bpe, chunking, components, decontaminate, exact_dedup, jaccard_join, langid, license_scan, oracles, shared, substring_dedup, suffix_dedup, token_files, toxicity
 from episodeframe.llm.blocks import text_blocks
 from episodeframe.llm.fm_index import FMIndex
-from episodeframe.llm.suffix_sort import common_prefixes, suffix_array
+from episodeframe.llm.suffix_sort import common_prefixes, common_to, suffix_array
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, hashes string, node string, items string"
 
@@ -531,6 +531,8 @@ def test_suffix_array():
             a, b = raw[order[k] :], raw[order[k - 1] :]
             c = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
             assert got[k] == min(c, 16)
+        for depth in (1, 5, 8, 16, 60):
+            assert (common_to(x, order, depth) == (common_prefixes(x, order, depth) >= depth)).all()
 
 
 # ------------------------------------------------------------------- SQL
