@@ -194,14 +194,17 @@ FROM ep JOIN (SELECT model, task, min(score) AS lo, max(score) AS hi FROM ep GRO
 ent AS (SELECT model, task, CASE WHEN n < 2 OR lo = hi THEN 0.0 ELSE {_BINS} END AS outcome_entropy FROM bins)"""
 on_episodes(
     "task_taxonomy",
-    f"{_PROFILE} SELECT model, task, kind, round(q_star, 9) AS q_star, round(q_bar, 9) AS q_bar, round(gap, 9) AS gap, round(consistency, 9) AS consistency, len(list_filter(scores, lambda s: s >= 0.9 * q_star AND q_star > 0))::INT AS n_reinforce, len(list_filter(scores, lambda s: s < 0.9 * q_star AND q_star > 0))::INT AS n_contrast FROM profile", places=9)(lambda ep: taxonomy.task_profiles(ep).select("model", "task", "kind", "q_star", "q_bar", "gap", "consistency", F.size("reinforce_idx").alias("n_reinforce"), F.size("contrast_idx").alias("n_contrast")))
+    f"{_PROFILE} SELECT model, task, kind, round(q_star, 9) AS q_star, round(q_bar, 9) AS q_bar, round(gap, 9) AS gap, round(consistency, 9) AS consistency, len(list_filter(scores, lambda s: s >= 0.9 * q_star AND q_star > 0))::INT AS n_reinforce, len(list_filter(scores, lambda s: s < 0.9 * q_star AND q_star > 0))::INT AS n_contrast FROM profile", places=9)(lambda ep: taxonomy.task_profiles(ep).select("model", "task", "kind", "q_star", "q_bar", "gap", "consistency", "n_reinforce", "n_contrast"))
 on_episodes("outcome_entropy", f"{_ENTROPY} SELECT model, task, round(outcome_entropy, 6) AS outcome_entropy FROM ent")(lambda ep: taxonomy.task_profiles(ep).select("model", "task", "outcome_entropy"))
-on_episodes(
-    "reinforce_indices",
-    f"{_PROFILE}, x AS (SELECT model, task, q_star, unnest(scores) AS s, unnest(range(0, len(scores))) AS i FROM profile) SELECT model, task, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (q_star > 0 AND s >= 0.9 * q_star), '') AS reinforce FROM x GROUP BY model, task",
-)(lambda ep: taxonomy.task_profiles(ep).select("model", "task", F.array_join(F.transform("reinforce_idx", lambda i: i.cast("string")), ",").alias("reinforce")))
 _TAIL = """SELECT model, count(*)::BIGINT AS n_tasks, sum(len(scores))::BIGINT AS n_episodes, count(*) FILTER (kind = 'solid')::BIGINT AS n_solid, count(*) FILTER (kind = 'recoverable')::BIGINT AS n_recoverable, count(*) FILTER (kind = 'stuck')::BIGINT AS n_stuck,
 round(sum(gap), 6) AS total_gap, round(sum(q_star), 6) AS sum_q_star, round(sum(q_bar), 6) AS sum_q_bar, round(count(*) FILTER (kind = 'recoverable') / count(*), 6) AS pct_recoverable, round(sum(q_bar) / sum(q_star), 6) AS consistency_index FROM profile GROUP BY model"""
+on_episodes(
+    "reinforce_indices",
+    f"{_PROFILE}, x AS (SELECT model, task, q_star, unnest(scores) AS s, unnest(range(0, len(scores))) AS i FROM profile) SELECT model, task, i::BIGINT AS attempt, round(q_star - s, 6) AS residual, CASE WHEN q_star > 0 THEN s >= 0.9 * q_star END AS reinforce FROM x",
+)(lambda ep: taxonomy.attempts(ep).select("model", "task", "attempt", "residual", "reinforce"))
+on_episodes("compare_agents", f"{_PROFILE}, tail AS ({_TAIL}) SELECT model, n_tasks, n_recoverable, round(pct_recoverable, 3) AS pct_recoverable, round(total_gap, 4) AS total_gap, round(sum_q_star, 4) AS sum_q_star, round(sum_q_bar, 4) AS sum_q_bar, round(consistency_index, 4) AS consistency_index FROM tail")(
+    lambda ep: taxonomy.compare_agents(taxonomy.task_profiles(ep))
+)
 on_episodes("right_tail_report", f"{_PROFILE} {_TAIL}")(lambda ep: taxonomy.right_tail(taxonomy.task_profiles(ep)))
 on_episodes("recoverable_priority", f"{_PROFILE} SELECT model, task, round(gap, 6) AS gap, round(gap * (1 - consistency), 6) AS priority FROM profile WHERE kind = 'recoverable' ORDER BY gap DESC, task, model LIMIT 25")(
     lambda ep: taxonomy.task_profiles(ep).where("kind = 'recoverable'").select("model", "task", "gap", "priority").orderBy(F.desc("gap"), "task", "model").limit(25)

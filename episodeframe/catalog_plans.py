@@ -122,22 +122,28 @@ def found_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursion.structural_boundaries(runs, b.withColumn("prefix_len", F.col("prefix_len").cast("int")))
 
 
+def scored_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of one agent (a decomposition is made for one), with the scores of its attempts."""
+    ep = one(episodes(spark, sf_dir))
+    return taxonomy.with_scores(taxonomy.task_profiles(ep), ep)
+
+
 @register("sub_tasks")
 def sub_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = taxonomy.task_profiles(one(episodes(spark, sf_dir)))
+    profiles = scored_profiles(spark, sf_dir)
     subs = recursion.decompose(profiles, found_of(spark, sf_dir))
     return rounded(subs.drop("scores", "condition_source"))
 
 
 @register("recursive_gaps")
 def recursive_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = taxonomy.task_profiles(one(episodes(spark, sf_dir)))
+    profiles = scored_profiles(spark, sf_dir)
     return rounded(recursion.recursive_gaps(recursion.decompose(profiles, found_of(spark, sf_dir))))
 
 
 @register("environments")
 def generated_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = taxonomy.task_profiles(one(episodes(spark, sf_dir)))
+    profiles = scored_profiles(spark, sf_dir)
     envs = environments.generate(recursion.decompose(profiles, found_of(spark, sf_dir)))
     return environments.Registry(envs).active().select("task_id", "parent_task", "phase_tag", F.to_json("reward").alias("reward"))
 

@@ -2,8 +2,8 @@
 
 Quantile statistics work on the *distribution table* ``(keys, score, n)``: a
 partial aggregate shrinks the episodes to one row per different score before
-anything is shuffled, and percentiles, tail means and variances come from the
-counts.
+anything is shuffled, and quantiles, tail means and variances come from the
+counts.  Quantiles are exact at any number of different values (``quantiles``).
 """
 
 from __future__ import annotations
@@ -12,17 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodeframe.functions.columns import known_keys, pass_at, pass_hat
+from episodeframe.operators.quantiles import quantiles
+from episodeframe.operators.scans import Running, running
 
 
 def distribution(df: DataFrame, by: list[str] = (), value: str = "score") -> DataFrame:
     return known_keys(df, by).where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quantiles(dist: DataFrame, by: list[str], levels: dict[str, float]) -> DataFrame:
-    p = F.percentile("score", F.array(*(F.lit(float(x)) for x in levels.values())), F.col("n"))
-    return dist.groupBy(*by).agg(p.alias("_q")).select(*by, *(F.col("_q")[i].alias(name) for i, name in enumerate(levels)))
-
-
 def _with(dist: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
     """Group values beside every row of their group; the optimiser picks the join."""
     return dist.join(small, list(by)) if by else dist.crossJoin(small)
@@ -35,18 +32,18 @@ def _mean_where(cond: Column) -> Column:
 def iqm(df: DataFrame, by: list[str] = (), value: str = "score") -> DataFrame:
     """Mean of the values between the quartiles, both included."""
     dist = distribution(df, by, value)
-    both = _with(dist, _quantiles(dist, by, {"_lo": 0.25, "_hi": 0.75}), by)
+    both = _with(dist, quantiles(dist, by, {"_lo": 0.25, "_hi": 0.75}), by)
     return both.groupBy(*by).agg(_mean_where(F.col("score").between(F.col("_lo"), F.col("_hi"))).alias("iqm"))
 
 
 def value_at_risk(df: DataFrame, by: list[str] = (), alpha: float = 0.1, tail: str = "lower") -> DataFrame:
-    return _quantiles(distribution(df, by), by, {"var": alpha if tail == "lower" else 1 - alpha})
+    return quantiles(distribution(df, by), by, {"var": alpha if tail == "lower" else 1 - alpha})
 
 
 def cvar(df: DataFrame, by: list[str] = (), alpha: float = 0.1, tail: str = "lower") -> DataFrame:
     """Mean of the tail up to its quantile, the quantile included."""
     dist = distribution(df, by)
-    both = _with(dist, _quantiles(dist, by, {"_v": alpha if tail == "lower" else 1 - alpha}), by)
+    both = _with(dist, quantiles(dist, by, {"_v": alpha if tail == "lower" else 1 - alpha}), by)
     inside = F.col("score") <= F.col("_v") if tail == "lower" else F.col("score") >= F.col("_v")
     return both.groupBy(*by).agg(_mean_where(inside).alias("cvar"))
 
@@ -92,20 +89,22 @@ def summarize(df: DataFrame, by: list[str] = (), alpha: float = 0.1, ks: tuple[i
     clean = known_keys(df, by)
     dist = clean.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("success").cast("bigint")).alias("_won"))
     q = dist.groupBy(*by).agg(
-        F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(alpha)), F.col("n")).alias("_q"),
         F.sum("n").alias("n_episodes"),
         (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"),
         (F.sum("_won") / F.sum("n")).alias("success_rate"),
     )
-    both = _with(dist, q, by)
+    # A null score counts as an episode but has no rank.
+    ranked = dist.where(F.col("score").isNotNull())
+    ends = quantiles(ranked, by, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75, "_qa": alpha})
+    both = _with(dist, _with(q, ends, by), by)
     tails = both.groupBy(*by).agg(
         F.first("n_episodes").alias("n_episodes"),
         F.first("mean").alias("mean"),
-        _mean_where(F.col("score").between(F.col("_q")[0], F.col("_q")[2])).alias("iqm"),
-        F.first(F.col("_q")[1]).alias("median"),
+        _mean_where(F.col("score").between(F.col("_q1"), F.col("_q3"))).alias("iqm"),
+        F.first("_q2").alias("median"),
         F.sqrt(F.sum(F.col("n") * F.pow(F.col("score") - F.col("mean"), 2)) / F.greatest(F.first("n_episodes") - 1, F.lit(1))).alias("std"),
-        F.first(F.col("_q")[3]).alias("var_a"),
-        _mean_where(F.col("score") <= F.col("_q")[3]).alias("cvar_a"),
+        F.first("_qa").alias("var_a"),
+        _mean_where(F.col("score") <= F.col("_qa")).alias("cvar_a"),
         F.first("success_rate").alias("success_rate"),
     )
     n, c = F.col("n"), F.col("c")
@@ -128,41 +127,29 @@ def performance_profile(df: DataFrame, taus: list[float] | None = None, by: list
 
 
 def _cumulative(dist: DataFrame, grid: DataFrame, by: list[str], at: str, upper: bool) -> DataFrame:
-    """For each grid point the share of the group's rows at or above (below) it, by one running sum."""
-    from pyspark.sql import Window
-
+    """For each grid point the share of the group's rows at or above (below) it, by one running sum over ranges of values."""
     points = grid.select(*by, F.col(at).alias("_x"), F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("_point"))
     values = dist.select(*by, F.col("score").alias("_x"), "n", F.lit(0).alias("_point"))
-    keys = list(by) or [F.lit(0)]
     order = F.col("_x").desc() if upper else F.col("_x").asc()
-    run = Window.partitionBy(*keys).orderBy(order, "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    both = points.unionByName(values).withColumn("_cum", F.sum("n").over(run)).withColumn("_all", F.sum("n").over(whole))
-    return both.where("_point = 1").select(*by, F.col("_x").alias(at), (F.col("_cum") / F.col("_all")).alias("fraction"))
+    both = running(points.unionByName(values), [order, "_point"], list(by), {"_cum": Running("sum", F.col("n"))})
+    whole = dist.groupBy(*by).agg(F.sum("n").alias("_all"))
+    return _with(both.where("_point = 1"), whole, by).select(*by, F.col("_x").alias(at), (F.col("_cum") / F.col("_all")).alias("fraction"))
 
 
 def ecdf(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """(keys, score, cdf): one row for each different score."""
-    from pyspark.sql import Window
-
-    keys = list(by) or [F.lit(0)]
-    run = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dist = distribution(df, by)
-    return dist.select(*by, "score", (F.sum("n").over(run) / F.sum("n").over(Window.partitionBy(*keys))).alias("cdf"))
+    run = running(dist, ["score"], list(by), {"_cum": Running("sum", F.col("n"))})
+    return _with(run, dist.groupBy(*by).agg(F.sum("n").alias("_all")), by).select(*by, "score", (F.col("_cum") / F.col("_all")).alias("cdf"))
 
 
 def meta_distribution(df: DataFrame, stat: Column, run: str = "run_id", ci: float = 0.95, by: list[str] = ()) -> DataFrame:
     """Distribution of an aggregate ``stat`` over runs: n_repeats, mean, std, lo, hi, spread."""
     per_run = known_keys(df, [*by, run]).groupBy(*by, run).agg(stat.alias("stat"))
     tail = (1 - ci) / 2
-    return per_run.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_repeats"),
-        F.avg("stat").alias("mean"),
-        F.coalesce(F.stddev_samp("stat"), F.lit(0.0)).alias("std"),
-        F.percentile("stat", F.lit(tail)).alias("lo"),
-        F.percentile("stat", F.lit(1 - tail)).alias("hi"),
-        (F.max("stat") - F.min("stat")).alias("spread"),
-    )
+    g = per_run.groupBy(*by).agg(F.count(F.lit(1)).alias("n_repeats"), F.avg("stat").alias("mean"), F.coalesce(F.stddev_samp("stat"), F.lit(0.0)).alias("std"), (F.max("stat") - F.min("stat")).alias("spread"))
+    ends = quantiles(distribution(per_run, by, "stat"), by, {"lo": tail, "hi": 1 - tail})
+    return _with(g, ends, by).select(*by, "n_repeats", "mean", "std", "lo", "hi", "spread")
 
 
 def gap_is_real(df: DataFrame, a: Column, b: Column, stat: Column, run: str = "run_id") -> DataFrame:
@@ -184,7 +171,7 @@ def reduce_scores(df: DataFrame, value: str = "score", alpha: float = 0.1) -> Da
     """One row: n, n_missing, mean (0 when empty), iqm, std, var_a, cvar_a, min, frac_zero."""
     dist = distribution(df, [], value)
     missing = df.agg(F.count(F.lit(1)).alias("_all"), F.sum(F.col(value).isNull().cast("bigint")).alias("n_missing"))
-    q = _quantiles(dist, [], {"_lo": 0.25, "_hi": 0.75, "_v": alpha})
+    q = quantiles(dist, [], {"_lo": 0.25, "_hi": 0.75, "_v": alpha})
     s = dist.crossJoin(q).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.col("score") * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("mean"),

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodeframe.operators.scans import Running, beside, running
+
 
 def from_episodes(df: DataFrame, agent: str | None = None) -> DataFrame:
     """Episodes as pool records; the agent is the model unless named."""
@@ -110,11 +112,11 @@ def cross_agent_pairs(pool: DataFrame, min_gap: float = 0.1, require_checkpoints
 
 def weighted_median(df: DataFrame, value: str, weight: str, by: list[str] = ()) -> DataFrame:
     """First value at which the cumulative weight reaches one half."""
-    keys = list(by) or [F.lit(0)]
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    cum = sums.withColumns({"_c": F.sum("_w").over(run), "_t": F.sum("_w").over(Window.partitionBy(*keys))})
-    return cum.where(F.col("_c") >= F.col("_t") / 2).groupBy(*by).agg(F.min(value).alias("weighted_median"))
+    keys = list(by)
+    sums = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+    cum = running(sums, [value], keys, {"_c": Running("sum", F.col("_w"))})
+    whole = beside(cum, sums.groupBy(*keys).agg(F.sum("_w").alias("_t")), keys)
+    return whole.where(F.col("_c") >= F.col("_t") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
 
 
 def variants(graphs: DataFrame) -> DataFrame:

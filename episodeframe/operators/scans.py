@@ -119,3 +119,12 @@ def running(df: DataFrame, order: list[str | Column], by: list[str], columns: di
         return F.coalesce(merged, F.lit(0).cast("bigint")) if c.kind == "count" else merged
 
     return joined.select(*(F.col(f"r.`{c}`") for c in df.columns), *(result(i, c).alias(name) for i, (name, c) in enumerate(columns.items())))
+
+
+def beside(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """The values of each group beside its rows, null keys included; without keys ``groups`` has one row."""
+    if not keys:
+        return df.crossJoin(groups)
+    named = groups.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    meet = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
+    return df.join(named, meet).drop(*(f"_g_{k}" for k in keys))

@@ -5,35 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodeframe.functions.columns import entropy, known_keys
+from episodeframe.functions.columns import known_keys
+from episodeframe.operators.scans import Running, running
 
-REINFORCE = 0.9
+REINFORCE, BINS = 0.9, 5
 
 
 def task_profiles(df: DataFrame, by: list[str] = ("model",), threshold: float = REINFORCE, order: str = "ord") -> DataFrame:
-    """One row for each (keys, task): scores in order, q_star, q_bar, gap, consistency, kind, residuals, indices, entropy, priority.
+    """One row for each (keys, task): n_attempts, q_star, q_bar, difficulty, gap, kind, consistency, n_reinforce, n_contrast, outcome_entropy, priority, priority_eig.
 
-    Attempts at one task of one agent are few, so the array of a group is small.
+    Everything comes from the distribution table, so a task may have any number
+    of attempts; the attempts themselves are rows of ``attempts``.  Attempts
+    without a score count for ``n_attempts`` only; the difficulty is that of the
+    first attempt in ``order``.
     """
-    rows = known_keys(df, [*by, "task"])
-    difficulty = F.min_by("s_difficulty", order) if "s_difficulty" in df.columns else F.lit(None).cast("string")
-    g = rows.groupBy(*by, "task").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("score").alias("s")))).alias("_a"), F.max("score").alias("q_star"), F.avg("score").alias("q_bar"), difficulty.alias("difficulty"))
-    g = g.withColumn("scores", F.transform("_a", lambda x: x["s"])).drop("_a").withColumn("gap", F.col("q_star") - F.col("q_bar"))
-    kind = F.when(F.col("q_star") == 0, "stuck").when(F.col("gap") < 1e-9, "solid").otherwise("recoverable")
-    g = g.withColumn("kind", kind)
-    kappa = F.when(F.col("kind") == "stuck", 0.0).when(F.col("kind") == "solid", 1.0).otherwise(F.col("q_bar") / F.col("q_star"))
-    index = lambda keep: F.when(F.col("q_star") > 0, F.filter(F.transform("scores", lambda s, i: F.when(keep(s), i)), lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
-    high = F.lit(threshold) * F.col("q_star")
-    return g.select(
-        "*",
-        kappa.alias("consistency"),
-        F.transform("scores", lambda s: F.col("q_star") - s).alias("residuals"),
-        index(lambda s: s >= high).alias("reinforce_idx"),
-        index(lambda s: s < high).alias("contrast_idx"),
-        entropy(F.col("scores")).alias("outcome_entropy"),
-        (F.col("gap") * (1 - kappa)).alias("priority"),
-        (entropy(F.col("scores")) * (1 - kappa)).alias("priority_eig"),
+    keys = [*by, "task"]
+    rows = known_keys(df, keys)
+    difficulty = F.col("s_difficulty") if "s_difficulty" in df.columns else F.lit(None).cast("string")
+    place = F.col(order) if order in df.columns else F.lit(0)
+    dist = rows.groupBy(*keys, "score", difficulty.alias("difficulty")).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
+    scored = F.when(F.col("score").isNotNull(), F.col("_n"))
+    whole = dist.groupBy(*keys).agg(
+        F.sum("_n").alias("n_attempts"), F.sum(scored).alias("_scored"), F.max("score").alias("q_star"), F.min("score").alias("_low"),
+        (F.sum(F.col("score") * F.col("_n")) / F.sum(scored)).alias("q_bar"), F.min_by("difficulty", "_first").alias("difficulty"),
+    )
+    both = dist.drop("difficulty", "_first").join(whole, keys)
+    step = (F.col("q_star") - F.col("_low")) / BINS
+    edge = lambda i: F.col("_low") + i * step
+    inside = lambda i: (F.col("score") >= edge(i)) & ((F.col("score") <= F.col("q_star")) if i == BINS - 1 else (F.col("score") < edge(i + 1)))
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0))
+    high = F.col("score") >= F.lit(threshold) * F.col("q_star")
+    some = F.col("q_star") > 0
+    g = both.groupBy(*keys, *(c for c in whole.columns if c not in keys)).agg(
+        count(some & high).cast("int").alias("n_reinforce"), count(some & ~high).cast("int").alias("n_contrast"), *(count(inside(i)).alias(f"_b{i}") for i in range(BINS))
     )
+    total = F.lit(0.0)
+    for i in range(BINS):
+        share = F.col(f"_b{i}") / F.col("_scored")
+        total = total - F.when(share > 0, share * F.log(share)).otherwise(0.0)
+    entropy = F.when((F.col("_scored") < 2) | (F.col("_low") == F.col("q_star")), F.lit(0.0)).otherwise(total)
+    gap = F.col("q_star") - F.col("q_bar")
+    kind = F.when(F.col("q_star") == 0, "stuck").when(gap < 1e-9, "solid").otherwise("recoverable")
+    kappa = F.when(F.col("kind") == "stuck", 0.0).when(F.col("kind") == "solid", 1.0).otherwise(F.col("q_bar") / F.col("q_star"))
+    g = g.withColumns({"gap": gap, "kind": kind, "outcome_entropy": entropy}).withColumn("consistency", kappa)
+    g = g.withColumns({"priority": F.col("gap") * (1 - F.col("consistency")), "priority_eig": F.col("outcome_entropy") * (1 - F.col("consistency"))})
+    return g.select(*keys, "n_attempts", "q_star", "q_bar", "difficulty", "gap", "kind", "consistency", "n_reinforce", "n_contrast", "outcome_entropy", "priority", "priority_eig")
+
+
+def attempts(df: DataFrame, by: list[str] = ("model",), threshold: float = REINFORCE, order: str = "ord") -> DataFrame:
+    """One row for each attempt: keys, task, attempt (from 0, in ``order``), score, residual to the best, reinforce (null for stuck tasks).
+
+    Numbered by a scan, so one task's attempts may spread over many partitions.
+    """
+    keys = [*by, "task"]
+    numbered = running(known_keys(df, keys), [order], keys, {"_i": Running("count")})
+    best = known_keys(df, keys).groupBy(*keys).agg(F.max("score").alias("_best"))
+    both = numbered.join(best, keys)
+    return both.select(*keys, (F.col("_i") - 1).alias("attempt"), "score", (F.col("_best") - F.col("score")).alias("residual"), F.when(F.col("_best") > 0, F.col("score") >= F.lit(threshold) * F.col("_best")).alias("reinforce"))
+
+
+def with_scores(profiles: DataFrame, df: DataFrame, by: list[str] = ("model",), order: str = "ord") -> DataFrame:
+    """Profiles with ``scores``, the attempts' scores in order: for plans of one agent, whose tasks have few attempts each."""
+    keys = [*by, "task"]
+    lists = known_keys(df, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("score").alias("s")))), lambda x: x["s"]).alias("scores"))
+    return profiles.join(lists, keys)
 
 
 def right_tail(profiles: DataFrame, by: list[str] = ("model",)) -> DataFrame:
@@ -41,7 +76,7 @@ def right_tail(profiles: DataFrame, by: list[str] = ("model",)) -> DataFrame:
     n = lambda kind: F.sum((F.col("kind") == kind).cast("bigint"))
     g = profiles.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_tasks"),
-        F.sum(F.size("scores")).alias("n_episodes"),
+        F.sum("n_attempts").alias("n_episodes"),
         n("solid").alias("n_solid"),
         n("recoverable").alias("n_recoverable"),
         n("stuck").alias("n_stuck"),

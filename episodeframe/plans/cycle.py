@@ -97,7 +97,7 @@ def run_cycle(
         plan = plan.withColumn("divergence_step", F.lit(0))
     subs, n_sub = None, 0
     if recursive is not None:
-        subs = recursion.decompose(profiles, _found(profiles, runs if has_runs else None, prefixes), checkpoints, recursive)
+        subs = recursion.decompose(taxonomy.with_scores(profiles, eps, by=[]), _found(profiles, runs if has_runs else None, prefixes), checkpoints, recursive)
         plan, n_sub = attach_sub_tasks(plan, subs), subs.count()
     summary = curriculum.plan_summary(plan, report)
     about = {"agent": F.lit(agent), "model": F.lit(model), "cycle": F.lit(cycle), "n_trajectories": F.lit(runs.count() if has_runs else 0), "recursive": F.lit(recursive is not None), "n_decomposed": F.lit(n_sub)}

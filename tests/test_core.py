@@ -55,10 +55,13 @@ def test_null_keys_are_no_group(spark):
 
 
 def test_taxonomy(spark):
-    got = {r["task"]: r for r in taxonomy.task_profiles(eps(spark, {"s": [1, 1, 1], "h": [0.5, 0.5], "r": [0, 1, 1], "q": [0, 0, 1], "z": [0, 0, 0], "o": [0.7]})).collect()}
+    df = eps(spark, {"s": [1, 1, 1], "h": [0.5, 0.5], "r": [0, 1, 1], "q": [0, 0, 1], "z": [0, 0, 0], "o": [0.7]})
+    got = {r["task"]: r for r in taxonomy.task_profiles(df).collect()}
     assert [got[t]["kind"] for t in "shrqzo"] == ["solid", "solid", "recoverable", "recoverable", "stuck", "solid"]
     assert got["r"]["gap"] == pytest.approx(1 / 3) and got["q"]["consistency"] == pytest.approx(1 / 3) and got["z"]["consistency"] == 0
-    assert got["r"]["reinforce_idx"] == [1, 2] and got["r"]["contrast_idx"] == [0] and got["z"]["reinforce_idx"] == []
+    assert (got["r"]["n_reinforce"], got["r"]["n_contrast"], got["z"]["n_reinforce"], got["z"]["n_contrast"]) == (2, 1, 0, 0)
+    rows = {(r["task"], r["attempt"]): r["reinforce"] for r in taxonomy.attempts(df).collect()}
+    assert [rows["r", i] for i in range(3)] == [False, True, True] and rows["z", 0] is None
 
 
 @settings(max_examples=15, deadline=None)

@@ -99,7 +99,8 @@ def test_curriculum(spark):
 
 
 def test_recursion_and_environments(spark, tmp_path):
-    prof = taxonomy.task_profiles(eps(spark, {"easy-1": [0, 0, 0], "medium-2": [0.8, 0.5, 0.6], "done": [1, 1]}))
+    df = eps(spark, {"easy-1": [0, 0, 0], "medium-2": [0.8, 0.5, 0.6], "done": [1, 1]})
+    prof = taxonomy.with_scores(taxonomy.task_profiles(df), df)
     found = spark.createDataFrame([("easy-1", [(1, "read", 0.9), (3, "write", 0.9), (5, "exec", 0.9)]), ("medium-2", [(1, "read", 0.9), (3, "write", 0.9)])], "task string, found array<struct<exit_step:int,phase_tag:string,confidence:double>>")
     specs = spark.createDataFrame([("medium-2", i, f"medium-2::phase-{i}", f"part {i}", w, "test -f x") for i, w in enumerate([0.1, 0.25, 0.25, 0.2, 0.2])], "task_name string, index int, checkpoint_id string, description string, reward_weight double, condition_source string")
     subs = recursion.decompose(prof, found, specs).cache()
