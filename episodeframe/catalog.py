@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodeframe.functions import special
-from episodeframe.operators import compare, failure, inference, metrics, pool, taxonomy, trajectory, windows
+from episodeframe.operators import compare, failure, inference, metrics, pool, retrieval, taxonomy, trajectory, windows
 
 EPISODES_SQL = """
 select run_id, model, task, cast(episode as int) as episode, score, success, s_difficulty, length,
@@ -476,7 +476,7 @@ register(
 
 def _similar(s: DataFrame) -> DataFrame:
     queries = s.where("user_id % 20 = 0").withColumn("query_id", F.col("trial_id")).drop("trial_id")
-    return rounded(trajectory.most_similar(queries, s).select("query_id", "outcome", "rank", "trial_id", "similarity"))
+    return rounded(retrieval.most_similar(queries, s).select("query_id", "outcome", "rank", "trial_id", "similarity"))
 
 
 register(
@@ -492,3 +492,43 @@ register(
     "SELECT row_number() OVER o::INT AS rank, trial_id, round(similarity, 6) AS similarity, round(task_match, 6) AS task_match, round(final_score, 6) AS final_score FROM f WINDOW o AS (ORDER BY final_score DESC, score DESC, rh DESC, trial_id) ORDER BY rank LIMIT 10",
     ep=False,
 )(lambda spark, sf_dir: rounded(trajectory.retrieve(sequences(spark, sf_dir), "solve task 5", ["read_file", "write_file"], 10).select("rank", "trial_id", "similarity", "task_match", "final_score")))
+
+
+def _asked(s: DataFrame) -> DataFrame:
+    """The queries: trials of every twentieth user, with a task's words."""
+    return s.where("user_id % 20 = 0").select(F.col("trial_id").alias("query_id"), F.concat(F.lit("Solve task "), (F.col("user_id") % 7).cast("string")).alias("description"), "tool_sequence")
+
+
+_DOT = "dot AS (SELECT q.trial_id AS query_id, b.trial_id, sum(b.n * q.n) AS dot FROM b JOIN b q USING (tool) GROUP BY 1, 2), ss AS (SELECT trial_id, sum(n * n) AS ss FROM b GROUP BY 1)"
+register(
+    "retrieve_many",
+    f"{_SEQ}, {_BAG}, {_DOT}, q AS (SELECT trial_id AS query_id, user_id % 7 AS d FROM s WHERE user_id % 20 = 0), "
+    "r AS (SELECT *, score >= 0.75 AND bool_or(score < 0.5) OVER (PARTITION BY task_path) AS rh FROM s), "
+    "m AS (SELECT q.query_id, r.trial_id, score, rh, round(coalesce(dot, 0) / sqrt((a.ss * z.ss)::DOUBLE), 12) AS similarity, (1 + contains(task_path, d::VARCHAR)::INT) / 3.0::DOUBLE AS task_match "
+    "FROM q CROSS JOIN r JOIN ss a ON a.trial_id = q.query_id JOIN ss z ON z.trial_id = r.trial_id LEFT JOIN dot ON dot.query_id = q.query_id AND dot.trial_id = r.trial_id), "
+    "f AS (SELECT *, round((0.7::DOUBLE * similarity + 0.3::DOUBLE * task_match) * CASE WHEN rh THEN 1.3::DOUBLE ELSE 1 END, 12) AS final_score FROM m), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, score DESC, rh DESC, trial_id)::INT AS rank FROM f) SELECT query_id, rank, trial_id, round(similarity, 6) AS similarity, round(task_match, 6) AS task_match, round(final_score, 6) AS final_score FROM o WHERE rank <= 5",
+    ep=False,
+)(lambda spark, sf_dir: _retrieved(sequences(spark, sf_dir)))
+
+
+def _retrieved(s: DataFrame) -> DataFrame:
+    found = retrieval.retrieve_many(trajectory.recoverable_highs(s), _asked(s))
+    return rounded(found.select("query_id", "rank", "trial_id", "similarity", "task_match", "final_score"))
+
+
+register(
+    "checks_with_similar",
+    f"{_SEQ}, {_BAG}, {_DOT}, r AS (SELECT d.query_id, d.trial_id, round(dot / sqrt((a.ss * z.ss)::DOUBLE), 12) AS sim, score, CASE WHEN score >= 0.5 THEN 'high' ELSE 'low' END AS outcome FROM dot d JOIN s ON s.trial_id = d.trial_id JOIN ss a ON a.trial_id = d.query_id JOIN ss z ON z.trial_id = d.trial_id WHERE d.query_id IN (SELECT trial_id FROM s WHERE user_id % 20 = 0)), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY query_id, outcome ORDER BY sim DESC, score, trial_id) AS rank FROM r) "
+    "SELECT query_id, string_agg(trial_id, ' ' ORDER BY rank) FILTER (outcome = 'high') AS high, string_agg(trial_id, ' ' ORDER BY rank) FILTER (outcome = 'low') AS low FROM o WHERE rank <= 3 GROUP BY query_id",
+    ep=False,
+)(lambda spark, sf_dir: _checked(sequences(spark, sf_dir)))
+
+
+def _checked(s: DataFrame) -> DataFrame:
+    rows = trajectory.features(_asked(s))
+    checked = trajectory.check(rows, trajectory.fit_predictor(trajectory.features(s)))
+    found = retrieval.with_similar(checked, s)
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["trial_id"]), " ")
+    return found.select("query_id", names("similar_high").alias("high"), names("similar_low").alias("low"))

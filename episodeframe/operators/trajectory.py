@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodeframe.functions.columns import sigmoid
+from episodeframe.operators import retrieval
 
 # Names of tools and the canonical ones they stand for.
 ALIASES = {
@@ -229,20 +230,6 @@ def tool_weights(df: DataFrame, key: str, sequence: str = "tool_sequence") -> Da
     return bag.join(norms, key).select(key, "tool", (F.col("_n") / F.col("_norm")).alias("weight"))
 
 
-def most_similar(queries: DataFrame, records: DataFrame, k: int = 3, query: str = "query_id", trial: str = "trial_id") -> DataFrame:
-    """For each query the ``k`` records of either outcome with the largest cosine; ties by score, then id.
-
-    The queries' bags, a stated set, meet the records' bags on the tool; sums
-    are partial aggregates and only the best ``k`` of a task are shuffled on.
-    """
-    q = tool_weights(queries, query).withColumnRenamed("weight", "_qw")
-    r = tool_weights(records, trial)
-    dots = r.join(q, "tool").groupBy(query, trial).agg(F.sum(F.col("weight") * F.col("_qw")).alias("similarity"))
-    w = Window.partitionBy(query, "outcome").orderBy(F.desc("similarity"), "score", trial)
-    with_score = dots.join(records.select(trial, "score"), trial).withColumn("outcome", F.when(F.col("score") >= 0.5, "high").otherwise("low"))
-    return with_score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def recoverable_highs(records: DataFrame) -> DataFrame:
     """Adds outcome class (0.75, 0.25) and whether a high run's task also has a run below 0.5."""
     low = records.groupBy("task_path").agg(F.bool_or(F.col("score") < 0.5).alias("_low"))
@@ -255,22 +242,8 @@ def task_words(text: Column) -> Column:
 
 
 def retrieve(records: DataFrame, description: str, sequence: list[str] | None = None, k: int = 5, outcome: str | None = None) -> DataFrame:
-    """Memories for a task: 0.7 cosine + 0.3 keyword match, times 1.3 for recoverable highs; the best ``k``."""
+    """Memories for one task: ``retrieval.retrieve_many`` with a single query, and the records' own columns."""
     marked = recoverable_highs(records)
-    if outcome:
-        marked = marked.where(F.col("outcome_class") == outcome)
-    counts: dict[str, int] = {}
-    for t in sequence or []:
-        counts[t] = counts.get(t, 0) + 1
-    norm = sum(v * v for v in counts.values()) ** 0.5 or 1.0
-    weights = F.create_map(*(F.lit(x) for t, v in counts.items() for x in (t, v / norm))) if counts else F.create_map().cast("map<string,double>")
-    kinds = F.array_distinct("tool_sequence")
-    n_of = lambda t: F.size(F.filter("tool_sequence", lambda x: x == t)).cast("double")
-    length = F.sqrt(F.aggregate(kinds, F.lit(0.0), lambda a, t: a + n_of(t) * n_of(t)))
-    cosine = F.when(length > 0, F.aggregate(kinds, F.lit(0.0), lambda a, t: a + n_of(t) * F.coalesce(weights[t], F.lit(0.0))) / length).otherwise(0.0)
-    words = task_words(F.lit(description))
-    match = F.when(F.size(words) > 0, F.size(F.filter(words, lambda x: F.lower("task_path").contains(x))) / F.size(words)).otherwise(0.0)
-    out = marked.withColumns({"similarity": cosine, "task_match": match})
-    final = (0.7 * F.col("similarity") + 0.3 * F.col("task_match")) * F.when(F.col("is_recoverable_high"), 1.3).otherwise(1.0)
-    best = out.withColumn("final_score", final).orderBy(F.desc("final_score"), F.desc("score"), F.desc("is_recoverable_high"), "trial_id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), F.desc("score"), F.desc("is_recoverable_high"), "trial_id")))
+    asked = records.sparkSession.createDataFrame([(1, description, list(sequence or []), outcome)], "query_id int, description string, tool_sequence array<string>, outcome string")
+    best = retrieval.retrieve_many(marked, asked, k).drop("query_id")
+    return marked.join(F.broadcast(best), "trial_id").orderBy("rank")  # k rows

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from episodeframe.frame import Episodes
 from episodeframe.functions import special
-from episodeframe.operators import compare, failure, inference, metrics, pool, taxonomy, trajectory, windows
+from episodeframe.operators import compare, failure, inference, metrics, pool, retrieval, taxonomy, trajectory, windows
 
 
 def eps(spark, scores: dict, success=lambda s: s >= 0.99):
@@ -217,7 +217,7 @@ def test_predictor_and_retrieval(spark):
     top = trajectory.retrieve(df, "some task x", good, 2).collect()
     assert [r["rank"] for r in top] == [1, 2] and top[0]["score"] == 1.0 and top[0]["is_recoverable_high"]
     q = seqs(spark, [(0.0, good)]).withColumn("query_id", F.lit("q")).drop("trial_id")
-    sims = trajectory.most_similar(q, df, 1).collect()
+    sims = retrieval.most_similar(q, df, 1).collect()
     assert {r["outcome"] for r in sims} == {"high"} and sims[0]["similarity"] == pytest.approx(1)
 
 
