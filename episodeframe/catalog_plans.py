@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodeframe.catalog import _PROFILE, CALLS, calls, episodes, on_episodes, on_pool, register, rounded, sequences
+from episodeframe import lineage, sqlreg
+from episodeframe.catalog import _PROFILE, CALLS, ORACLES, calls, episodes, on_episodes, on_pool, register, rounded, sequences
 from episodeframe.operators import pool, taxonomy, trajectory
 from episodeframe.plans import control, curriculum, cycle, environments, recursion, simulation
 from episodeframe.sources import generic
-from episodeframe.streaming import monitor
+from episodeframe.streaming import monitor, tables
 
 
 def one(ep: DataFrame) -> DataFrame:
@@ -195,10 +196,83 @@ def stream_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     tool = F.when(F.col("event_type") == "view", "read_file").when(F.col("event_type") == "click", "list_directory").when(F.col("event_type") == "signup", "search_tool").when(F.col("event_type") == "purchase", "write_file").otherwise("run_shell_command")
     rows = source.select(F.concat(F.lit("trial_"), F.col("user_id").cast("string")).alias("trial_id"), "ts", "event_id", tool.alias("tool"))
-    name = f"prefixes_{uuid.uuid4().hex}"
-    query = monitor.stream_prefixes(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).groupBy("trial_id").agg(F.max("prefix_len").alias("prefix_len"), F.sum("prefix_len").alias("total"))
+    found = drained(monitor.stream_prefixes(rows), "prefixes")
+    return found.groupBy("trial_id").agg(F.max("prefix_len").alias("prefix_len"), F.sum("prefix_len").alias("total"))
+
+
+def drained(stream: DataFrame, label: str) -> DataFrame:
+    """What a stream has written when its source is read to the end: files in the shared folder."""
+    spark = stream.sparkSession
+    path = shared_path(spark, label)
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    lineage.shared_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{label}_{uuid.uuid4().hex}"
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@register(
+    "stream_confidence",
+    "WITH m AS (SELECT event_type AS task, count(*) AS t, avg(event_id % 11 / 10.0::DOUBLE) AS mean FROM events GROUP BY 1), r AS (SELECT *, sqrt(ln(2 / ((1 - 0.95::DOUBLE) * 6 / (pi() * pi() * t * t))) / (2 * t)) AS radius FROM m) "
+    "SELECT task, t, round(mean, 6) AS running_mean, round(greatest(0, mean - radius), 6) AS running_lo, round(least(1, mean + radius), 6) AS running_hi FROM r",
+    ep=False,
+)
+def stream_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of the running mean of each kind of event, as they stand when the stream has ended."""
+    rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("task"), "ts", (F.col("event_id") % 11 / 10.0).alias("score"))
+    found = drained(monitor.stream_confidence(rows), "confidence")
+    last = found.groupBy("task").agg(F.max("t").alias("t"), F.max_by(F.struct("running_mean", "running_lo", "running_hi"), "t").alias("b"))
+    return rounded(last.select("task", "t", "b.running_mean", "b.running_lo", "b.running_hi"))
+
+
+@register(
+    "stream_memories",
+    "WITH e AS (SELECT concat('tasks/task-', (user_id % 17)::VARCHAR) AS task_path, concat('trial_', user_id::VARCHAR) AS trial_id, event_id % 11 / 10.0::DOUBLE AS score, event_id AS ord FROM events), "
+    "l AS (SELECT task_path, trial_id, arg_max(score, ord) AS score, max(ord) AS ord FROM e GROUP BY 1, 2), m AS (SELECT *, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.25 THEN 'medium' ELSE 'low' END AS outcome_class, bool_or(score < 0.5) OVER (PARTITION BY task_path) AS low FROM l) "
+    "SELECT task_path, trial_id, score, ord, outcome_class, outcome_class = 'high' AND low AS is_recoverable_high FROM m",
+    ep=False,
+)
+def stream_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as outcomes of trials, upserted by a stream: the last outcome of each trial stays."""
+    rows = event_stream(spark, sf_dir).select(F.concat(F.lit("tasks/task-"), (F.col("user_id") % 17).cast("string")).alias("task_path"), F.concat(F.lit("trial_"), F.col("user_id").cast("string")).alias("trial_id"), (F.col("event_id") % 11 / 10.0).alias("score"), F.col("event_id").alias("ord"))
+    path = shared_path(spark, "memories")
+    table = tables.MemoryTable(spark, path)
+    table.stream(rows, f"{path}-log", availableNow=True).awaitTermination()
+    return table.read().select("task_path", "trial_id", "score", "ord", "outcome_class", "is_recoverable_high")
+
+
+@register("stream_cycle_log", ORACLES["kappa_changes"], ep=False)
+def stream_cycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years of each model as improvement cycles, logged by a stream."""
+    path = shared_path(spark, "cycles")
+    kappa = episodes(spark, sf_dir).groupBy("model", F.substring("run_id", 5, 4).cast("bigint").alias("cycle")).agg(F.avg("score").alias("kappa"))
+    kappa.write.parquet(path)
+    log = drained(tables.stream_cycle_log(spark.readStream.schema(kappa.schema).parquet(path), "model"), "log")
+    return rounded(log.select("model", F.col("cycle").cast("int").alias("cycle"), "kappa", "delta", "plateaued"))
+
+
+# ------------------------------------------------------------ SQL alone
+def in_sql(name: str, oracle: str, text: str, ep: bool = True) -> None:
+    """A query written in SQL only, over the session's functions."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sqlreg.register(spark)
+        frames = {"ep": episodes(spark, sf_dir)} if ep else {"calls": calls(spark, sf_dir)}
+        return rounded(spark.sql(text, **frames))
+
+    register(name, oracle, ep=False)(run)
+
+
+in_sql("sql_iqm", ORACLES["iqm_by_difficulty"], "SELECT s_difficulty, iqm(score, n) AS iqm FROM (SELECT s_difficulty, score, count(*) AS n FROM {ep} GROUP BY ALL) GROUP BY s_difficulty")
+in_sql("sql_cvar", ORACLES["cvar_by_difficulty"], "SELECT s_difficulty, cvar(score, n, double(0.1)) AS cvar FROM (SELECT s_difficulty, score, count(*) AS n FROM {ep} GROUP BY ALL) GROUP BY s_difficulty")
+in_sql("sql_entropy", ORACLES["outcome_entropy"], "SELECT model, task, outcome_entropy(score, n) AS outcome_entropy FROM (SELECT model, task, score, count(*) AS n FROM {ep} GROUP BY ALL) GROUP BY model, task")
+in_sql("sql_prefixes", ORACLES["prefix_features"], "SELECT * FROM tool_prefixes(TABLE(SELECT trial_id, event_id, ts, tool FROM {calls}) PARTITION BY trial_id ORDER BY (ts, event_id))", ep=False)
 
 
 on_pool(
