@@ -1,4 +1,9 @@
-"""Tables that go to JSON and come back: memories, pools, plans, simulation results."""
+"""Tables that go to JSON and come back: memories, pools, plans, simulation results.
+
+A pool or a plan is one JSON document of any size: a folder of text parts which,
+put together in the order of their names, are the document.  Every entry of a
+list has a line of its own, so tasks write and read parts of it side by side.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodeframe.operators.scans import row_numbers
 from episodeframe.schema import MEMORY, POOL
 
 
@@ -18,19 +24,47 @@ def read_memories(spark: SparkSession, path: str) -> DataFrame:
     return _required(spark.read.schema(MEMORY).json(path), ["trial_id", "score", "tool_sequence"])
 
 
+def write_document(sections: list[tuple[str, DataFrame]], closing: str, path: str) -> None:
+    """Lists of JSON values as one document: each section is (text before its list, rows (place, value) in order of ``place``).
+
+    The texts open and close the lists; commas come after all values but a
+    section's last one.
+    """
+    spark = sections[0][1].sparkSession
+    lines = None
+    texts = [text for text, _ in sections]
+    for i, (_, rows) in enumerate(sections):
+        numbered = row_numbers(rows.select("place", "value"), ["place", "value"], "_at")
+        total = numbered.agg(F.count(F.lit(1)).alias("_all"))
+        comma = F.when(F.col("_at") < F.col("_all"), ",").otherwise("")
+        part = numbered.crossJoin(F.broadcast(total)).select(F.lit(2 * i + 1).alias("_section"), "_at", F.concat("value", comma).alias("value"))  # one row beside all
+        lines = part if lines is None else lines.unionByName(part)
+    frame = spark.createDataFrame([(2 * i, 0, t) for i, t in enumerate([*texts, closing])], "_section int, _at bigint, value string")
+    lines.unionByName(frame).orderBy("_section", "_at").select("value").write.mode("overwrite").text(path)
+
+
+def _entries(spark: SparkSession, path: str, opening: str, kind: T.StructType) -> DataFrame | None:
+    """(_i, fields) of a document's entries by lines; None for a document that is laid out otherwise."""
+    lines = spark.read.text(path)
+    if lines.where(F.col("value").endswith(opening)).isEmpty():
+        return None
+    ours = lines.where(F.col("value").startswith("{") & ~F.col("value").endswith("[")).select(F.regexp_replace("value", ",$", "").alias("value"), F.monotonically_increasing_id().alias("_i"))
+    return ours.select("_i", F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r")).select("_i", "r.*")
+
+
 def write_pool(pool: DataFrame, path: str) -> None:
-    """One document: counts, agents, tasks and records in order; a pool is what one evaluation collected."""
-    # Maps have no order of their own, so records are compared by place.
-    by_place = lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
-    records = F.array_sort(F.collect_list(F.struct(*POOL.names)), by_place)
-    doc = pool.agg(F.count(F.lit(1)).alias("n_records"), F.array_sort(F.collect_set("agent_name")).alias("agents"), F.array_sort(F.collect_set("task")).alias("tasks"), records.alias("records"))
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    """One document: count, agents and tasks by name, records in order."""
+    named = lambda c: pool.select(F.col(c).alias("place")).where(F.col(c).isNotNull()).distinct().select("place", F.to_json(F.array("place")).alias("_list")).select("place", F.expr("substring(_list, 2, length(_list) - 2)").alias("value"))
+    records = pool.select(F.col("ord").alias("place"), F.to_json(F.struct(*POOL.names)).alias("value"))
+    write_document([(f'{{"n_records":{pool.count()},"agents":[', named("agent_name")), ('],"tasks":[', named("task")), ('],"records":[', records)], "]}", path)
 
 
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
     """Records of pool documents; absent optional fields get their defaults."""
     schema = T.StructType([T.StructField("records", T.ArrayType(POOL))])
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.posexplode("records").alias("_i", "r")).select("_i", "r.*")
+    rows = _entries(spark, path, '"records":[', POOL)
+    if rows is None:
+        rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.posexplode("records").alias("_i", "r")).select("_i", "r.*")
     rows = rows.withColumns(
         {
             "ord": F.coalesce("ord", F.col("_i").cast("bigint")),
@@ -51,12 +85,16 @@ def _required(df: DataFrame, keys: list[str]) -> DataFrame:
 def write_plan(plan: DataFrame, path: str) -> None:
     """A plan as one JSON document with its tasks in training order."""
     fields = [c for c in plan.columns if c != "position"]
-    plan.agg(F.array_sort(F.collect_list(F.struct("position", *fields))).alias("curriculum")).coalesce(1).write.mode("overwrite").json(path)
+    tasks = plan.select(F.col("position").alias("place"), F.to_json(F.struct("position", *fields)).alias("value"))
+    write_document([('{"curriculum":[', tasks)], "]}", path)
 
 
 def read_plan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    rows = _entries(spark, path, '"curriculum":[', schema)
+    if rows is not None:
+        return rows.orderBy("position").drop("_i") if "position" in schema.names else rows.drop("_i")
     doc = T.StructType([T.StructField("curriculum", T.ArrayType(schema))])
-    return spark.read.schema(doc).json(path).select(F.inline("curriculum"))
+    return spark.read.schema(doc).option("multiLine", "true").json(path).select(F.inline("curriculum"))
 
 
 def read_simulation(spark: SparkSession, path: str, agent: str) -> DataFrame | None:

@@ -192,3 +192,40 @@ def test_order_over_jobs_and_files(spark, tmp_path):
     generic.from_dicts(spark, [record(n) for n in range(5)]).write_jsonl(str(tmp_path / "out"))
     back = generic.read_jsonl(spark, str(tmp_path / "out")).df.orderBy("ord").collect()
     assert [(r["score"], r["task"]) for r in back] == [(n / 10, "t") for n in range(5)]
+
+
+def test_documents_of_many_parts(spark, tmp_path):
+    """A pool written by several tasks is one document when its parts are put together, and reads back equal."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from episodeframe.schema import POOL
+    from episodeframe.sources import stores
+
+    n = 3000
+    pool = spark.range(n).repartition(5).select(
+        F.concat(F.lit('a"g\n'), F.col("id") % 3).alias("agent_name"), F.lit("m").alias("model_name"), F.concat(F.lit("täsk,"), F.col("id") % 700).alias("task"), (F.col("id") % 11 / 10).alias("score"), (n - F.col("id")).alias("ord"),
+        F.create_map(F.lit("ck[0]"), F.lit(0.5)).alias("checkpoint_scores"), (F.col("id") % 2 == 0).alias("success"), F.lit(0).alias("sub_task_depth"),
+    )
+    for f in POOL:
+        pool = pool.withColumn(f.name, F.col(f.name).cast(f.dataType) if f.name in pool.columns else F.lit(None).cast(f.dataType))
+    pool = pool.select(*POOL.names)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stores.write_pool(pool, str(tmp_path / "pool"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "pool").glob("part-*"))
+    assert len(parts) > 1
+    whole = json.loads("".join(p.read_text() for p in parts))
+    assert whole["n_records"] == n and whole["agents"] == ['a"g\n0', 'a"g\n1', 'a"g\n2'] and len(whole["tasks"]) == 700
+    assert [r["ord"] for r in whole["records"]] == list(range(1, n + 1))
+    key = lambda df: sorted(map(str, df.orderBy("ord").collect()))
+    assert key(stores.read_pool(spark, str(tmp_path / "pool"))) == key(pool)
+    # The same document in one piece, laid out otherwise.
+    (tmp_path / "one.json").write_text(json.dumps(whole, indent=1))
+    assert key(stores.read_pool(spark, str(tmp_path / "one.json"))) == key(pool)
+    stores.write_pool(pool.limit(0), str(tmp_path / "none"))
+    assert stores.read_pool(spark, str(tmp_path / "none")).collect() == []
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == {"n_records": 0, "agents": [], "tasks": [], "records": []}
