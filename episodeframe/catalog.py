@@ -243,16 +243,16 @@ on_episodes(
     "confidence_sequence",
     f"r AS (SELECT model, task, ord, row_number() OVER w AS t, avg(score) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM ep WINDOW w AS (PARTITION BY model, task ORDER BY ord)) "
     f"SELECT model, task, ord, t::INT AS t, round(m, 9) AS running_mean, round(greatest(0, least(1, m - {_RADIUS})), 9) AS running_lo, round(greatest(0, least(1, m + {_RADIUS})), 9) AS running_hi FROM r", places=9)(lambda ep: windows.confidence_sequence(ep, ["ord"], ["model", "task"]).select("model", "task", "ord", "t", "running_mean", "running_lo", "running_hi"))
-_P = "p AS (SELECT task, round(avg(score) / 20 + count(*) * 0.0001, 8) AS p FROM ep WHERE model = 'AF' GROUP BY task), o AS (SELECT task, p, row_number() OVER (ORDER BY p, task) AS i, count(*) OVER () AS n FROM p)"
+_P = "p AS (SELECT model, task, round(avg(score) / 20 + count(*) * 0.0001, 8) AS p FROM ep GROUP BY model, task), o AS (SELECT model, task, p, row_number() OVER (PARTITION BY model ORDER BY p, task) AS i, count(*) OVER (PARTITION BY model) AS n FROM p)"
 
 
 def _pvalues(ep):
-    return ep.where(A()).groupBy("task").agg(F.round(F.avg("score") / 20 + F.count(F.lit(1)) * 0.0001, 8).alias("p"))
+    return ep.groupBy("model", "task").agg(F.round(F.avg("score") / 20 + F.count(F.lit(1)) * 0.0001, 8).alias("p"))
 
 
-on_episodes("adjust_pvalues_bh", f"{_P} SELECT task, round(p, 6) AS p, round(least(1.0, min(n / i * p) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS p_adjusted FROM o")(lambda ep: windows.adjust_pvalues(_pvalues(ep), tiebreak=["task"]))
-on_episodes("adjust_pvalues_holm", f"{_P} SELECT task, round(p, 6) AS p, round(least(1.0, max((n - i + 1) * p) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS p_adjusted FROM o")(
-    lambda ep: windows.adjust_pvalues(_pvalues(ep), method="holm", tiebreak=["task"])
+on_episodes("adjust_pvalues_bh", f"{_P} SELECT model, task, round(p, 6) AS p, round(least(1.0, min(n / i * p) OVER (PARTITION BY model ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS p_adjusted FROM o")(lambda ep: windows.adjust_pvalues(_pvalues(ep), by=["model"]))
+on_episodes("adjust_pvalues_holm", f"{_P} SELECT model, task, round(p, 6) AS p, round(least(1.0, max((n - i + 1) * p) OVER (PARTITION BY model ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS p_adjusted FROM o")(
+    lambda ep: windows.adjust_pvalues(_pvalues(ep), method="holm", by=["model"])
 )
 on_episodes("average_ranks", "SELECT model, score, round(avg(r), 6) AS avg_rank FROM (SELECT model, score, row_number() OVER (PARTITION BY model ORDER BY score) AS r FROM ep) GROUP BY model, score")(lambda ep: windows.average_ranks(ep, "score", ["model"]).select("model", "score", "avg_rank").distinct())
 on_episodes(
@@ -337,8 +337,8 @@ def bradley_terry(ep):
     return ep.sparkSession.createDataFrame([(n, float(s), float(p)) for n, s, p in zip(r["items"], r["strengths"], r["probs"], strict=True)], "model string, strength double, prob double")
 
 
-on_episodes("bootstrap_ci")(lambda ep: inference.bootstrap_ci(ep.where(A()), "mean", ["task"], reps=5000))
-on_episodes("bootstrap_vs_repeat")(lambda ep: inference.bootstrap_vs_repeat(ep.where(A()), reps=1000))
+on_episodes("bootstrap_ci")(lambda ep: inference.bootstrap_ci(ep, "mean", ["model"], reps=5000))
+on_episodes("bootstrap_vs_repeat")(lambda ep: inference.bootstrap_vs_repeat(ep, strata=["model"], reps=1000))
 
 
 @on_episodes("fit_2pl")
@@ -433,10 +433,6 @@ register(
     f"{_SEQ}, {_PREFIX} SELECT f.trial_id, k::INT AS prefix_len, {_FEATURES.replace('::BIGINT', '::INT')} FROM f JOIN (SELECT trial_id, max(k) AS k FROM f GROUP BY trial_id) USING (trial_id, k)",
     ep=False,
 )(lambda spark, sf_dir: rounded(trajectory.features(sequences(spark, sf_dir)).select("trial_id", "prefix_len", "n_reads", "n_writes", "n_exec", "n_search", "first_write_pos", "first_exec_pos", "search_ratio", "tool_diversity", "write_before_read")))
-_NAMES = ["Bash", "view", " read ", "GrepSearch", "Foo", "", "list_dir", "apply_edit"]
-register("normalize_tools", "SELECT * FROM (VALUES ('Bash', 'run_shell_command'), ('view', 'read_file'), (' read ', 'read_file'), ('GrepSearch', 'search_tool'), ('Foo', 'foo'), ('', 'unknown'), ('list_dir', 'list_directory'), ('apply_edit', 'write_file')) t(raw, tool)", ep=False)(
-    lambda spark, sf_dir: spark.createDataFrame([(n,) for n in _NAMES], "raw string").select("raw", trajectory.normalize(F.col("raw")).alias("tool"))
-)
 
 
 @register("outcome_predictions")

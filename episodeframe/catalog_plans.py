@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,6 @@ from episodeframe import lineage, sqlreg
 from episodeframe.catalog import _PROFILE, CALLS, ORACLES, calls, episodes, on_episodes, on_pool, register, rounded, sequences
 from episodeframe.operators import pool, taxonomy, trajectory
 from episodeframe.plans import control, curriculum, cycle, environments, recursion, simulation
-from episodeframe.sources import generic
 from episodeframe.streaming import monitor, tables
 
 
@@ -43,7 +41,7 @@ def plan_of(ep: DataFrame) -> DataFrame:
     return curriculum.build_plan(profiles, curriculum.training_pairs(runs_of(one(ep)), profiles))
 
 
-on_episodes("curriculum_order", f"{_AF} SELECT task, round(gap * (1 - consistency), 6) AS priority, row_number() OVER (ORDER BY gap * (1 - consistency) DESC, task)::INT AS position FROM p WHERE kind = 'recoverable'")(lambda ep: plan_of(ep).select("task", "priority", "position"))
+on_episodes("curriculum_order", f"{_AF} SELECT task, round(gap * (1 - consistency), 6) AS priority, row_number() OVER (ORDER BY round(gap * (1 - consistency), 9) DESC, task)::INT AS position FROM p WHERE kind = 'recoverable'")(lambda ep: plan_of(ep).select("task", "priority", "position"))
 on_episodes("simulated_training", f"{_AF} SELECT task, round(least(1.0, q_star + round_even(0.4 * gap * consistency, 4)), 3) AS score FROM p WHERE kind = 'recoverable'")(lambda ep: curriculum.simulated_training(plan_of(ep)).select("task", F.round("score", 3).alias("score")))
 on_episodes(
     "recommendations",
@@ -69,7 +67,7 @@ _BEST = "b AS (SELECT task, max(score) AS best FROM e GROUP BY task)"
 on_episodes("select_right_tail", f"{_AF}, {_BEST} SELECT task, run_id, episode, round(score, 6) AS score FROM e JOIN p USING (task) JOIN b USING (task) WHERE kind = 'recoverable' ORDER BY round(gap, 9) DESC, task, (score < 0.9 * best)::INT, ord LIMIT 40")(
     lambda ep: simulation.select_right_tail(one(ep), taxonomy.task_profiles(one(ep)).withColumn("gap", F.round("gap", 9)), 40).select("task", "run_id", "episode", "score")
 )
-on_episodes("select_mean_reward", "SELECT task, score, count(*)::BIGINT AS n FROM (SELECT task, round(score, 6) AS score FROM ep WHERE model = 'AF' ORDER BY ep.score DESC, ord, task LIMIT 40) GROUP BY ALL")(lambda ep: one(ep).orderBy(F.desc("score"), "ord", "task").limit(40).groupBy("task", "score").agg(F.count(F.lit(1)).alias("n")))
+on_episodes("select_mean_reward", "SELECT score, count(*)::BIGINT AS n FROM (SELECT round(score, 6) AS score FROM ep ORDER BY ep.score DESC, ord LIMIT 4000) GROUP BY ALL")(lambda ep: simulation.select_mean_reward(ep, 4000).groupBy("score").agg(F.count(F.lit(1)).alias("n")))
 on_episodes(
     "training_effect",
     f"{_AF}, sel AS (SELECT task, avg(score) AS sm, max(score) AS sx, min(score) AS sn FROM e WHERE length > 20 GROUP BY task), "
@@ -173,22 +171,6 @@ def _variants(c: DataFrame) -> DataFrame:
     return pool.variants(graphs).select("agent_name", "phase_tag", "entry_step", "exit_step", "confidence")
 
 
-# ------------------------------------------------------------------ sources
-_RAW = [
-    {"run_id": "r", "model": "m", "task": "a", "score": 0.995, "difficulty": "hard"},
-    {"run_id": "r", "model": "m", "task": "b", "score": 0.5, "episode": 2, "seed": 3},
-    {"run_id": "r", "model": "m", "task": "c", "score": 0.2, "success": True, "failure_mode": None},
-]
-register("generic_records", "SELECT * FROM (VALUES ('a', 0, 0.995::DOUBLE, true, NULL, 'hard'), ('b', 2, 0.5, false, 'below_threshold', NULL), ('c', 0, 0.2, true, NULL, NULL)) t(task, episode, score, success, failure_mode, s_difficulty)", ep=False)(
-    lambda spark, sf_dir: generic.from_dicts(spark, _RAW).df.select("task", "episode", "score", "success", "failure_mode", F.col("strata")["difficulty"].alias("s_difficulty"))
-)
-register("invalid_records", "SELECT * FROM (VALUES (0, 4), (1, 1), (2, 1), (3, 1), (4, 0)) t(ord, n_errors)", ep=False)(
-    lambda spark, sf_dir: generic.convert(
-        spark.createDataFrame([(json.dumps(r), i) for i, r in enumerate([{}, {**_RAW[0], "score": "high"}, {**_RAW[0], "score": 1.5}, {**_RAW[0], "metadata": []}, _RAW[0]])], "value string, place int"), order="place"
-    ).select("ord", F.size("errors").alias("n_errors"))
-)
-
-
 # ------------------------------------------------------------------ streams
 @register("stream_prefixes", f"{CALLS} SELECT trial_id, max(k)::INT AS prefix_len, sum(k)::BIGINT AS total FROM (SELECT trial_id, row_number() OVER (PARTITION BY trial_id ORDER BY ts, event_id) AS k FROM calls) GROUP BY trial_id", ep=False)
 def stream_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,18 @@ def min_detectable_effect(n_a: int, n_b: int, power: float = 0.8, alpha: float =
     return (special.normal_ppf(1 - alpha / 2) + special.normal_ppf(power)) * math.sqrt(1 / n_a + 1 / n_b)
 
 
+def power_table(df: DataFrame, control: str, by: str = "model", value: str = "score", power: float = 0.8, alpha: float = 0.05) -> DataFrame:
+    """Each group against ``control``: n, min_effect that its size can show, effect (pooled, absolute), and the n a side that the effect needs (null for none)."""
+    z = special.normal_ppf(1 - alpha / 2) + special.normal_ppf(power)
+    stats = known_keys(df, [by]).groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("_m"), F.var_samp(value).alias("_v"))
+    base = stats.where(F.col(by) == control).select(F.col("n").alias("_cn"), F.col("_m").alias("_cm"), F.col("_v").alias("_cv"))
+    both = stats.where(F.col(by) != control).crossJoin(F.broadcast(base))  # one row
+    pooled = ((F.col("n") - 1) * F.col("_v") + (F.col("_cn") - 1) * F.col("_cv")) / (F.col("n") + F.col("_cn") - 2)
+    effect = F.abs(F.col("_m") - F.col("_cm")) / F.sqrt(F.when(pooled > 0, pooled))
+    out = both.withColumn("effect", effect)
+    return out.select(by, "n", (z * F.sqrt(1 / F.col("n") + 1 / F.col("_cn"))).alias("min_effect"), "effect", F.ceil(2 * z * z / F.when(F.col("effect") > 0, F.col("effect") * F.col("effect"))).cast("bigint").alias("required_n"))
+
+
 def required_n(effect: float, power: float = 0.8, alpha: float = 0.05, ratio: float = 1.0) -> int:
     if effect == 0 or not math.isfinite(effect):
         return 2**31 - 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodeframe.operators.scans import row_numbers
+
 from episodeframe.functions.columns import basename
 
 
@@ -50,7 +52,10 @@ def predicted_gains(profiles: DataFrame, alpha: float = 0.4, simulated: DataFram
 
 
 def build_plan(profiles: DataFrame, pairs: DataFrame, by_information: bool = False) -> DataFrame:
-    """One row a recoverable task in training order: priority, predicted gain, its pairs as an array, a recommendation."""
+    """One row a recoverable task in training order: priority, predicted gain, its pairs as an array, a recommendation.
+
+    Priorities that are equal to nine places go by the task's name.
+    """
     priority = "priority_eig" if by_information else "priority"
     listed = pairs.groupBy("task").agg(F.array_sort(F.collect_list(F.struct(F.col("contrast_score"), F.col("contrast_path"), F.col("reinforce_path"), F.col("reinforce_score"), F.col("pair_gap")))).alias("training_pairs"))
     plan = predicted_gains(profiles.where("kind = 'recoverable'")).join(listed, "task", "left")
@@ -58,8 +63,8 @@ def build_plan(profiles: DataFrame, pairs: DataFrame, by_information: bool = Fal
     text = F.when(F.col("training_pairs").isNull(), F.format_string("%s has no pair of runs yet: run it more often.", "task")).otherwise(
         F.format_string("Train on %d pair(s): reinforce %.2f against %.2f, a gap of %.2f.", n, first["reinforce_score"], first["contrast_score"], first["pair_gap"])
     )
-    order = Window.orderBy(F.desc(priority), "task")
-    return plan.select("task", "difficulty", "q_star", "q_bar", "gap", "consistency", "outcome_entropy", F.col(priority).alias("priority"), "predicted_gain", "gain_low", "gain_high", "training_pairs", text.alias("recommendation"), F.row_number().over(order).alias("position"))
+    numbers = row_numbers(profiles.where("kind = 'recoverable'").select("task", F.round(priority, 9).alias("_p")), [F.desc("_p"), "task"], "position").select("task", F.col("position").cast("int").alias("position"))
+    return plan.join(numbers, "task").select("task", "difficulty", "q_star", "q_bar", "gap", "consistency", "outcome_entropy", F.col(priority).alias("priority"), "predicted_gain", "gain_low", "gain_high", "training_pairs", text.alias("recommendation"), "position")
 
 
 def plan_summary(plan: DataFrame, report: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def validate(spark: SparkSession, rows: list[dict]) -> list[list[str]]:
 
 def read_rewards(spark: SparkSession, path: str) -> DataFrame:
     """Reward JSONL -> (ord, score): a number, null, or the mean of named rewards."""
-    raw = spark.read.text(path).where(F.trim("value") != "").withColumn("ord", F.monotonically_increasing_id())
+    raw = in_file_order(spark.read.text(path)).withColumnRenamed("place", "ord")
     named = F.map_values(F.from_json("value", "map<string,double>"))
     mean = F.when(F.size(named) > 0, F.aggregate(named, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / F.size(F.filter(named, lambda x: x.isNotNull())))
     return raw.select("ord", F.coalesce(F.expr("try_cast(value AS double)"), mean).alias("score"))

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from episodeframe.operators.scans import row_numbers
+from episodeframe.sources.generic import in_file_order
+
 # Actions of a shell agent and the canonical tools they stand for.
 ACTIONS = {
     "read": "read_file",
@@ -57,7 +60,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path).where(F.trim("value") != "").withColumn("ord", F.monotonically_increasing_id())
+    raw = in_file_order(spark.read.text(path)).withColumnRenamed("place", "ord")
     return raw.select("ord", F.from_json("value", "struct<instance_id:string,model_name_or_path:string,trajectory:string>").alias("p")).select("ord", "p.*")
 
 
@@ -70,7 +73,8 @@ def read_benchmark(spark: SparkSession, predictions: str, results: str, agent: s
         ref = F.when(ref.startswith("/"), ref).otherwise(F.concat(F.lit(trajectory_root.rstrip("/") + "/"), ref))
     won = F.coalesce("resolved", F.lit(False))
     strata = F.create_map(F.lit("benchmark"), F.lit(benchmark), F.lit("domain"), F.lit("software-engineering"))
-    episode = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord")) - 1
+    both = row_numbers(both, ["ord"], "_nth")
+    episode = F.col("_nth") - 1
     return both.select(F.lit(run_id).alias("run_id"), F.lit(agent).alias("model"), F.col("instance_id").alias("task"), episode.cast("int").alias("episode"), won.cast("double").alias("score"), won.alias("success"), strata.alias("strata"),
                        F.lit(None).cast("string").alias("failure_mode"), F.lit(None).cast("int").alias("length"), ref.alias("trajectory_ref"), F.to_json(F.struct(F.coalesce("model_name_or_path", F.lit("")).alias("model_name_or_path"))).alias("meta"), "ord")
 

@@ -48,8 +48,11 @@ def _entries(spark: SparkSession, path: str, opening: str, kind: T.StructType) -
     lines = spark.read.text(path)
     if lines.where(F.col("value").endswith(opening)).isEmpty():
         return None
-    ours = lines.where(F.col("value").startswith("{") & ~F.col("value").endswith("[")).select(F.regexp_replace("value", ",$", "").alias("value"), F.monotonically_increasing_id().alias("_i"))
-    return ours.select("_i", F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r")).select("_i", "r.*")
+    # Parsed behind the condition: Spark may evaluate later filters on the parsed value first.
+    entry = F.col("value").startswith("{") & ~F.col("value").endswith("[")
+    body = F.when(entry, F.regexp_replace("value", ",$", ""))
+    ours = lines.where(entry).select(F.monotonically_increasing_id().alias("_i"), F.from_json(body, kind, {"mode": "FAILFAST"}).alias("r"))
+    return ours.select("_i", "r.*")
 
 
 def write_pool(pool: DataFrame, path: str) -> None:
