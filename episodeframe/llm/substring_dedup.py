@@ -7,7 +7,8 @@ with a partial aggregate; the digests that occur again are joined back, and
 neighbouring repeated chunks make up runs.  A run counts from ``least`` bytes
 on: single small chunks repeat by chance.  In a run every chunk but the
 digest's first occurrence (smallest doc_id, then smallest hash of the text,
-then first in the text) goes.  Digests are 128 bits of BLAKE2b.
+then first in the text) goes; a first occurrence outside any counted run
+stays as well, and so none in a run does.  Digests are 128 bits of BLAKE2b.
 
 Defined results: null text counts as empty and has no chunks; of rows with the
 same id and text each gets the result of one, and their chunks count as
@@ -63,20 +64,23 @@ def _spans(least: int):
             removed, repeated = [], []
             for chunks in batch.column(2).to_pylist():
                 runs: list[list] = []
+                first: dict[bytes, int] = {}
                 for c in sorted(chunks, key=lambda c: c["place"]):
                     begin = c["place"]
-                    item = (begin, begin + c["size"], c["digest"], c["is_first"])
+                    # The first place of a digest stays, in a counted run or not.
+                    stays = c["is_first"] and first.setdefault(c["digest"], begin) == begin
+                    item = (begin, begin + c["size"], stays)
                     if runs and runs[-1][-1][1] == begin:
                         runs[-1].append(item)
                     elif not (runs and runs[-1][-1][0] == begin):
                         runs.append([item])
                 runs = [r for r in runs if r[-1][1] - r[0][0] >= least]
                 repeated.append([{"begin": r[0][0], "finish": r[-1][1]} for r in runs])
-                seen, out = set(), []
-                for begin, finish, digest, is_first in (c for r in runs for c in r):
-                    if is_first and digest not in seen:
-                        seen.add(digest)
-                    elif out and out[-1]["finish"] == begin:
+                out = []
+                for begin, finish, stays in (c for r in runs for c in r):
+                    if stays:
+                        continue
+                    if out and out[-1]["finish"] == begin:
                         out[-1]["finish"] = finish
                     else:
                         out.append({"begin": begin, "finish": finish})

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -224,7 +225,7 @@ def brute_chunk_runs(rows, least=80):
     first = {}
     for k in sorted(chunks, key=order):
         for s in chunks[k]:
-            first.setdefault(body(k, s), k)
+            first.setdefault(body(k, s), (k, s))
     result = {}
     for k, spans in chunks.items():
         runs = []
@@ -235,12 +236,7 @@ def brute_chunk_runs(rows, least=80):
                 else:
                     runs.append([s])
         runs = [r for r in runs if r[-1][1] - r[0][0] >= least]
-        seen, removed = set(), 0
-        for s in (s for r in runs for s in r):
-            if first[body(k, s)] == k and body(k, s) not in seen:
-                seen.add(body(k, s))
-            else:
-                removed += s[1] - s[0]
+        removed = sum(s[1] - s[0] for r in runs for s in r if first[body(k, s)] != (k, s))
         result[k] = (sum(r[-1][1] - r[0][0] for r in runs), removed)
     return result
 
@@ -590,3 +586,14 @@ def test_suffix_dedup_leaves_nothing_behind(spark, docs):
     before, settings = tables(), [spark.conf.get(k, None) for k in watched]
     suffix_dedup.remove_repeats(docs).collect()
     assert tables() == before and [spark.conf.get(k, None) for k in watched] == settings
+
+
+def test_first_occurrence_in_a_short_run():
+    """X stands at 0 in a run too short to count and again at 100 in a counted one: only the first X stays."""
+    chunk = lambda place, size, digest: {"place": place, "size": size, "digest": digest, "is_first": True}
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("is_first", pa.bool_())]))
+    chunks = [chunk(0, 30, b"x"), chunk(100, 30, b"x"), chunk(130, 60, b"y"), chunk(190, 60, b"y")]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([chunks], kind)], names=["doc_id", "text_key", "chunks"])
+    (out,) = substring_dedup._spans(80)([batch])
+    assert out.column("repeated").to_pylist() == [[{"begin": 100, "finish": 250}]]
+    assert out.column("removed").to_pylist() == [[{"begin": 100, "finish": 130}, {"begin": 190, "finish": 250}]]
