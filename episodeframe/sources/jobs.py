@@ -1,7 +1,7 @@
 """Folders of agent jobs: ``<job>/<trial>/result.json`` with rewards, configuration and trajectories beside it.
 
-Every kind of file is one Spark scan over a glob; the scans meet on the trial's
-folder.  Nothing lists or opens files on the driver.
+Trials come from the data source ``agent_jobs`` (``job_source``): one listing of
+a job plans the read, each trial is one row with the texts of its files.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from episodeframe.functions.columns import basename
 from episodeframe.operators.trajectory import features, tool_sequence
 from episodeframe.schema import TRAJECTORY
+from episodeframe.sources import job_source
 
 THRESHOLD = 0.99
 
@@ -23,17 +24,6 @@ THRESHOLD = 0.99
 JOB_BITS = 50
 
 
-def _texts(spark: SparkSession, pattern: str, up: int, name: str) -> DataFrame:
-    """(trial, name): whole files that match, by the folder ``up`` levels above; none match, none come."""
-    try:
-        files = spark.read.format("binaryFile").load(pattern)
-    except Exception as e:  # the pattern matches nothing
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], f"trial string, {name} string")
-    return files.select(F.regexp_replace("path", "(/[^/]+){" + str(up) + "}$", "").alias("trial"), F.col("content").cast("string").alias(name))
-
-
 def reward(sidecar: Column, text: Column, result: Column, key: str | None) -> Column:
     """Scalar of reward.json, else reward.txt, else the result's fields; a map gives ``key`` or the mean of its numbers."""
     from_result = F.coalesce(*(F.get_json_object(result, p) for p in ("$.verifier_result.reward", "$.verifier_result.reward.value", "$.agent_result.reward", "$.reward")))
@@ -68,63 +58,76 @@ def task_metadata(spark: SparkSession, tasks_dir: str) -> DataFrame:
     return found.groupBy("name").agg(F.max(F.struct("difficulty", "category", "explanation")).alias("m")).select("name", "m.*")
 
 
-def read_job(spark: SparkSession, job_dir: str, run_id: str | None = None, reward_key: str | None = None, threshold: float = THRESHOLD, strata_from_config: tuple[str, ...] = (), tasks_dir: str | None = None) -> DataFrame:
-    """One job as episodes, numbered within their task; ``ord`` follows the trials' names over the whole job; no reward means score 0, ``missing_reward``."""
-    job_dir = job_dir.rstrip("/")
-    trials = _texts(spark, f"{job_dir}/*/result.json", 1, "result")
-    for name, pattern, up in (("config", "config.json", 1), ("rj", "verifier/reward.json", 2), ("rt", "verifier/reward.txt", 2)):
-        trials = trials.join(_texts(spark, f"{job_dir}/*/{pattern}", up, name), "trial", "left")
+def _episodes(trials: DataFrame, run_id: Column, reward_key: str | None = None, threshold: float = THRESHOLD, strata_from_config: tuple[str, ...] = (), tasks_dir: str | None = None) -> DataFrame:
+    """Trials' texts as episodes with ``ord``, not yet numbered within their task; every column comes from its own row."""
     dig = lambda c, p: F.nullif(F.get_json_object(c, p), F.lit(""))
     df = trials.select(
-        "trial", "result", "config",
+        run_id.alias("run_id"), "trial", "result", "config",
         F.coalesce(dig("result", "$.task_name"), dig("result", "$.task_id"), basename(F.col("trial"))).alias("task"),
         F.coalesce(dig("result", "$.agent_info.model"), dig("config", "$.model"), F.lit("unknown")).alias("model"),
-        reward(F.col("rj"), F.col("rt"), F.col("result"), reward_key).alias("reward"),
+        reward(F.col("reward_json"), F.col("reward_txt"), F.col("result"), reward_key).alias("reward"),
+        (F.shiftleft(F.col("run").cast("bigint"), JOB_BITS) + F.col("place")).alias("ord"),
     )
     strata = [(k, dig("config", f"$.{k}")) for k in strata_from_config]
     if tasks_dir:
-        meta = task_metadata(spark, tasks_dir).withColumnRenamed("name", "task")
+        meta = task_metadata(trials.sparkSession, tasks_dir).withColumnRenamed("name", "task")
         df = df.join(meta, "task", "left")
         strata = [("difficulty", F.col("difficulty")), ("category", F.col("category")), *strata]
     pairs = F.create_map(*(x for k, v in strata for x in (F.lit(k), v))) if strata else F.create_map().cast("map<string,string>")
     score = F.coalesce("reward", F.lit(0.0))
     success = F.coalesce(F.col("reward") >= threshold, F.lit(False))
-    order = F.row_number().over(Window.partitionBy("task").orderBy("trial")) - 1
     return df.select(
-        F.lit(run_id or job_dir.rsplit("/", 1)[-1]).alias("run_id"), "model", "task", order.cast("int").alias("episode"), score.alias("score"), success.alias("success"), F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("strata"),
+        "run_id", "model", "task", score.alias("score"), success.alias("success"), F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("strata"),
         F.when(F.col("reward").isNull(), "missing_reward").when(~success, "below_threshold").alias("failure_mode"), F.lit(None).cast("int").alias("length"), F.col("trial").alias("trajectory_ref"),
-        F.to_json(F.struct(F.get_json_object("result", "$.trial_name").alias("trial_name"))).alias("meta"),
-    ).sort("trajectory_ref").withColumn("ord", F.monotonically_increasing_id())
+        F.to_json(F.struct(F.get_json_object("result", "$.trial_name").alias("trial_name"))).alias("meta"), "ord",
+    )
 
 
-def read_jobs(spark: SparkSession, job_dirs: list[str], **options) -> DataFrame:
-    """Several jobs as repeats: run_id job0, job1, ...; ``ord`` goes on from job to job."""
-    out = None
-    for i, d in enumerate(job_dirs):
-        job = read_job(spark, d, run_id=f"job{i}", **options).withColumn("ord", F.col("ord") + F.lit(i << JOB_BITS))
-        out = job if out is None else out.unionByName(job)
-    return out
+_FILES = ("result", "config", "reward_json", "reward_txt")
 
 
-def read_trajectories(spark: SparkSession, job_dir: str) -> DataFrame:
-    """Trials with both trajectory.json and a numeric reward.txt, with tool sequence and features; broken files are skipped."""
+def _numbered(df: DataFrame) -> DataFrame:
+    """``episode``: the place of a trial among those of its task in its run."""
+    counted = df.withColumn("episode", (F.row_number().over(Window.partitionBy("run_id", "task").orderBy("ord")) - 1).cast("int"))
+    return counted.select("run_id", "model", "task", "episode", *(c for c in df.columns if c not in ("run_id", "model", "task")))
+
+
+def read_job(spark: SparkSession, job_dir: str, run_id: str | None = None, **options) -> DataFrame:
+    """One job as episodes, numbered within their task; ``ord`` follows the trials' names over the whole job; no reward means score 0, ``missing_reward``."""
     job_dir = job_dir.rstrip("/")
-    runs = _texts(spark, f"{job_dir}/*/agent/trajectory.json", 2, "body").join(_texts(spark, f"{job_dir}/*/verifier/reward.txt", 2, "rt"), "trial").join(_texts(spark, f"{job_dir}/*/config.json", 1, "config"), "trial", "left")
-    parsed = runs.withColumn("doc", F.from_json("body", TRAJECTORY)).withColumn("score", F.trim("rt").try_cast("double"))
-    parsed = parsed.where(F.expr("try_parse_json(body)").isNotNull() & F.col("score").isNotNull())
-    agent = F.coalesce(F.nullif(F.get_json_object("config", "$.agent.name"), F.lit("")), F.get_json_object("body", "$.agent.name"), F.lit("unknown"))
+    trials = job_source.read_texts(spark, [job_dir], _FILES)
+    return _numbered(_episodes(trials, F.lit(run_id or job_dir.rsplit("/", 1)[-1]), **options))
+
+
+def read_jobs(spark: SparkSession, job_dirs: list[str], **options) -> DataFrame:
+    """Several jobs as repeats, in one read: run_id job0, job1, ...; ``ord`` goes on from job to job."""
+    if not job_dirs:
+        raise ValueError("no job folders")
+    trials = job_source.read_texts(spark, job_dirs, _FILES)
+    return _numbered(_episodes(trials, F.concat(F.lit("job"), F.col("run").cast("string")), **options))
+
+
+def stream_jobs(spark: SparkSession, job_dirs: list[str], settle: float = job_source.SETTLE, **options) -> DataFrame:
+    """Episodes of growing job folders as their trials end; ``episode`` and ``ord`` need the whole job and are absent."""
+    trials = job_source.stream_texts(spark, job_dirs, _FILES, settle=settle)
+    return _episodes(trials, F.concat(F.lit("job"), F.col("run").cast("string")), **options).drop("ord")
+
+
+def _trajectories(runs: DataFrame) -> DataFrame:
+    parsed = runs.withColumn("doc", F.from_json("trajectory", TRAJECTORY)).withColumn("score", F.trim("reward_txt").try_cast("double"))
+    parsed = parsed.where(F.expr("try_parse_json(trajectory)").isNotNull() & F.col("score").isNotNull())
+    agent = F.coalesce(F.nullif(F.get_json_object("config", "$.agent.name"), F.lit("")), F.get_json_object("trajectory", "$.agent.name"), F.lit("unknown"))
     rows = parsed.select(
         basename(F.col("trial")).alias("trial_id"), F.coalesce(F.get_json_object("config", "$.task.path"), F.lit("")).alias("task_path"), agent.alias("agent_name"), "score", F.coalesce(F.col("doc.steps"), F.array().cast(TRAJECTORY["steps"].dataType)).alias("steps"), F.concat("trial", F.lit("/agent/trajectory.json")).alias("traj_path")
     )
     return features(rows.withColumn("tool_sequence", tool_sequence("steps")).drop("steps"))
 
 
+def read_trajectories(spark: SparkSession, job_dir: str) -> DataFrame:
+    """Trials with both trajectory.json and a numeric reward.txt, with tool sequence and features; broken files are skipped."""
+    return _trajectories(job_source.read_texts(spark, [job_dir], ("config", "reward_txt", "trajectory"), "trajectory,reward_txt"))
+
+
 def read_trajectory_dirs(spark: SparkSession, job_dirs: list[str]) -> DataFrame:
-    """All folders; one without trials of its own is looked into one level deeper."""
-    out = None
-    for d in job_dirs:
-        found = read_trajectories(spark, d)
-        if found.isEmpty():
-            found = read_trajectories(spark, d.rstrip("/") + "/*")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """All folders in one read; one without trials (with both files) of its own is looked into one level deeper."""
+    return _trajectories(job_source.read_texts(spark, job_dirs, ("config", "reward_txt", "trajectory"), "trajectory,reward_txt", deeper=True))
