@@ -82,7 +82,7 @@ def _tables(spark: SparkSession, args: argparse.Namespace) -> str:
     if args.command == "metric":
         out = metrics.reduce_scores(generic.read_rewards(spark, args.path), alpha=args.alpha).head().asDict()
     else:
-        eps = generic.read_generic(spark, args.path)
+        eps = generic.read_generic(spark, args.path, eager=True)
         df = (eps.completed() if args.completed_only else eps).df
         if args.command in ("report", "summary"):
             out = report.summary(df)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodeframe import lineage, sqlreg
-from episodeframe.catalog import _PROFILE, CALLS, ORACLES, calls, episodes, on_episodes, on_pool, register, rounded, sequences
+from episodeframe.catalog import _FEATURES, _PREFIX, _PROFILE, CALLS, ORACLES, calls, episodes, on_episodes, on_pool, register, rounded, sequences
 from episodeframe.operators import pool, taxonomy, trajectory
 from episodeframe.plans import control, curriculum, cycle, environments, recursion, simulation
-from episodeframe.streaming import monitor, tables
+from episodeframe.streaming import monitor, tables, trials
 
 
 def one(ep: DataFrame) -> DataFrame:
@@ -175,10 +175,7 @@ def _variants(c: DataFrame) -> DataFrame:
 @register("stream_prefixes", f"{CALLS} SELECT trial_id, max(k)::INT AS prefix_len, sum(k)::BIGINT AS total FROM (SELECT trial_id, row_number() OVER (PARTITION BY trial_id ORDER BY ts, event_id) AS k FROM calls) GROUP BY trial_id", ep=False)
 def stream_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monitor as a stream over the event file, run to its end and counted by trial."""
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    tool = F.when(F.col("event_type") == "view", "read_file").when(F.col("event_type") == "click", "list_directory").when(F.col("event_type") == "signup", "search_tool").when(F.col("event_type") == "purchase", "write_file").otherwise("run_shell_command")
-    rows = source.select(F.concat(F.lit("trial_"), F.col("user_id").cast("string")).alias("trial_id"), "ts", "event_id", tool.alias("tool"))
-    found = drained(monitor.stream_prefixes(rows), "prefixes")
+    found = drained(monitor.stream_prefixes(call_stream(spark, sf_dir)), "prefixes")
     return found.groupBy("trial_id").agg(F.max("prefix_len").alias("prefix_len"), F.sum("prefix_len").alias("total"))
 
 
@@ -199,6 +196,13 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+def call_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls of tools, as they come."""
+    kind = F.col("event_type")
+    tool = F.when(kind == "view", "read_file").when(kind == "click", "list_directory").when(kind == "signup", "search_tool").when(kind == "purchase", "write_file").otherwise("run_shell_command")
+    return event_stream(spark, sf_dir).select(F.concat(F.lit("trial_"), F.col("user_id").cast("string")).alias("trial_id"), "ts", "event_id", tool.alias("tool"))
+
+
 @register(
     "stream_confidence",
     "WITH m AS (SELECT event_type AS task, count(*) AS t, avg(event_id % 11 / 10.0::DOUBLE) AS mean FROM events GROUP BY 1), r AS (SELECT *, sqrt(ln(2 / ((1 - 0.95::DOUBLE) * 6 / (pi() * pi() * t * t))) / (2 * t)) AS radius FROM m) "
@@ -213,6 +217,30 @@ def stream_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(last.select("task", "t", "b.running_mean", "b.running_lo", "b.running_hi"))
 
 
+_COUNTED = ("n_reads", "n_writes", "n_exec", "n_search", "first_write_pos", "first_exec_pos", "search_ratio", "tool_diversity", "write_before_read")
+
+
+# Trials that a day's pause ends; the watermark stands ten minutes before the last event, in whole milliseconds.
+_TRIALS = (
+    CALLS.replace("calls AS", "every AS", 1) + ", w AS (SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 AS passed FROM every), t AS (SELECT e.*, epoch_us(ts) AS us FROM every e, w WHERE epoch_us(ts) <= passed), "
+    "g AS (SELECT *, coalesce(us - lag(us) OVER o > 86400000000, false) AS new FROM t WINDOW o AS (PARTITION BY trial_id ORDER BY ts, event_id)), "
+    "calls AS (SELECT event_id, ts, us, tool, concat(trial_id, '/', sum(new::INT) OVER (PARTITION BY trial_id ORDER BY ts, event_id)) AS trial_id FROM g), " + _PREFIX + ", "
+    "b AS (SELECT trial_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS began, max(us) AS last, count(*) AS n FROM calls GROUP BY 1), "
+    "z AS (SELECT trial_id, split_part(trial_id, '/', 1) AS who, split_part(trial_id, '/', 2)::INT AS s, last + 86400000000 <= passed AS idle FROM b, w), "
+    "d AS (SELECT trial_id FROM z WHERE idle OR EXISTS (SELECT 1 FROM z y WHERE y.who = z.who AND y.s > z.s)), "
+    "o AS (SELECT f.*, false AS ended FROM f UNION ALL SELECT f.*, true FROM f JOIN b ON f.trial_id = b.trial_id AND f.k = b.n WHERE f.trial_id IN (SELECT trial_id FROM d)) "
+    "SELECT split_part(trial_id, '/', 1) AS trial_id, CASE WHEN NOT ended THEN event_id END AS event_id, began, k::INT AS prefix_len, " + _FEATURES.replace("::BIGINT", "::INT") + ", ended FROM o JOIN b USING (trial_id)"
+)
+
+
+@register("stream_trials", _TRIALS, ep=False)
+def stream_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes in event order and the ends of idle trials, as far as the watermark went."""
+    with trials.state_store(spark):
+        found = drained(trials.stream_trials(call_stream(spark, sf_dir), idle="1 day"), "trials")
+    return rounded(found.select("trial_id", "event_id", F.date_format("began", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("began"), "prefix_len", *_COUNTED, "ended"))
+
+
 @register(
     "stream_memories",
     "WITH e AS (SELECT concat('tasks/task-', (user_id % 17)::VARCHAR) AS task_path, concat('trial_', user_id::VARCHAR) AS trial_id, event_id % 11 / 10.0::DOUBLE AS score, event_id AS ord FROM events), "

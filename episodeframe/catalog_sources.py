@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodeframe.catalog import _SEQ, CALLS, ORACLES, episodes, on_episodes, pool_records, register, rounded, sequences, sql
-from episodeframe.catalog_plans import plan_of, shared_path
+from episodeframe.catalog_plans import drained, plan_of, shared_path
 from episodeframe.frame import Episodes
 from episodeframe.operators import compare, trajectory
 from episodeframe.plans import trainers
 from episodeframe.schema import EPISODE, MEMORY, POOL
-from episodeframe.sources import generic, logs, stores
+from episodeframe.sources import generic, job_source, jobs, logs, stores
 
 _COLUMNS = ["run_id", "model", "task", "episode", "score", "success", "s_difficulty", "length", "failure_mode", "ord"]
 
@@ -116,6 +116,55 @@ def benchmark_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.read_benchmark(spark, f"{path}/predictions", f"{path}/whole", trajectory_root="/t").select("task", "episode", "score", "success", "trajectory_ref")
 
 
+# A trial for each user.  Rewards stand in a map, a text, the result or nowhere; every fifth trial has no result.
+def written_job(spark: SparkSession, sf_dir: str) -> str:
+    path = shared_path(spark, "job")
+    u, text = F.col("user_id"), F.col("score").cast("string")
+    score = F.round(F.col("score"), 1)
+    steps = F.transform("tool_sequence", lambda t: F.struct(F.array(F.struct(t.alias("function_name"))).alias("tool_calls")))
+    result = F.struct(F.concat(F.lit("task_"), (u % 17).cast("string")).alias("task_name"), F.struct(F.concat(F.lit("user_"), (u % 7).cast("string")).alias("model")).alias("agent_info"), F.when(u % 4 == 2, score).alias("reward"))
+    rows = sequences(spark, sf_dir).select(
+        F.col("trial_id").alias("trial"), F.when(u % 5 != 0, F.to_json(result)).alias("result"), F.to_json(F.struct(F.struct(F.col("task_path").alias("path")).alias("task"), F.concat(F.lit("s"), (u % 3).cast("string")).alias("split"))).alias("config"),
+        F.when(u % 4 == 0, F.concat(F.lit('{"a": '), text, F.lit(', "b": 1}'))).alias("reward_json"), F.when(u % 4 < 2, F.concat(text, F.lit("\n"))).alias("reward_txt"),
+        F.to_json(F.struct(F.struct(F.lit("agent").alias("name")).alias("agent"), steps.alias("steps"))).alias("trajectory"),
+    )
+    job_source.write_job(rows, path)
+    return path
+
+
+_JOB = (
+    "WITH u AS (SELECT DISTINCT user_id AS u, concat('trial_', user_id) AS trial, user_id % 11 / 10.0::DOUBLE AS s FROM events), r AS (SELECT *, CASE u % 4 WHEN 0 THEN (s + 1) / 2 WHEN 3 THEN NULL ELSE s END AS reward FROM u WHERE u % 5 <> 0) "
+    "SELECT 'job0' AS run_id, concat('user_', u % 7) AS model, concat('task_', u % 17) AS task, {episode}round(coalesce(reward, 0), 6) AS score, coalesce(reward >= 0.99, false) AS success, concat('s', u % 3) AS split, "
+    "CASE WHEN reward IS NULL THEN 'missing_reward' WHEN reward < 0.99 THEN 'below_threshold' END AS failure_mode FROM r"
+)
+
+
+@register("job_folders", _JOB.format(episode="(row_number() OVER (PARTITION BY u % 17 ORDER BY trial) - 1)::INT AS episode, "), ep=False)
+def job_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job folder written by its sink and read as episodes."""
+    found = jobs.read_jobs(spark, [written_job(spark, sf_dir)], strata_from_config=("split",))
+    return rounded(found.select("run_id", "model", "task", "episode", "score", "success", F.col("strata")["split"].alias("split"), "failure_mode"))
+
+
+@register("stream_job_folders", _JOB.format(episode=""), ep=False)
+def stream_job_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same folder as a stream of ended trials."""
+    stream = jobs.stream_jobs(spark, [written_job(spark, sf_dir)], settle=0.0, strata_from_config=("split",))
+    found = drained(stream, "ended")
+    return rounded(found.select("run_id", "model", "task", "score", "success", F.col("strata")["split"].alias("split"), "failure_mode"))
+
+
+@register(
+    "trial_trajectories",
+    f"{_SEQ} SELECT trial_id, task_path, 'agent' AS agent_name, round(score, 6) AS score, array_to_string(seq, ' ') AS tools, len(seq)::INT AS prefix_len FROM s WHERE user_id % 4 < 2",
+    ep=False,
+)
+def trial_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories of the trials that have a reward text."""
+    found = jobs.read_trajectory_dirs(spark, [written_job(spark, sf_dir)])
+    return rounded(found.select("trial_id", "task_path", "agent_name", "score", F.array_join("tool_sequence", " ").alias("tools"), "prefix_len"))
+
+
 @register("memories_jsonl", f"{_SEQ} SELECT trial_id, task_path, score, array_to_string(seq, ' ') AS tools FROM s", ep=False)
 def memories_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "memories")

@@ -35,6 +35,20 @@ def in_file_order(lines: DataFrame) -> DataFrame:
     return read.where(F.trim("value") != "").sort("_file", "_part", "_line").select("value", F.monotonically_increasing_id().alias("place"))
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, errors) of the invalid lines of JSONL files; lines count from 1, blank ones too.
+
+    Bad lines alone meet the counts of the parts of files before theirs.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_line"))
+    parts = lines.groupBy("file", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    parsed = lines.where(F.trim("value") != "").withColumn("v", F.expr("try_parse_json(value)"))
+    bad = parsed.withColumn("errors", F.when(F.col("v").isNull(), F.array(F.lit("not a JSON object"))).otherwise(errors())).where(F.size("errors") > 0)
+    return bad.join(parts, ["file", "_part"]).select("file", (F.col("_before") + F.col("_line") - F.col("_first") + 1).alias("line"), "errors")
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     """``ord`` from the file, else the place of the line (files in name order, lines in theirs)."""
     return df.withColumn("ord", F.coalesce("ord", "_i")).drop("_i").select(*EPISODE.names)
@@ -101,9 +115,15 @@ def checked(converted: DataFrame, strict: bool = True) -> tuple[DataFrame, DataF
     return good.select(*EPISODE.names), converted.where(~ok)
 
 
-def read_generic(spark: SparkSession, path: str, threshold: float = THRESHOLD, strict: bool = True) -> Episodes:
-    """``.jsonl`` line by line; other files as one JSON list or ``{"records": [...]}`` each."""
+def read_generic(spark: SparkSession, path: str, threshold: float = THRESHOLD, strict: bool = True, eager: bool = False) -> Episodes:
+    """``.jsonl`` line by line; other files as one JSON list or ``{"records": [...]}`` each.
+
+    ``eager`` checks the lines in a pass of its own and raises with the file and
+    line of the first bad ones; else an invalid record raises when it is computed.
+    """
     if path.rstrip("/").endswith(".jsonl"):
+        if strict and eager and (found := bad_lines(spark, path).orderBy("file", "line").limit(10).collect()):
+            raise ValueError("invalid records: " + "; ".join(f"{r['file']}, line {r['line']}: {', '.join(r['errors'])}" for r in found))
         raw = in_file_order(spark.read.text(path))
     else:
         whole = spark.read.text(path, wholetext=True)

@@ -27,8 +27,8 @@ from episodeframe.operators.trajectory import EXECS, READS, WRITES
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _COUNTS = "began bigint, last bigint, n int, reads int, writes int, execs int, searches int, fw int, fe int, fr int, kinds string"
-#: columns of the result after trial, ts, order and tool
-FEATURES = "began timestamp, prefix_len int, n_steps int, n_reads int, n_writes int, n_exec int, n_search int, first_write_pos int, first_exec_pos int, search_ratio double, tool_diversity double, write_before_read boolean, ended boolean"
+#: columns of the processor's rows after trial, micros, number and tool; times are microseconds, free of the session's zone
+FEATURES = "began bigint, prefix_len int, n_steps int, n_reads int, n_writes int, n_exec int, n_search int, first_write_pos int, first_exec_pos int, search_ratio double, tool_diversity double, write_before_read boolean, ended boolean"
 
 
 @contextlib.contextmanager
@@ -73,13 +73,13 @@ class Counts:
     def features(self, ended: bool) -> tuple:
         n = self.n
         never = lambda p: p if p >= 0 else n
-        return (pd.Timestamp(self.began, unit="us"), n, n, self.reads, self.writes, self.execs, self.searches, never(self.fw), never(self.fe), self.searches / n, len(self.seen) / n, 0 <= self.fw < self.fr, ended)
+        return (self.began, n, n, self.reads, self.writes, self.execs, self.searches, never(self.fw), never(self.fe), self.searches / n, len(self.seen) / n, 0 <= self.fw < self.fr, ended)
 
 
 class TrialProcessor(StatefulProcessor):
-    def __init__(self, names: tuple[str, str, str, str], order_type: str, idle: int) -> None:
-        """``names``: columns of trial, ts, order and tool; ``idle`` in microseconds."""
-        self.names, self.order_type, self.idle = names, order_type, idle
+    def __init__(self, order_type: str, idle: int) -> None:
+        """``idle`` in microseconds."""
+        self.order_type, self.idle = order_type, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -90,11 +90,10 @@ class TrialProcessor(StatefulProcessor):
         self.handle.registerTimer(-(-at // 1000))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        _, ts, order, tool = self.names
         first = None
         for frame in rows:
-            at = frame[ts].to_numpy().astype("datetime64[us]").astype("int64").tolist()
-            self.waiting.appendList(list(zip(at, frame[order].tolist(), (t if isinstance(t, str) else None for t in frame[tool]), strict=True)))
+            at = frame["micros"].tolist()
+            self.waiting.appendList(list(zip(at, frame["number"].tolist(), (t if isinstance(t, str) else None for t in frame["tool"]), strict=True)))
             first = min(at) if first is None else min(first, min(at))
         if first is not None:
             self._timer(first)
@@ -113,7 +112,7 @@ class TrialProcessor(StatefulProcessor):
                 self.waiting.clear()
         counts = Counts(*self.counts.get()) if self.counts.exists() else None
         rows = []
-        end = lambda c: rows.append((key[0], pd.Timestamp(c.last, unit="us"), None, None, *c.features(True)))
+        end = lambda c: rows.append((key[0], c.last, None, None, *c.features(True)))
         for at, number, tool in taken:
             if counts is not None and at - counts.last > self.idle:
                 end(counts)
@@ -121,7 +120,7 @@ class TrialProcessor(StatefulProcessor):
             if counts is None:
                 counts = Counts(at, at)
             counts.take(at, tool)
-            rows.append((key[0], pd.Timestamp(at, unit="us"), number, tool, *counts.features(False)))
+            rows.append((key[0], at, number, tool, *counts.features(False)))
         if counts is not None and counts.last + self.idle <= passed:
             end(counts)
             counts = None
@@ -131,8 +130,8 @@ class TrialProcessor(StatefulProcessor):
             self.counts.update(counts.stored())
             self._timer(counts.last + self.idle)
         if rows:
-            out = pd.DataFrame(rows, columns=[*self.names, *(c.split()[0] for c in FEATURES.split(", "))])
-            out[self.names[2]] = out[self.names[2]].astype("Int64" if self.order_type in ("bigint", "int", "smallint", "tinyint") else object)
+            out = pd.DataFrame(rows, columns=["trial", "micros", "number", "tool", *(c.split()[0] for c in FEATURES.split(", "))])
+            out["number"] = out["number"].astype("Int64" if self.order_type in ("bigint", "int", "smallint", "tinyint") else object)
             yield out
 
     def close(self) -> None:
@@ -148,6 +147,9 @@ def stream_trials(calls: DataFrame, trial: str = "trial_id", ts: str = "ts", ord
     """
     kinds = {c: calls.schema[c].dataType.simpleString() for c in (trial, order)}
     length = int(pd.Timedelta(idle) / pd.Timedelta(microseconds=1))
-    rows = calls.select(trial, F.col(ts).cast("timestamp").alias(ts), order, tool).where(F.col(trial).isNotNull() & F.col(ts).isNotNull() & F.col(order).isNotNull()).withWatermark(ts, watermark)
-    out = f"`{trial}` {kinds[trial]}, `{ts}` timestamp, `{order}` {kinds[order]}, `{tool}` string, {FEATURES}"
-    return rows.groupBy(trial).transformWithStateInPandas(TrialProcessor((trial, ts, order, tool), kinds[order], length), out, "append", "eventTime")
+    rows = calls.select(F.col(trial).alias("trial"), F.col(ts).cast("timestamp").alias("ts"), F.col(order).alias("number"), F.col(tool).alias("tool"))
+    rows = rows.where("trial is not null and ts is not null and number is not null").withWatermark("ts", watermark).withColumn("micros", F.unix_micros("ts"))
+    out = f"trial {kinds[trial]}, micros bigint, number {kinds[order]}, tool string, {FEATURES}"
+    found = rows.groupBy("trial").transformWithStateInPandas(TrialProcessor(kinds[order], length), out, "append", "eventTime")
+    named = [F.col("trial").alias(trial), F.timestamp_micros("micros").alias(ts), F.col("number").alias(order), F.col("tool").alias(tool), F.timestamp_micros("began").alias("began")]
+    return found.select(*named, *found.columns[5:])

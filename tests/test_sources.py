@@ -229,3 +229,57 @@ def test_documents_of_many_parts(spark, tmp_path):
     stores.write_pool(pool.limit(0), str(tmp_path / "none"))
     assert stores.read_pool(spark, str(tmp_path / "none")).collect() == []
     assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == {"n_records": 0, "agents": [], "tasks": [], "records": []}
+
+
+def test_bad_lines_by_file_and_line(spark, tmp_path):
+    """Lines count from 1 in their own file, blank ones too, over files that are read in many parts."""
+    folder = tmp_path / "in.jsonl"
+    folder.mkdir()
+    line = lambda i: json.dumps({"run_id": "r", "model": "m", "task": "t" * (i % 90 + 1), "score": 0.5})
+    bad = {"a.jsonl": [1, 150, 399, 400], "b.jsonl": [77], "c.jsonl": []}
+    for name, places in bad.items():
+        (folder / name).write_text("".join(("{broken" if n in places else "" if n % 13 == 0 else line(n)) + "\n" for n in range(1, 401)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = generic.bad_lines(spark, str(folder)).collect()
+        assert sorted((r["file"].rsplit("/", 1)[-1], r["line"]) for r in found) == [(f, n) for f, p in bad.items() for n in p]
+        with pytest.raises(ValueError, match="a.jsonl, line 1: not a JSON object; .*a.jsonl, line 150"):
+            generic.read_generic(spark, str(folder), eager=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert generic.read_generic(spark, str(folder / "c.jsonl"), eager=True).df.count() == 400 - 400 // 13
+
+
+def test_job_source_partitions_sink_and_stream(spark, tmp_path):
+    """Trials over many tasks keep their order; the sink writes what the reader reads; a stream takes each trial once."""
+    from episodeframe.sources import job_source
+
+    job = str(tmp_path / "job")
+    rows = [(f"t{i:03}", json.dumps({"task_name": f"k{i % 3}", "reward": i / 100}) if i % 5 else None, "{}", "é\n" * i if i % 2 else None) for i in range(40)]
+    frame = spark.createDataFrame(rows, "trial string, result string, config string, trajectory string").repartition(4)
+    job_source.write_job(frame, job)
+    job_source.write_job(frame, job)  # a second time leaves the same files
+    assert not [p for p in (tmp_path / "job").rglob("*") if p.is_file() and p.name not in ("result.json", "config.json", "trajectory.json")]
+    read = spark.read.format("agent_jobs").option("trials_per_task", 7).option("kinds", "trajectory,config").load(job)
+    assert read.rdd.getNumPartitions() == 6 and read.columns == ["run", "job", "trial", "place", "trajectory", "config"]
+    got = read.collect()
+    assert [(r["trial"].rsplit("/", 1)[-1], r["place"], r["trajectory"]) for r in got] == [(t, i, x) for i, (t, result, _, x) in enumerate(rows) if result]
+    assert jobs.read_job(spark, job).orderBy("ord").select("task", "score", "episode").collect()[:3] == [("k1", 0.01, 0), ("k2", 0.02, 0), ("k0", 0.03, 0)]
+    target, log = str(tmp_path / "out"), str(tmp_path / "log")
+
+    def run():
+        stream = jobs.stream_jobs(spark, [job], settle=0.0)
+        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["task"], r["score"]) for r in spark.read.schema(stream.schema).parquet(target).collect())
+
+    first = sorted((f"k{i % 3}", i / 100) for i in range(40) if i % 5)
+    assert run() == first and run() == first
+    job_source.write_job(spark.createDataFrame([("a-new-one", '{"task_name": "k9", "reward": 1.0}')], "trial string, result string"), job)
+    assert run() == sorted([*first, ("k9", 1.0)])
+    (tmp_path / "none").mkdir()
+    assert jobs.read_job(spark, str(tmp_path / "none")).count() == 0 and jobs.read_trajectory_dirs(spark, [str(tmp_path / "absent")]).count() == 0
+    for wrong in (frame.withColumnRenamed("config", "other"), frame.drop("trial")):
+        with pytest.raises(Exception, match="no file for|has the columns"):
+            job_source.write_job(wrong, job)
+    with pytest.raises(Exception, match="not the name of a trial"):
+        job_source.write_job(frame.limit(1).selectExpr("'../x' as trial", "config"), job)
