@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from episodeframe.llm.blocks import give_back, text_blocks
-from episodeframe.llm.shared import materialize, narrow, shared_dir
+from episodeframe.llm.shared import drop_table, materialize, narrow, shared_dir
 
 TOKENIZER_FILE, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 18
@@ -376,4 +376,5 @@ def round_trip(docs: DataFrame, path: str | None = None, end_id: int = END_ID, i
     bytes_ = ids.agg(F.sum(F.length("ids"))).head()[0] or 0
     partitions = max(8, int(bytes_ // SMALLEST_RANGE_BYTES) + 1)
     write_files(ids, by_rank, folder, partitions)
+    drop_table(ids)
     return read_files(spark, folder)
