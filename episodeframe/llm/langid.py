@@ -7,8 +7,10 @@ Texts are compressed in pieces of ``PIECE_BYTES`` so that a long text cannot
 become its own dictionary; every piece of the whole text counts.
 
 Training data are bounded: of each language the rows with the smallest hash of
-doc_id, whole texts, until they have ``DICT_BYTES`` or are ``TRAIN_ROWS``.  A
-language with fewer texts has a smaller dictionary and changes no other one.
+doc_id, whole texts of at most ``TEXT_BYTES``, until they have ``DICT_BYTES`` or
+are ``TRAIN_ROWS``.  Longer texts are not learned from, so that what the driver
+holds of a language is bounded too; they are told like all others.  A language
+with fewer texts has a smaller dictionary and changes no other one.
 
 Defined results: text that is null, empty or without a letter is ``und`` with
 score 0 and rejected; ties go to the language first in the alphabet, with
@@ -27,15 +29,16 @@ from episodeframe.llm.blocks import text_blocks
 from episodeframe.llm.shared import bounded_batches, narrow
 
 TRAIN_ROWS, DICT_BYTES, PIECE_BYTES = 150, 128 << 10, 2048
+TEXT_BYTES = 64 << 10
 #: rejected where (second - best) / second is below this
 MARGIN = 0.004
 #: at lower levels the matcher misses short matches, which carry the signal
 LEVEL = 6
 
 
-def learn_dictionaries(rows: DataFrame, train_rows: int = TRAIN_ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def learn_dictionaries(rows: DataFrame, train_rows: int = TRAIN_ROWS, dict_bytes: int = DICT_BYTES, text_bytes: int = TEXT_BYTES) -> dict[str, bytes]:
     """Language -> dictionary content from (doc_id, text, lang) training rows."""
-    usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+    usable = rows.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, text_bytes))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = usable.select("lang", "doc_id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= train_rows).select("lang", "doc_id").collect()
     if not picked:
