@@ -12,9 +12,11 @@ cost of a missed toxic text, that of a clean one taken for toxic being 1; the
 decision point is where the fitted score is one half.
 
 Training data are bounded: ``TRAIN_POSITIVE`` toxic and ``TRAIN_UNLABELLED``
-unlabelled rows, whole texts, those with the smallest hash of doc_id (of rows
-with one id the one with the least text).  Label 0 is used for
-nothing but the prior, which is the share of label 1 among training labels.
+unlabelled rows, whole texts of at most ``TEXT_BYTES`` (longer ones are scored
+but not learned from), those with the smallest hash of doc_id (of rows with one
+id the one with the least text).  Label 0 is used for nothing but the prior,
+which is the share of label 1 among all training labels, kept within
+``LEAST_PRIOR`` and ``MOST_PRIOR``: the risk has no minimum at a prior of 0 or 1.
 
 Defined results: null and empty text get the model's score for no words; rows
 come back one for one, repeated ones too; with no confirmed toxic row every
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from episodeframe.llm.blocks import ALNUM, mix64, span_hashes, text_blocks, words_of
 from episodeframe.llm.shared import narrow
 
-TRAIN_POSITIVE, TRAIN_UNLABELLED = 1500, 4000
+TRAIN_POSITIVE, TRAIN_UNLABELLED, TEXT_BYTES = 1500, 4000, 64 << 10
+LEAST_PRIOR, MOST_PRIOR = 0.001, 0.9
 FEATURE_BITS = 20
 PREFIXES = (4, 5)
 #: features are learned where P and U differ by so many standard errors
@@ -135,9 +138,9 @@ def _rows(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows, n_positive: int = TRAIN_POSITIVE, n_unlabelled: int = TRAIN_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, train_rows, n_positive: int = TRAIN_POSITIVE, n_unlabelled: int = TRAIN_UNLABELLED, text_bytes: int = TEXT_BYTES) -> Model:
     """Fit on the rows of (doc_id, text) that ``train_rows(doc_id column)`` allows."""
-    docs = docs.select("doc_id", "text").where(train_rows(F.col("doc_id")))
+    docs = docs.select("doc_id", "text").where(train_rows(F.col("doc_id")) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= text_bytes))
     marks = labels.select("doc_id", "toxic").where(train_rows(F.col("doc_id")) & F.col("toxic").isNotNull())
     rate = marks.agg(F.avg(F.col("toxic").cast("double"))).head()[0]
     order = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")]
@@ -149,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, n_positive: int = TRAI
     # Two bounded lists of ids; one pass fetches their whole texts, of rows with one id the least.
     rows = docs.where(F.col("doc_id").isin(sorted({*known, *other}))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     text = {r["doc_id"]: r["text"] or "" for r in rows}
-    return fit(_rows([text[i] for i in known if i in text]), _rows([text[i] for i in other]), min(max(rate, 0.001), 0.9))
+    return fit(_rows([text[i] for i in known if i in text]), _rows([text[i] for i in other]), min(max(rate, LEAST_PRIOR), MOST_PRIOR))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
