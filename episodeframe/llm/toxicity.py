@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from episodeframe.llm.blocks import ALNUM, mix64, span_hashes, text_blocks, words_of
 from episodeframe.llm.shared import narrow
 
-TRAIN_POSITIVE, TRAIN_UNLABELLED, TEXT_BYTES = 1500, 4000, 64 << 10
+TRAIN_POSITIVE, TRAIN_UNLABELLED, TEXT_BYTES = 1500, 4000, 16 << 20
 LEAST_PRIOR, MOST_PRIOR = 0.001, 0.9
 FEATURE_BITS = 20
 PREFIXES = (4, 5)

@@ -26,7 +26,7 @@ def test_long_texts_do_not_train_toxicity(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(202)], "doc_id bigint, toxic int")
     every = lambda i: i >= 0
     short = toxicity.train(frame(docs), labels, every)
-    more = toxicity.train(frame([*docs, (201, "gold " * (toxicity.TEXT_BYTES // 5 + 1)), (203, None)]), labels, every)
+    more = toxicity.train(frame([*docs, (201, "gold " * 13108), (203, None)]), labels, every, text_bytes=64 << 10)
     scores = lambda m: {r["doc_id"]: r["score"] for r in toxicity.score(frame(docs), m).collect()}
     assert all((s >= 0.5) == bool(i % 2) for i, s in scores(short).items())
     assert all((s >= 0.5) == bool(i % 2) for i, s in scores(more).items())
