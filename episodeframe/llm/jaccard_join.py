@@ -8,15 +8,17 @@ A document is its set of distinct five-word shingles, as 64-bit hashes.
    ``n - ceil(t n) + T`` shingles in that order have at least ``T`` in common
    (``T`` is ``OVERLAP``, less for tiny sets).  Inverted lists hold prefixes only.
 3. T-occurrence search runs in rounds, all by ``divide_skip``: a query's longest
-   lists (fewer than ``T``) are long, the others are heap-merged, and what can
+   lists (fewer than ``T``) are long, the others are merged, and what can
    still reach ``T`` is probed in the long ones; what the counts allow is then
    verified on the whole sets.
    - In the first round a list is only its head, the least node, and each query
      verifies the node it shares most with.  That makes large groups of near
      copies one component each, with one verification for each node.
    - In the second round lists hold the nodes of all other components, the node
-     of the smaller component asks, and of each component the best is verified.
-   - In the last round everything that is left between different components is.
+     of the smaller component asks, and its ``FEW`` best partners are verified,
+     so there are ``FEW`` pairs a node at most, however large a group is.
+   - In the last round queries that had more than these ask again, in the lists
+     that still mix components, and everything they have is verified.
    Links inside a component can't change it and aren't looked for; any other
    link is found.
 4. Components of all verified links, by alternating stars.
@@ -30,7 +32,7 @@ around one node at a time.
 
 Parameters that only steer the work, never the result: ``OFTEN`` (a shingle goes
 last in the order if it comes up so often among ``OFTEN_BUFFER``, at most
-``OFTEN_MOST`` of them), ``LONG_LIST``, ``CHUNK``, ``GROUP``, ``PAIRS_AT_ONCE``.
+``OFTEN_MOST`` of them), ``LONG_LIST``, ``CHUNK``, ``GROUP``, ``PAIRS_AT_ONCE``, ``FEW``.
 
 Defined results: null text and text without words have ``n_shingles`` 0 and
 are components of their own; repeated rows link with each other; a null
@@ -41,13 +43,10 @@ length are hashed in stretches; no rows give no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
-from collections import Counter
-from heapq import merge
-from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +57,8 @@ from episodeframe.llm.shared import RowStore, drop_table, materialize, narrow
 WORDS, NUMERATOR, DENOMINATOR, OVERLAP = 5, 80, 100, 3
 #: shingles put last in the order: this often in a buffer of so many
 OFTEN, OFTEN_BUFFER, OFTEN_MOST = 8, 1 << 20, 200_000
-#: lists longer than this are probed; nodes of a chunk; queries verified around one node in one task; pairs verified at a time
-LONG_LIST, CHUNK, GROUP, PAIRS_AT_ONCE = 256, 2048, 256, 50_000
+#: lists longer than this are probed; nodes of a chunk; queries verified around one node in one task; pairs verified at a time; partners of a query in the second round
+LONG_LIST, CHUNK, GROUP, PAIRS_AT_ONCE, FEW = 256, 2048, 256, 50_000, 3
 
 
 def shingles(block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -207,32 +206,40 @@ def _linked(words: int, num: int, den: int):
     return run
 
 
-def divide_skip(lists: list[list[int]], least: int) -> list[int]:
-    """Members of at least ``least`` of the sorted lists.
+def occurrences(asker: np.ndarray, lengths: np.ndarray, member: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """DivideSkip for many queries at once: (query, place of a member in ``member``, lists that have it), for members of at least ``least[query]`` lists.
 
-    The ``least - 1`` longest lists are long: a member must be in a short one.
-    Short lists are heap-merged and counted, long ones binary-probed for those
-    members that can still reach ``least``.
+    List ``i`` belongs to query ``asker[i]`` and is the next ``lengths[i]`` of
+    ``member``.  A query's ``least - 1`` longest lists are long: a member must be
+    in a short one.  Short lists are merged and counted, long ones binary-probed
+    for those members that can still reach ``least``.
     """
-    lists = sorted(lists, key=len)
-    n_long = min(least - 1, len(lists) - 1) if lists else 0
-    short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    out = []
-    for member, run in groupby(merge(*short)):
-        count = sum(1 for _ in run)
-        left = n_long
-        for probe in long_:
-            if count >= least or count + left < least:
-                break
-            at = bisect_left(probe, member)
-            count += at < len(probe) and probe[at] == member
-            left -= 1
-        if count >= least:
-            out.append(member)
-    return out
-
-
-def reachable(x: int, y: int, common: int, num: int, den: int, overlap: int) -> bool:
+    n_lists = np.bincount(asker, minlength=len(least))
+    n_long = np.clip(np.minimum(least - 1, n_lists - 1), 0, None)
+    order = np.lexsort((lengths, asker))
+    nth = np.arange(len(order)) - (np.cumsum(n_lists) - n_lists)[asker[order]]
+    long_list = np.zeros(len(order), dtype=bool)
+    long_list[order] = nth >= (n_lists - n_long)[asker[order]]
+    names, place, at = np.unique(member, return_index=True, return_inverse=True)
+    key, probed = np.repeat(asker, lengths) * max(len(names), 1) + at, np.repeat(long_list, lengths)
+    found, count = np.unique(key[~probed], return_counts=True)
+    query = found // max(len(names), 1)
+    live = count + n_long[query] >= least[query]
+    found, count, query = found[live], count[live], query[live]
+    long_ = np.sort(key[probed])
+    count = count + np.searchsorted(long_, found, "right") - np.searchsorted(long_, found, "left")
+    keep = count >= least[query]
+    return query[keep], place[found[keep] % max(len(names), 1)], count[keep]
+
+
+def divide_skip(lists: list[list[int]], least: int) -> list[int]:
+    """Members of at least ``least`` of the sorted lists."""
+    member = np.array([m for one in lists for m in one], dtype=np.int64)
+    _, place, _ = occurrences(np.zeros(len(lists), np.int64), np.array([len(one) for one in lists], np.int64), member, np.array([least]))
+    return member[place].tolist()
+
+
+def reachable(x: np.ndarray, y: np.ndarray, common: np.ndarray, num: int, den: int, overlap: int) -> np.ndarray:
     """Whether two sets with so many common prefix shingles can reach the threshold.
 
     Up to where the shorter-reaching prefix ends, all common shingles are
@@ -240,48 +247,41 @@ def reachable(x: int, y: int, common: int, num: int, den: int, overlap: int) ->
     left and the other one at most what isn't common so far.  Lists that
     weren't fetched (fewer than ``overlap``) may each hold one more.
     """
-    if den * min(x, y) < num * max(x, y):
-        return False
-    most = min(common + overlap - 1, x, y)
-    tail_x, tail_y = (n - min(overlap, n) for n in (least_overlap(x, num, den), least_overlap(y, num, den)))
-    left = max(min(tail_x, y - most), min(tail_y, x - most))
-    return (most + left) * (num + den) >= num * (x + y)
+    most = np.minimum(common + overlap - 1, np.minimum(x, y))
+    tail_x, tail_y = (n - np.minimum(overlap, n) for n in (least_overlap(x, num, den), least_overlap(y, num, den)))
+    left = np.maximum(np.minimum(tail_x, y - most), np.minimum(tail_y, x - most))
+    return (den * np.minimum(x, y) >= num * np.maximum(x, y)) & ((most + left) * (num + den) >= num * (x + y))
 
 
-def _search(num: int, den: int, overlap: int, keep: str):
+def _search(num: int, den: int, overlap: int, most: int):
     """A query's lists (in chunks) and the overlap it needs -> candidates (u, v, common).
 
-    ``keep``: of all candidates the one with most in common (``best``), that of
-    ``each`` other component, or ``every`` one.
+    Of all candidates those ``most`` come out that have most in common (0: all);
+    a query that has more is named by a row whose v is -1.
     """
 
     def run(batches):
         for batch in batches:
-            out: list[list[int]] = [[], [], []]
-            for query, size, own, least, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lists: dict[int, list[int]] = {}
-                for c in chunks:
-                    lists.setdefault(c["token"], []).extend(c["nodes"])
-                found = [m for m in divide_skip([sorted(x) for x in lists.values()], least) if m != query]
-                if not found:
-                    continue
-                about: dict[int, tuple[int, int]] = {}
-                for c in chunks:
-                    about.update(zip(c["nodes"], zip(c["comps"], c["sizes"], strict=True), strict=True))
-                found = [m for m in found if about[m][0] != own]
-                count = Counter(chain.from_iterable(lists.values()))
-                found = [m for m in found if reachable(size, about[m][1], count[m], num, den, overlap)]
-                if keep != "every":
-                    best: dict[int, int] = {}
-                    for m in found:
-                        group = about[m][0] if keep == "each" else 0
-                        if group not in best or (count[m], -m) > (count[best[group]], -best[group]):
-                            best[group] = m
-                    found = list(best.values())
-                out[0] += [query] * len(found)
-                out[1] += found
-                out[2] += [count[m] for m in found]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v", "common"])
+            query, size, own, least = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            token, nodes, comps, sizes = batch.column(4).flatten().flatten()
+            asker = np.repeat(np.arange(len(query)), pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False))
+            of_list = np.repeat(np.arange(len(token)), pc.list_value_length(nodes).to_numpy(zero_copy_only=False))
+            member, comp, other = (c.flatten().to_numpy(zero_copy_only=False) for c in (nodes, comps, sizes))
+            # The own component is left out before anything is counted.
+            use = (comp != own[asker[of_list]]) & (member != query[asker[of_list]])
+            member, other, of_list = member[use], other[use], of_list[use]
+            q, at, common = occurrences(asker, np.bincount(of_list, minlength=len(token)), member, least.astype(np.int64))
+            fits = reachable(size[q], other[at].astype(np.int64), common, num, den, overlap)
+            q, v, common = q[fits], member[at[fits]], common[fits]
+            more = np.zeros(0, np.int64)
+            if most and len(q):
+                order = np.lexsort((v, -common, q))
+                q, v, common = q[order], v[order], common[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                more = np.unique(q[nth >= most])
+                q, v, common = q[nth < most], v[nth < most], common[nth < most]
+            out = np.append(query[q], query[more]), np.append(v, np.full(len(more), -1)), np.append(common, np.zeros(len(more), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["u", "v", "common"])
 
     return run
 
@@ -314,32 +314,44 @@ class _Join:
         centres = groups.select(F.col("v").alias("row"), F.col("v").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"))
         texts = self.store.join(members.unionByName(centres), "text").select("key", "salt", "member", "row", "text")
         dealt = texts.repartition("key", "salt").sortWithinPartitions("key", "salt", "member")
-        return self.kept(dealt.mapInArrow(_linked(self.words, self.num, self.den), "u bigint, v bigint"), "links")
+        found = self.kept(dealt.mapInArrow(_linked(self.words, self.num, self.den), "u bigint, v bigint"), "links")
+        self.dropped(groups)
+        return found
 
     def first_round(self) -> DataFrame:
         """Links of every node with the best of its lists' heads."""
-        heads = self.kept(self.postings.groupBy("token").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", "head"), "heads")
-        # A head's size stands in the posting that is the head.
-        known = self.kept(heads.join(self.postings, "token").where("node = head").select("token", "head", F.col("n").alias("head_n")), "heads")
-        one = F.struct("token", F.array("head").alias("nodes"), F.array("head").alias("comps"), F.array("head_n").alias("sizes"))
-        asking = self.postings.join(known, "token").where("node <> head").groupBy("node", "n").agg(F.collect_list(one).alias("lists"))
-        asking = asking.select("node", "n", F.col("node").alias("own"), self.need().alias("least"), "lists")
-        found = asking.mapInArrow(_search(self.num, self.den, self.overlap, "best"), CANDIDATES)
-        return self.links(self.kept(found, "best"))
-
-    def candidates(self, comps: DataFrame, keep: str) -> DataFrame:
-        """Pairs (u, v) of different components whose prefixes share enough."""
+        heads = self.kept(self.postings.groupBy("token").agg(F.min("node").alias("head"), F.min_by("n", "node").alias("head_n"), F.count(F.lit(1)).alias("df")).where("df > 1").drop("df"), "heads")
+        asking = self.postings.join(heads, "token").where("node <> head").groupBy("node", "n").agg(F.collect_list(F.struct("token", "head", "head_n")).alias("h"))
+        one = F.transform("h", lambda x: F.struct(x["token"].alias("token"), F.array(x["head"]).alias("nodes"), F.array(x["head"]).alias("comps"), F.array(x["head_n"]).alias("sizes")))
+        asking = asking.select("node", "n", F.col("node").alias("own"), self.need().alias("least"), one.alias("lists"))
+        found = asking.mapInArrow(_search(self.num, self.den, self.overlap, 1), CANDIDATES)
+        best = self.kept(found, "best")
+        links = self.links(best.where("v >= 0"))
+        self.dropped(heads, best)
+        return links
+
+    def candidates(self, comps: DataFrame, most: int, again: DataFrame | None = None) -> DataFrame:
+        """Pairs (u, v) of different components whose prefixes share enough; v is -1 for a query that has more than ``most``.
+
+        ``again``: the queries (u) left from a search before, which ask for all
+        they have; any other node has all its candidates already.
+        """
         sizes = self.kept(comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
         ranked = comps.join(sizes, "component")
         info = (
             self.postings.join(ranked, "node", "left")
             .select("token", "node", "n", F.coalesce("component", "node").alias("component"), F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "node").alias("id")).alias("weight"))
         )
-        mixed = info.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("weight").alias("top")).where("a <> b")
+        info = info.withColumn("asks", F.lit(True)) if again is None else info.join(again.select(F.col("u").alias("node"), F.lit(True).alias("asks")), "node", "left")
+        mixed = info.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("weight").alias("top"), F.max("asks").alias("asked")).where("a <> b AND asked")
         # A list of df nodes has 2**k chunks of about CHUNK.
         chunks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / CHUNK)))).cast("int")
         mixed = self.kept(mixed.select("token", "df", "top", chunks.alias("chunks")), "mixed")
         rest = self.kept(info.join(mixed, "token"), "rest")
+        # A list of one component stays one, so later searches need no more than these.
+        self.dropped(self.postings)
+        self.postings = rest.select("token", "node", "n")
+        self.postings.work_table = rest.work_table
         lists = (
             rest.groupBy("token", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
             .agg(F.collect_list(F.struct("node", "component", "n")).alias("m"))
@@ -348,24 +360,37 @@ class _Join:
         lists = self.kept(lists, "lists")
         # The smaller component asks; its lists are few enough (a prefix) for a window.
         by_length = Window.partitionBy("node").orderBy(F.col("df").desc(), "token")
-        asking = rest.where(F.col("weight") < F.col("top")).withColumn("need", self.need()).withColumn("nth", F.row_number().over(by_length))
+        asking = rest.where("asks" if again is not None else F.col("weight") < F.col("top")).withColumn("need", self.need()).withColumn("nth", F.row_number().over(by_length))
         asking = asking.withColumn("long", (F.col("df") > LONG_LIST) & (F.col("nth") < F.col("need")))
         query = Window.partitionBy("node")
         asking = asking.withColumn("least", (F.col("need") - F.sum(F.col("long").cast("int")).over(query)).cast("int")).withColumn("parts", F.max(F.when(~F.col("long"), F.col("chunks"))).over(query))
+        # Fewer lists than the overlap can't lead to a candidate.
+        asking = asking.withColumn("n_lists", F.count(F.lit(1)).over(query)).where("n_lists >= need")
         asking = self.kept(asking.select("token", F.col("node").alias("query"), "n", F.col("component").alias("own"), "need", "least", "long", "chunks", "parts"), "asking")
         short = asking.where("NOT long").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("chunk", F.col("part") % F.col("chunks"))
         fetched = short.join(lists, ["token", "chunk"]).groupBy("query", "n", "own", "least", "part").agg(F.collect_list(F.struct("token", "nodes", "comps", "sizes")).alias("lists"))
-        found = fetched.select("query", "n", "own", "least", "lists").mapInArrow(_search(self.num, self.den, self.overlap, keep), CANDIDATES)
+        found = fetched.select("query", "n", "own", "least", "lists").mapInArrow(_search(self.num, self.den, self.overlap, most), CANDIDATES)
         found = self.kept(found.groupBy("u", "v").agg(F.max("common").alias("common")), "found")
         long_ = asking.where("long").select(F.col("query").alias("u"), "token", "need")
         if long_.isEmpty():
+            self.dropped(sizes, mixed, lists, asking)
             return found
         # Long lists are probed for the candidates of the short ones.
         asked = found.join(long_, "u")
         hits = asked.join(rest.select("token", F.col("node").alias("v")), ["token", "v"], "left_semi").groupBy("u", "v").agg(F.count(F.lit(1)).alias("hits"))
         need = long_.groupBy("u").agg(F.first("need").alias("need"))
-        probed = found.join(need, "u", "left").join(self.kept(hits, "hits"), ["u", "v"], "left")
-        return self.kept(probed.where("need IS NULL OR common + coalesce(hits, 0) >= need").select("u", "v", "common"), "probed")
+        hits = self.kept(hits, "hits")
+        probed = found.join(need, "u", "left").join(hits, ["u", "v"], "left")
+        probed = self.kept(probed.where("v < 0 OR need IS NULL OR common + coalesce(hits, 0) >= need").select("u", "v", "common"), "probed")
+        self.dropped(sizes, mixed, lists, asking, found, hits)
+        return probed
+
+    def dropped(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing later reads."""
+        names = {t.work_table for t in tables}
+        for t in tables:
+            drop_table(t)
+        self.tables = [t for t in self.tables if t.work_table not in names]
 
     def close(self, but: DataFrame) -> None:
         for t in self.tables:
@@ -376,20 +401,25 @@ class _Join:
 def _resolve(join: _Join, n_docs: int) -> DataFrame:
     """(node, component), until no two components may still link.
 
-    A query needs one link to a component, so its best partner in each goes
-    before all the others.
+    A query verifies its ``FEW`` best partners in other components before all
+    the others; most have no more, and only those that have ask again.
     """
     links = join.first_round()
     comps = join.kept(connected(links), "components")
-    for keep in ("each", "every"):
-        pairs = join.candidates(comps, keep)
+    again = None
+    for most in (FEW, 0):
+        found = join.candidates(comps, most, again)
+        pairs = found.where("v >= 0")
         total = pairs.count()
-        if not total:
-            break
         parts = -(-total // max(PAIRS_AT_ONCE, n_docs // 8))
         for k in range(parts):
             links = links.unionByName(join.links(pairs if parts == 1 else pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == k)))
-        comps = join.kept(connected(links), "components")
+        if total:
+            comps = join.kept(connected(links), "components")
+        again = join.kept(found.where("v < 0").select("u").distinct(), "again")
+        join.dropped(found)
+        if again.isEmpty():
+            break
     return comps
 
 

@@ -337,6 +337,35 @@ def test_jaccard_chains(spark, monkeypatch):
     assert Counter(map(tuple, jaccard_join.similar_components(df).select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
 
 
+@pytest.mark.parametrize("few", [1, 3])
+def test_jaccard_asks_again(spark, monkeypatch, few):
+    """Groups of near copies in many pieces: a query verifies so many partners, and those left over are found too."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    r = random.Random(8)
+    rows = []
+    for g in range(3):
+        base = passage(700 + g, 150).split()
+        for i in range(25):
+            w = list(base)
+            for _ in range(r.randint(1, 5)):
+                w[r.randrange(len(w))] = passage(5000 + 100 * g + i, 1)
+            rows.append((100 * g + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, jaccard_join.similar_components(df).select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
+
+
+def test_search_gives_few():
+    """A query with candidates in twelve components gives its best ones and says that it has more; a node of its own component is none."""
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("nodes", pa.list_(pa.int64())), ("comps", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]))
+    nodes = list(range(10, 22)) + [5]
+    comps = list(range(10, 22)) + [1]
+    chunks = [{"token": t, "nodes": nodes[: len(nodes) if t < 4 else 2] , "comps": comps[: len(nodes) if t < 4 else 2], "sizes": [8] * (len(nodes) if t < 4 else 2)} for t in range(6)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([8, 8]), pa.array([1, 2]), pa.array([3, 3], pa.int32()), pa.array([chunks, chunks[:2]], kind)], names=["query", "n", "own", "least", "lists"])
+    run = lambda most: sorted(zip(*(c.to_pylist() for c in next(jaccard_join._search(80, 100, 3, most)([batch])).columns), strict=True))
+    assert run(3) == [(1, -1, 0), (1, 10, 6), (1, 11, 6), (1, 12, 4)]
+    assert run(0) == [(1, n, 6 if n < 12 else 4) for n in range(10, 22)]
+
+
 def test_divide_skip():
     r = random.Random(0)
     for _ in range(200):
