@@ -174,3 +174,44 @@ def test_streams(spark, tmp_path):
     monitor.stream_confidence(src).writeStream.format("memory").queryName("conf").option("checkpointLocation", str(tmp_path / "cp2")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     r = spark.table("conf").head()
     assert r["t"] == 4 and r["running_mean"] == 0.5 and r["running_lo"] == 0 and r["running_hi"] == 1
+
+
+def _flat_rounds(flat, s, k, strategy, rng):
+    for i in range(simulation.MAX_ROUNDS):
+        if s.mean() >= simulation.THRESHOLD:
+            return i
+        s = flat.train(s, flat.select(s, k, strategy, rng), strategy)
+    return simulation.MAX_ROUNDS
+
+
+def test_simulation_by_counts():
+    """Replicates of counts are distributed as those of single episodes."""
+    rng = np.random.default_rng(3)
+    task = np.repeat(np.arange(4), [30, 40, 25, 35])
+    score = np.round(rng.random(len(task)) ** 2, 1)
+    keys, n = np.unique(np.stack([task, score]), axis=1, return_counts=True)
+    cells, flat = simulation.Cells(keys[0].astype(int), keys[1], n), simulation.Tables(task, score)
+    a, b = {x: [] for x in simulation.STRATEGIES}, {x: [] for x in simulation.STRATEGIES}
+    for _ in range(1500):
+        s, m, first = cells.resample(rng, 5)
+        assert m.sum() == len(task) and (np.isfinite(first).sum(1) == np.minimum(m, 5)).all()
+        t = flat.score[flat.first[flat.task] + (rng.random(len(task)) * flat.size[flat.task]).astype(int)]
+        for x in simulation.STRATEGIES:
+            a[x].append((cells.rounds(s, m, first, 5, x, simulation.THRESHOLD, simulation.MAX_ROUNDS, rng), cells.mean(cells.train(s, m, cells.select(s, m, first, 5, x, rng), x), m) - cells.mean(s, m)))
+            b[x].append((_flat_rounds(flat, t, 5, x, rng), flat.train(t, flat.select(t, 5, x, rng), x).mean() - t.mean()))
+    for x in simulation.STRATEGIES:
+        one, two = np.array(a[x]), np.array(b[x])
+        error = np.sqrt((one.var(0) + two.var(0)) / len(one))
+        assert (np.abs(one.mean(0) - two.mean(0)) <= 4 * error + 1e-12).all(), x
+        assert np.abs(np.bincount(one[:, 0].astype(int), minlength=51) - np.bincount(two[:, 0].astype(int), minlength=51)).sum() / 2 < 0.08 * len(one), x
+        assert one[:, 1].std() == pytest.approx(two[:, 1].std(), rel=0.12, abs=1e-3)
+
+
+def test_simulation_of_many_episodes(spark):
+    """The bound is one of different scores, not of episodes."""
+    df = spark.range(5000).selectExpr("concat('t', id % 3) as task", "(id % 7) / 10.0D as score")
+    found = simulation.simulate_rounds(df, 4, most=30)
+    assert found.count() == 12
+    assert simulation.simulate_gains(df, 4, most=30).where("gain >= 0").count() == 12
+    with pytest.raises(ValueError, match="different scores"):
+        simulation.simulate_gains(df, 4, most=20)
