@@ -24,20 +24,24 @@ from episodeframe.lineage import cut
 PART, PLACE = "_part", "_place"
 
 
-def ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
-    """``df`` in order over its partitions, with ``_part`` and ``_place`` (from 0 within the partition)."""
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+def ranged(df: DataFrame, order: list[str | Column], ties: list[str | Column] = ()) -> DataFrame:
+    """``df`` in order over its partitions, with ``_part`` and ``_place`` (from 0 within the partition).
+
+    Spark's sample of ``order`` passes through the driver; what is long or only
+    breaks ties belongs to ``ties``, which sort within partitions.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order, *ties)
     # Partition and place, as Spark packs them.
     numbered = sorted_.withColumn(PLACE, F.monotonically_increasing_id())
     return cut(numbered.withColumn(PART, F.shiftright(PLACE, 33).cast("int")).withColumn(PLACE, F.col(PLACE).bitwiseAND((1 << 33) - 1)))
 
 
-def row_numbers(df: DataFrame, order: list[str | Column], out: str = "row_number") -> DataFrame:
+def row_numbers(df: DataFrame, order: list[str | Column], out: str = "row_number", ties: list[str | Column] = ()) -> DataFrame:
     """Adds ``out``: the place of every row in the order of the whole table, from 1.
 
     One shuffle by range; what is broadcast has one row a partition.
     """
-    rows = ranged(df, order)
+    rows = ranged(df, order, ties)
     sizes = rows.groupBy(PART).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(PART, (F.sum("_n").over(Window.orderBy(PART)) - F.col("_n")).alias("_before"))
     return rows.join(F.broadcast(before), PART).withColumn(out, F.col("_before") + F.col(PLACE) + 1).drop(PART, PLACE, "_before")

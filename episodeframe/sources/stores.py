@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from episodeframe.operators.scans import row_numbers
 from episodeframe.schema import MEMORY, POOL
 
+#: characters of a value that Spark's sample for dealing rows may hold
+BEGINNING = 64
+
 
 def write_memories(memories: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Trajectory records as JSON lines."""
@@ -34,7 +37,8 @@ def write_document(sections: list[tuple[str, DataFrame]], closing: str, path: st
     lines = None
     texts = [text for text, _ in sections]
     for i, (_, rows) in enumerate(sections):
-        numbered = row_numbers(rows.select("place", "value"), ["place", "value"], "_at")
+        # A value may be long (all pairs of a task): its beginning deals rows of one place, the whole of it sorts them.
+        numbered = row_numbers(rows.select("place", "value"), ["place", F.substring("value", 1, BEGINNING)], "_at", ["value"])
         total = numbered.agg(F.count(F.lit(1)).alias("_all"))
         comma = F.when(F.col("_at") < F.col("_all"), ",").otherwise("")
         part = numbered.crossJoin(F.broadcast(total)).select(F.lit(2 * i + 1).alias("_section"), "_at", F.concat("value", comma).alias("value"))  # one row beside all

@@ -2,8 +2,11 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from episodeframe.frame import Episodes
-from episodeframe.sources import checkpoints, generic, jobs, logs
+from episodeframe.operators import scans
+from episodeframe.sources import checkpoints, generic, jobs, logs, stores
 
 GOOD = {"run_id": "r", "model": "m", "task": "t", "score": 0.9, "difficulty": "hard", "seed": 7, "flag": True, "tags": ["x"]}
 
@@ -283,3 +286,16 @@ def test_job_source_partitions_sink_and_stream(spark, tmp_path):
             job_source.write_job(wrong, job)
     with pytest.raises(Exception, match="not the name of a trial"):
         job_source.write_job(frame.limit(1).selectExpr("'../x' as trial", "config"), job)
+
+
+def test_document_of_long_values(spark, tmp_path, monkeypatch):
+    """Rows are dealt by the beginning of a value; equal places still go by the whole of it."""
+    dealt = []
+    plain = scans.ranged
+    monkeypatch.setattr(scans, "ranged", lambda df, order, ties=(): dealt.append(df.select(*order)) or plain(df, order, ties))
+    values = [f'{{"a":"{"x" * 5000}{i % 7}"}}' for i in range(40)]
+    rows = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)], "place int, value string").repartition(3)
+    stores.write_document([('{"l":[', rows)], "]}", str(tmp_path / "doc"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
+    assert [json.dumps(x, separators=(",", ":")) for x in json.loads(text)["l"]] == [v for _, v in sorted((i % 3, v) for i, v in enumerate(values))]
+    assert all(len(x) <= stores.BEGINNING for row in dealt[0].collect() for x in row if isinstance(x, str))
