@@ -29,10 +29,15 @@ def read_jsonl(spark: SparkSession, path: str) -> Episodes:
 def in_file_order(lines: DataFrame) -> DataFrame:
     """(value, place) of the lines that aren't blank; ``place`` ascends over files in name order and lines in theirs.
 
-    Spark reads parts of files in an order of its own, so they are sorted by file and part first.
+    Spark reads parts of files in an order of its own, so a part's rank by file
+    and start is the high half of the place and the line's number in its task
+    the low one.  Only the list of parts is sorted and broadcast; lines stay
+    where they are read.
     """
     read = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_line"))
-    return read.where(F.trim("value") != "").sort("_file", "_part", "_line").select("value", F.monotonically_increasing_id().alias("place"))
+    parts = read.select("_file", "_part").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_part")) - 1)
+    place = F.shiftleft(F.col("_rank").cast("bigint"), 33).bitwiseOR(F.col("_line").bitwiseAND((1 << 33) - 1))
+    return read.where(F.trim("value") != "").join(F.broadcast(parts), ["_file", "_part"]).select("value", place.alias("place"))
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -44,8 +49,7 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     parts = lines.groupBy("file", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_first"))
     earlier = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    parsed = lines.where(F.trim("value") != "").withColumn("v", F.expr("try_parse_json(value)"))
-    bad = parsed.withColumn("errors", F.when(F.col("v").isNull(), F.array(F.lit("not a JSON object"))).otherwise(errors())).where(F.size("errors") > 0)
+    bad = parsed(lines.where(F.trim("value") != "")).where(F.size("errors") > 0)
     return bad.join(parts, ["file", "_part"]).select("file", (F.col("_before") + F.col("_line") - F.col("_first") + 1).alias("line"), "errors")
 
 
@@ -67,31 +71,40 @@ def read_parquet(spark: SparkSession, path: str) -> Episodes:
     return Episodes(df.select(*EPISODE.names, *promoted))
 
 
-def _type(key: str) -> Column:
-    return F.expr(f"schema_of_variant(variant_get(v, '$.{key}', 'variant'))")
+_RULES = {"episode": (_WHOLE, "an int"), "success": (_FLAG, "a bool"), "metadata": (_MAP, "an object"), "difficulty": (_TEXT, "a string"), "trajectory": (_TEXT, "a string"), "failure_mode": (f"{_TEXT}|{_NULL}", "a string or null"), "length": (f"{_WHOLE}|{_NULL}", "an int or null")}
 
 
-def errors(v: str = "v") -> Column:
-    """What is wrong with a raw record (a variant column): an array, empty for a valid one."""
-    found = [F.when(~F.expr(f"schema_of_variant({v})").rlike("^OBJECT"), F.lit("record must be an object"))]
+def parsed(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Adds the variant ``v`` of a JSON text and ``errors``: what is wrong with the record, an array, empty for a valid one.
+
+    Texts are parsed, fields typed and errors found once a row: ``explode`` of
+    one value keeps Spark from writing the expression into every use of it,
+    filters above all.
+    """
+    once = lambda df, name, c: df.select("*", F.explode(F.array(c)).alias(name))
+    df = once(raw, "v", F.expr(f"try_parse_json({value})"))
+    kinds = [F.expr(f"schema_of_variant(variant_get(v, '$.{key}', 'variant'))").alias(key) for key in ("run_id", "model", "task", "score", *_RULES)]
+    df = once(df, "_t", F.struct(F.expr("schema_of_variant(v)").alias("whole"), F.expr("try_variant_get(v, '$.score', 'double')").alias("number"), *kinds))
+    return once(df, "errors", F.when(F.col("v").isNull(), F.array(F.lit("not a JSON object"))).otherwise(errors())).drop("_t")
+
+
+def errors(t: str = "_t") -> Column:
+    """Errors of a raw record from the types of its fields."""
+    kind = lambda key: F.col(f"{t}.{key}")
+    found = [F.when(~kind("whole").rlike("^OBJECT"), F.lit("record must be an object"))]
     for key in ("run_id", "model", "task"):
-        t = _type(key)
-        found.append(F.when(t.isNull(), F.lit(f"missing required field '{key}'")).when(~t.rlike(_TEXT), F.lit(f"field '{key}' must be a string")))
-    t = _type("score")
-    score = F.expr(f"try_variant_get({v}, '$.score', 'double')")
-    found.append(F.when(t.isNull(), F.lit("missing required field 'score'")).when(~t.rlike(_NUMBER), F.lit("field 'score' must be a number")).when(~score.between(0.0, 1.0), F.lit("field 'score' must be between 0.0 and 1.0")))
-    rules = {"episode": (_WHOLE, "an int"), "success": (_FLAG, "a bool"), "metadata": (_MAP, "an object"), "difficulty": (_TEXT, "a string"), "trajectory": (_TEXT, "a string"), "failure_mode": (f"{_TEXT}|{_NULL}", "a string or null"), "length": (f"{_WHOLE}|{_NULL}", "an int or null")}
-    for key, (kind, name) in rules.items():
-        t = _type(key)
-        found.append(F.when(t.isNotNull() & ~t.rlike(kind), F.lit(f"field '{key}' must be {name}")))
+        found.append(F.when(kind(key).isNull(), F.lit(f"missing required field '{key}'")).when(~kind(key).rlike(_TEXT), F.lit(f"field '{key}' must be a string")))
+    score = kind("score")
+    found.append(F.when(score.isNull(), F.lit("missing required field 'score'")).when(~score.rlike(_NUMBER), F.lit("field 'score' must be a number")).when(~kind("number").between(0.0, 1.0), F.lit("field 'score' must be between 0.0 and 1.0")))
+    for key, (allowed, name) in _RULES.items():
+        found.append(F.when(kind(key).isNotNull() & ~kind(key).rlike(allowed), F.lit(f"field '{key}' must be {name}")))
     return F.array_compact(F.array(*found))
 
 
 def convert(raw: DataFrame, value: str = "value", order: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Raw JSON texts -> episode columns plus ``errors``: rows with errors keep what could be read."""
-    df = raw.withColumn("v", F.expr(f"try_parse_json({value})"))
+    df = parsed(raw, value)
     at = F.col(order) if order else F.monotonically_increasing_id()
-    df = df.withColumn("errors", F.when(F.col("v").isNull(), F.array(F.lit("not a JSON object"))).otherwise(errors()))
     get = lambda key, kind: F.expr(f"try_variant_get(v, '$.{key}', '{kind}')")
     score = get("score", "double")
     success = F.coalesce(get("success", "boolean"), score >= threshold)

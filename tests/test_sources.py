@@ -299,3 +299,28 @@ def test_document_of_long_values(spark, tmp_path, monkeypatch):
     text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
     assert [json.dumps(x, separators=(",", ":")) for x in json.loads(text)["l"]] == [v for _, v in sorted((i % 3, v) for i, v in enumerate(values))]
     assert all(len(x) <= stores.BEGINNING for row in dealt[0].collect() for x in row if isinstance(x, str))
+
+
+def test_order_of_files_and_parts(spark, tmp_path):
+    """Places ascend over files by name and lines, also where files are read in parts, and no line is dealt out."""
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i:04d}\n" + ("\n" if i % 5 == 0 else "") for i in range(300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = generic.in_file_order(spark.read.text(str(tmp_path / "*.txt")))
+        assert [r["value"] for r in sorted(found.collect(), key=lambda r: r["place"])] == [f"{n}{i:04d}" for n in "abc" for i in range(300)]
+        assert found.select("place").distinct().count() == 900
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and not any(line.lstrip(" :+-").startswith("Sort [_file") for line in plan.splitlines())
+
+
+def test_records_are_parsed_once(spark):
+    """A filter on the errors doesn't parse the text again for every rule."""
+    raw = spark.createDataFrame([('{"run_id":"r","model":"m","task":"t","score":0.5}', 0), ("[1]", 1), ("{", 2)], "value string, ord bigint")
+    bad = generic.convert(raw, order="ord").where(F.size("errors") > 0).select("ord", "errors")
+    assert bad._jdf.queryExecution().optimizedPlan().toString().lower().count("try_parse_json") + bad._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1
+    assert {r["ord"]: r["errors"][0] for r in bad.collect()} == {1: "record must be an object", 2: "not a JSON object"}
