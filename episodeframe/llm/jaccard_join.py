@@ -19,6 +19,13 @@ A document is its set of distinct five-word shingles, as 64-bit hashes.
      so there are ``FEW`` pairs a node at most, however large a group is.
    - In the last round queries that had more than these ask again, in the lists
      that still mix components, and everything they have is verified.
+   A query whose lists are long on average (``DENSE``) would fetch as much as the
+   square of a group of similar texts.  It asks where its lists are, instead:
+   the nodes of a list (all but its ``T - 1`` longest, of which any partner shares
+   another one) meet once with *sketches* of their whole sets, the parities of
+   ``SKETCH`` buckets.  These differ in no more places than the sets have shingles
+   not in common, so whatever differs in more places than the threshold allows
+   is no link, and never becomes a pair.
    Links inside a component can't change it and aren't looked for; any other
    link is found.
 4. Components of all verified links, by alternating stars.
@@ -32,7 +39,8 @@ around one node at a time.
 
 Parameters that only steer the work, never the result: ``OFTEN`` (a shingle goes
 last in the order if it comes up so often among ``OFTEN_BUFFER``, at most
-``OFTEN_MOST`` of them), ``LONG_LIST``, ``CHUNK``, ``GROUP``, ``PAIRS_AT_ONCE``, ``FEW``.
+``OFTEN_MOST`` of them), ``LONG_LIST``, ``CHUNK``, ``GROUP``, ``PAIRS_AT_ONCE``, ``FEW``,
+``DENSE``, ``SKETCH``.
 
 Defined results: null text and text without words have ``n_shingles`` 0 and
 are components of their own; repeated rows link with each other; a null
@@ -43,6 +51,7 @@ length are hashed in stretches; no rows give no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +68,8 @@ WORDS, NUMERATOR, DENOMINATOR, OVERLAP = 5, 80, 100, 3
 OFTEN, OFTEN_BUFFER, OFTEN_MOST = 8, 1 << 20, 200_000
 #: lists longer than this are probed; nodes of a chunk; queries verified around one node in one task; pairs verified at a time; partners of a query in the second round
 LONG_LIST, CHUNK, GROUP, PAIRS_AT_ONCE, FEW = 256, 2048, 256, 50_000, 3
+#: nodes of a query's lists on average, above which it asks by sketches; bits of a sketch, and of what it is folded to at first; differences held at a time
+DENSE, SKETCH, FOLDED, AT_ONCE = 8, 2048, 512, 1 << 16
 
 
 def shingles(block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -286,6 +297,85 @@ def _search(num: int, den: int, overlap: int, most: int):
     return run
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of ``SKETCH`` buckets of a set, as 64-bit words."""
+    odd = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _sketches(words: int):
+    """row, text -> (node, sketch)."""
+
+    def run(batches):
+        for block in text_blocks(batches):
+            h, first = shingles(block, words)
+            found = [sketch(np.unique(h[a:b])).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(found, pa.binary())], names=["node", "sketch"])
+
+    return run
+
+
+def close_pairs(sketches: np.ndarray, n: np.ndarray, comp: np.ndarray, asks: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of an asker, place of a partner in another component, places in which their sketches differ), for all that may reach the threshold."""
+    folded = np.bitwise_xor.reduce(sketches.reshape(len(n), SKETCH // FOLDED, FOLDED // 64), axis=1)
+    out = []
+    askers, step = np.flatnonzero(asks), max(1, AT_ONCE // max(len(n), 1))
+    for k in range(0, len(askers), step):
+        some = askers[k : k + step]
+        x, y = n[some][:, None], n[None, :]
+        fits = (comp[some][:, None] != comp[None, :]) & (den * np.minimum(x, y) >= num * np.maximum(x, y))
+        i, j = np.nonzero(fits)
+        for table in (folded, sketches):
+            apart = np.bitwise_count(table[some[i]] ^ table[j]).sum(axis=1, dtype=np.int64)
+            live = (num + den) * apart <= (den - num) * (n[some[i]] + n[j])
+            i, j, apart = i[live], j[live], apart[live]
+        out.append((some[i], j, apart))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _meet(num: int, den: int, most: int):
+    """Sorted (token, low, high, node, n, component, asks, sketch) -> candidates (u, v, apart), a list or two chunks of one at a time.
+
+    As in ``_search``, ``most`` of a query's candidates come out, those least apart, and a row whose v is -1 names a query with more.
+    """
+
+    def pairs(batch):
+        node, n, comp = (batch.column(k).to_numpy() for k in (3, 4, 5))
+        asks = batch.column(6).to_numpy(zero_copy_only=False)
+        sketches = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint64).reshape(len(node), SKETCH // 64)
+        u, v, apart = close_pairs(sketches, n, comp, asks, num, den)
+        more = np.zeros(0, np.int64)
+        if most and len(u):
+            order = np.lexsort((node[v], apart, u))
+            u, v, apart = u[order], v[order], apart[order]
+            nth = np.arange(len(u)) - np.searchsorted(u, u)
+            more = np.unique(u[nth >= most])
+            u, v, apart = u[nth < most], v[nth < most], apart[nth < most]
+        return np.append(node[u], node[more]), np.append(node[v], np.full(len(more), -1)), np.append(apart, np.zeros(len(more), np.int64))
+
+    def run(batches):
+        left = None
+        for batch in chain(batches, [None]):
+            more = batch is not None
+            if left is not None:
+                batch = pa.concat_batches([left, batch]) if more else left
+            if batch is None or not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            first = np.append(0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)
+            ends = np.append(first[1:], batch.num_rows)
+            if more:  # the last list may go on in the next batch
+                left = batch.slice(first[-1])
+                first, ends = first[:-1], ends[:-1]
+            found = [pairs(batch.slice(a, b - a)) for a, b in zip(first.tolist(), ends.tolist(), strict=True) if b - a > 1]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], names=["u", "v", "common"])
+
+    return run
+
+
 CANDIDATES = "u bigint, v bigint, common bigint"
 
 
@@ -366,15 +456,18 @@ class _Join:
         asking = asking.withColumn("least", (F.col("need") - F.sum(F.col("long").cast("int")).over(query)).cast("int")).withColumn("parts", F.max(F.when(~F.col("long"), F.col("chunks"))).over(query))
         # Fewer lists than the overlap can't lead to a candidate.
         asking = asking.withColumn("n_lists", F.count(F.lit(1)).over(query)).where("n_lists >= need")
-        asking = self.kept(asking.select("token", F.col("node").alias("query"), "n", F.col("component").alias("own"), "need", "least", "long", "chunks", "parts"), "asking")
+        asking = asking.withColumn("dense", F.avg(F.when(~F.col("long"), F.col("df"))).over(query) > DENSE)
+        asking = self.kept(asking.select("token", F.col("node").alias("query"), "n", F.col("component").alias("own"), "need", "nth", "least", "long", "chunks", "parts", "dense"), "asking")
+        close = self.close_ones(rest, asking.where("dense AND nth >= need"), most)
+        asked_for, asking = asking, asking.where("NOT dense")
         short = asking.where("NOT long").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("chunk", F.col("part") % F.col("chunks"))
         fetched = short.join(lists, ["token", "chunk"]).groupBy("query", "n", "own", "least", "part").agg(F.collect_list(F.struct("token", "nodes", "comps", "sizes")).alias("lists"))
         found = fetched.select("query", "n", "own", "least", "lists").mapInArrow(_search(self.num, self.den, self.overlap, most), CANDIDATES)
         found = self.kept(found.groupBy("u", "v").agg(F.max("common").alias("common")), "found")
         long_ = asking.where("long").select(F.col("query").alias("u"), "token", "need")
         if long_.isEmpty():
-            self.dropped(sizes, mixed, lists, asking)
-            return found
+            self.dropped(sizes, mixed, lists, asked_for)
+            return self.both(found, close)
         # Long lists are probed for the candidates of the short ones.
         asked = found.join(long_, "u")
         hits = asked.join(rest.select("token", F.col("node").alias("v")), ["token", "v"], "left_semi").groupBy("u", "v").agg(F.count(F.lit(1)).alias("hits"))
@@ -382,8 +475,41 @@ class _Join:
         hits = self.kept(hits, "hits")
         probed = found.join(need, "u", "left").join(hits, ["u", "v"], "left")
         probed = self.kept(probed.where("v < 0 OR need IS NULL OR common + coalesce(hits, 0) >= need").select("u", "v", "common"), "probed")
-        self.dropped(sizes, mixed, lists, asking, found, hits)
-        return probed
+        self.dropped(sizes, mixed, lists, asked_for, found, hits)
+        return self.both(probed, close)
+
+    def close_ones(self, rest: DataFrame, asking: DataFrame, most: int) -> DataFrame | None:
+        """Candidates as in ``candidates`` of queries that ask where their lists are; ``common`` is how far they are apart."""
+        if asking.isEmpty():
+            return None
+        marks = asking.select("token", F.col("query").alias("node"), F.lit(True).alias("here"))
+        lists = rest.select("token", "node", "n", "component", "chunks").join(marks.select("token").distinct(), "token").join(marks, ["token", "node"], "left")
+        texts = self.store.join(lists.select(F.col("node").alias("row")).distinct(), "text").select("row", "text")
+        sketches = self.kept(texts.mapInArrow(_sketches(self.words), "node bigint, sketch binary"), "sketches")
+        # Each chunk of a list meets itself and every other one.
+        own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        parts = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        parts = parts.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "component", F.coalesce("here", F.lit(False)).alias("asks"))
+        dealt = parts.join(sketches, "node").select(*parts.columns, "sketch").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+        found = dealt.mapInArrow(_meet(self.num, self.den, most), CANDIDATES)
+        found = self.kept(found.groupBy("u", "v").agg(F.min("common").alias("common")), "close")
+        if most:
+            # A list gives ``most`` partners at most, and so do all lists of a query together.
+            nth = found.where("v >= 0").withColumn("nth", F.row_number().over(Window.partitionBy("u").orderBy("common", "v"))).where(F.col("nth") <= most + 1)
+            last = F.col("nth") > most
+            near = nth.select("u", F.when(last, -1).otherwise(F.col("v")).cast("bigint").alias("v"), F.when(last, 0).otherwise(F.col("common")).cast("bigint").alias("common"))
+            few = self.kept(near.unionByName(found.where("v < 0")).distinct(), "few")
+            self.dropped(found)
+            found = few
+        self.dropped(sketches)
+        return found
+
+    def both(self, found: DataFrame, close: DataFrame | None) -> DataFrame:
+        if close is None:
+            return found
+        out = self.kept(found.unionByName(close), "candidates")
+        self.dropped(found, close)
+        return out
 
     def dropped(self, *tables: DataFrame) -> None:
         """Remove tables that nothing later reads."""
