@@ -69,7 +69,7 @@ OFTEN, OFTEN_BUFFER, OFTEN_MOST = 8, 1 << 20, 200_000
 #: lists longer than this are probed; nodes of a chunk; queries verified around one node in one task; pairs verified at a time; partners of a query in the second round
 LONG_LIST, CHUNK, GROUP, PAIRS_AT_ONCE, FEW = 256, 2048, 256, 50_000, 3
 #: nodes of a query's lists on average, above which it asks by sketches; bits of a sketch, and of what it is folded to at first; differences held at a time
-DENSE, SKETCH, FOLDED, AT_ONCE = 8, 2048, 512, 1 << 16
+DENSE, SKETCH, FOLDED, AT_ONCE = 64, 2048, 512, 1 << 16
 
 
 def shingles(block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,7 @@ def test_similar_texts_below_the_threshold_are_no_pairs(spark, monkeypatch):
     rng = random.Random(3)
     texts = _family(60, rng)
     texts += [texts[0] + " one", texts[7] + " two more"]
+    monkeypatch.setattr(jaccard_join, "DENSE", 8, raising=False)
     pairs = []
     links = jaccard_join._Join.links
     monkeypatch.setattr(jaccard_join._Join, "links", lambda self, p: pairs.append(p.count()) or links(self, p))
@@ -31,6 +32,7 @@ def test_similar_texts_below_the_threshold_are_no_pairs(spark, monkeypatch):
 
 
 def test_chunks_of_long_lists_meet(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "DENSE", 8, raising=False)
     monkeypatch.setattr(jaccard_join, "CHUNK", 8)
     rng = random.Random(4)
     texts = _family(40, rng)
