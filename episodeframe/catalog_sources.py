@@ -89,14 +89,14 @@ def rewards_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep=False,
 )
 def sample_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log document for each user, a sample for each of its events."""
-    path = shared_path(spark, "samples")
+    """One log document for each user, a sample for each of its events; a document is a line, so files don't grow with the users."""
+    path = f"{shared_path(spark, 'samples')}.jsonl"
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     sample = F.struct("event_id", F.col("event_type").alias("id"), F.when(F.col("event_id") % 3 > 0, "C").otherwise("I").alias("score"), F.when(F.col("event_id") % 5 == 0, F.struct(F.lit("limit").alias("type"))).alias("error"))
     logs_ = e.groupBy("user_id").agg(F.array_sort(F.collect_list(sample)).alias("samples"))
     doc = F.to_json(F.struct(F.struct(F.concat(F.lit("run_"), F.col("user_id")).alias("run_id"), F.concat(F.lit("user_"), F.col("user_id") % 7).alias("model")).alias("eval"), "samples"))
-    logs_.select("user_id", doc.alias("value")).repartition("user_id").write.partitionBy("user_id").text(path)
-    read = logs.read_samples(spark, f"{path}/*")
+    logs_.select(doc.alias("value")).write.text(path)
+    read = logs.read_samples(spark, path)
     return read.select("run_id", "model", "task", "episode", "score", "success", "failure_mode")
 
 

@@ -34,15 +34,23 @@ def default_score(sample: Column) -> Column:
 
 
 def read_samples(spark: SparkSession, path: str, strata_keys: tuple[str, ...] = (), score_fn: Callable[[Column], Column] = default_score, threshold: float = 1.0, failure_fn: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Sample logs (one JSON document a file) as episodes; ``score_fn`` and ``failure_fn`` map the sample's JSON text to a column."""
-    logs = spark.read.text(path, wholetext=True)
-    s = logs.select("value", F.posexplode(F.from_json(F.get_json_object("value", "$.samples"), "array<variant>")).alias("place", "item")).withColumn("sample", F.to_json("item"))
+    """Sample logs as episodes; ``score_fn`` and ``failure_fn`` map the sample's JSON text to a column.
+
+    A log is one JSON document: a line of ``.jsonl``, anything else is a document a file.
+    """
+    packed = path.rstrip("/").endswith(".jsonl")
+    logs = spark.read.text(path, wholetext=not packed)
+    if packed:
+        logs = logs.where(F.trim("value") != "")
+    # The head is taken before the samples part, so that no sample carries its whole log.
+    run = F.coalesce(F.get_json_object("value", "$.eval.run_id"), F.get_json_object("value", "$.eval.eval_id"), F.lit("run0"))
+    heads = logs.select(run.alias("run_id"), F.coalesce(F.get_json_object("value", "$.eval.model"), F.lit("unknown")).alias("model"), F.get_json_object("value", "$.samples").alias("samples"))
+    s = heads.select("run_id", "model", F.posexplode(F.from_json("samples", "array<variant>")).alias("place", "item")).withColumn("sample", F.to_json("item"))
     get = lambda p: F.get_json_object("sample", p)
     task = F.coalesce(get("$.id"), get("$.sample_id"), F.lit("task"))
     score = score_fn(F.col("sample"))
     error = get("$.error")
-    run = F.coalesce(F.get_json_object("value", "$.eval.run_id"), F.get_json_object("value", "$.eval.eval_id"), F.lit("run0"))
-    df = s.select("place", "sample", task.alias("task"), score.alias("score"), ((score >= threshold) & error.isNull()).alias("success"), error.alias("_e"), run.alias("run_id"), F.coalesce(F.get_json_object("value", "$.eval.model"), F.lit("unknown")).alias("model"))
+    df = s.select("place", "sample", task.alias("task"), score.alias("score"), ((score >= threshold) & error.isNull()).alias("success"), error.alias("_e"), "run_id", "model")
     is_map = F.substring("_e", 1, 1) == "{"
     mode = failure_fn(F.col("sample")) if failure_fn else F.when(is_map, F.coalesce(F.get_json_object("_e", "$.type"), F.lit("unlabeled"))).otherwise(F.lit("incorrect"))
     nth = F.row_number().over(Window.partitionBy("run_id", "task").orderBy("place")) - 1

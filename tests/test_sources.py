@@ -1,9 +1,11 @@
+import glob
 import json
 
 import pytest
 
 from pyspark.sql import functions as F
 
+from episodeframe import catalog, catalog_plans, catalog_sources  # noqa: F401  (the others register more queries)
 from episodeframe.frame import Episodes
 from episodeframe.operators import scans
 from episodeframe.sources import checkpoints, generic, jobs, logs, stores
@@ -97,6 +99,23 @@ def test_sample_log(spark, tmp_path):
     assert rows[0]["strata"] == {"level": "easy"} and rows[3]["task"] == "5" and rows[0]["run_id"] == "r9"
 
 
+def test_sample_logs_by_lines(spark, tmp_path):
+    """Two documents of a ``.jsonl`` are what they are as a file each; the query writes no file a user."""
+    docs = [{"eval": {"model": "m", "run_id": f"r{i}"}, "samples": [{"id": "s", "score": "C"}, {"id": "s", "score": 0.5, "error": {"type": "Limit"}}][: i + 1]} for i in range(2)]
+    (tmp_path / "l.jsonl").write_text("\n\n".join(map(json.dumps, docs)) + "\n")
+    for i, doc in enumerate(docs):
+        (tmp_path / f"{i}.json").write_text(json.dumps(doc, indent=1))
+    read = lambda p: sorted(map(str, logs.read_samples(spark, p).collect()))
+    assert len(read(str(tmp_path / "l.jsonl"))) == 3 and read(str(tmp_path / "l.jsonl")) == read(str(tmp_path / "*.json"))
+    spark.range(1000).selectExpr("id as event_id", "timestamp'2024-01-01' as ts", "id % 500 as user_id", "'view' as event_type", "0D as value", "'' as props").write.parquet(f"{tmp_path}/events.parquet")
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(glob.glob(f"{root}/samples_*"))
+    found = catalog.QUERIES["sample_log"](spark, str(tmp_path))
+    written = set(glob.glob(f"{root}/samples_*")) - before
+    assert len(written) == 1 and len(glob.glob(f"{written.pop()}/**/part-*", recursive=True)) <= 4
+    assert sorted((r["run_id"], r["episode"]) for r in found.collect()) == sorted((f"run_{u}", k) for u in range(500) for k in range(2))
+
+
 def test_benchmark_predictions(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"instance_id": "i1", "trajectory": "t1.json"}\n{"instance_id": ""}\n{"instance_id": "i2"}\n')
     (tmp_path / "r.json").write_text('{"i1": {"resolved": true}}')
