@@ -1,7 +1,7 @@
 """Trials as they run and end: calls in event order whatever the order of their arrival, with timers that close idle ones.
 
 State of a trial, in Spark's state store: the calls that the watermark has not
-passed yet, and one row of counters for those it has.  A timer stands for the
+passed yet, an entry for those of each batch, and one row of counters for those it has.  A timer stands for the
 first waiting call; when the watermark passes it, the calls behind the watermark
 are taken in (ts, order) and every one yields the features of its prefix, as
 ``trajectory.prefix_features`` does on a table.  Nothing later can come before
@@ -15,10 +15,12 @@ on how micro-batches cut them.
 from __future__ import annotations
 
 import contextlib
+import itertools
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,8 +29,10 @@ from episodeframe.operators.trajectory import EXECS, READS, WRITES
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _COUNTS = "began bigint, last bigint, n int, reads int, writes int, execs int, searches int, fw int, fe int, fr int, kinds string"
-#: columns of the processor's rows after trial, micros, number and tool; times are microseconds, free of the session's zone
-FEATURES = "began bigint, prefix_len int, n_steps int, n_reads int, n_writes int, n_exec int, n_search int, first_write_pos int, first_exec_pos int, search_ratio double, tool_diversity double, write_before_read boolean, ended boolean"
+#: calls of one entry of the waiting ones
+ENTRY = 4096
+#: whole numbers of a call besides its order and tool; times are microseconds, free of the session's zone
+FEATURES = ("micros", "began", "n", "reads", "writes", "execs", "searches", "fw", "fe", "kinds", "write_before_read", "ended")
 
 
 @contextlib.contextmanager
@@ -72,67 +76,77 @@ class Counts:
 
     def features(self, ended: bool) -> tuple:
         n = self.n
-        never = lambda p: p if p >= 0 else n
-        return (self.began, n, n, self.reads, self.writes, self.execs, self.searches, never(self.fw), never(self.fe), self.searches / n, len(self.seen) / n, 0 <= self.fw < self.fr, ended)
+        return (self.last, self.began, n, self.reads, self.writes, self.execs, self.searches, n if self.fw < 0 else self.fw, n if self.fe < 0 else self.fe, len(self.seen), int(0 <= self.fw < self.fr), int(ended))
 
 
 class TrialProcessor(StatefulProcessor):
-    def __init__(self, order_type: str, idle: int) -> None:
+    """Rows are a trial's calls that a timer sets free, as lists; asking the store and making frames of each trial would cost more than the calls do."""
+
+    def __init__(self, idle: int) -> None:
         """``idle`` in microseconds."""
-        self.order_type, self.idle = order_type, idle
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at bigint, number {self.order_type}, tool string")
+        # An entry is the pickled list of a batch's (micros, order, tool).
+        self.waiting = handle.getListState("waiting", "calls binary")
         self.counts = handle.getValueState("counts", _COUNTS)
 
     def _timer(self, at: int) -> None:
         self.handle.registerTimer(-(-at // 1000))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Entries of at most ``ENTRY`` calls, so that none of them grows with the batch.
         first = None
-        for frame in rows:
-            at = frame["micros"].tolist()
-            self.waiting.appendList(list(zip(at, frame["number"].tolist(), (t if isinstance(t, str) else None for t in frame["tool"]), strict=True)))
-            first = min(at) if first is None else min(first, min(at))
+        while calls := [(r.micros, r.number, r.tool) for r in itertools.islice(rows, ENTRY)]:
+            self.waiting.appendValue((pickle.dumps(calls),))
+            least = min(c[0] for c in calls)
+            first = least if first is None else min(first, least)
         if first is not None:
             self._timer(first)
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
+        waiting = sorted((c for (calls,) in self.waiting.get() for c in pickle.loads(calls)), key=lambda r: (r[0], r[1]))
         taken = [r for r in waiting if r[0] <= passed]
         rest = waiting[len(taken) :]
         if taken:
             if rest:
-                self.waiting.put([tuple(r) for r in rest])
+                self.waiting.put([(pickle.dumps(rest),)])
                 self._timer(rest[0][0])
             else:
                 self.waiting.clear()
-        counts = Counts(*self.counts.get()) if self.counts.exists() else None
-        rows = []
-        end = lambda c: rows.append((key[0], c.last, None, None, *c.features(True)))
+        stored = self.counts.get()
+        counts = None if stored is None else Counts(*stored)
+        numbers: list = []
+        tools: list = []
+        features: list[int] = []
+
+        def row(number, tool, ended: bool) -> None:
+            numbers.append(number)
+            tools.append(tool)
+            features.extend(counts.features(ended))
+
         for at, number, tool in taken:
             if counts is not None and at - counts.last > self.idle:
-                end(counts)
+                row(None, None, True)
                 counts = None
             if counts is None:
                 counts = Counts(at, at)
             counts.take(at, tool)
-            rows.append((key[0], at, number, tool, *counts.features(False)))
+            row(number, tool, False)
         if counts is not None and counts.last + self.idle <= passed:
-            end(counts)
+            row(None, None, True)
             counts = None
         if counts is None:
-            self.counts.clear()
+            if stored is not None:
+                self.counts.clear()
         elif taken:
             self.counts.update(counts.stored())
             self._timer(counts.last + self.idle)
-        if rows:
-            out = pd.DataFrame(rows, columns=["trial", "micros", "number", "tool", *(c.split()[0] for c in FEATURES.split(", "))])
-            out["number"] = out["number"].astype("Int64" if self.order_type in ("bigint", "int", "smallint", "tinyint") else object)
-            yield out
+        if numbers:
+            yield Row(trial=key[0], numbers=numbers, tools=tools, features=features)
 
     def close(self) -> None:
         pass
@@ -149,7 +163,12 @@ def stream_trials(calls: DataFrame, trial: str = "trial_id", ts: str = "ts", ord
     length = int(pd.Timedelta(idle) / pd.Timedelta(microseconds=1))
     rows = calls.select(F.col(trial).alias("trial"), F.col(ts).cast("timestamp").alias("ts"), F.col(order).alias("number"), F.col(tool).alias("tool"))
     rows = rows.where("trial is not null and ts is not null and number is not null").withWatermark("ts", watermark).withColumn("micros", F.unix_micros("ts"))
-    out = f"trial {kinds[trial]}, micros bigint, number {kinds[order]}, tool string, {FEATURES}"
-    found = rows.groupBy("trial").transformWithStateInPandas(TrialProcessor(kinds[order], length), out, "append", "eventTime")
+    out = f"trial {kinds[trial]}, numbers array<{kinds[order]}>, tools array<string>, features array<bigint>"
+    freed = rows.groupBy("trial").transformWithState(TrialProcessor(length), out, "append", "eventTime")
+    one = lambda number, i: F.struct(number.alias("number"), F.get("tools", i).alias("tool"), *(F.get("features", i * len(FEATURES) + k).alias(c) for k, c in enumerate(FEATURES)))
+    found = freed.select("trial", F.inline(F.transform("numbers", one)))
     named = [F.col("trial").alias(trial), F.timestamp_micros("micros").alias(ts), F.col("number").alias(order), F.col("tool").alias(tool), F.timestamp_micros("began").alias("began")]
-    return found.select(*named, *found.columns[5:])
+    whole = {"prefix_len": "n", "n_steps": "n", "n_reads": "reads", "n_writes": "writes", "n_exec": "execs", "n_search": "searches", "first_write_pos": "fw", "first_exec_pos": "fe"}
+    ratios = [(F.col(c) / F.col("n")).alias(name) for c, name in (("searches", "search_ratio"), ("kinds", "tool_diversity"))]
+    flags = [F.col(c).cast("boolean").alias(c) for c in ("write_before_read", "ended")]
+    return found.select(*named, *(F.col(c).cast("int").alias(name) for name, c in whole.items()), *ratios, *flags)

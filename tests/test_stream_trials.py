@@ -2,6 +2,9 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
+
+from pyspark.sql import Row
 
 from episodeframe.operators import trajectory
 from episodeframe.streaming import trials
@@ -65,3 +68,49 @@ def test_settings_come_back(spark):
     with trials.state_store(spark):
         assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+class Stored:
+    """A list or value state in memory that counts what is stored."""
+
+    def __init__(self):
+        self.rows, self.stored = [], 0
+
+    def appendValue(self, row):  # noqa: N802
+        self.rows, self.stored = [*self.rows, row], self.stored + 1
+
+    def put(self, rows):
+        self.rows, self.stored = list(rows), self.stored + len(rows)
+
+    def update(self, row):
+        self.put([row])
+
+    def clear(self):
+        self.rows = []
+
+    def get(self):
+        return iter(self.rows)
+
+
+class Value(Stored):
+    def get(self):
+        return self.rows[0] if self.rows else None
+
+
+def test_entries_and_rows_of_a_trial_are_few():
+    """10,000 calls of a trial are three stored entries and one row, half of them wait for the next timer."""
+    waiting, counts, timers = Stored(), Value(), []
+    handle = SimpleNamespace(getListState=lambda *_: waiting, getValueState=lambda *_: counts, registerTimer=timers.append)
+    processor = trials.TrialProcessor(10**12)
+    processor.init(handle)
+    calls = [Row(trial="t", micros=1000 * (i * 7 % 10_000), number=i, tool="read_file") for i in range(10_000)]
+    assert list(processor.handleInputRows(("t",), iter(calls), None)) == []
+    assert (waiting.stored, timers) == (3, [0])
+    clock = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    first = list(processor.handleExpiredTimer(("t",), clock(4999), None))
+    assert len(first) == 1 and len(first[0].numbers) == 5000 and len(waiting.rows) == 1
+    last = list(processor.handleExpiredTimer(("t",), clock(10**7), None))
+    assert len(last) == 1 and not waiting.rows
+    numbers, n = first[0].numbers + last[0].numbers, trials.FEATURES.index("n")
+    assert [i * 7 % 10_000 for i in numbers] == list(range(10_000))
+    assert last[0].features[n :: len(trials.FEATURES)] == list(range(5001, 10_001))
