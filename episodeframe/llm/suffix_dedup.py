@@ -239,14 +239,18 @@ def repeated_windows(bodies: list[bytes], length: int) -> list[list[tuple[int, i
     marked = np.zeros(len(text) + 1, dtype=bool)
     marked[order[again]] = True
     marked[order[np.flatnonzero(again) - 1]] = True
-    out, at = [], 0
-    for body in bodies:
-        windows = len(body) - length + 1
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], marked[at : at + windows], [False]])))
-        # A suffix near the separator never has a common prefix of full length.
-        out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)))
-        at += len(body) + 1
-    return out
+    # A prefix that takes in a separator is no window; windows of two bodies never touch.
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    inside = np.zeros(len(text) + 1, dtype=np.int8)
+    inside[starts] = 1
+    inside[starts + sizes - length + 1] = -1
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], marked & (np.cumsum(inside, dtype=np.int8) > 0), [False]])))
+    begin, finish = edge[::2], edge[1::2]
+    cuts = np.searchsorted(begin, starts).tolist() + [len(begin)]
+    of = np.searchsorted(starts, begin, side="right") - 1
+    ranges = list(zip((begin - starts[of]).tolist(), (finish - starts[of]).tolist(), strict=True))
+    return [ranges[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _sorted_pieces(length: int, sort_bytes: int):

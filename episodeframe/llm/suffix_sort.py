@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: suffixes sorted by comparison at once; bytes compared at once
+TOGETHER, COMPARED = 1 << 12, 1 << 22
+
 
 def small_suffixes(text: np.ndarray) -> np.ndarray:
     """Boolean: suffix i < suffix i+1 (the last one is greater than the end)."""
@@ -30,6 +33,25 @@ def words_at(text: np.ndarray, beyond: int) -> np.ndarray:
     return np.ascontiguousarray(np.ndarray(shape=(len(text) + beyond,), dtype="<u8", buffer=padded.data, strides=(1,)))
 
 
+def in_order(text: np.ndarray, raw: bytes, starts: np.ndarray, depth: int) -> np.ndarray:
+    """``starts`` in the order of their suffixes' first ``depth`` bytes, by comparison.
+
+    First by eight bytes at once.  What agrees there is compared whole, some
+    ``TOGETHER`` suffixes at a time, so that the compared strings stay in the cache.
+    """
+    first = words_at(text, 8)[starts].byteswap()
+    order = np.argsort(first, kind="stable")
+    starts, first = starts[order], first[order]
+    borders = np.append(np.flatnonzero(first[1:] != first[:-1]) + 1, len(starts))
+    out: list[int] = []
+    low = 0
+    while low < len(starts):
+        high = int(borders[min(np.searchsorted(borders, low + TOGETHER), len(borders) - 1)])
+        out.extend(sorted(starts[low:high].tolist(), key=lambda i: raw[i : i + depth]))
+        low = high
+    return np.array(out, dtype=np.int64)
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Start positions in the order of the suffixes' first ``depth`` bytes."""
     n = len(text)
@@ -38,10 +60,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     small = small_suffixes(text)
     raw = text.tobytes()
     direct = np.flatnonzero(small)
-    # First by eight bytes at once; the comparison of whole suffixes then finds long runs in order.
-    direct = direct[np.argsort(words_at(text, 8)[direct].byteswap(), kind="stable")].tolist()
-    direct.sort(key=lambda i: raw[i : i + depth])
-    direct = np.array(direct, dtype=np.int64)
+    direct = in_order(text, raw, direct, depth)
     heads = text[direct] if len(direct) else np.zeros(0, np.uint8)
 
     large: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -111,7 +130,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
 def common_to(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """For neighbours in ``order``: whether their common prefix has ``depth`` bytes; the first has none.
 
-    Both ends are compared first, eight bytes each, and what agrees there whole.
+    Both ends are compared first, eight bytes each.  What agrees there is compared
+    whole, by runs of suffixes whose neighbours are the same distance away: a byte
+    of such a run is compared once for all the prefixes that it belongs to.
     """
     out = np.zeros(len(order), dtype=bool)
     words = words_at(text, depth)
@@ -119,7 +140,25 @@ def common_to(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     alike = np.maximum(one, other) + depth <= len(text)
     for at in (0, max(0, depth - 8)) if depth >= 8 else ():
         alike &= words[at:].take(one) == words[at:].take(other)
-    places, raw = np.flatnonzero(alike), text.tobytes()
-    pairs = zip(one[places].tolist(), other[places].tolist(), strict=True)
-    out[places + 1] = np.fromiter((raw[i : i + depth] == raw[j : j + depth] for i, j in pairs), bool, len(places))
+    places = np.flatnonzero(alike)
+    if not len(places):
+        return out
+    places = places[np.argsort(one[places])]
+    start, away = one[places], other[places] - one[places]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (np.diff(away) != 0)]))
+    sizes = np.diff(np.append(first, len(places)))
+    spans = sizes + depth - 1
+    ends = np.cumsum(spans)
+    low = 0
+    while low < len(first):
+        # At least one run, and no more bytes than ``COMPARED`` with several.
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + COMPARED, side="right")))
+        span, size = spans[low:high], sizes[low:high]
+        begin = np.cumsum(span) - span
+        at = np.arange(int(span.sum())) + np.repeat(start[first[low:high]] - begin, span)
+        differ = np.append(0, np.cumsum(text[at] != text[at + np.repeat(away[first[low:high]], span)], dtype=np.int64))
+        nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        upto = first[high] if high < len(first) else len(places)
+        out[places[first[low] : upto] + 1] = differ[nth + depth] == differ[nth]
+        low = high
     return out
