@@ -98,11 +98,17 @@ class Episodes:
         return self.df.select("score")
 
     def numbered(self, *order: str) -> Episodes:
-        """``episode`` counted from 0 within (run, model, task)."""
+        """``episode`` counted from 0 within (run, model, task).
+
+        Rows are dealt to all shuffle partitions by number: numbers and names that
+        compress well would else be put together in few tasks by their size in the shuffle.
+        """
         from pyspark.sql import Window
 
-        w = Window.partitionBy("run_id", "model", "task").orderBy(*(order or ("ord",)))
-        return Episodes(self.df.withColumn("episode", (F.row_number().over(w) - 1).cast("int")))
+        keys = ("run_id", "model", "task")
+        dealt = self.df.repartition(int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+        w = Window.partitionBy(*keys).orderBy(*(order or ("ord",)))
+        return Episodes(dealt.withColumn("episode", (F.row_number().over(w) - 1).cast("int")))
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
         """Parquet partitioned the way slices read it."""

@@ -229,3 +229,14 @@ def test_frame(spark):
     assert [r["episode"] for r in e.numbered().df.orderBy("ord").collect()] == [0, 1]
     with pytest.raises(ValueError):
         Episodes.of(spark, [{"nope": 1}])
+
+
+def test_numbered_rows_stay_dealt(spark):
+    """Rows of many groups lie in all shuffle partitions, though they are few bytes, and count from 0 in each group."""
+    rows = spark.range(4000).selectExpr("concat('r', id % 40) as run_id", "'m' as model", "concat('t', id % 8) as task", "4000 - id as ord")
+    found = Episodes(rows).numbered().df
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    groups = {}
+    for r in found.collect():
+        groups.setdefault((r["run_id"], r["task"]), []).append((r["ord"], r["episode"]))
+    assert len(groups) == 40 and all([e for _, e in sorted(g)] == list(range(100)) for g in groups.values())
