@@ -3,8 +3,10 @@
 A document is its set of distinct five-word shingles, as 64-bit hashes.
 
 1. Documents with equal sets become one *node* with members.
-2. Shingles have one global order: those seen often while reading go last, the
-   rest by hash.  If two sets reach the threshold, their prefixes of
+2. Shingles have one global order: those that several different sets of a buffer
+   have go last, by how many have them, the rest by hash.  A list that goes on
+   with the corpus has such buffers however thinly it is spread, and so leaves
+   the prefixes.  If two sets reach the threshold, their prefixes of
    ``n - ceil(t n) + T`` shingles in that order have at least ``T`` in common
    (``T`` is ``OVERLAP``, less for tiny sets).  Inverted lists hold prefixes only.
 3. T-occurrence search runs in rounds, all by ``divide_skip``: a query's longest
@@ -38,8 +40,8 @@ verification moves the texts of candidates only, a group of ``GROUP`` queries
 around one node at a time.
 
 Parameters that only steer the work, never the result: ``OFTEN`` (a shingle goes
-last in the order if it comes up so often among ``OFTEN_BUFFER``, at most
-``OFTEN_MOST`` of them), ``LONG_LIST``, ``CHUNK``, ``GROUP``, ``PAIRS_AT_ONCE``, ``FEW``,
+last in the order if so many different sets have it among ``OFTEN_BUFFER`` shingles,
+at most ``OFTEN_MOST`` of them), ``LONG_LIST``, ``CHUNK``, ``GROUP``, ``PAIRS_AT_ONCE``, ``FEW``,
 ``DENSE``, ``SKETCH``.
 
 Defined results: null text and text without words have ``n_shingles`` 0 and
@@ -64,8 +66,8 @@ from episodeframe.llm.components import connected
 from episodeframe.llm.shared import RowStore, drop_table, materialize, narrow
 
 WORDS, NUMERATOR, DENOMINATOR, OVERLAP = 5, 80, 100, 3
-#: shingles put last in the order: this often in a buffer of so many
-OFTEN, OFTEN_BUFFER, OFTEN_MOST = 8, 1 << 20, 200_000
+#: shingles put last in the order: in so many sets of a buffer of so many
+OFTEN, OFTEN_BUFFER, OFTEN_MOST = 3, 1 << 21, 200_000
 #: lists longer than this are probed; nodes of a chunk; queries verified around one node in one task; pairs verified at a time; partners of a query in the second round
 LONG_LIST, CHUNK, GROUP, PAIRS_AT_ONCE, FEW = 256, 2048, 256, 50_000, 3
 #: nodes of a query's lists on average, above which it asks by sketches; bits of a sketch, and of what it is folded to at first; differences held at a time
@@ -95,10 +97,10 @@ def least_overlap(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
 
 
 def _often(words: int):
-    """Shingles that fill up a buffer's worth of text: (token, n)."""
+    """Shingles that several sets of a buffer have, equal sets counted once: (token, n)."""
 
     def run(batches):
-        buffer, size = [], 0
+        buffer, seen, size = [], set(), 0
 
         def counted():
             token, n = np.unique(np.concatenate(buffer), return_counts=True)
@@ -106,19 +108,24 @@ def _often(words: int):
             return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep], pa.int64())], names=["token", "n"])
 
         for block in text_blocks(batches):
-            h, _ = shingles(block, words)
-            buffer.append(h)
-            size += len(h)
+            h, first = shingles(block, words)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                own = np.unique(h[a:b])
+                key = hash(own.tobytes())
+                if key not in seen:
+                    seen.add(key)
+                    buffer.append(own)
+                    size += len(own)
             if size >= OFTEN_BUFFER:
                 yield counted()
-                buffer, size = [], 0
+                buffer, seen, size = [], set(), 0
         if buffer:
             yield counted()
 
     return run
 
 
-def _sets(often: np.ndarray, words: int, num: int, den: int, overlap: int):
+def _sets(often: np.ndarray, counts: np.ndarray, words: int, num: int, den: int, overlap: int):
     """doc_id, n_shingles, set_key, prefix, text."""
 
     def run(batches):
@@ -134,7 +141,7 @@ def _sets(often: np.ndarray, words: int, num: int, den: int, overlap: int):
                 if len(often) and len(own):
                     at = np.minimum(np.searchsorted(often, own), len(often) - 1)
                     last = often[at] == own
-                    own = np.concatenate([own[~last][:size], own[last]])
+                    own = np.concatenate([own[~last][:size], own[last][np.argsort(counts[at[last]], kind="stable")]])
                 prefixes.append(own[:size].view(np.int64))
             lengths = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
@@ -147,7 +154,8 @@ def _sets(often: np.ndarray, words: int, num: int, den: int, overlap: int):
 
 
 def _postings(often: np.ndarray, counts: np.ndarray, chunk: int):
-    """node, n, prefix -> (token, node, n, salt); tokens known to be frequent are dealt by their nodes too."""
+    """node, n, prefix -> (token, node, n, salt); tokens known to fill several chunks are dealt by their nodes too."""
+    often, counts = often[counts >= chunk], counts[counts >= chunk]
 
     def run(batches):
         for batch in batches:
@@ -167,31 +175,33 @@ def _postings(often: np.ndarray, counts: np.ndarray, chunk: int):
     return run
 
 
-def _several(batches):
-    """Sorted (token, node, n, salt) -> those of tokens that occur again; the frequent ones (salted) all stay."""
-    left = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if left is not None:
-            batch = pa.concat_batches([left, batch])
-        token, salt = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-        again = np.zeros(len(token), dtype=bool)
-        same = token[1:] == token[:-1]
-        again[1:] = same
-        again[:-1] |= same
-        again |= salt >= 0
-        # The last row may belong to the next batch's token; it waits, and so does one row of its run.
-        keep = int(again[-1] and salt[-1] < 0) + 1
-        done = len(token) - min(keep, len(token))
-        yield batch.slice(0, done).filter(pa.array(again[:done])).select(["token", "node", "n"])
-        left = batch.slice(done)
-    if left is not None:
-        token, salt = left.column(0).to_numpy(), left.column(3).to_numpy()
-        again = salt >= 0
-        if len(token) > 1 and token[0] == token[1]:
-            again[:] = True
-        yield left.filter(pa.array(again)).select(["token", "node", "n"])
+def _several(num: int, den: int):
+    """Sorted (token, node, n, salt), by n last -> those of tokens that a set of a size that can link has too; the frequent ones (salted) all stay.
+
+    If two sizes can link, so can either one and its neighbour between them.
+    """
+
+    def run(batches):
+        left, fits = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if left is not None:
+                batch = pa.concat_batches([left, batch])
+            token, n, salt = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            near = (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])
+            keep = salt >= 0
+            keep[0] |= fits
+            keep[1:] |= near
+            keep[:-1] |= near
+            # The last row may have its neighbour in the next batch.
+            done = batch.num_rows - 1
+            yield batch.slice(0, done).filter(pa.array(keep[:done])).select(["token", "node", "n"])
+            left, fits = batch.slice(done), bool(keep[done])
+        if fits:
+            yield left.select(["token", "node", "n"])
+
+    return run
 
 
 def _linked(words: int, num: int, den: int):
@@ -424,20 +434,26 @@ class _Join:
         """Pairs (u, v) of different components whose prefixes share enough; v is -1 for a query that has more than ``most``.
 
         ``again``: the queries (u) left from a search before, which ask for all
-        they have; any other node has all its candidates already.
+        they have, in lists they asked then; any other node has all its candidates already.
         """
+        postings = self.postings
+        if again is not None:
+            asked = self.asked.join(again.select(F.col("u").alias("query")), "query", "left_semi")
+            postings = postings.join(asked.select("token").distinct(), "token", "left_semi")
         sizes = self.kept(comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
         ranked = comps.join(sizes, "component")
         info = (
-            self.postings.join(ranked, "node", "left")
+            postings.join(ranked, "node", "left")
             .select("token", "node", "n", F.coalesce("component", "node").alias("component"), F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "node").alias("id")).alias("weight"))
         )
         info = info.withColumn("asks", F.lit(True)) if again is None else info.join(again.select(F.col("u").alias("node"), F.lit(True).alias("asks")), "node", "left")
+        info = self.kept(info, "info")
         mixed = info.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("weight").alias("top"), F.max("asks").alias("asked")).where("a <> b AND asked")
         # A list of df nodes has 2**k chunks of about CHUNK.
         chunks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / CHUNK)))).cast("int")
         mixed = self.kept(mixed.select("token", "df", "top", chunks.alias("chunks")), "mixed")
         rest = self.kept(info.join(mixed, "token"), "rest")
+        self.dropped(info)
         # A list of one component stays one, so later searches need no more than these.
         self.dropped(self.postings)
         self.postings = rest.select("token", "node", "n")
@@ -457,25 +473,27 @@ class _Join:
         # Fewer lists than the overlap can't lead to a candidate.
         asking = asking.withColumn("n_lists", F.count(F.lit(1)).over(query)).where("n_lists >= need")
         asking = asking.withColumn("dense", F.avg(F.when(~F.col("long"), F.col("df"))).over(query) > DENSE)
-        asking = self.kept(asking.select("token", F.col("node").alias("query"), "n", F.col("component").alias("own"), "need", "nth", "least", "long", "chunks", "parts", "dense"), "asking")
+        if again is not None:
+            self.dropped(self.asked)
+        self.asked = asking = self.kept(asking.select("token", F.col("node").alias("query"), "n", F.col("component").alias("own"), "need", "nth", "least", "long", "chunks", "parts", "dense"), "asking")
         close = self.close_ones(rest, asking.where("dense AND nth >= need"), most)
-        asked_for, asking = asking, asking.where("NOT dense")
+        asking = asking.where("NOT dense")
         short = asking.where("NOT long").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("chunk", F.col("part") % F.col("chunks"))
         fetched = short.join(lists, ["token", "chunk"]).groupBy("query", "n", "own", "least", "part").agg(F.collect_list(F.struct("token", "nodes", "comps", "sizes")).alias("lists"))
         found = fetched.select("query", "n", "own", "least", "lists").mapInArrow(_search(self.num, self.den, self.overlap, most), CANDIDATES)
         found = self.kept(found.groupBy("u", "v").agg(F.max("common").alias("common")), "found")
         long_ = asking.where("long").select(F.col("query").alias("u"), "token", "need")
         if long_.isEmpty():
-            self.dropped(sizes, mixed, lists, asked_for)
+            self.dropped(sizes, mixed, lists)
             return self.both(found, close)
         # Long lists are probed for the candidates of the short ones.
         asked = found.join(long_, "u")
-        hits = asked.join(rest.select("token", F.col("node").alias("v")), ["token", "v"], "left_semi").groupBy("u", "v").agg(F.count(F.lit(1)).alias("hits"))
+        hits = asked.join(rest.where(F.col("df") > LONG_LIST).select("token", F.col("node").alias("v")), ["token", "v"], "left_semi").groupBy("u", "v").agg(F.count(F.lit(1)).alias("hits"))
         need = long_.groupBy("u").agg(F.first("need").alias("need"))
         hits = self.kept(hits, "hits")
         probed = found.join(need, "u", "left").join(hits, ["u", "v"], "left")
         probed = self.kept(probed.where("v < 0 OR need IS NULL OR common + coalesce(hits, 0) >= need").select("u", "v", "common"), "probed")
-        self.dropped(sizes, mixed, lists, asked_for, found, hits)
+        self.dropped(sizes, mixed, lists, found, hits)
         return self.both(probed, close)
 
     def close_ones(self, rest: DataFrame, asking: DataFrame, most: int) -> DataFrame | None:
@@ -559,14 +577,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often, counts = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64), np.array([r[1] for r in top], dtype=np.int64)
     order = np.argsort(often)
     often, counts = often[order], counts[order]
-    scanned = source.mapInArrow(_sets(often, words, num, den, overlap), f"doc_id {kind}, n_shingles bigint, set_key binary, prefix array<bigint>, text string")
+    scanned = source.mapInArrow(_sets(often, counts, words, num, den, overlap), f"doc_id {kind}, n_shingles bigint, set_key binary, prefix array<bigint>, text string")
     store = RowStore(scanned, "sets")
     # One row of each set stands for it; its number is the node.
     filled = store.select("doc_id", "n_shingles", "set_key").where("set_key IS NOT NULL")
     nodes = materialize(filled.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "nodes")
     prefixes = store.join(nodes.select(F.col("node").alias("row")), "n_shingles", "prefix").select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "prefix")
-    dealt = prefixes.mapInArrow(_postings(often, counts, CHUNK), "token bigint, node bigint, n bigint, salt int").repartition("token", "salt").sortWithinPartitions("token", "salt")
-    postings = materialize(dealt.mapInArrow(_several, "token bigint, node bigint, n bigint"), "postings")
+    dealt = prefixes.mapInArrow(_postings(often, counts, CHUNK), "token bigint, node bigint, n bigint, salt int").repartition("token", "salt").sortWithinPartitions("token", "salt", "n")
+    postings = materialize(dealt.mapInArrow(_several(num, den), "token bigint, node bigint, n bigint"), "postings")
     join = _Join(store, postings, words, num, den, overlap)
     comps = _resolve(join, nodes.count())
     named = materialize(nodes.join(comps, "node").groupBy("component").agg(F.min("least_id").alias("component_id")), "named")
